@@ -196,10 +196,17 @@ def _covered(b: _Block, h: np.ndarray, first: np.ndarray) -> np.ndarray:
     return np.cumsum(covered[:-1]) > 0
 
 
+def _nullable(kind: pa.DataType) -> pa.DataType:
+    """The type with nulls allowed throughout, as Spark declares results."""
+    if pa.types.is_struct(kind):
+        return pa.struct([pa.field(f.name, _nullable(f.type)) for f in kind])
+    return pa.list_(_nullable(kind.value_type)) if pa.types.is_list(kind) else kind
+
+
 def _cut(window: int):
     def run(docs: pa.Table, replies: pa.Table) -> pa.Table:
         if not docs.num_rows:
-            return _OUT.empty_table().append_column("rest", pa.chunked_array([], docs.schema.field("rest").type))
+            return _OUT.empty_table().append_column("rest", pa.chunked_array([], _nullable(docs.schema.field("rest").type)))
         b = _Block(docs, window)
         sent = [X.unpack(x) for x in replies["payload"].to_pylist()]
         if sent:
@@ -216,7 +223,7 @@ def _cut(window: int):
             texts.append((b" ".join([x for x, y in zip(w, g.tolist()) if not y]) if n else b" ".join(w)).decode())
             edge = np.flatnonzero(np.diff(np.concatenate([[0], g.view(np.int8), [0]]))).tolist() if n else []
             spans.append([{"start": x, "stop": y} for x, y in zip(edge[::2], edge[1::2])])
-        return pa.table([b.ids, [len(w) for w in b.words], removed, texts, spans], schema=_OUT).append_column("rest", docs["rest"])
+        return pa.table([b.ids, [len(w) for w in b.words], removed, texts, spans], schema=_OUT).append_column("rest", docs["rest"].cast(_nullable(docs["rest"].type)))
 
     return run
 
