@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from driftwood.llm import binary_ids, decontam, exchange, license_scan, packing, quality, simhash, substring, token_counts, toxicity
+from driftwood.llm import binary_ids, decontam, exchange, license_scan, lm, packing, quality, simhash, substring, token_counts, toxicity
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -44,6 +44,10 @@ def op7_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return token_counts.count_tokens(_table(spark, sf_dir, "documents"))
 
 
+def op8_lm_scores(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return lm.score_documents(_table(spark, sf_dir, "documents")).select("doc_id", "held_out", "n_tokens", "n_known", "train_tokens", "base_score", "score", "bits_per_byte")
+
+
 def op9_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = _table(spark, sf_dir, "documents")
     model = toxicity.fit(toxicity.severity_grades(docs, _table(spark, sf_dir, "labels")), 3)
@@ -55,4 +59,4 @@ def op10_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rows.select("doc_id", F.lower(F.lpad(F.hex(F.col("lanes")[0]), 16, "0")).alias("fingerprint"), "component_id")
 
 
-QUERIES = {f.__name__: f for f in (op1_license_scan, op2_packing, op3_quality, op4_substring, op5_decontam, op6_token_ids, op7_token_counts, op9_toxicity, op10_simhash)}
+QUERIES = {f.__name__: f for f in (op1_license_scan, op2_packing, op3_quality, op4_substring, op5_decontam, op6_token_ids, op7_token_counts, op8_lm_scores, op9_toxicity, op10_simhash)}
