@@ -1,6 +1,287 @@
-"""The registered queries of the retrieval operators and the SQL that gives the same rows."""
+"""The registered queries of the retrieval operators and the SQL (DuckDB) that gives the same rows.
+
+Documents stand for chunks (their `embeddings` row of the same id is the dense vector, `source` the document they
+belong to), events for versions of records, conversations for ordered chunks, labels for what is indexed already.
+"""
 
 from __future__ import annotations
 
-QUERIES: dict = {}
+from collections.abc import Callable
+
+from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import functions as F
+
+from driftwood.functions import columns as C
+from driftwood.operators import chunking, retrieval, store
+
+QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLE: dict[str, str] = {}
+
+WORDS = ["the", "tion", "heit"]
+_WORDS = "('the', 'tion', 'heit')"
+
+
+def _query(sql: str | None = None):
+    def add(f):
+        QUERIES[f.__name__] = f
+        if sql:
+            ORACLE[f.__name__] = sql
+        return f
+
+    return add
+
+
+def _read(spark: SparkSession, sf: str, name: str) -> DataFrame:
+    return spark.read.parquet(f"{sf}/{name}.parquet")
+
+
+def _first_vector(vectors: DataFrame) -> list[float]:
+    """The vector of the smallest id: the query of the vector searches (one row of fixed size)."""
+    return list(vectors.orderBy("vec_id").select("embedding").first()[0])
+
+
+# --- text ---------------------------------------------------------------------------------------------------------
+
+_SQUEEZED = r"trim(regexp_replace(text, '\s+', ' ', 'g'))"
+
+
+@_query(rf"SELECT doc_id, CAST(p // 1300 AS INTEGER) AS chunk_index, substr(t, p + 1, 1500) AS content FROM (SELECT doc_id, t, unnest(range(0, length(t), 1300)) AS p FROM (SELECT doc_id, {_SQUEEZED} AS t FROM documents))")
+def chunk_fixed_window(spark, sf):
+    return chunking.fixed_windows(_read(spark, sf, "documents"))
+
+
+_SENTENCES = r"list_filter(list_transform(string_split(regexp_replace(text, '([.!?])\s+', '\1' || chr(10), 'g'), chr(10)), lambda s: trim(regexp_replace(s, '^\s+|\s+$', '', 'g'))), lambda s: s <> '')"
+
+
+@_query(rf"SELECT doc_id, CAST(i - 1 AS INTEGER) AS position, ss[i] AS sentence FROM (SELECT doc_id, ss, unnest(range(1, len(ss) + 1)) AS i FROM (SELECT doc_id, {_SENTENCES} AS ss FROM documents))")
+def sentence_split(spark, sf):
+    return _read(spark, sf, "documents").select("doc_id", F.posexplode(C.sentences(F.col("text"))).alias("position", "sentence"))
+
+
+@_query()
+def chunk_hybrid(spark, sf):
+    return chunking.hybrid(_read(spark, sf, "documents"))
+
+
+@_query()
+def chunk_paragraph_tokens(spark, sf):
+    lines = C.nonblank(F.split("text", "\n"))
+    return chunking.by_paragraphs(_read(spark, sf, "documents"), lines)
+
+
+@_query(rf"SELECT doc_id, CAST(CASE WHEN {_SQUEEZED} = '' THEN 0 ELSE len(string_split({_SQUEEZED}, ' ')) END AS INTEGER) AS n_words FROM documents")
+def word_token_count(spark, sf):
+    return _read(spark, sf, "documents").select("doc_id", C.word_count(F.col("text")).alias("n_words"))
+
+
+@_query(r"SELECT doc_id, regexp_matches(l, '^#{1,6}\s+\S') OR regexp_matches(l, '^\d+\.\s+\S') OR regexp_matches(regexp_replace(l, '\P{L}', '', 'g'), '^\p{Lu}{3,}$') AS heading FROM (SELECT doc_id, string_split(trim(text), chr(10))[1] AS l FROM documents)")
+def heading_flag(spark, sf):
+    return _read(spark, sf, "documents").select("doc_id", C.is_heading(F.col("text")).alias("heading"))
+
+
+@_query()
+def best_excerpt(spark, sf):
+    return _read(spark, sf, "documents").select("doc_id", C.excerpt(F.col("text"), WORDS).alias("excerpt"))
+
+
+@_query(f"SELECT doc_id, array_to_string(CASE WHEN len(f) = 0 THEN ['the', 'tion', 'heit'] ELSE f END, ',') AS keywords FROM (SELECT doc_id, list_filter(['the', 'tion', 'heit'], lambda k: contains(lower(text), k)) AS f FROM documents)")
+def display_keywords(spark, sf):
+    return _read(spark, sf, "documents").select("doc_id", F.array_join(C.shown_keywords(WORDS, F.col("text")), ",").alias("keywords"))
+
+
+@_query("SELECT doc_id, source FROM documents WHERE contains(lower(concat_ws(' ', source, lang)), 'src1')")
+def title_filter(spark, sf):
+    return _read(spark, sf, "documents").where(F.contains(F.lower(F.concat_ws(" ", "source", "lang")), F.lit("src1"))).select("doc_id", "source")
+
+
+@_query("SELECT doc_id, CAST(('0x' || right(md5(lower(source)), 5)) AS INTEGER) AS sparse_index, sha1(source || '/' || doc_id) AS doc_key FROM documents")
+def hashed_ids(spark, sf):
+    docs = _read(spark, sf, "documents")
+    return docs.select("doc_id", C.sparse_index(F.col("source")).alias("sparse_index"), F.sha1(F.concat_ws("/", "source", F.col("doc_id").cast("string"))).alias("doc_key"))
+
+
+@_query()
+def point_ids(spark, sf):
+    chunk = F.concat_ws("_", F.sha1(F.col("doc_id").cast("string")), F.lit("0"))
+    return _read(spark, sf, "documents").select("doc_id", C.point_id(chunk).alias("point_id"), C.uuid5(chunk).alias("uuid"))
+
+
+# --- vectors and ranking --------------------------------------------------------------------------------------------
+
+_Q = "(SELECT CAST(embedding AS DOUBLE[]) AS q FROM embeddings ORDER BY vec_id LIMIT 1)"
+_DENSE = f"SELECT vec_id, round(list_cosine_similarity(CAST(embedding AS DOUBLE[]), q), 9) AS score FROM embeddings, {_Q}"
+
+
+@_query(f"SELECT vec_id, round(score, 6) AS score FROM ({_DENSE}) ORDER BY round(score, 9) DESC, vec_id LIMIT 50")
+def dense_topk(spark, sf):
+    vectors = _read(spark, sf, "embeddings")
+    return retrieval.dense_top(vectors, retrieval.vector(_first_vector(vectors)), 50, "vec_id", "embedding").withColumn("score", F.round("score", 6))
+
+
+_SPARSE = f"""WITH tok AS (SELECT doc_id, unnest(regexp_split_to_array(lower(text), '[^a-z]+')) AS term FROM documents),
+tf AS (SELECT doc_id, term, count(*) AS tf FROM tok WHERE term IN {_WORDS} GROUP BY ALL),
+w AS (SELECT term, ln(1 + (n - df + 0.5) / (df + 0.5)) AS idf FROM (SELECT term, count(*) AS df FROM tf GROUP BY term), (SELECT count(*) AS n FROM documents))
+SELECT doc_id, round(sum(tf * idf), 6) AS score FROM tf JOIN w USING (term) GROUP BY doc_id"""
+
+
+@_query(_SPARSE)
+def sparse_idf_score(spark, sf):
+    return retrieval.sparse_scores(_read(spark, sf, "documents"), WORDS).withColumn("score", F.round("score", 6))
+
+
+_FUSED = f"""WITH d AS (SELECT vec_id AS id, row_number() OVER (ORDER BY score DESC, vec_id) - 1 AS dense_rank FROM ({_DENSE}) QUALIFY dense_rank < 150),
+c AS (SELECT doc_id, source, text FROM documents WHERE doc_id IN (SELECT vec_id FROM embeddings)),
+tok AS (SELECT doc_id, unnest(regexp_split_to_array(lower(text), '[^a-z]+')) AS term FROM c),
+tf AS (SELECT doc_id, term, count(*) AS tf FROM tok WHERE term IN {_WORDS} GROUP BY ALL),
+w AS (SELECT term, ln(1 + (n - df + 0.5) / (df + 0.5)) AS idf FROM (SELECT term, count(*) AS df FROM tf GROUP BY term), (SELECT count(*) AS n FROM c)),
+sc AS (SELECT doc_id, round(sum(tf * idf), 9) AS score FROM tf JOIN w USING (term) GROUP BY doc_id),
+s AS (SELECT doc_id AS id, row_number() OVER (ORDER BY score DESC, doc_id) - 1 AS sparse_rank FROM sc QUALIFY sparse_rank < 150),
+f AS (SELECT id, dense_rank, sparse_rank, round(coalesce(1.0 / (61 + dense_rank), 0) + coalesce(1.0 / (61 + sparse_rank), 0), 12) AS rrf FROM d FULL JOIN s USING (id))"""
+
+
+def _chunks(spark, sf) -> DataFrame:
+    docs, vectors = _read(spark, sf, "documents"), _read(spark, sf, "embeddings")
+    return docs.join(vectors, docs.doc_id == vectors.vec_id).select(F.col("doc_id").alias("chunk_id"), F.col("source").alias("doc"), "text", F.col("embedding").alias("dense"))
+
+
+@_query(_FUSED + " SELECT id AS chunk_id, coalesce(dense_rank, -1) AS dense_rank, coalesce(sparse_rank, -1) AS sparse_rank, round(rrf, 9) AS rrf FROM f")
+def rrf_fusion(spark, sf):
+    vectors, chunks = _read(spark, sf, "embeddings"), _chunks(spark, sf)
+    dense = retrieval.dense_top(vectors.select(F.col("vec_id").alias("chunk_id"), F.col("embedding").alias("dense")), retrieval.vector(_first_vector(vectors)), 150)
+    sparse = retrieval.sparse_scores(chunks, WORDS, key="chunk_id").orderBy(F.desc("score"), "chunk_id").limit(150)
+    out = retrieval.fuse(retrieval.ranked(dense, "chunk_id", "dense_rank"), retrieval.ranked(sparse, "chunk_id", "sparse_rank"), "chunk_id")
+    return out.select("chunk_id", *[F.coalesce(F.col(c).cast("long"), F.lit(-1)).alias(c) for c in ("dense_rank", "sparse_rank")], F.round("rrf", 9).alias("rrf"))
+
+
+@_query(_FUSED + """ SELECT id AS chunk_id, source AS doc, round(rrf, 9) AS rrf FROM f JOIN c ON id = doc_id
+QUALIFY row_number() OVER (PARTITION BY source ORDER BY rrf DESC, dense_rank NULLS LAST, sparse_rank NULLS LAST) = 1 ORDER BY rrf DESC, dense_rank NULLS LAST, sparse_rank NULLS LAST LIMIT 10""")
+def hybrid_search(spark, sf):
+    query = retrieval.vector(_first_vector(_read(spark, sf, "embeddings")))
+    return retrieval.hybrid_search(_chunks(spark, sf), query, WORDS).select("chunk_id", "doc", F.round("rrf", 9).alias("rrf"))
+
+
+@_query(f"SELECT label, vec_id, round(score, 6) AS score FROM (SELECT label, e.vec_id, score FROM embeddings e JOIN ({_DENSE}) s ON e.vec_id = s.vec_id) QUALIFY row_number() OVER (PARTITION BY label ORDER BY score DESC, vec_id) = 1")
+def best_chunk_per_doc(spark, sf):
+    vectors = _read(spark, sf, "embeddings")
+    hits = vectors.select("label", "vec_id", F.round(C.cosine(F.col("embedding"), retrieval.vector(_first_vector(vectors))), 9).alias("score"))
+    return retrieval.best_per_document(hits, "label", [F.desc("score"), F.col("vec_id")]).withColumn("score", F.round("score", 6))
+
+
+_MAXSIM = """WITH q AS (SELECT vec_id // 10 AS q, vec_id AS q_token, CAST(embedding AS DOUBLE[]) AS v FROM embeddings WHERE vec_id < 30),
+t AS (SELECT vec_id // 10 AS grp, CAST(embedding AS DOUBLE[]) AS v FROM embeddings),
+m AS (SELECT q, q_token, grp, max(list_dot_product(q.v, t.v)) AS s FROM q, t GROUP BY ALL)
+SELECT q, grp, round(sum(s), 6) AS score FROM m GROUP BY q, grp"""
+
+
+def _max_sim(spark, sf) -> DataFrame:
+    vectors = _read(spark, sf, "embeddings")
+    group = F.floor(F.col("vec_id") / 10).cast("long")
+    query = vectors.where("vec_id < 30").select(group.alias("q"), F.col("vec_id").alias("q_token"), F.col("embedding").alias("q_vec"))
+    return retrieval.max_sim(query, vectors.select(group.alias("grp"), F.col("embedding").alias("vec")), "grp")
+
+
+@_query(_MAXSIM)
+def maxsim_scores(spark, sf):
+    return _max_sim(spark, sf)
+
+
+@_query(f"SELECT * FROM ({_MAXSIM}) QUALIFY row_number() OVER (PARTITION BY q ORDER BY score DESC, grp) <= 5")
+def maxsim_rerank(spark, sf):
+    w = Window.partitionBy("q").orderBy(F.desc("score"), "grp")
+    return _max_sim(spark, sf).withColumn("n", F.row_number().over(w)).where("n <= 5").drop("n")
+
+
+@_query("""WITH s AS (SELECT label, vec_id, round(list_cosine_similarity(CAST(lag(embedding) OVER w AS DOUBLE[]), CAST(embedding AS DOUBLE[])), 9) AS similarity FROM embeddings WINDOW w AS (PARTITION BY label ORDER BY vec_id)),
+c AS (SELECT label, quantile_cont(similarity, 0.25) AS cut FROM s GROUP BY label)
+SELECT label, vec_id, round(similarity, 6) AS similarity, CAST(sum(CASE WHEN similarity < cut THEN 1 ELSE 0 END) OVER (PARTITION BY label ORDER BY vec_id ROWS UNBOUNDED PRECEDING) AS BIGINT) AS segment FROM s JOIN c USING (label)""")
+def semantic_boundaries(spark, sf):
+    return chunking.boundaries(_read(spark, sf, "embeddings"), "label", "vec_id", "embedding").withColumn("similarity", F.round("similarity", 6))
+
+
+@_query("SELECT vec_id, round(list_aggregate(list_transform(CAST(embedding AS DOUBLE[]), lambda x: x / sqrt(list_dot_product(CAST(embedding AS DOUBLE[]), CAST(embedding AS DOUBLE[])))), 'sum'), 6) AS unit_sum FROM embeddings")
+def unit_vectors(spark, sf):
+    return _read(spark, sf, "embeddings").select("vec_id", F.round(F.aggregate(retrieval.normalised("embedding"), F.lit(0.0), lambda s, x: s + x), 6).alias("unit_sum"))
+
+
+# --- store ------------------------------------------------------------------------------------------------------------
+
+
+@_query("SELECT user_id, max(CAST(floor(epoch(ts)) AS BIGINT)) AS mtime FROM events WHERE user_id IS NOT NULL GROUP BY user_id")
+def indexed_state_max(spark, sf):
+    return store.indexed_state(_read(spark, sf, "events").select("user_id", F.unix_timestamp(F.col("ts").cast("timestamp")).alias("mtime")), "user_id", "mtime")
+
+
+@_query("SELECT DISTINCT conv_id FROM conversations")
+def distinct_doc_ids(spark, sf):
+    return _read(spark, sf, "conversations").select("conv_id").distinct()
+
+
+@_query("SELECT conv_id, arg_min(role, turn) AS first_role, count(*) AS n_chunks FROM conversations GROUP BY conv_id")
+def catalogue_by_doc(spark, sf):
+    return _read(spark, sf, "conversations").groupBy("conv_id").agg(F.min_by("role", "turn").alias("first_role"), F.count("*").alias("n_chunks"))
+
+
+@_query("SELECT lang, count(DISTINCT source) AS n_docs, count(*) AS n_chunks, CAST(round(count(*) / count(DISTINCT source)) AS BIGINT) AS per_doc FROM documents GROUP BY lang")
+def catalogue_by_type(spark, sf):
+    sums = _read(spark, sf, "documents").groupBy("lang", "source").agg(F.count("*").alias("n")).groupBy("lang").agg(F.count("source").alias("n_docs"), F.sum("n").alias("n_chunks"))
+    return sums.withColumn("per_doc", F.round(F.col("n_chunks") / F.col("n_docs")).cast("long"))
+
+
+@_query("WITH t AS (SELECT conv_id, max(turn) + 1 AS total FROM conversations GROUP BY conv_id) SELECT conv_id, count(*) AS n_chunks FROM conversations JOIN t USING (conv_id) WHERE NOT (role = 'user' AND contains(text, 'x')) GROUP BY conv_id, total HAVING total > 0 AND count(*) >= total")
+def complete_docs_having(spark, sf):
+    talks = _read(spark, sf, "conversations")
+    totals = talks.groupBy("conv_id").agg((F.max("turn") + 1).alias("total"))
+    return store.complete(talks.where(~((F.col("role") == "user") & F.contains("text", F.lit("x")))).join(totals, "conv_id"), "conv_id", "total")
+
+
+@_query("SELECT d.doc_id, CASE WHEN l.doc_id IS NULL THEN 'NEW' WHEN d.n_chars > l.quality * 1500 THEN 'REINDEX' ELSE 'SKIP' END AS action FROM documents d LEFT JOIN labels l ON d.doc_id = l.doc_id")
+def incremental_plan(spark, sf):
+    state = _read(spark, sf, "labels").select("doc_id", (F.col("quality") * 1500).alias("n_chars"))
+    return store.incremental_plan(_read(spark, sf, "documents").select("doc_id", "n_chars"), state, "doc_id", "n_chars").select("doc_id", "action")
+
+
+@_query("SELECT doc_id, n_chars FROM documents WHERE doc_id NOT IN (SELECT doc_id FROM labels WHERE doc_id IS NOT NULL)")
+def skip_unchanged(spark, sf):
+    return store.delete_documents(_read(spark, sf, "documents").select("doc_id", "n_chars"), _read(spark, sf, "labels"))
+
+
+@_query("SELECT doc_id, n_chars FROM documents WHERE doc_id IN (SELECT doc_id FROM labels)")
+def force_reindex(spark, sf):
+    return _read(spark, sf, "documents").select("doc_id", "n_chars").join(_read(spark, sf, "labels").select("doc_id"), "doc_id", "left_semi")
+
+
+@_query("SELECT user_id, event_id, event_type FROM events QUALIFY row_number() OVER (PARTITION BY user_id ORDER BY ts DESC, event_id DESC) = 1")
+def upsert_last_wins(spark, sf):
+    return store.last_versions(_read(spark, sf, "events").select("user_id", "event_id", "event_type", "ts"), "user_id", ["ts", "event_id"]).drop("ts")
+
+
+@_query("SELECT sha1(text) AS hash, count(*) AS n, min(doc_id) AS first_doc FROM documents GROUP BY 1 HAVING count(*) > 1")
+def duplicate_files(spark, sf):
+    return _read(spark, sf, "documents").groupBy(F.sha1("text").alias("hash")).agg(F.count("*").alias("n"), F.min("doc_id").alias("first_doc")).where("n > 1")
+
+
+@_query("""WITH tf AS (SELECT source, term, count(*) AS weight FROM (SELECT source, unnest(regexp_split_to_array(lower(text), '[^a-z]+')) AS term FROM documents) WHERE length(term) >= 3 GROUP BY ALL)
+SELECT source, term, weight, CAST(row_number() OVER (PARTITION BY source ORDER BY weight DESC, term) AS INTEGER) AS rank FROM tf QUALIFY rank <= 15""")
+def doc_keywords_weighted(spark, sf):
+    return store.keyword_weights(retrieval.terms(_read(spark, sf, "documents"), key="source").withColumnRenamed("tf", "weight"), "source", "weight", 15)
+
+
+@_query("SELECT event_id, CAST(json_extract_string(props, '$.k') AS BIGINT) AS k FROM events")
+def ndjson_parse(spark, sf):
+    return _read(spark, sf, "events").select("event_id", F.from_json("props", "k long")["k"].alias("k"))
+
+
+@_query("""SELECT user_id, CAST(floor(epoch(min(ts))) AS BIGINT) AS began, count(*) AS n FROM (SELECT user_id, ts, sum(new) OVER (PARTITION BY user_id ORDER BY ts, event_id ROWS UNBOUNDED PRECEDING) AS s FROM
+(SELECT user_id, event_id, ts, CASE WHEN epoch(ts) - epoch(lag(ts) OVER (PARTITION BY user_id ORDER BY ts, event_id)) <= 3600 THEN 0 ELSE 1 END AS new FROM events)) GROUP BY user_id, s""")
+def heartbeat_sessions(spark, sf):
+    beats = _read(spark, sf, "events").select("user_id", "event_id", F.col("ts").cast("timestamp").alias("ts"))
+    w = Window.partitionBy("user_id").orderBy("ts", "event_id")
+    gap = F.col("ts").cast("double") - F.lag("ts").over(w).cast("double")
+    flagged = beats.withColumn("new", F.when(gap <= 3600, 0).otherwise(1)).withColumn("s", F.sum("new").over(w.rowsBetween(Window.unboundedPreceding, 0)))
+    return flagged.groupBy("user_id", "s").agg(F.unix_timestamp(F.min("ts")).alias("began"), F.count("*").alias("n")).drop("s")
+
+
+@_query("SELECT user_id, event_id, count_if(event_type = 'purchase') OVER (PARTITION BY user_id ORDER BY ts, event_id ROWS UNBOUNDED PRECEDING) AS done FROM events")
+def running_progress(spark, sf):
+    w = Window.partitionBy("user_id").orderBy("ts", "event_id").rowsBetween(Window.unboundedPreceding, 0)
+    return _read(spark, sf, "events").select("user_id", "event_id", F.count_if(F.col("event_type") == "purchase").over(w).alias("done"))
