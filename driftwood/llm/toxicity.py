@@ -60,7 +60,7 @@ class Model:
         return out
 
 
-def fit_ordinal(rows: np.ndarray, cols: np.ndarray, values: np.ndarray, grade: np.ndarray, n_features: int, grades: int, l2: float = 1e-3, steps: int = 400) -> tuple[np.ndarray, np.ndarray]:
+def fit_ordinal(rows: np.ndarray, cols: np.ndarray, values: np.ndarray, grade: np.ndarray, n_features: int, grades: int, l2: float = 1e-5, steps: int = 600) -> tuple[np.ndarray, np.ndarray]:
     """Weights and thresholds of a cumulative-link model by Adam; (rows, cols, values) is the sparse design.
 
     Thresholds are a first one plus positive steps, so they stay in order.
