@@ -56,8 +56,8 @@ def join_planes(data: bytes) -> np.ndarray:
     at, blocks = _HEAD.size + 8 * planes, -(-n // block)
     out = np.zeros((blocks, block), "<u4")
     for k, size in enumerate(sizes):
-        raw = np.frombuffer(zstandard.ZstdDecompressor().decompress(data[at : at + size], max_output_size=max(1, blocks * block * bits // 8)), np.uint8)
-        part = np.unpackbits(raw.reshape(blocks, -1), axis=1, count=block) if bits == 1 else raw.reshape(blocks, block)
+        raw = np.frombuffer(zstandard.ZstdDecompressor().decompress(data[at : at + size], max_output_size=max(1, blocks * -(-block * bits // 8))), np.uint8)
+        part = np.unpackbits(raw.reshape(blocks, -(-block // 8)), axis=1, count=block) if bits == 1 else raw.reshape(blocks, block)
         out |= part.astype("<u4") << np.uint32(k * bits)
         at += size
     return out.ravel()[:n]

@@ -146,7 +146,7 @@ def severity_grades(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE) ->
     """
     wanted = labels.where("doc_id is not null and toxic is not null").groupBy("doc_id").agg(F.max("toxic").cast("int").alias("grade"))
     wanted = wanted.orderBy(F.xxhash64("doc_id"), "doc_id").limit(sample)
-    rows = staged(docs.join(F.broadcast(wanted), "doc_id").select("text", (F.col("grade") > 0).cast("int").alias("grade")).where("text is not null"), "labelled")
+    rows = staged(docs.select("doc_id", "text").join(F.broadcast(wanted), "doc_id").select("text", (F.col("grade") > 0).cast("int").alias("grade")).where("text is not null"), "labelled")
     marks = fit(rows, 2, sample)
     held = rows.sparkSession.sparkContext.broadcast(marks)
 
