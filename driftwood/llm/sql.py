@@ -1,5 +1,61 @@
-"""SQL (DuckDB) that gives the rows of registered queries."""
+"""SQL (DuckDB) that gives the rows of registered queries, straight from their definitions."""
 
 from __future__ import annotations
 
-ORACLE: dict[str, str] = {}
+from driftwood.llm import license_scan, quality
+
+_WORDS = r"regexp_extract_all(t, '[^\x20\x09-\x0D]+')"
+
+_OP3 = rf"""WITH d AS (SELECT doc_id, source AS host, coalesce(text, '') AS t FROM documents),
+w AS (SELECT doc_id, host, t, {_WORDS} AS ws, list_filter(string_split(t, chr(10)), lambda l: regexp_matches(l, '[^\x20\x09-\x0D]')) AS ls FROM d),
+p AS (SELECT doc_id, p, array_to_string(ws[p:p + 2], ' ') AS k FROM (SELECT doc_id, ws, unnest(range(1, len(ws) - 1)) AS p FROM w)),
+r AS (SELECT doc_id, p FROM p QUALIFY count(*) OVER (PARTITION BY doc_id, k) > 1),
+c AS (SELECT doc_id, count(DISTINCT q) AS n FROM (SELECT doc_id, unnest([p, p + 1, p + 2]) AS q FROM r) GROUP BY doc_id),
+m AS (SELECT w.doc_id, host, CAST(len(ws) AS BIGINT) AS n_words, CAST(length(regexp_replace(t, '[\x20\x09-\x0D]', '', 'g')) AS BIGINT) AS word_chars,
+ CAST(length(t) - length(regexp_replace(t, '[#*$%&|<>]', '', 'g')) AS BIGINT) AS n_symbols, CAST(len(ls) - len(list_distinct(ls)) AS BIGINT) AS n_dup_lines, CAST(coalesce(n, 0) AS BIGINT) AS n_repeat_words FROM w LEFT JOIN c USING (doc_id)),
+b AS (SELECT *, n_words < {quality.MIN_WORDS} OR 100 * n_repeat_words > {quality.MAX_REPEAT_PERCENT} * n_words AS base_failed FROM m),
+h AS (SELECT host, count(*) AS n, sum(CASE WHEN base_failed THEN 1 ELSE 0 END) AS f FROM b GROUP BY host),
+q AS (SELECT sum(f) / sum(n) AS mean, avg(CASE WHEN n > 1 THEN f / n END) AS m, var_pop(CASE WHEN n > 1 THEN f / n END) AS v FROM h),
+s AS (SELECT mean, CASE WHEN v > 0 THEN least(greatest(m * (1 - m) / v - 1, 1.0), 10000.0) WHEN m IS NULL THEN 1.0 ELSE 10000.0 END AS strength FROM q),
+k AS (SELECT host, (f + mean * strength) / (n + strength) AS rate FROM h, s)
+SELECT doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, base_failed, NOT base_failed AND rate <= {quality.MAX_HOST_RATE} AS kept FROM b JOIN k ON b.host IS NOT DISTINCT FROM k.host"""
+
+_OP4 = rf"""WITH w AS (SELECT doc_id, {_WORDS} AS ws FROM (SELECT doc_id, coalesce(text, '') AS t FROM documents)),
+p AS (SELECT doc_id, p, array_to_string(ws[p:p + 12], ' ') AS k FROM (SELECT doc_id, ws, unnest(range(1, len(ws) - 11)) AS p FROM w)),
+f AS (SELECT k, min(doc_id) AS first FROM p GROUP BY k),
+g AS (SELECT DISTINCT doc_id, q FROM (SELECT doc_id, unnest(range(p, p + 13)) AS q FROM p JOIN f USING (k) WHERE first < doc_id)),
+gone AS (SELECT doc_id, list(q) AS qs FROM g GROUP BY doc_id),
+e AS (SELECT doc_id, ws, coalesce(qs, []) AS qs FROM w LEFT JOIN gone USING (doc_id)),
+x AS (SELECT doc_id, i, ws[i] AS word FROM (SELECT doc_id, ws, unnest(range(1, len(ws) + 1)) AS i FROM e)),
+kept AS (SELECT x.doc_id, string_agg(word, ' ' ORDER BY i) AS line FROM x ANTI JOIN g ON x.doc_id = g.doc_id AND x.i = g.q GROUP BY x.doc_id)
+SELECT e.doc_id, CAST(len(ws) AS BIGINT) AS n_words, CAST(len(qs) AS BIGINT) AS n_removed, sha256(coalesce(line, '')) AS kept_sha256 FROM e LEFT JOIN kept USING (doc_id)"""
+
+_LETTERS = "ABCDEFGHIJKLMNOPQRSTUVWXYZ"
+_PLAIN = rf"regexp_extract_all(translate(coalesce(text, ''), '{_LETTERS}', '{_LETTERS.lower()}'), '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+')"
+
+_OP5 = rf"""WITH d AS (SELECT doc_id, {_PLAIN} AS ws FROM documents),
+i AS (SELECT CAST(item_id AS VARCHAR) AS item, ws, least(10, len(ws)) AS n FROM (SELECT item_id, {_PLAIN} AS ws FROM benchmark WHERE item_id IS NOT NULL) WHERE len(ws) > 0),
+iw AS (SELECT DISTINCT item, n, array_to_string(ws[p:p + n - 1], ' ') AS k FROM (SELECT item, ws, n, unnest(range(1, len(ws) - n + 2)) AS p FROM i)),
+ns AS (SELECT DISTINCT n FROM iw),
+dw AS (SELECT doc_id, n, p, array_to_string(ws[p:p + n - 1], ' ') AS k FROM (SELECT doc_id, ws, n, unnest(range(1, len(ws) - n + 2)) AS p FROM d, ns WHERE len(ws) >= n)),
+hits AS (SELECT doc_id, n, p, item FROM dw JOIN iw USING (n, k)),
+c AS (SELECT doc_id, count(DISTINCT q) AS n_hit FROM (SELECT doc_id, unnest(range(p, p + n)) AS q FROM hits) GROUP BY doc_id),
+l AS (SELECT doc_id, count(*) AS n_items, string_agg(item, ',' ORDER BY item) AS items FROM (SELECT DISTINCT doc_id, item FROM hits) GROUP BY doc_id)
+SELECT doc_id, CAST(len(ws) AS BIGINT) AS n_words, coalesce(n_hit, 0) AS n_hit, coalesce(n_items, 0) AS n_items, sha256(coalesce(items, '')) AS items_sha256, coalesce(n_hit, 0) > 0 AS contaminated
+FROM d LEFT JOIN c USING (doc_id) LEFT JOIN l USING (doc_id)"""
+
+
+def _license_sql() -> str:
+    rows = ", ".join(f"('{name}', '{g}')" for name, text in license_scan.TEMPLATES.items() for g in sorted(license_scan.bigrams_of(text)))
+    return rf"""WITH t(name, g) AS (VALUES {rows}), size AS (SELECT name, count(*) AS n FROM t GROUP BY name),
+u AS (SELECT doc_id, unnest(CASE WHEN len(ls) > 1 THEN list_append(ls, text) ELSE ls END) AS u FROM (SELECT doc_id, text, string_split(text, chr(10)) AS ls FROM documents)),
+un AS (SELECT doc_id, row_number() OVER () AS unit, list_filter(string_split(regexp_replace(lower(u), '[^\p{{L}}\p{{N}}]+', ' ', 'g'), ' '), lambda x: x <> '') AS ws FROM u),
+g AS (SELECT DISTINCT doc_id, unit, ws[p] || ' ' || ws[p + 1] AS g FROM (SELECT doc_id, unit, ws, unnest(range(1, len(ws))) AS p FROM un)),
+n AS (SELECT unit, count(*) AS n FROM g GROUP BY unit),
+s AS (SELECT doc_id, unit, name, 2.0 * count(*) / (any_value(n.n) + any_value(size.n)) AS dice FROM g JOIN t USING (g) JOIN n USING (unit) JOIN size USING (name) GROUP BY doc_id, unit, name),
+m AS (SELECT doc_id, unit, name, dice FROM s WHERE dice >= {license_scan.THRESHOLD}),
+b AS (SELECT doc_id, name AS license, dice FROM m QUALIFY row_number() OVER (PARTITION BY doc_id ORDER BY dice DESC, name DESC) = 1)
+SELECT d.doc_id, license, CAST(dice AS DOUBLE) AS dice, (SELECT count(DISTINCT unit) FROM m WHERE m.doc_id = d.doc_id) AS n_matches FROM documents d LEFT JOIN b ON d.doc_id = b.doc_id"""
+
+
+ORACLE: dict[str, str] = {"op1_license_scan": _license_sql(), "op3_quality": _OP3, "op4_substring": _OP4, "op5_decontam": _OP5}
