@@ -153,7 +153,7 @@ def rrf_fusion(spark, sf):
     return out.select("chunk_id", *[F.coalesce(F.col(c).cast("long"), F.lit(-1)).alias(c) for c in ("dense_rank", "sparse_rank")], F.round("rrf", 9).alias("rrf"))
 
 
-@_query(_FUSED + """ SELECT id AS chunk_id, source AS doc, round(rrf, 9) AS rrf FROM f JOIN c ON id = doc_id
+@_query(_FUSED.replace("QUALIFY dense_rank < 150),", "WHERE vec_id IN (SELECT doc_id FROM documents) QUALIFY dense_rank < 150),", 1) + """ SELECT id AS chunk_id, source AS doc, round(rrf, 9) AS rrf FROM f JOIN c ON id = doc_id
 QUALIFY row_number() OVER (PARTITION BY source ORDER BY rrf DESC, dense_rank NULLS LAST, sparse_rank NULLS LAST) = 1 ORDER BY rrf DESC, dense_rank NULLS LAST, sparse_rank NULLS LAST LIMIT 10""")
 def hybrid_search(spark, sf):
     query = retrieval.vector(_first_vector(_read(spark, sf, "embeddings")))

@@ -80,6 +80,5 @@ def test_queries_match_sql(spark):
     for name in ("chunk_fixed_window", "sentence_split", "hybrid_search", "semantic_boundaries", "incremental_plan"):
         mine, sql = registry.QUERIES[name](spark, SF), con.execute(registry.ORACLE[name])
         columns = [d[0] for d in sql.description]
-        assert sorted(map(str, mine.select(columns).collect()), key=str) is not None
         assert sorted(columns) == sorted(mine.columns)
         assert sorted(map(str, map(tuple, mine.select(columns).collect()))) == sorted(map(str, sql.fetchall())), name
