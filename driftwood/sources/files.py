@@ -46,7 +46,8 @@ def listing(spark: SparkSession, root: str, extensions: list[str] = EXTENSIONS,
     Spark's file source doesn't list.
     """
     files = spark.read.format("binaryFile").option("recursiveFileLookup", "true").load(root).select(F.url_decode("path").alias("path"), F.col("length").alias("size"), F.unix_timestamp("modificationTime").alias("mtime"))
-    folders = F.slice(F.split("path", "/"), 1, F.size(F.split("path", "/")) - 1)
+    below = F.split(F.element_at(F.split("path", rf"\Q{root.rstrip('/')}/\E", 2), -1), "/")
+    folders = F.slice(below, 1, F.size(below) - 1)
     hidden = F.exists(folders, lambda p: p.isin(skipped) | p.startswith("."))
     name = name_of(F.col("path"))
     kept = files.where((F.col("size") > 0) & extension(F.col("path")).isin(extensions) & ~name.startswith(".") & ~name.startswith("~$") & ~hidden)
