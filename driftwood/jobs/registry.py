@@ -285,3 +285,58 @@ def heartbeat_sessions(spark, sf):
 def running_progress(spark, sf):
     w = Window.partitionBy("user_id").orderBy("ts", "event_id").rowsBetween(Window.unboundedPreceding, 0)
     return _read(spark, sf, "events").select("user_id", "event_id", F.count_if(F.col("event_type") == "purchase").over(w).alias("done"))
+
+
+@_query(f"""WITH tf AS (SELECT source, term, count(*) AS weight FROM (SELECT source, unnest(regexp_split_to_array(text, '[^A-Za-z0-9]+')) AS term FROM documents) GROUP BY ALL),
+w AS (SELECT * FROM tf WHERE length(term) >= 3 AND NOT regexp_matches(term, '^[0-9]+$') AND lower(term) NOT IN ({", ".join(f"'{w}'" for w in store.STOPWORDS)}) QUALIFY row_number() OVER (PARTITION BY source, lower(term) ORDER BY weight DESC, term) = 1)
+SELECT source, CAST(row_number() OVER (PARTITION BY source ORDER BY weight DESC, term) AS INTEGER) AS rank, term FROM w QUALIFY rank <= 10""")
+def shown_keywords(spark, sf):
+    words = _read(spark, sf, "documents").select("source", F.explode(F.split("text", "[^A-Za-z0-9]+")).alias("term"))
+    return store.shown_keywords(words.groupBy("source", "term").agg(F.count("*").alias("weight")), "source", "term", "weight")
+
+
+@_query("""WITH tf AS (SELECT source, term, count(*) AS weight FROM (SELECT source, unnest(regexp_split_to_array(lower(text), '[^a-z]+')) AS term FROM documents) WHERE length(term) >= 3 GROUP BY ALL),
+k AS (SELECT source, term, row_number() OVER (PARTITION BY source ORDER BY weight DESC, term) AS rank FROM tf QUALIFY rank <= 15),
+i AS (SELECT source, CAST(('0x' || right(md5(term), 5)) AS INTEGER) AS idx, 1.0::DOUBLE / (rank + 1e-9::DOUBLE) AS v FROM k QUALIFY row_number() OVER (PARTITION BY source, idx ORDER BY rank, term) = 1)
+SELECT source, idx, round(v / max(v) OVER (PARTITION BY source), 6) AS value FROM i""")
+def sparse_vectors(spark, sf):
+    return store.sparse_vectors(doc_keywords_weighted(spark, sf), "source", "term", "rank").withColumn("value", F.round("value", 6))
+
+
+@_query("SELECT conv_id, turn FROM conversations WHERE conv_id NOT IN (SELECT doc_id FROM labels WHERE toxic = 1)")
+def delete_documents(spark, sf):
+    gone = _read(spark, sf, "labels").where("toxic = 1").select(F.col("doc_id").alias("conv_id"))
+    return store.delete_documents(_read(spark, sf, "conversations").select("conv_id", "turn"), gone, "conv_id")
+
+
+_LENGTHS = "SELECT vec_id // 10 AS grp, max(n_chars) AS n FROM embeddings JOIN documents ON vec_id = doc_id GROUP BY 1"
+
+
+@_query(f"""WITH a AS ({_MAXSIM}), p AS (SELECT q, grp FROM a QUALIFY row_number() OVER (PARTITION BY q ORDER BY score DESC, grp) <= 5
+UNION SELECT q, grp FROM (SELECT DISTINCT q FROM a), (SELECT grp FROM ({_LENGTHS}) ORDER BY n DESC, grp LIMIT 5))
+SELECT q, grp, score FROM a JOIN p USING (q, grp) QUALIFY row_number() OVER (PARTITION BY q ORDER BY score DESC, grp) <= 7""")
+def prefetch_union_rerank(spark, sf):
+    """Two channels' best groups per query, united, ranked anew by MaxSim."""
+    scores = _max_sim(spark, sf)
+    w = Window.partitionBy("q").orderBy(F.desc("score"), "grp")
+    first = scores.withColumn("n", F.row_number().over(w)).where("n <= 5").select("q", "grp")
+    sizes = _read(spark, sf, "embeddings").join(_read(spark, sf, "documents").select("doc_id", "n_chars"), F.col("vec_id") == F.col("doc_id"))
+    longest = sizes.groupBy(F.floor(F.col("vec_id") / 10).cast("long").alias("grp")).agg(F.max("n_chars").alias("n")).orderBy(F.desc("n"), "grp").limit(5).select("grp")
+    # five groups for each of the few queries
+    second = scores.select("q").distinct().join(F.broadcast(longest)).select("q", "grp")
+    return scores.join(first.union(second).distinct(), ["q", "grp"]).withColumn("n", F.row_number().over(w)).where("n <= 7").drop("n")
+
+
+@_query("SELECT page_id, replace(replace(replace(replace(replace(html, '&', '&amp;'), '<', '&lt;'), '>', '&gt;'), '\"', '&quot;'), '''', '&#x27;') AS escaped FROM pages")
+def html_escape(spark, sf):
+    out = F.col("html")
+    for old, new in (("&", "&amp;"), ("<", "&lt;"), (">", "&gt;"), ('"', "&quot;"), ("'", "&#x27;")):
+        out = F.replace(out, F.lit(old), F.lit(new))
+    return _read(spark, sf, "pages").select("page_id", out.alias("escaped"))
+
+
+@_query("SELECT doc_id, CASE WHEN n_chars > 10000 THEN 'filename_only' WHEN n_chars > 4000 THEN 'head_only' ELSE 'full' END AS mode FROM documents")
+def reading_mode(spark, sf):
+    from driftwood.sources.files import mode
+
+    return _read(spark, sf, "documents").select("doc_id", mode(F.col("n_chars"), F.lit(None).cast("int"), head=4000, name=10_000).alias("mode"))

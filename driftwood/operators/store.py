@@ -42,3 +42,34 @@ def keyword_weights(terms: DataFrame, key: str, weight: str, top: int) -> DataFr
     """A document's terms of greatest weight, with their rank from 1; ties by term."""
     w = Window.partitionBy(key).orderBy(F.desc(weight), "term")
     return terms.withColumn("rank", F.row_number().over(w)).where(F.col("rank") <= top)
+
+
+# Words that are no keywords.
+STOPWORDS = "le la les un une des et ou de du au aux à en pour par sur dans avec sans the a an and or of in on for with to at is are was were".split()
+
+
+def shown_keywords(weighted: DataFrame, key: str, term: str, weight: str, top: int = 10, least: int = 3) -> DataFrame:
+    """(key, rank, term): a document's best terms that are words.
+
+    Marks of word pieces are cut off; short ones, stopwords and numbers go; of spellings that differ in case the one of
+    greatest weight stays.  Ties by term.
+    """
+    rows = weighted.withColumn(term, F.regexp_replace(F.trim(term), "^[#▁ ]+", ""))
+    low = F.lower(F.col(term))
+    rows = rows.where((F.char_length(term) >= least) & ~low.isin(STOPWORDS) & ~F.col(term).rlike(r"^\d+$"))
+    first = Window.partitionBy(key, low).orderBy(F.desc(weight), term)
+    rows = rows.withColumn("_n", F.row_number().over(first)).where("_n = 1")
+    order = Window.partitionBy(key).orderBy(F.desc(weight), term)
+    return rows.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= top).select(key, "rank", term)
+
+
+def sparse_vectors(keywords: DataFrame, key: str, term: str, score: str) -> DataFrame:
+    """(key, idx, value): hashed keywords, those of lower score weighing more; the greatest value is 1.
+
+    Of keywords that hash alike the one of least score stays.
+    """
+    from driftwood.functions.columns import sparse_index
+
+    rows = keywords.withColumn("idx", sparse_index(F.col(term))).withColumn("_v", 1.0 / (F.col(score) + 1e-9))
+    rows = rows.withColumn("_n", F.row_number().over(Window.partitionBy(key, "idx").orderBy(score, term))).where("_n = 1")
+    return rows.withColumn("value", F.col("_v") / F.max("_v").over(Window.partitionBy(key))).select(key, "idx", "value")

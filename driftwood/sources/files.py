@@ -34,9 +34,9 @@ def doc_type(path: Column) -> Column:
     return out.otherwise(ext)
 
 
-def mode(size: Column, pages: Column) -> Column:
+def mode(size: Column, pages: Column, head: int = HEAD_BYTES, name: int = NAME_BYTES) -> Column:
     """How much of a file is read: all, the head of a large or long one, or only its name."""
-    return F.when(size > NAME_BYTES, "filename_only").when((size > HEAD_BYTES) | (F.coalesce(pages, F.lit(0)) > HEAD_PAGES), "head_only").otherwise("full")
+    return F.when(size > name, "filename_only").when((size > head) | (F.coalesce(pages, F.lit(0)) > HEAD_PAGES), "head_only").otherwise("full")
 
 
 def listing(spark: SparkSession, root: str, extensions: list[str] = EXTENSIONS, skipped: list[str] = SKIPPED_FOLDERS) -> DataFrame:
