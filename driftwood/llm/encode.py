@@ -6,13 +6,16 @@ import gc
 import json
 import os
 import re
+import unicodedata
 
 import numpy as np
 
 #: Pieces whose ids are remembered at once, and the longest of them.
-PIECES, LONGEST = 300_000, 100
+PIECES, LONGEST = 400_000, 100
 #: Pieces encoded as one text.
 AT_ONCE = 1000
+#: Marks that are cut off a word before it is looked up.
+_ENDS = ".,;:!?"
 _ODD = re.compile(r" (?:\s|\Z)")
 _NEXT = re.compile(r"(?= \S)")
 #: A character that the tokenizer makes one token of, put between pieces.
@@ -48,6 +51,7 @@ class Encoder:
         else:
             self.kind = "whole"
         self.seen: dict[str, bytes] = {}
+        self.ends = dict(zip(_ENDS, self._alone(list(_ENDS))))
 
     @staticmethod
     def _ids(ids) -> bytes:
@@ -57,6 +61,15 @@ class Encoder:
         return [self._ids(e.ids) for e in self.tok.encode_batch_fast(pieces, add_special_tokens=False)]
 
     def _learn(self, pieces: list[str]) -> dict[str, bytes]:
+        """The ids of distinct pieces; one mark after a letter or digit is always a token of its own."""
+        ends = {p: (p[:-1], p[-1]) for p in pieces if p[-1:] in _ENDS and p[-2:-1].isalnum()}
+        bodies = {b for b, _ in ends.values()}
+        new = self._encoded([*{p for p in pieces if p not in ends} | {b for b in bodies if b not in self.seen}])
+        for p, (b, end) in ends.items():
+            new[p] = (new[b] if b in new else self.seen[b]) + self.ends[end]
+        return new
+
+    def _encoded(self, pieces: list[str]) -> dict[str, bytes]:
         """The ids of distinct pieces, many of them encoded as one text."""
         new: dict[str, bytes] = {}
         for k in range(0, len(pieces), AT_ONCE):
@@ -79,9 +92,14 @@ class Encoder:
     def _pieces(self, text: str) -> tuple[bytes, list[str]]:
         """Ids of what comes first, and the pieces after it."""
         if self.kind == "dropped":
-            if self.lowers and text.isascii() and "<|" not in text:
-                text = text.lower()
-            return b"", [p.decode() for p in text.encode().split()] if not text.isascii() else text.translate(_AS_SPACE).split(" ")
+            if text.isascii():
+                return b"", (text.lower() if self.lowers and "<" not in text else text).translate(_AS_SPACE).split(" ")
+            data = text.encode()
+            if self.lowers and "<" not in text and unicodedata.is_normalized("NFC", text):
+                low = data.lower().decode()  # A-Z alone
+                if unicodedata.is_normalized("NFC", low):
+                    data = low.encode()
+            return b"", [p.decode() for p in data.split()]
         if _ODD.search(text):
             return b"".join(self._alone(_NEXT.split(text))), []
         head, *rest = text.split(" ")
@@ -99,9 +117,9 @@ class Encoder:
             lack = list({q for (_, p), g in zip(cut, got) if None in g for q, v in zip(p, g) if v is None})
             new = self._learn(lack)
             out = [head + (b"".join(g) if None not in g else b"".join([new[q] if v is None else v for q, v in zip(p, g)])) for (head, p), g in zip(cut, got)]
-            if len(self.seen) + len(new) > PIECES:
-                self.seen.clear()
-            self.seen.update((q, v) for q, v in new.items() if len(q) <= LONGEST)
+            # common pieces come early: those seen first stay
+            if len(self.seen) < PIECES:
+                self.seen.update((q, v) for q, v in new.items() if len(q) <= LONGEST)
             return out
         finally:
             if was:
