@@ -8,11 +8,13 @@ of a block hold it, so hot passages and words are combined before they are shuff
 
 from __future__ import annotations
 
+import ctypes
 import math
 import struct
 import uuid
 
 import numpy as np
+import pyarrow as pa
 import zstandard
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -68,6 +70,15 @@ def checkpointed(df: DataFrame) -> DataFrame:
     return df.checkpoint()
 
 
+def give_back() -> None:
+    """Return freed memory to the system: Python workers live on between tasks, and stages share an executor."""
+    pa.default_memory_pool().release_unused()
+    try:
+        ctypes.CDLL(None).malloc_trim(0)
+    except (AttributeError, OSError):  # another C library
+        pass
+
+
 def pack(*arrays: np.ndarray) -> bytes:
     """Arrays as one compressed value: per array a type, a length and its bytes, transposed by significance."""
     out = []

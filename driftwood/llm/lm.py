@@ -302,6 +302,7 @@ def _lengths(top, shards: int):
 
 def _ask(shards: int):
     def run(t: pa.Table) -> pa.Table:
+        X.give_back()
         words = [_words(x) for x in t["text"].cast(pa.binary()).to_pylist()]
         block, rows = t["block"][0].as_py(), []
         for kind, keys in ((RUNS, _distinct_runs(words)), (WORDS, np.unique(_hashed([*{x for w in words for x in w}, END])))):
@@ -354,6 +355,7 @@ def _score(train_tokens: int, vocabulary: int):
     def run(docs: pa.Table, answers: pa.Table) -> pa.Table:
         if not docs.num_rows:
             return _OUT.empty_table()
+        X.give_back()
         known = {}
         for want in (RUNS, WORDS):
             parts = [X.unpack(x) for kind, x in zip(answers["kind"].to_pylist(), answers["payload"].to_pylist()) if kind == want]

@@ -69,6 +69,7 @@ def _cut(path: str, end_id: int, length: int):
                     n = len(ids) // 4
                     rows += [(doc, k, min(length, n - k), n, ids[4 * k : 4 * (k + length)]) for k in range(0, n, length)]
                 yield pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(zip(*rows), _PIECE)], schema=_PIECE)
+        X.give_back()
 
     return run
 

@@ -20,7 +20,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from driftwood.llm.components import components
-from driftwood.llm.exchange import mix, staged
+from driftwood.llm.exchange import give_back, mix, staged
 
 #: Fingerprints that share a choice of blocks and are still joined pair by pair.
 SMALL = 16
@@ -74,6 +74,7 @@ def _fingerprints(shingle: int, lanes: int):
             columns = [np.concatenate(f).view(np.int64) if f else np.zeros(0, np.int64) for f in found]
             lists = pa.FixedSizeListArray.from_arrays(pa.array(np.column_stack(columns).ravel() if texts else np.zeros(0, np.int64)), lanes).cast(pa.list_(pa.int64()))
             yield pa.RecordBatch.from_arrays([batch["doc_id"], lists], names=["doc_id", "lanes"])
+        give_back()
 
     return run
 

@@ -31,7 +31,9 @@ WINDOW = 13
 #: Words in an anchor.
 ANCHOR = 5
 #: Words of passages that one automaton holds at most (a longer single passage gets an automaton of its own).
-AUTOMATON_WORDS = 400_000
+AUTOMATON_WORDS = 200_000
+#: Bytes of text in a block; smaller than elsewhere, as a block's words are held one by one.
+BLOCK_BYTES = 4 << 20
 SHARD_BYTES = 16 << 20
 SENT = "block int, shard int, payload binary"
 REPLY = "block int, payload binary"
@@ -46,6 +48,7 @@ class _Block:
     """The documents of a block as one array of word hashes, and its windows."""
 
     def __init__(self, t: pa.Table, window: int):
+        X.give_back()
         self.ids = t["doc_id"].to_pylist()
         self.words = [x.split() if x else [] for x in t["text"].cast(pa.binary()).to_pylist()]
         h = xxhash.xxh64_intdigest
@@ -243,7 +246,7 @@ def cut_repeats(docs: DataFrame, window: int = WINDOW, anchor: int = ANCHOR, car
     docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"), rest)
     total = X.text_bytes(docs)
     shards = X.parts_of(total, SHARD_BYTES)
-    dealt = X.blocked(docs, X.parts_of(total, X.BLOCK_BYTES))
+    dealt = X.blocked(docs, X.parts_of(total, BLOCK_BYTES))
     shared = dealt.groupBy("block").applyInArrow(_send_anchors(window, anchor, shards), SENT).groupBy("shard").applyInArrow(_shared_anchors, REPLY)
     sent = dealt.groupBy("block").cogroup(shared.groupBy("block")).applyInArrow(_send_windows(window, anchor, shards), SENT)
     recurring = sent.groupBy("shard").applyInArrow(_recurring, REPLY)

@@ -68,7 +68,7 @@ def plain_cut(rows, window):
 
 @pytest.mark.parametrize("window,anchor", [(13, 5), (3, 2)])
 def test_substring(docs, window, anchor, monkeypatch):
-    monkeypatch.setattr(exchange, "BLOCK_BYTES", 4000)
+    monkeypatch.setattr(substring, "BLOCK_BYTES", 4000)
     got = {r.doc_id: (r.n_words, r.n_removed, r.kept_text) for r in substring.cut_repeats(docs, window, anchor).collect()}
     assert got == plain_cut(corpus(), window)
 
