@@ -10,11 +10,10 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from driftwood.llm import decontam, exchange, packing, simhash, substring, toxicity
+from driftwood.llm import decontam, exchange, minhash, packing, substring, toxicity
 
-#: Near copies have 256-bit fingerprints of five-word shingles, share one of 16 blocks, and differ in at most this many
-#: bits; shingle sets that are 0.8 alike differ in about 36.
-DISTANCE = 36
+#: Least Jaccard similarity of near copies' sets of five-word shingles.
+SIMILARITY = 0.8
 
 ORACLE_SQL = None
 
@@ -27,7 +26,7 @@ def reject_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame
 
 def keep_one_of_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Of each group of near copies the smallest doc_id stays; rows without one stay, as nothing can name them."""
-    groups = simhash.near_copies(docs, shingle=5, lanes=4, width=16, agree=1, distance=DISTANCE)
+    groups = minhash.near_copies(docs, shingle=5, similarity=SIMILARITY)
     later = groups.where(F.col("doc_id") > F.col("component_id")).select("doc_id").distinct()
     return docs.join(later, "doc_id", "left_anti").select(*docs.columns)
 

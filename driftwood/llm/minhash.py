@@ -1,0 +1,194 @@
+"""Near copies by the Jaccard similarity of shingle sets: MinHash bands propose pairs, the whole sets decide.
+
+A band is the minima of `ROWS` scramblings of a set's hashes, so two sets that are J alike agree in a band with chance
+J**ROWS, and in none of `BANDS` with (1 - J**ROWS)**BANDS: 3 of 100,000 pairs at 0.8, fewer above.  Bands are 64-bit keys,
+so sets that have little in common are not compared.  Equal sets are one row throughout.  A band that more than `SMALL`
+sets share is not joined pair by pair: it is cut into tiles, each pair of tiles is one task's work, and a task returns
+a spanning forest of its links, at most one row per set.
+"""
+
+from __future__ import annotations
+
+from collections.abc import Iterator
+from fractions import Fraction
+
+import numpy as np
+import pyarrow as pa
+import xxhash
+from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
+
+from driftwood.llm.components import components
+from driftwood.llm.exchange import give_back, mix, staged
+from driftwood.llm.simhash import COUNTED, U, _shingles
+
+BANDS, ROWS = 20, 4
+#: Sets that share a band and are still joined pair by pair.
+SMALL = 16
+#: Sets in a tile of a larger band, and bytes of their hashes.
+TILE, TILE_BYTES = 4_000, 16 << 20
+#: A multiplier for each scrambling.
+ODD = mix(np.arange(1, BANDS * ROWS + 1, dtype=U)) | U(1)
+
+
+def _set(text: bytes | None, k: int) -> np.ndarray:
+    """Sorted 64-bit hashes of a text's distinct shingles."""
+    h = xxhash.xxh64_intdigest
+    return np.unique(np.array([h(x, 42) for x in _shingles(text.lower(), k)] if text else [], U))
+
+
+def _bands(sets: list[np.ndarray]) -> np.ndarray:
+    """A row of BANDS keys for each of some sets, none of them empty."""
+    a = np.concatenate(sets)
+    at = np.cumsum([0, *map(len, sets[:-1])])
+    keys = np.empty((len(sets), BANDS), U)
+    for band in range(BANDS):
+        key = np.full(len(sets), band + 1, U)
+        for odd in ODD[band * ROWS : (band + 1) * ROWS]:
+            key = mix(key * U(0x9E3779B97F4A7C15) + np.minimum.reduceat(a * odd, at))
+        keys[:, band] = key
+    return keys
+
+
+def _node(s: np.ndarray) -> int:
+    return xxhash.xxh64_intdigest(s.tobytes()) - (1 << 63)
+
+
+def _sketches(shingle: int):
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            texts = batch["text"].cast(pa.binary())
+            node, size, keys = [], [], []
+            waiting: list[np.ndarray] = []
+            held = 0
+
+            def banded() -> None:
+                nonlocal held
+                if waiting:
+                    keys.append(_bands(waiting).view(np.int64).ravel())
+                waiting.clear()
+                held = 0
+
+            for t in texts:
+                s = _set(t.as_py(), shingle)
+                node.append(_node(s))
+                size.append(len(s))
+                if len(s):
+                    waiting.append(s)
+                    held += len(s)
+                if held >= COUNTED:
+                    banded()
+            banded()
+            ends = np.cumsum([0, *[BANDS if n else 0 for n in size]])
+            lists = pa.ListArray.from_arrays(pa.array(ends, pa.int32()), pa.array(np.concatenate(keys) if keys else np.zeros(0, np.int64)))
+            yield pa.RecordBatch.from_arrays([batch["doc_id"], batch["row"], pa.array(node, pa.int64()), pa.array(size, pa.int64()), lists], names=["doc_id", "row", "node", "n", "keys"])
+        give_back()
+
+    return run
+
+
+def _named_sets(shingle: int):
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            sets = [_set(t.as_py(), shingle) for t in batch["text"].cast(pa.binary())]
+            yield pa.RecordBatch.from_arrays([pa.array(map(_node, sets), pa.int64()), pa.array([s.tobytes() for s in sets], pa.binary())], names=["node", "hashes"])
+        give_back()
+
+    return run
+
+
+def _confirm(least: Fraction):
+    """Of pairs with their sets, those that are as alike as `least`."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            keep = []
+            for x, y in zip(batch["a"], batch["b"]):
+                a, b = np.frombuffer(x.as_py(), U), np.frombuffer(y.as_py(), U)
+                common = len(np.intersect1d(a, b, assume_unique=True))
+                keep.append(common * (least.numerator + least.denominator) >= least.numerator * (len(a) + len(b)))
+            yield batch.select(["u", "v"]).filter(pa.array(keep, pa.bool_()))
+
+    return run
+
+
+def _forest(least: Fraction):
+    """A spanning forest of the links within one pair of tiles.
+
+    Sets are taken up one at a time; each not yet reached is compared to those reached last by looking that one's
+    hashes up among all, so the work goes with what sets have in common.
+    """
+
+    def run(t: pa.Table) -> pa.Table:
+        node, at = np.unique(t["node"].to_numpy(), return_index=True)
+        hashes = t["hashes"].combine_chunks()
+        sets = [np.frombuffer(hashes[k].as_py(), U) for k in at.tolist()]
+        size = np.array([len(s) for s in sets], np.int64)
+        values, owner = np.concatenate(sets), np.repeat(np.arange(len(sets)), size)
+        order = np.argsort(values, kind="stable")
+        values, owner = values[order], owner[order]
+        left = np.arange(len(node))
+        us, vs = [], []
+        while len(left):
+            front, left = [left[0]], left[1:]
+            while front and len(left):
+                me = front.pop()
+                low, high = np.searchsorted(values, sets[me], "left"), np.searchsorted(values, sets[me], "right")
+                many = high - low
+                found = owner[np.repeat(high - np.cumsum(many), many) + np.arange(many.sum())]
+                common = np.bincount(found, minlength=len(node))[left]
+                near = common * (least.numerator + least.denominator) >= least.numerator * (size[left] + size[me])
+                got = left[near]
+                us += node[got].tolist()
+                vs += [int(node[me])] * len(got)
+                front += got.tolist()
+                left = left[~near]
+        return pa.table([pa.array(us, pa.int64()), pa.array(vs, pa.int64())], names=["u", "v"])
+
+    return run
+
+
+def _in_tiles(large: DataFrame, least: Fraction) -> DataFrame:
+    """Links within bands that many sets share; `large` has key, node and hashes."""
+    size = large.groupBy("key").agg(F.greatest(F.ceil(F.count("*") / TILE), F.ceil(F.sum(F.octet_length("hashes").cast("long")) / TILE_BYTES)).cast("int").alias("tiles"))
+    rows = large.join(size, "key").withColumn("tile", F.pmod(F.xxhash64("node"), F.col("tiles")).cast("int"))
+    rows = rows.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("tiles") - 1)))
+    rows = rows.select("key", F.least("tile", "other").alias("p"), F.greatest("tile", "other").alias("q"), "node", "hashes")
+    return rows.groupBy("key", "p", "q").applyInArrow(_forest(least), "u long, v long")
+
+
+def links(docs: DataFrame, points: DataFrame, shingle: int, least: Fraction) -> DataFrame:
+    """Pairs u, v of `points` (node, row, n, keys; one row per distinct set) that share a band and are at least `least` alike; `docs` has text and row."""
+    keyed = points.select("node", "n", F.explode("keys").alias("key"))
+    sizes = keyed.groupBy("key").agg(F.count("*").alias("m")).where("m > 1")
+    shared = staged(keyed.join(sizes, "key"), "shared")
+    small = shared.where(F.col("m") <= SMALL)
+    a, b = small.alias("a"), small.alias("b")
+    may = (F.col("a.key") == F.col("b.key")) & (F.col("a.node") < F.col("b.node"))
+    may = may & (F.least("a.n", "b.n") * least.denominator >= F.greatest("a.n", "b.n") * least.numerator)
+    pairs = staged(a.join(b, may).select(F.col("b.node").alias("u"), F.col("a.node").alias("v")).distinct(), "pairs")
+    large = shared.where(F.col("m") > SMALL).select("key", "node")
+    wanted = pairs.select(F.col("u").alias("node")).unionAll(pairs.select("v")).unionAll(large.select("node")).distinct()
+    texts = docs.join(points.join(wanted, "node").select("row"), "row", "left_semi").select("text")
+    sets = staged(texts.mapInArrow(_named_sets(shingle), "node long, hashes binary").groupBy("node").agg(F.any_value("hashes").alias("hashes")), "sets")
+    whole = pairs.join(sets.select(F.col("node").alias("u"), F.col("hashes").alias("a")), "u").join(sets.select(F.col("node").alias("v"), F.col("hashes").alias("b")), "v")
+    near = whole.select("u", "v", "a", "b").mapInArrow(_confirm(least), "u long, v long")
+    return near.unionAll(_in_tiles(large.join(sets, "node"), least))
+
+
+def near_copies(docs: DataFrame, shingle: int = 5, similarity: float = 0.8) -> DataFrame:
+    """doc_id and component_id (the smallest doc_id reachable over links), one row per input row.
+
+    Texts are lower-cased (A-Z), split at ASCII white space and cut into shingles of `shingle` words; a text with fewer
+    words is one shingle.  Texts link if their sets of shingles have a Jaccard similarity of `similarity` at least, or
+    if both are without words.  Null texts have no words.  Rows that repeat a doc_id are rows of their own.  A null
+    doc_id gets its component's smallest id, or null if there is none.
+    """
+    docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text")).withColumn("row", F.xxhash64("doc_id", "text"))
+    prints = staged(docs.mapInArrow(_sketches(shingle), "doc_id long, row long, node long, n long, keys array<bigint>"), "sketches")
+    points = staged(prints.groupBy("node").agg(F.min("doc_id").alias("low"), F.min("row").alias("row"), F.any_value("n").alias("n"), F.any_value("keys").alias("keys")), "points")
+    groups = components(links(docs, points, shingle, Fraction(str(similarity))))
+    named = points.select("node", "low").join(groups, "node", "left").withColumn("component", F.coalesce("component", "node"))
+    lows = named.groupBy("component").agg(F.min("low").alias("component_id"))
+    named = named.join(lows, "component").select("node", "component_id")
+    return prints.select("doc_id", "node").join(named, "node").select("doc_id", "component_id")

@@ -1,0 +1,61 @@
+import random
+
+import pytest
+
+from driftwood.llm import minhash
+
+pipeline = pytest.importorskip("corpus_pipeline")
+
+
+def shingles(t):
+    w = t.lower().split()
+    return {tuple(w[k : k + 5]) for k in range(max(1, len(w) - 4))} if w else set()
+
+
+def alike(a, b):
+    return len(a & b) / len(a | b) if a | b else 1.0
+
+
+def pair(name, both, own):
+    """Two texts with `both` shingles in common and `own` of each alone."""
+    return [" ".join([f"{name}c{k}" for k in range(both + 4)] + [f"{name}{side}{k}" for k in range(own)]) for side in "xy"]
+
+
+def components_of(docs):
+    return {r.doc_id: r.component_id for r in minhash.near_copies(docs).collect()}
+
+
+def test_the_stage_keeps_one_of_each_pair_at_a_similarity(spark):
+    made = [(f"p{k}s{n}", *case) for n, case in enumerate([(200, 25, 0.8), (340, 30, 0.85), (180, 10, 0.9), (158, 21, 0.79)]) for k in range(60)]
+    texts = [t for name, both, own, _ in made for t in pair(name, both, own)]
+    sets = [shingles(t) for t in texts]
+    assert all(alike(sets[2 * k], sets[2 * k + 1]) == m[3] for k, m in enumerate(made))
+    kept = pipeline.keep_one_of_near_copies(spark, spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string"), "")
+    assert {r.doc_id for r in kept.collect()} == {2 * k + j for k, m in enumerate(made) for j in range(1 if m[3] >= 0.8 else 2)}
+
+
+@pytest.mark.parametrize(("small", "tile", "tile_bytes"), [(16, 4_000, 1 << 24), (1, 4_000, 1 << 24), (1, 7, 1 << 24), (1, 4_000, 9_000)])
+def test_groups_are_those_of_all_pairs(spark, monkeypatch, small, tile, tile_bytes):
+    for name, value in (("SMALL", small), ("TILE", tile), ("TILE_BYTES", tile_bytes)):
+        monkeypatch.setattr(minhash, name, value)
+    rng = random.Random(3)
+    base = [f"w{k}" for k in range(120)]
+    texts = [None, "", " \n", "a", "A", "a b c d", "a b c d e", *[" ".join(w if rng.random() > 0.012 else f"n{rng.random()}" for w in base) for _ in range(60)]]
+    texts += [t for k in range(12) for t in pair(f"q{k}", 100, 5 + 2 * k)] + texts[10:13]
+    sets = [shingles(t or "") for t in texts]
+    low = list(range(len(texts)))
+    for _ in texts:
+        new = [min(low[j] for j in range(len(texts)) if alike(sets[k], sets[j]) >= 0.8) for k in range(len(texts))]
+        if new == low:
+            break
+        low = new
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string").repartition(3)
+    assert len(set(low)) > 20 and components_of(docs) == dict(enumerate(low))
+    assert minhash.near_copies(docs.limit(0)).count() == 0
+
+
+def test_rows_without_an_id_and_repeated_ones(spark):
+    a, b = pair("z", 100, 5)
+    docs = spark.createDataFrame([(None, a), (7, b), (7, b), (7, "other words here"), (None, "alone")], "doc_id long, text string")
+    got = sorted(minhash.near_copies(docs).collect(), key=str)
+    assert [(r.doc_id, r.component_id) for r in got] == [(7, 7), (7, 7), (7, 7), (None, 7), (None, None)]
