@@ -48,6 +48,11 @@ def bigrams_of(text: str) -> set[str]:
     return {f"{a} {b}" for a, b in zip(w, w[1:])}
 
 
+def _length(text: str) -> int:
+    """A template's bigrams, repeats included."""
+    return len(re.sub(r"[^0-9a-z]+", " ", text.lower()).split()) - 1
+
+
 def size_bounds(n: int, threshold: float) -> tuple[int, int]:
     """The least and most bigrams of a text whose coefficient with n bigrams can reach the threshold."""
     t = Fraction(str(threshold))
@@ -87,10 +92,45 @@ def _grams(w: Column) -> Column:
     return F.array_distinct(F.zip_with(F.slice(w, 1, F.size(w) - 1), F.slice(w, 2, F.size(w) - 1), lambda a, b: F.concat_ws(" ", a, b)))
 
 
+def _run(w: Column) -> Column:
+    """Bigrams of words in their order, repeats included."""
+    return F.zip_with(F.slice(w, 1, F.greatest(F.size(w) - 1, F.lit(0))), F.slice(w, 2, F.greatest(F.size(w) - 1, F.lit(0))), lambda a, b: F.concat_ws(" ", a, b))
+
+
+def _window(run: Column, t: Column, shared: Column) -> Column:
+    """The best window of a text's bigrams for a template: dice, size, at (place of its first bigram, from 1), license.
+
+    A best window begins and ends with bigrams of the template.  From each of them that has enough others within
+    reach, the coefficient is told at every end; a bigram counts where it first occurs in the window.
+    """
+    places = F.filter(F.transform(run, lambda x, k: F.when(F.array_contains(shared, x), k + 1)), lambda k: k.isNotNull())
+
+    def from_place(p: Column, here: Column) -> Column:
+        steps = F.transform(here, lambda x, k: F.when(F.array_position(here, x) == k + 1, F.array_contains(shared, x)))
+        state = F.struct(F.lit(0).alias("c"), F.lit(0).alias("g"), F.lit(0).alias("k"), F.lit(0.0).cast("double").alias("dice"), F.lit(0).alias("size"))
+
+        def step(s: Column, hit: Column) -> Column:
+            c, g = s["c"] + F.when(hit, 1).otherwise(0), s["g"] + F.when(hit.isNotNull(), 1).otherwise(0)
+            dice = (2.0 * c / (g + t["n"])).cast("double")
+            more = dice > s["dice"]
+            return F.struct(c.alias("c"), g.alias("g"), (s["k"] + 1).alias("k"), F.when(more, dice).otherwise(s["dice"]).alias("dice"), F.when(more, s["k"] + 1).otherwise(s["size"]).alias("size"))
+
+        return let(F.aggregate(steps, state, step), lambda b: F.struct(b["dice"].alias("dice"), b["size"].alias("size"), p.alias("at"), t["name"].alias("license")))
+
+    def windows(ps: Column) -> Column:
+        starts = F.filter(ps, lambda p, k: F.get(ps, k + t["low"] - 1) - p < t["reach"])
+        return F.array_max(F.transform(starts, lambda p: let(F.slice(run, p, t["reach"]), lambda here: from_place(p, here))))
+
+    return let(places, windows)
+
+
 def scan(docs: DataFrame, templates: Mapping[str, str] = TEMPLATES, threshold: float = THRESHOLD) -> DataFrame:
     """doc_id, license (of the best match; null if none), dice (its coefficient) and n_matches (texts' units that match), one row per input row.
 
-    A text's units are its lines and, if it has several, the whole.  A unit is lower-cased, runs of other than letters
+    A text's units are its lines, if it has several the whole, and windows of words: for each template the best window
+    of the whole text, across lines, of up to (2-t)/t times the template's own length.  A window in one line that
+    matches, in a longer window that matches, or in a whole that matches is no unit of its own, and a line in a window
+    of several lines that matches is none either.  A unit is lower-cased, runs of other than letters
     and digits become a space, and its distinct word bigrams are compared to each template whose number of bigrams
     allows the threshold; templates of other sizes are never intersected.  A text that
     holds none of the words a match needs is not cut up at all.  Units longer than any template allows are
@@ -100,25 +140,54 @@ def scan(docs: DataFrame, templates: Mapping[str, str] = TEMPLATES, threshold: f
     sets = {name: sorted(bigrams_of(t)) for name, t in sorted(templates.items()) if bigrams_of(t)}
     bounds = {name: size_bounds(len(g), threshold) for name, g in sets.items()}
     least, most = min(b[0] for b in bounds.values()), max(b[1] for b in bounds.values())
-    held = F.array(*[F.struct(F.lit(name).alias("name"), F.lit(len(g)).alias("n"), F.lit(bounds[name][0]).alias("low"), F.lit(bounds[name][1]).alias("high"), F.array(*map(F.lit, g)).alias("grams")) for name, g in sets.items()])
+    held = F.array(*[F.struct(F.lit(name).alias("name"), F.lit(len(g)).alias("n"), F.lit(bounds[name][0]).alias("low"), F.lit(bounds[name][1]).alias("high"), F.lit(size_bounds(_length(templates[name]), threshold)[1]).alias("reach"), F.array(*map(F.lit, g)).alias("grams")) for name, g in sets.items()])
     text = F.coalesce(F.col("text").cast("string"), F.lit(""))
     lines = F.split(text, "\n")
-    units = F.when(F.size(lines) > 1, F.concat(lines, F.array(text))).otherwise(lines)
-    long_enough = F.filter(F.transform(units, _words), lambda w: F.size(w) > least)
-    fitting = F.filter(F.transform(long_enough, _grams), lambda g: F.size(g).between(least, most))
-
+    every = F.array(*map(F.lit, sorted(set().union(*sets.values()))))
 
     def match(g: Column) -> Column:
         near = F.filter(held, lambda t: F.size(g).between(t["low"], t["high"]))
         return F.array_max(F.transform(near, lambda t: F.struct((2.0 * F.size(F.array_intersect(g, t["grams"])) / (F.size(g) + t["n"])).alias("dice"), t["name"].alias("license"))))
 
-    best = F.transform(fitting, match)
+    def unit(w: Column) -> Column:
+        """Its match, null if none."""
+        best = F.when(F.size(w) > least, let(_grams(w), lambda g: F.when(F.size(g).between(least, most), match(g))))
+        return let(best, lambda m: F.when(m["dice"] >= threshold, m))
+
+    def windows(run: Column) -> Column:
+        """Windows that match, none within a longer one."""
+        shared = F.array_intersect(run, every)
+        near = let(shared, lambda x: F.filter(F.transform(held, lambda t: F.struct(t.alias("t"), F.array_intersect(x, t["grams"]).alias("shared"))), lambda y: F.size(y["shared"]) >= y["t"]["low"]))
+        best = F.filter(F.transform(near, lambda y: _window(run, y["t"], y["shared"])), lambda m: m["dice"] >= threshold)
+        inside = lambda a, b: (b["at"] <= a["at"]) & (b["at"] + b["size"] >= a["at"] + a["size"]) & (b["size"] > a["size"])
+        return let(best, lambda b: F.filter(b, lambda x: ~F.exists(b, lambda y: inside(x, y))))
+
+    def joined(own: Column, all_of_it: Column, wide: Column) -> Column:
+        """Matches of the units; own: n (words), before (words of earlier lines) and m (match) of each line."""
+        def in_line(x: Column) -> Column:
+            return F.exists(own, lambda o: o["m"].isNotNull() & (o["before"] < x["at"]) & (x["at"] + x["size"] <= o["before"] + o["n"]))
+
+        kept = F.when(all_of_it.isNotNull(), F.slice(wide, 1, 0)).otherwise(F.filter(wide, lambda x: ~in_line(x)))
+
+        def together(k: Column) -> Column:
+            alone = F.filter(own, lambda o: o["m"].isNotNull() & ~F.exists(k, lambda x: (x["at"] <= o["before"] + 1) & (x["at"] + x["size"] >= o["before"] + o["n"])))
+            return F.concat(F.transform(alone, lambda o: o["m"]), F.filter(F.array(all_of_it), lambda m: m.isNotNull()), F.transform(k, lambda x: F.struct(x["dice"].alias("dice"), x["license"].alias("license"))))
+
+        return let(kept, together)
+
+    def units(ws: Column) -> Column:
+        own = F.transform(ws, lambda w: F.struct(F.size(w).alias("n"), unit(w).alias("m")))
+        zero = F.array().cast("array<struct<n:int,before:int,m:struct<dice:double,license:string>>>")
+        placed = F.aggregate(own, F.struct(F.lit(0).alias("sum"), zero.alias("rows")), lambda s, o: F.struct((s["sum"] + o["n"]).alias("sum"), F.concat(s["rows"], F.array(F.struct(o["n"].alias("n"), s["sum"].alias("before"), o["m"].alias("m")))).alias("rows")))["rows"]
+        whole = let(F.flatten(ws), lambda w: F.struct(F.when(F.size(ws) > 1, unit(w)).alias("m"), let(_run(w), windows).alias("wide")))
+        return let(F.struct(placed.alias("own"), whole.alias("whole")), lambda x: joined(x["own"], x["whole"]["m"], x["whole"]["wide"]))
+
     lowered = F.lower(text)
     may = F.lit(False)
     for w in telling_words(sets, threshold):
         here = F.contains(lowered, F.lit(w))
         # a short word is often part of others
         may = may | (here if len(w) > 3 else here & lowered.rlike(rf"(?<![\p{{L}}\p{{N}}]){w}(?![\p{{L}}\p{{N}}])"))
-    best = F.when(may, best).otherwise(F.array().cast("array<struct<dice:double,license:string>>"))
-    found = let(F.filter(best, lambda m: m["dice"] >= threshold), lambda f: F.struct(F.array_max(f).alias("best"), F.size(f).cast("long").alias("n")))
+    best = F.when(may, let(F.transform(lines, _words), units)).otherwise(F.array().cast("array<struct<dice:double,license:string>>"))
+    found = let(best, lambda f: F.struct(F.array_max(f).alias("best"), F.size(f).cast("long").alias("n")))
     return docs.select(F.col("doc_id").cast("long").alias("doc_id"), found.alias("f")).select("doc_id", "f.best.license", "f.best.dice", F.col("f.n").alias("n_matches"))
