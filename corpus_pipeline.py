@@ -10,7 +10,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from driftwood.llm import decontam, exchange, minhash, packing, substring, toxicity
+from driftwood.llm import decontam, exchange, packing, similar, substring, toxicity
 
 #: Least Jaccard similarity of near copies' sets of five-word shingles.
 SIMILARITY = 0.8
@@ -26,9 +26,9 @@ def reject_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame
 
 def keep_one_of_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Of each group of near copies the smallest doc_id stays; rows without one stay, as nothing can name them."""
-    groups = minhash.near_copies(docs, shingle=5, similarity=SIMILARITY)
+    groups = similar.similar_copies(docs, shingle=5, similarity=SIMILARITY)
     later = groups.where(F.col("doc_id") > F.col("component_id")).select("doc_id").distinct()
-    return docs.join(later, "doc_id", "left_anti").select(*docs.columns)
+    return docs.join(later, "doc_id", "left_anti").select(*[F.col(f"`{c}`") for c in docs.columns])
 
 
 def cut_repeated_passages(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

@@ -11,6 +11,7 @@ from __future__ import annotations
 import ctypes
 import math
 import struct
+import tempfile
 import uuid
 
 import numpy as np
@@ -42,16 +43,18 @@ def blocked(docs: DataFrame, n: int) -> DataFrame:
 
 
 def shared_folder(spark: SparkSession) -> str:
-    """A new folder below the shared checkpoint folder; where none is set (tests), one that Spark is given now."""
+    """A new folder below the one that spark.checkpoint.dir names, which driver and executors share.
+
+    Where it is unset, a local session (tests) gets a temporary folder; a cluster must name a shared one.
+    """
     base = spark.conf.get("spark.checkpoint.dir", None)
     if not base:
-        held = spark.sparkContext._jsc.sc().getCheckpointDir()
-        if held.isEmpty():
-            import tempfile
-
-            spark.sparkContext.setCheckpointDir(tempfile.mkdtemp(prefix="driftwood-"))
-            held = spark.sparkContext._jsc.sc().getCheckpointDir()
-        base = held.get()
+        sc = spark.sparkContext
+        if not sc.master.startswith("local"):
+            raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
+        if sc._jsc.sc().getCheckpointDir().isEmpty():
+            sc.setCheckpointDir(tempfile.mkdtemp(prefix="driftwood-"))
+        base = sc._jsc.sc().getCheckpointDir().get()
     return f"{base.rstrip('/')}/driftwood-{uuid.uuid4().hex}"
 
 
@@ -70,6 +73,16 @@ def checkpointed(df: DataFrame) -> DataFrame:
     return df.checkpoint()
 
 
+def join_evenly(rows: DataFrame, table: DataFrame, key: str, weight: str, total: int) -> DataFrame:
+    """rows joined to `table` (one row per key), whose `weight` says how many of the `total` rows hold the key.
+
+    Keys of very many rows would be one task's work: they are sent to every task instead, 100,000 of them at most.
+    """
+    many = F.col(weight) > max(1_000, total // 100_000)
+    hot = F.broadcast(table.where(many).drop(weight))
+    return rows.join(hot, key).unionByName(rows.join(F.broadcast(table.where(many).select(key)), key, "left_anti").join(table.where(~many).drop(weight), key))
+
+
 def give_back() -> None:
     """Return freed memory to the system: Python workers live on between tasks, and stages share an executor."""
     pa.default_memory_pool().release_unused()

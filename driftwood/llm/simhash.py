@@ -1,15 +1,16 @@
 """SimHash near-dedup: pigeonhole blocks.
 
-A fingerprint has one or more 64-bit lanes; a bit is set if more than half of the text's shingles (repeats counted)
-set it.  Fingerprints are split into equal blocks.  Two that differ in at most d of b blocks' worth of bits agree in at
-least b - d whole blocks, so rows are joined on every choice of `agree` blocks and the Hamming distance is verified in
-the join.  Equal fingerprints are one row throughout.  A choice that more than `SMALL` fingerprints share is not
-joined pair by pair: it is cut into tiles, each pair of tiles is one task's work, and a task returns a spanning forest
-of its links, at most one row per fingerprint.
+A fingerprint has one or more 64-bit lanes; a bit is set if more than half of the text's shingles set it.  Fingerprints
+are split into equal blocks.  Two that differ in at most d of b blocks' worth of bits agree in at least b - d whole
+blocks, so rows are joined on every choice of `agree` blocks and the Hamming distance is verified in the join.  Equal
+fingerprints are one row throughout.  A choice that more than `SMALL` fingerprints share is not joined pair by pair: it
+is cut into tiles, each pair of tiles is one task's work, and a task returns a spanning forest of its links, at most one
+row per fingerprint.  `near_copies` links at a few differing bits; `similar` has the way for a similarity of sets.
 """
 
 from __future__ import annotations
 
+import re
 from collections.abc import Iterator
 from itertools import combinations
 
@@ -20,59 +21,114 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from driftwood.llm.components import components
-from driftwood.llm.exchange import give_back, mix, staged
+from driftwood.llm.exchange import give_back, join_evenly, mix, staged
 
 #: Fingerprints that share a choice of blocks and are still joined pair by pair.
 SMALL = 16
 #: Fingerprints in a tile of a larger choice.
 TILE = 8_000
 #: Shingles whose bits are counted at once.
-COUNTED = 1 << 16
+COUNTED = 1 << 18
+#: Hashes whose bits are added up as planes before they are unpacked.
+ADDED = 31
+#: Bytes of a text that are cut into words at once.
+SLICE = 1 << 20
 U = np.uint64
+_SPACE = re.compile(rb"[ \t-\r]")
 
 
-def _shingles(text: bytes, k: int) -> list[bytes]:
-    words = text.split()
-    if len(words) <= k:
-        return [b" ".join(words)] if words else []
+def _word_slices(text: bytes) -> Iterator[list[bytes]]:
+    """The words of a text, lower-cased (A-Z), a slice at a time."""
+    at = 0
+    while at < len(text):
+        gap = _SPACE.search(text, at + SLICE) if len(text) - at > SLICE else None
+        end = gap.start() if gap else len(text)
+        yield text[at:end].lower().split()
+        at = end
+
+
+def _windows(words: list[bytes], k: int) -> list[int]:
+    """XXH64 (seed 42) of each run of k words."""
+    h = xxhash.xxh64_intdigest
     line = b" ".join(words)
     size = np.fromiter(map(len, words), np.int64, len(words))
     end = np.cumsum(size + 1) - 1
-    return [line[a:z] for a, z in zip((end - size)[: len(words) - k + 1].tolist(), end[k - 1 :].tolist())]
+    return [h(line[a:z], 42) for a, z in zip((end - size)[: len(words) - k + 1].tolist(), end[k - 1 :].tolist())]
+
+
+def shingle_hashes(text: bytes | None, k: int) -> np.ndarray:
+    """XXH64 (seed 42) of each shingle of k words, repeats included; a text of fewer words is one shingle, one of none has none."""
+    found: list[np.ndarray] = []
+    held: list[bytes] = []
+    for words in _word_slices(text or b""):
+        held += words
+        if len(held) >= k:
+            found.append(np.array(_windows(held, k), U))
+            held = held[len(held) - k + 1 :]
+    if not found:
+        return np.array([xxhash.xxh64_intdigest(b" ".join(held), 42)] if held else [], U)
+    return found[0] if len(found) == 1 else np.concatenate(found)
+
+
+def _planes(terms: list[np.ndarray]) -> list[np.ndarray]:
+    """The sum of the terms' bits, place by place, as binary digits: plane b has the digit of weight 2**b of all places."""
+    out = []
+    while terms:
+        above = []
+        while len(terms) > 1:
+            x, y, *z = (terms.pop() for _ in range(min(3, len(terms))))
+            half = x ^ y
+            terms.insert(0, half ^ z[0] if z else half)
+            above.append(x & y | half & z[0] if z else x & y)
+        out.append(terms[0])
+        terms = above
+    return out
 
 
-def _majority(hashes: np.ndarray, size: np.ndarray) -> np.ndarray:
-    """Per text of `size` hashes: the bits that over half of its hashes set; 0 for none."""
-    votes = np.zeros((len(size), 64), np.int64)
-    of = np.repeat(np.arange(len(size)), size)
-    for k in range(0, len(hashes), COUNTED):
-        part, own = hashes[k : k + COUNTED], of[k : k + COUNTED]
-        bits = np.unpackbits(part.astype(">u8").view(np.uint8)).reshape(-1, 64)
-        at = np.flatnonzero(np.diff(own, prepend=-1))
-        votes[own[at]] += np.add.reduceat(bits, at, axis=0, dtype=np.int32)
-    return np.packbits(votes * 2 > size[:, None], axis=1).view(">u8").ravel().astype(U)
+class Votes:
+    """Counts, for texts of `size` hashes each, how many of a text's hashes set each of 64 bits."""
+
+    def __init__(self, hashes: np.ndarray, size: np.ndarray):
+        self.size = size
+        rows = -(-size // ADDED)
+        first = np.cumsum(rows) - rows
+        place = np.arange(len(hashes)) + np.repeat(first * ADDED - (np.cumsum(size) - size), size)
+        self.hashes, self.own = np.zeros(int(rows.sum()) * ADDED, U), np.zeros(int(rows.sum()) * ADDED, U)
+        self.hashes[place], self.own[place] = hashes, ~U(0)
+        self.some, self.first = rows > 0, first[rows > 0]
+
+    def majority(self, lane: int) -> np.ndarray:
+        """Per text the bits that over half of its hashes set, 0 for none.  Lane 0 takes the hashes as they are, others scramble them."""
+        out = np.zeros(len(self.size), U)
+        if not len(self.hashes):
+            return out
+        h = mix(self.hashes + U(lane * 0x9E3779B97F4A7C15 & (1 << 64) - 1)) if lane else self.hashes
+        columns = np.ascontiguousarray((h & self.own).reshape(-1, ADDED).T)
+        votes = 0
+        for b, plane in enumerate(_planes(list(columns))):
+            votes = votes + (np.unpackbits(plane.astype(">u8").view(np.uint8)).reshape(-1, 64).astype(np.int32) << b)
+        votes = np.add.reduceat(votes, self.first, axis=0)
+        out[self.some] = np.packbits(votes * 2 > self.size[self.some, None], axis=1).view(">u8").ravel()
+        return out
 
 
 def _fingerprints(shingle: int, lanes: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        h = xxhash.xxh64_intdigest
         for batch in batches:
-            texts = batch["text"].cast(pa.binary()).to_pylist()
+            texts = batch["text"].cast(pa.binary())
             found: list[list[np.ndarray]] = [[] for _ in range(lanes)]
             k = 0
             while k < len(texts):
-                hashes: list[int] = []
-                size: list[int] = []
-                while k < len(texts) and len(hashes) < 4 * COUNTED:
-                    s = _shingles(texts[k].lower(), shingle) if texts[k] else []
-                    hashes += [h(x, 42) for x in s]
-                    size.append(len(s))
+                hashes, n = [], 0
+                while k < len(texts) and n < COUNTED:
+                    hashes.append(shingle_hashes(texts[k].as_py(), shingle))
+                    n += len(hashes[-1])
                     k += 1
-                a = np.array(hashes, U)
+                votes = Votes(np.concatenate(hashes), np.array([len(x) for x in hashes], np.int64))
                 for lane in range(lanes):
-                    found[lane].append(_majority(mix(a + U(lane * 0x9E3779B97F4A7C15 & (1 << 64) - 1)) if lane else a, np.array(size, np.int64)))
+                    found[lane].append(votes.majority(lane))
             columns = [np.concatenate(f).view(np.int64) if f else np.zeros(0, np.int64) for f in found]
-            lists = pa.FixedSizeListArray.from_arrays(pa.array(np.column_stack(columns).ravel() if texts else np.zeros(0, np.int64)), lanes).cast(pa.list_(pa.int64()))
+            lists = pa.FixedSizeListArray.from_arrays(pa.array(np.column_stack(columns).ravel() if len(texts) else np.zeros(0, np.int64)), lanes).cast(pa.list_(pa.int64()))
             yield pa.RecordBatch.from_arrays([batch["doc_id"], lists], names=["doc_id", "lanes"])
         give_back()
 
@@ -170,9 +226,15 @@ def near_copies(docs: DataFrame, shingle: int = 3, lanes: int = 1, width: int =
     """
     node = F.col("lanes")[0] if lanes == 1 else F.xxhash64("lanes")
     prints = staged(fingerprints(docs, shingle, lanes).withColumn("node", node), "fingerprints")
-    points = staged(prints.groupBy("node").agg(F.any_value("lanes").alias("lanes"), F.min("doc_id").alias("low")), "points")
+    points = staged(prints.groupBy("node").agg(F.any_value("lanes").alias("lanes"), F.min("doc_id").alias("low"), F.count("*").alias("weight")), "points")
     groups = components(links(points.select("node", "lanes"), lanes, width, agree, distance))
-    named = points.select("node", "low").join(groups, "node", "left").withColumn("component", F.coalesce("component", "node"))
-    lows = named.groupBy("component").agg(F.min("low").alias("component_id"))
-    named = named.join(lows, "component").select("node", "component_id")
-    return prints.join(named, "node").select("doc_id", "lanes", "component_id")
+    return named(prints.select("doc_id", "lanes", "node"), points, groups).drop("node")
+
+
+def named(rows: DataFrame, points: DataFrame, groups: DataFrame) -> DataFrame:
+    """`rows` (node and more) with component_id, the least `low` of the node's component; `points`: node, low and weight (its rows), `groups`: node, component."""
+    found = staged(points.select("node", "low", "weight").join(groups, "node", "left").withColumn("component", F.coalesce("component", "node")), "found")
+    lows = found.groupBy("component").agg(F.min("low").alias("component_id"), F.count("*").alias("members"))
+    total = found.agg(F.coalesce(F.sum("weight"), F.lit(0))).first()[0]
+    of_node = join_evenly(found.select("component", "node", "weight"), staged(lows, "lows"), "component", "members", total).drop("component")
+    return join_evenly(rows, staged(of_node, "of_node"), "node", "weight", total)

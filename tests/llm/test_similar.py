@@ -2,7 +2,7 @@ import random
 
 import pytest
 
-from driftwood.llm import minhash
+from driftwood.llm import similar
 
 pipeline = pytest.importorskip("corpus_pipeline")
 
@@ -21,8 +21,8 @@ def pair(name, both, own):
     return [" ".join([f"{name}c{k}" for k in range(both + 4)] + [f"{name}{side}{k}" for k in range(own)]) for side in "xy"]
 
 
-def components_of(docs):
-    return {r.doc_id: r.component_id for r in minhash.near_copies(docs).collect()}
+def components_of(docs, recall):
+    return {r.doc_id: r.component_id for r in similar.similar_copies(docs, recall=recall).collect()}
 
 
 def test_the_stage_keeps_one_of_each_pair_at_a_similarity(spark):
@@ -31,13 +31,17 @@ def test_the_stage_keeps_one_of_each_pair_at_a_similarity(spark):
     sets = [shingles(t) for t in texts]
     assert all(alike(sets[2 * k], sets[2 * k + 1]) == m[3] for k, m in enumerate(made))
     kept = pipeline.keep_one_of_near_copies(spark, spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string"), "")
-    assert {r.doc_id for r in kept.collect()} == {2 * k + j for k, m in enumerate(made) for j in range(1 if m[3] >= 0.8 else 2)}
+    kept = {r.doc_id for r in kept.collect()}
+    missed = [m[3] for k, m in enumerate(made) if m[3] >= 0.8 and 2 * k + 1 in kept]
+    # pairs of just 0.8 are found with a chance of 0.98
+    assert kept >= {2 * k for k in range(len(made))} and set(missed) <= {0.8} and len(missed) <= 4
+    assert all(2 * k + 1 in kept for k, m in enumerate(made) if m[3] < 0.8)
 
 
-@pytest.mark.parametrize(("small", "tile", "tile_bytes"), [(16, 4_000, 1 << 24), (1, 4_000, 1 << 24), (1, 7, 1 << 24), (1, 4_000, 9_000)])
-def test_groups_are_those_of_all_pairs(spark, monkeypatch, small, tile, tile_bytes):
-    for name, value in (("SMALL", small), ("TILE", tile), ("TILE_BYTES", tile_bytes)):
-        monkeypatch.setattr(minhash, name, value)
+@pytest.mark.parametrize(("small", "tile", "pairs", "recall"), [(16, 2_000, 500, 0.999), (1, 2_000, 3, 0.999), (1, 7, 1, 0.999), (16, 2_000, 500, 1)])
+def test_groups_are_those_of_all_pairs(spark, monkeypatch, small, tile, pairs, recall):
+    for name, value in (("SMALL", small), ("TILE", tile), ("PAIRS", pairs)):
+        monkeypatch.setattr(similar, name, value)
     rng = random.Random(3)
     base = [f"w{k}" for k in range(120)]
     texts = [None, "", " \n", "a", "A", "a b c d", "a b c d e", *[" ".join(w if rng.random() > 0.012 else f"n{rng.random()}" for w in base) for _ in range(60)]]
@@ -50,12 +54,12 @@ def test_groups_are_those_of_all_pairs(spark, monkeypatch, small, tile, tile_byt
             break
         low = new
     docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string").repartition(3)
-    assert len(set(low)) > 20 and components_of(docs) == dict(enumerate(low))
-    assert minhash.near_copies(docs.limit(0)).count() == 0
+    assert len(set(low)) > 20 and components_of(docs, recall) == dict(enumerate(low))
+    assert similar.similar_copies(docs.limit(0)).count() == 0
 
 
 def test_rows_without_an_id_and_repeated_ones(spark):
     a, b = pair("z", 100, 5)
     docs = spark.createDataFrame([(None, a), (7, b), (7, b), (7, "other words here"), (None, "alone")], "doc_id long, text string")
-    got = sorted(minhash.near_copies(docs).collect(), key=str)
+    got = sorted(similar.similar_copies(docs).collect(), key=str)
     assert [(r.doc_id, r.component_id) for r in got] == [(7, 7), (7, 7), (7, 7), (None, 7), (None, None)]
