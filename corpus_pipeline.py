@@ -32,11 +32,12 @@ def keep_one_of_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -
 
 
 def cut_repeated_passages(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Words of passages that an earlier document holds are cut; texts without such passages stay as they are."""
+    """Words of passages that an earlier document holds are cut, with the white space after them; all else stays as it is."""
     others = [c for c in docs.columns if c not in ("doc_id", "text")]
-    rows = substring.cut_repeats(docs, carry=F.struct(*[F.col(f"`{c}`") for c in others], F.col("text")))
-    text = F.when(F.col("n_removed") > 0, F.col("kept_text")).otherwise(F.col("carried.text"))
-    new = {"doc_id": F.col("doc_id"), "text": text, "n_chars": F.when(F.col("n_removed") > 0, F.char_length("kept_text")).otherwise(F.col("carried.n_chars")) if "n_chars" in others else None}
+    rows = substring.cut_repeats(docs, carry=F.struct(*[F.col(f"`{c}`") for c in others]) if others else None, layout=True)
+    new = {"doc_id": F.col("doc_id"), "text": F.col("kept_text")}
+    if "n_chars" in others:
+        new["n_chars"] = F.when(F.col("n_removed") > 0, F.char_length("kept_text")).otherwise(F.col("carried.n_chars"))
     return rows.select(*[(new[c] if c in new else F.col(f"carried.`{c}`")).cast(docs.schema[c].dataType).alias(c) for c in docs.columns])
 
 

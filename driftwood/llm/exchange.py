@@ -4,6 +4,11 @@ A corpus-wide lookup ("which of my hashes occur elsewhere?") runs in two hops.
 a fixed size in bytes; each block reduces its documents to distinct sorted keys and sends them, packed, to the *shards*
 that own the keys; the shard answers each block.  A key thus costs a shard one entry per block, however many documents
 of a block hold it, so hot passages and words are combined before they are shuffled.
+
+What is sent are arrays, one element per key, sorted by the number of the shard (or block) that they go to.  A sender
+makes at most `FAN` rows: where there are more targets, a row serves a range of them, and a second hop takes such rows
+apart and puts what many senders have for one target together, so rows grow with the bytes sent, not with senders times
+targets.
 """
 
 from __future__ import annotations
@@ -13,6 +18,7 @@ import math
 import struct
 import tempfile
 import uuid
+from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -93,10 +99,13 @@ def give_back() -> None:
 
 
 def pack(*arrays: np.ndarray) -> bytes:
-    """Arrays as one compressed value: per array a type, a length and its bytes, transposed by significance."""
+    """Arrays as one compressed value: per array a type, a length and its bytes, transposed by significance.
+
+    Of unsigned 64-bit values the differences are kept, which pack well where they are sorted.
+    """
     out = []
     for a in arrays:
-        a = np.ascontiguousarray(a)
+        a = np.ascontiguousarray(np.diff(a, prepend=a.dtype.type(0)) if a.dtype == np.uint64 else a)
         planes = a.view(np.uint8).reshape(-1, a.dtype.itemsize).T.tobytes()
         data = zstandard.ZstdCompressor(level=1).compress(planes)
         out.append(struct.pack("<4sqq", a.dtype.str[1:].encode(), len(a), len(data)) + data)
@@ -110,18 +119,71 @@ def unpack(data: bytes) -> list[np.ndarray]:
         at += struct.calcsize("<4sqq")
         dtype = np.dtype("<" + kind.rstrip(b"\0").decode())
         planes = zstandard.ZstdDecompressor().decompress(data[at : at + size], max_output_size=max(1, n * dtype.itemsize)) if n else b""
-        out.append(np.frombuffer(planes, np.uint8).reshape(dtype.itemsize, n).T.copy().view(dtype).ravel() if n else np.zeros(0, dtype))
+        a = np.frombuffer(planes, np.uint8).reshape(dtype.itemsize, n).T.copy().view(dtype).ravel() if n else np.zeros(0, dtype)
+        out.append(np.cumsum(a, dtype=a.dtype) if a.dtype == np.uint64 else a)
         at += size
     return out
 
 
-def falls(a: np.ndarray) -> np.ndarray:
-    """Differences of a sorted array, which pack well; rises() undoes it."""
-    return np.diff(a, prepend=a.dtype.type(0))
-
-
-def rises(a: np.ndarray) -> np.ndarray:
-    return np.cumsum(a, dtype=a.dtype)
+#: Rows that one sender makes at most.
+FAN = 1024
+#: Bytes of arrays that a second hop holds before it sends them on.
+HELD_BYTES = 32 << 20
+HOP = "hop int, payload binary"
+HOP_SCHEMA = pa.schema([("hop", pa.int32()), ("payload", pa.binary())])
+
+
+def _slices(arrays: list[np.ndarray], lengths: int | None, cut: np.ndarray) -> Iterator[tuple[int, list[np.ndarray]]]:
+    """For a number per element, sorted: each number's elements.  Array `lengths`, if given, tells how many items of the last array are each element's."""
+    ends = np.append(np.flatnonzero(cut[1:] != cut[:-1]) + 1, len(cut)) if len(cut) else np.zeros(0, np.int64)
+    place = np.concatenate([[0], np.cumsum(arrays[lengths])]).astype(np.int64) if lengths is not None else None
+    first = 0
+    for end in ends.tolist():
+        own = [x[first:end] for x in (arrays if place is None else arrays[:-1])]
+        yield int(cut[first]), own if place is None else [*own, arrays[-1][place[first] : place[end]]]
+        first = end
+
+
+def send(arrays: list[np.ndarray], targets: int, lengths: int | None = None) -> pa.Table:
+    """Rows (hop, payload) of arrays whose first has each element's target, in order; `lengths` as in receive()."""
+    width = -(-targets // FAN)
+    rows = [(hop, pack(*own)) for hop, own in _slices(arrays, lengths, arrays[0] // np.uint32(width))]
+    return pa.table([[r[0] for r in rows], [r[1] for r in rows]], schema=HOP_SCHEMA)
+
+
+def routed(sent: DataFrame, targets: int, lengths: int | None = None) -> DataFrame:
+    """Rows of send() with the target as their hop."""
+    if targets <= FAN:
+        return sent
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held: dict[int, list[list[np.ndarray]]] = {}
+        size = 0
+
+        def flush() -> pa.RecordBatch:
+            rows = [(k, pack(*map(np.concatenate, zip(*parts)))) for k, parts in held.items()]
+            held.clear()
+            return pa.RecordBatch.from_arrays([pa.array([r[0] for r in rows], pa.int32()), pa.array([r[1] for r in rows], pa.binary())], schema=HOP_SCHEMA)
+
+        for batch in batches:
+            for payload in batch["payload"]:
+                arrays = unpack(payload.as_py())
+                for target, own in _slices(arrays, lengths, arrays[0]):
+                    held.setdefault(target, []).append(own)
+                size += sum(x.nbytes for x in arrays)
+                if size >= HELD_BYTES:
+                    yield flush()
+                    size = 0
+        if held:
+            yield flush()
+
+    return sent.repartition("hop").mapInArrow(run, HOP)
+
+
+def receive(t: pa.Table) -> list[np.ndarray] | None:
+    """The arrays of all rows of a target, put together; None without rows."""
+    parts = [unpack(x.as_py()) for x in t["payload"]]
+    return [np.concatenate(x) for x in zip(*parts)] if parts else None
 
 
 def cuts_by(shard: np.ndarray, n: int) -> list[tuple[int, slice]]:

@@ -80,7 +80,7 @@ def _dealt(kind: int, keys: np.ndarray, counts: np.ndarray, shards: int) -> list
     shard = _shard(keys, shards)
     order = np.argsort(shard, kind="stable")
     keys, counts, shard = keys[order], counts[order], shard[order]
-    return [(kind, k, X.pack(X.falls(keys[s]), counts[s])) for k, s in X.cuts_by(shard, shards)]
+    return [(kind, k, X.pack(keys[s], counts[s])) for k, s in X.cuts_by(shard, shards)]
 
 
 def _summed(keys: list[np.ndarray], counts: list[np.ndarray]) -> tuple[np.ndarray, np.ndarray]:
@@ -139,9 +139,9 @@ def _gather(shards: int):
 def _add_up(t: pa.Table) -> pa.Table:
     kind, shard = t["kind"][0].as_py(), t["shard"][0].as_py()
     sent = [X.unpack(x) for x in t["payload"].to_pylist()]
-    keys, counts = _summed([X.rises(x[0]) for x in sent], [x[1].astype(np.int64) for x in sent])
+    keys, counts = _summed([x[0] for x in sent], [x[1].astype(np.int64) for x in sent])
     total = pa.schema([*_SENT, ("n_keys", pa.int64()), ("n_all", pa.int64())])
-    return pa.table([[kind], [shard], [X.pack(X.falls(keys), counts)], [int(np.count_nonzero(counts))], [int(counts.sum())]], schema=total)
+    return pa.table([[kind], [shard], [X.pack(keys, counts)], [int(np.count_nonzero(counts))], [int(counts.sum())]], schema=total)
 
 
 def _log_gamma(x: np.ndarray) -> np.ndarray:
@@ -227,12 +227,11 @@ def _by_tree(trees: int):
         for batch in batches:
             rows = []
             for payload in batch["payload"].to_pylist():
-                falls, counts = X.unpack(payload)
-                keys = X.rises(falls)
+                keys, counts = X.unpack(payload)
                 tree = _shard(keys >> U(8 * (DEPTH - 1)), trees)
                 order = np.argsort(tree, kind="stable")
                 keys, counts, tree = keys[order], counts[order], tree[order]
-                rows += [(RUNS, k, X.pack(X.falls(keys[s]), counts[s])) for k, s in X.cuts_by(tree, trees)]
+                rows += [(RUNS, k, X.pack(keys[s], counts[s])) for k, s in X.cuts_by(tree, trees)]
             if rows:
                 yield pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(zip(*rows), _SENT)], schema=_SENT)
 
@@ -241,7 +240,7 @@ def _by_tree(trees: int):
 
 def _runs_of(t: pa.Table) -> tuple[np.ndarray, np.ndarray]:
     sent = [X.unpack(x) for x in t["payload"].to_pylist()]
-    return _summed([X.rises(x[0]) for x in sent], [x[1] for x in sent])
+    return _summed([x[0] for x in sent], [x[1] for x in sent])
 
 
 _TOP = pa.schema([("node", pa.int64()), ("n0", pa.float64()), ("n1", pa.float64()), ("below", pa.float64())])
@@ -294,7 +293,7 @@ def _lengths(top, shards: int):
         shard = _shard(codes, shards)
         order = np.argsort(shard, kind="stable")
         codes, value, shard = codes[order], value[order], shard[order]
-        rows = [(RUNS, k, X.pack(X.falls(codes[s]), value[s])) for k, s in X.cuts_by(shard, shards)]
+        rows = [(RUNS, k, X.pack(codes[s], value[s])) for k, s in X.cuts_by(shard, shards)]
         return pa.table([list(c) for c in zip(*rows)], schema=_SENT)
 
     return run
@@ -309,7 +308,7 @@ def _ask(shards: int):
             shard = _shard(keys, shards)
             order = np.argsort(shard, kind="stable")
             keys, shard = keys[order], shard[order]
-            rows += [(kind, k, block, X.pack(X.falls(keys[s]))) for k, s in X.cuts_by(shard, shards)]
+            rows += [(kind, k, block, X.pack(keys[s])) for k, s in X.cuts_by(shard, shards)]
         return pa.table([list(c) for c in zip(*rows)], schema=_ASKED)
 
     return run
@@ -335,19 +334,18 @@ def _answer(asked: pa.Table, model: pa.Table) -> pa.Table:
     kind, shard = asked["kind"][0].as_py(), asked["shard"][0].as_py()
     parts = [X.unpack(x) for x in model["payload"].to_pylist()]
     if parts:
-        keys, values = np.concatenate([X.rises(p[0]) for p in parts]), np.concatenate([p[1] for p in parts])
+        keys, values = np.concatenate([p[0] for p in parts]), np.concatenate([p[1] for p in parts])
         order = np.argsort(keys)
         keys, values = keys[order], values[order]
     blocks, out = asked["block"].to_pylist(), []
     for payload in asked["payload"].to_pylist():
-        falls = X.unpack(payload)[0]
+        want = X.unpack(payload)[0]
         if not parts:
-            out.append(X.pack(falls, np.zeros(len(falls), np.int64)))
+            out.append(X.pack(want, np.zeros(len(want), np.int64)))
             continue
-        want = X.rises(falls)
         at = np.minimum(np.searchsorted(keys, want), len(keys) - 1)
         got = np.where(keys[at] == want, values[at], 0)
-        out.append(X.pack(falls, got.astype(np.uint32) if kind == WORDS and got.max(initial=0) < 1 << 32 else got))
+        out.append(X.pack(want, got.astype(np.uint32) if kind == WORDS and got.max(initial=0) < 1 << 32 else got))
     return pa.table([[kind] * len(out), [shard] * len(out), blocks, out], schema=_ASKED)
 
 
@@ -359,7 +357,7 @@ def _score(train_tokens: int, vocabulary: int):
         known = {}
         for want in (RUNS, WORDS):
             parts = [X.unpack(x) for kind, x in zip(answers["kind"].to_pylist(), answers["payload"].to_pylist()) if kind == want]
-            keys, values = np.concatenate([X.rises(p[0]) for p in parts]), np.concatenate([p[1] for p in parts])
+            keys, values = np.concatenate([p[0] for p in parts]), np.concatenate([p[1] for p in parts])
             order = np.argsort(keys)
             known[want] = keys[order], values[order]
         words = [_words(x) for x in docs["text"].cast(pa.binary()).to_pylist()]

@@ -8,6 +8,7 @@ from collections import Counter
 from math import log10
 
 import numpy as np
+import pyarrow as pa
 import pytest
 import xxhash
 from pyspark.sql import functions as F
@@ -66,13 +67,59 @@ def plain_cut(rows, window):
     return out
 
 
-@pytest.mark.parametrize("window,anchor", [(13, 5), (3, 2)])
-def test_substring(docs, window, anchor, monkeypatch):
-    monkeypatch.setattr(substring, "BLOCK_BYTES", 4000)
+SMALL_PARTS = {"BLOCK_BYTES": 4000, "SHARD_BYTES": 6000}
+
+
+@pytest.mark.parametrize(("window", "anchor", "limits", "fan"), [(13, 5, {}, 1024), (13, 5, SMALL_PARTS | {"AUTOMATON_WORDS": 30}, 2), (3, 2, SMALL_PARTS | {"HOT_BLOCKS": 1}, 3)])
+def test_substring(docs, window, anchor, limits, fan, monkeypatch):
+    for name, value in limits.items():
+        monkeypatch.setattr(substring, name, value)
+    monkeypatch.setattr(exchange, "FAN", fan)
     got = {r.doc_id: (r.n_words, r.n_removed, r.kept_text) for r in substring.cut_repeats(docs, window, anchor).collect()}
     assert got == plain_cut(corpus(), window)
 
 
+def test_passages_are_found_by_the_automata_and_told_apart_by_words(monkeypatch):
+    rng = random.Random(9)
+    texts = [" ".join(rng.choice("abc") for _ in range(60)) for _ in range(12)]
+    block = substring._Block(pa.table({"doc_id": list(range(12)), "text": texts}), 4)
+    anchors = np.unique(block.anchors(2))
+    s = substring._Segments(block, 2, anchors, anchors[:0])
+    key, low, many = s.distinct()
+    sizes = np.array([len(x) for x in s.texts], np.uint32)
+    sent = exchange.send([np.zeros(len(key), np.uint32), np.zeros(len(key), np.uint32), np.arange(len(key), dtype=np.uint32), low, many.view(np.uint8), sizes, np.frombuffer(b"".join(s.texts), np.uint8)], 1, lengths=5)
+
+    def gone():
+        found = substring._locate(4, 2, 1)(sent)
+        return np.split(substring._covered(block, s, found), block.begin[1:-1])
+
+    want = [x[1] for x in plain_cut(list(enumerate(texts)), 4).values()]
+    assert [int(g.sum()) for g in gone()] == want and sum(want) > 100
+    with monkeypatch.context() as m:  # windows with one hash are told apart by their words
+        m.setattr(exchange, "run_hashes", lambda h, k, prime, real=exchange.run_hashes: real(h, k, prime) if prime == substring._RUN else np.zeros(max(0, len(h) - k + 1), np.uint64))
+        assert [int(g.sum()) for g in gone()] == want
+    monkeypatch.setattr(substring, "_occurrences", lambda *_: iter(()))
+    assert not any(g.any() for g in gone())
+
+
+def test_arrays_take_two_hops(spark, monkeypatch):
+    monkeypatch.setattr(exchange, "FAN", 3)
+    monkeypatch.setattr(exchange, "HELD_BYTES", 500)
+    targets, n = 40, 7
+    sent = []
+    for k in range(n):
+        t = np.sort(np.random.default_rng(k).integers(0, targets, 60).astype(np.uint32))
+        size = (t % 3).astype(np.uint32)
+        table = exchange.send([t, np.full(60, k, np.uint32), size, np.repeat(t, size).astype(np.uint8)], targets, lengths=2)
+        assert table.num_rows <= 3
+        sent += [tuple(r.values()) for r in table.to_pylist()]
+    rows = exchange.routed(spark.createDataFrame(sent, exchange.HOP), targets, 2).groupBy("hop").agg(F.collect_list("payload").alias("payload")).collect()
+    got = {r.hop: exchange.receive(pa.table({"payload": pa.array([bytes(x) for x in r.payload])})) for r in rows}
+    assert sum(len(x[0]) for x in got.values()) == 60 * n
+    for hop, (t, k, size, data) in got.items():
+        assert set(t.tolist()) == {hop} and len(data) == size.sum() == len(t) * (hop % 3) and set(data.tolist()) <= {hop}
+
+
 def test_substring_without_ids_or_rows(spark, empty):
     assert substring.cut_repeats(empty).count() == 0
     text = " ".join(f"u{k}" for k in range(20))
@@ -80,6 +127,14 @@ def test_substring_without_ids_or_rows(spark, empty):
     assert sorted((r.doc_id or -1, r.n_removed) for r in rows) == [(-1, 20), (5, 0), (5, 0)]
 
 
+def test_substring_keeps_the_layout(spark):
+    p = " ".join(f"p{k}" for k in range(15))
+    texts = [p, f"a\n  b\t{p}\n\nc  d\n", f"{p} x\n", f"x\ty \n{p}\n", p, None, " \n"]
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    got = {r.doc_id: r.kept_text for r in substring.cut_repeats(docs, layout=True).collect()}
+    assert got == {0: p, 1: "a\n  b\tc  d\n", 2: "x\n", 3: "x\ty", 4: "", 5: None, 6: " \n"}
+
+
 def plain_print(t, k=3):
     w = lowered(t)
     grams = [b" ".join(w[p : p + k]) for p in range(max(1, len(w) - k + 1))] if w else []
