@@ -67,8 +67,7 @@ def _line(words: list[bytes]) -> bytes:
 
 
 def _hashed(words: list[bytes]) -> np.ndarray:
-    h = xxhash.xxh64_intdigest
-    return np.fromiter((h(w) for w in words), U, len(words))
+    return np.fromiter(map(xxhash.xxh64_intdigest, words), U, len(words))
 
 
 def _shard(keys: np.ndarray, shards: int) -> np.ndarray:

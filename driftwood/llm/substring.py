@@ -20,7 +20,9 @@ dealt by all its words.
 from __future__ import annotations
 
 import re
+from collections import defaultdict
 from collections.abc import Iterator
+from itertools import count
 
 import ahocorasick
 import numpy as np
@@ -60,6 +62,11 @@ def _ranges(first: np.ndarray, n: np.ndarray) -> np.ndarray:
     return np.repeat(first - (np.cumsum(n) - n), n) + np.arange(int(n.sum()))
 
 
+def _ordered(t: pa.Table) -> pa.Table:
+    """A block's rows in an order that does not depend on how they arrive: segments are numbered by it more than once."""
+    return t.sort_by([("doc_id", "ascending"), ("text", "ascending")])
+
+
 class _Block:
     """The documents of a block as one row of words, and its windows."""
 
@@ -71,8 +78,7 @@ class _Block:
         self.n = np.array([len(w) for w in words], np.int64)
         self.begin = np.concatenate([[0], np.cumsum(self.n)])
         self.words = [x for w in words for x in w]
-        h = xxhash.xxh64_intdigest
-        self.hash = np.fromiter((h(x) for x in self.words), U, len(self.words))
+        self.hash = np.fromiter(map(xxhash.xxh64_intdigest, self.words), U, len(self.words))
         # null ids come after all others and are told apart by nothing: equal texts without an id do not cut each other
         self.doc = np.repeat(np.array([NEVER if i is None else i for i in self.ids], np.int64), self.n)
         self.at = np.repeat(np.arange(len(self.n)), self.n)
@@ -101,8 +107,9 @@ class _Segments:
         self.doc = b.doc[self.first]
         line = b" ".join(b.words) + b" "
         place = np.concatenate([[0], np.cumsum(np.fromiter(map(len, b.words), np.int64, len(b.words)) + 1)])
-        seen: dict[bytes, int] = {}
-        self.number = np.fromiter((seen.setdefault(line[a:z], len(seen)) for a, z in zip(place[self.first].tolist(), place[last + b.window].tolist())), np.int64, len(self.first))
+        seen: defaultdict[bytes, int] = defaultdict(count().__next__)
+        spans = map(slice, place[self.first].tolist(), place[last + b.window].tolist())
+        self.number = np.fromiter(map(seen.__getitem__, map(line.__getitem__, spans)), np.int64, len(self.first))
         #: The words of each distinct segment, each with a space after it.
         self.texts = list(seen)
 
@@ -166,7 +173,7 @@ def _send_segments(window: int, anchor: int, shards: int):
     def run(docs: pa.Table, replies: pa.Table) -> pa.Table:
         if not docs.num_rows or not replies.num_rows:
             return X.HOP_SCHEMA.empty_table()
-        b = _Block(docs, window)
+        b = _Block(_ordered(docs), window)
         s = _Segments(b, anchor, *_anchors_of(replies))
         key, low, many = s.distinct()
         shard = _dealt(key, shards)
@@ -213,25 +220,24 @@ def _recurring(codes: np.ndarray, starts: np.ndarray, low: np.ndarray, many: np.
     return first
 
 
-def _passages(codes: np.ndarray, starts: np.ndarray, segment: np.ndarray, first: np.ndarray, window: int) -> dict[bytes, int]:
-    """Runs of recurring windows of a segment with one smallest document: their codes, and that document."""
+def _passages(line: str, starts: np.ndarray, segment: np.ndarray, first: np.ndarray, window: int) -> dict[str, int]:
+    """Runs of recurring windows of a segment with one smallest document: their letters, and that document."""
     some = np.flatnonzero(first != NEVER)
     if not len(some):
         return {}
     s, g, f = starts[some], segment[some], first[some]
     new = np.flatnonzero(np.concatenate([[True], (s[1:] != s[:-1] + 1) | (g[1:] != g[:-1]) | (f[1:] != f[:-1])]))
     last = np.append(new[1:], len(s)) - 1
-    data = codes.tobytes()
-    return {data[4 * a : 4 * z]: d for a, z, d in zip(s[new].tolist(), (s[last] + window).tolist(), f[new].tolist())}
+    return {line[a:z]: d for a, z, d in zip(s[new].tolist(), (s[last] + window).tolist(), f[new].tolist())}
 
 
-def _occurrences(codes: np.ndarray, passages: dict[bytes, int], window: int) -> Iterator[tuple[np.ndarray, np.ndarray]]:
-    """Places of windows in `codes` that a passage covers, with the passage's document, by an automaton over all of them."""
+def _occurrences(line: str, passages: dict[str, int], window: int) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+    """Places of windows in `line` that a passage covers, with the passage's document, by an automaton over all of them."""
     held = ahocorasick.Automaton(ahocorasick.STORE_ANY)
     for p, first in passages.items():
-        held.add_word(_letters(np.frombuffer(p, np.int32)), (len(p) // 4, first))
+        held.add_word(p, (len(p), first))
     held.make_automaton()
-    hits = [(end, n, first) for end, (n, first) in held.iter(_letters(codes))]
+    hits = [(end, n, first) for end, (n, first) in held.iter(line)]
     if hits:
         end, n, first = np.array(hits, np.int64).T
         yield _ranges(end - n + 1, n - window + 1), np.repeat(first, n - window + 1)
@@ -243,14 +249,13 @@ def _locate(window: int, anchor: int, blocks: int):
     def run(t: pa.Table) -> pa.Table:
         X.give_back()
         _, block, number, low, many, size, data = X.receive(t)
-        code: dict[bytes, int] = {}
         # code 0 stands between segments
-        codes = np.fromiter((code.setdefault(w, len(code) + 1) for w in data.tobytes().split()), np.int32)
+        code: defaultdict[bytes, int] = defaultdict(count(1).__next__)
+        codes = np.fromiter(map(code.__getitem__, data.tobytes().split()), np.int32)
         spaces = np.concatenate([[0], np.cumsum(data == 0x20)])
         ends = spaces[np.cumsum(size.astype(np.int64))]
         begin = np.concatenate([[0], ends[:-1]]).astype(np.int64)
-        h = xxhash.xxh64_intdigest
-        hashes = np.fromiter((h(w) for w in code), U, len(code))[codes - 1]
+        hashes = np.fromiter(map(xxhash.xxh64_intdigest, code), U, len(code))[codes - 1]
         anchors = X.lowest(X.run_hashes(hashes, anchor, _RUN), window - anchor + 1, len(codes) - window + 1)[begin]
         order = np.argsort(anchors, kind="stable")
         begin, n = begin[order], (ends - begin)[order]
@@ -272,8 +277,9 @@ def _locate(window: int, anchor: int, blocks: int):
             of = order[a:z][segment]
             first = _recurring(own, starts, low[of], many[of], window)
             located = np.full(len(own), NEVER, np.int64)
-            if passages := _passages(own, starts, segment, first, window):
-                for at, document in _occurrences(own, passages, window):
+            line = _letters(own)
+            if passages := _passages(line, starts, segment, first, window):
+                for at, document in _occurrences(line, passages, window):
                     located[at] = document
             found.append(located[starts])
         first = np.concatenate(found)
@@ -327,6 +333,7 @@ def _cut(window: int, anchor: int, layout: bool):
     def run(docs: pa.Table, replies: pa.Table) -> pa.Table:
         if not docs.num_rows:
             return _OUT.empty_table().append_column("rest", pa.chunked_array([], _nullable(docs.schema.field("rest").type)))
+        docs = _ordered(docs)
         b = _Block(docs, window)
         anchors = replies.filter(pa.compute.equal(replies["kind"], 0))
         gone = _covered(b, _Segments(b, anchor, *_anchors_of(anchors)), replies.filter(pa.compute.equal(replies["kind"], 1))) if anchors.num_rows else np.zeros(len(b.hash), bool)
