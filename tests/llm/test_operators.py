@@ -205,9 +205,14 @@ def test_decontamination(spark, docs, empty, monkeypatch):
                     found |= i
                     hit[p : p + len(g)] = [1] * len(g)
         want[k] = (len(w), sum(hit), sorted(found))
-    for size in (decontam.PASS_BYTES, 200):  # one pass and several
-        monkeypatch.setattr(decontam, "PASS_BYTES", size)
-        assert {r.doc_id: (r.n_words, r.n_hit, r.items) for r in decontam.find_leaks(docs, bench).collect()} == want
+    limit = spark.conf.get("spark.sql.autoBroadcastJoinThreshold")
+    for size in (limit, "-1"):  # a small benchmark, and one that is shuffled
+        spark.conf.set("spark.sql.autoBroadcastJoinThreshold", size)
+        monkeypatch.setattr(exchange, "BLOCK_BYTES", exchange.BLOCK_BYTES // 1000)
+        rows = decontam.find_leaks(docs, bench).collect()
+        assert {r.doc_id: (r.n_words, r.n_hit, r.items) for r in rows} == want
+        assert all(sum(z - a for a, z in r.spans) == r.n_hit and all(x.stop < y.start for x, y in zip(r.spans, r.spans[1:])) for r in rows)
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", limit)
     assert {r.doc_id for r in decontam.drop_leaks(docs, bench).collect()} == {k for k, x in want.items() if not x[1]}
     assert decontam.find_leaks(empty, bench).count() == 0 and decontam.find_leaks(docs, bench.limit(0)).where("n_hit > 0").count() == 0
 
