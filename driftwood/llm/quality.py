@@ -1,7 +1,8 @@
 """Quality rules by host, in DataFrame functions alone.
 
 Base rules judge each document.  Their failures are aggregated by host (domain), each host's rate is shrunk towards
-the corpus with a beta prior estimated from the hosts themselves, and the verdict on hosts is joined back.
+the corpus with a beta prior estimated from the hosts themselves, and the verdict on hosts is joined back.  A host is
+judged against the corpus that it is part of: it goes if its rate is surely above one of `ODDS` times the corpus's odds.
 """
 
 from __future__ import annotations
@@ -9,12 +10,14 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from driftwood.llm.exchange import SPACES, staged
+from driftwood.llm.exchange import SPACES, join_evenly, staged
 
 MIN_WORDS, MAX_REPEAT_PERCENT = 50, 50
 SYMBOLS = "#*$%&|<>"
-#: A host goes if its shrunk rate of failures is over this.
-MAX_HOST_RATE = 0.8
+#: A host goes if its rate of failures has more than these times the odds of the corpus's rate ...
+ODDS = 2.0
+#: ... even this many standard deviations of its posterior lower (0.95 of a normal distribution is above).
+DEVIATIONS = 1.645
 #: Hosts whose verdicts are sent to every task at most; more are joined by shuffling.
 BROADCAST_HOSTS = 100_000
 RUN = 3
@@ -83,11 +86,13 @@ def measures(docs: DataFrame, host: str = "source") -> DataFrame:
     ).withColumn("base_failed", (F.col("n_words") < MIN_WORDS) | (100 * F.col("n_repeat_words") > MAX_REPEAT_PERCENT * F.col("n_words")))
 
 
-def host_rates(rows: DataFrame) -> DataFrame:
-    """host, n_docs, n_failed and rate: failures shrunk by a beta prior whose mean and strength fit the hosts (method of moments).
+def host_rates(rows: DataFrame, odds: float = ODDS) -> DataFrame:
+    """host, n_docs, n_failed, rate and host_failed: failures shrunk by a beta prior whose mean and strength fit the hosts (method of moments).
 
     With mean m and variance v of the hosts' rates (each host weighing the same, hosts of one document left out), a
-    beta prior has strength m(1-m)/v - 1; between 1 and 10,000 here.  Without hosts to learn from the strength is 1.
+    beta prior has strength m(1-m)/v - 1; between 1 and 10,000 here.  Without hosts to learn from the strength is 1.  A
+    host fails if its rate, less DEVIATIONS of its posterior's standard deviation, is over the rate that has `odds` times
+    the odds of the corpus's.
     """
     hosts = rows.groupBy("host").agg(F.count("*").alias("n_docs"), F.sum(F.col("base_failed").cast("long")).alias("n_failed"))
     prior = hosts.agg(
@@ -96,19 +101,23 @@ def host_rates(rows: DataFrame) -> DataFrame:
         F.var_pop(F.when(F.col("n_docs") > 1, F.col("n_failed") / F.col("n_docs"))).alias("v"),
     )
     strength = F.when(F.col("v") > 0, F.least(F.greatest(F.col("m") * (1 - F.col("m")) / F.col("v") - 1, F.lit(1.0)), F.lit(10_000.0))).otherwise(F.when(F.col("m").isNull(), 1.0).otherwise(10_000.0))
-    return hosts.join(F.broadcast(prior.select("mean", strength.alias("strength"))), F.lit(True)).select("host", "n_docs", "n_failed", ((F.col("n_failed") + F.col("mean") * F.col("strength")) / (F.col("n_docs") + F.col("strength"))).alias("rate"))
+    # the prior is one row
+    rated = hosts.join(F.broadcast(prior.select("mean", strength.alias("strength"))), F.lit(True)).withColumn("rate", (F.col("n_failed") + F.col("mean") * F.col("strength")) / (F.col("n_docs") + F.col("strength")))
+    low = F.col("rate") - DEVIATIONS * F.sqrt(F.col("rate") * (1 - F.col("rate")) / (F.col("n_docs") + F.col("strength") + 1))
+    return rated.select("host", "n_docs", "n_failed", "rate", (low > odds * F.col("mean") / (1 + (odds - 1) * F.col("mean"))).alias("host_failed"))
 
 
-def judge(docs: DataFrame, host: str = "source", max_rate: float = MAX_HOST_RATE) -> DataFrame:
-    """Base measures, base_failed, the host's rate and kept, one row per input row.
+def judge(docs: DataFrame, host: str = "source", odds: float = ODDS) -> DataFrame:
+    """Base measures, base_failed, host_rate, host_failed and kept, one row per input row.
 
     Words are runs of characters other than ASCII white space.  A document is kept unless it fails a base rule or its
-    host's shrunk rate of failures is over max_rate.  Null texts have no words; a null host is a host of its own; ids
-    may repeat.  Measures are computed once and written to the shared folder.
+    host fails (see host_rates).  Null texts have no words; a null host is a host of its own; ids may repeat or be null.
+    Measures are computed once and written to the shared folder.  Verdicts go to every task if there are at most
+    BROADCAST_HOSTS; else those of the largest hosts do, and the others are joined by shuffling.
     """
-    rows = staged(measures(docs, host), "measures")
-    rates = staged(host_rates(rows), "hosts")
-    few = rates.limit(BROADCAST_HOSTS + 1).count() <= BROADCAST_HOSTS
-    verdicts = rates.select(F.col("host").alias("of"), "rate")
-    joined = rows.join(F.broadcast(verdicts) if few else verdicts, F.col("host").eqNullSafe(F.col("of"))).drop("of")
-    return joined.withColumnRenamed("rate", "host_rate").withColumn("kept", ~F.col("base_failed") & (F.col("host_rate") <= max_rate))
+    rows = staged(measures(docs, host).withColumn("of", F.concat(F.lit("h"), F.coalesce(F.concat(F.lit(":"), "host"), F.lit("")))), "measures")
+    rates = staged(host_rates(rows, odds), "hosts")
+    verdicts = rates.select(F.concat(F.lit("h"), F.coalesce(F.concat(F.lit(":"), "host"), F.lit(""))).alias("of"), F.col("rate").alias("host_rate"), "host_failed", "n_docs")
+    size, total = rates.agg(F.count("*"), F.coalesce(F.sum("n_docs"), F.lit(0))).first()
+    joined = rows.join(F.broadcast(verdicts.drop("n_docs")), "of") if size <= BROADCAST_HOSTS else join_evenly(rows, verdicts, "of", "n_docs", total)
+    return joined.drop("of").withColumn("kept", ~F.col("base_failed") & ~F.col("host_failed"))

@@ -17,8 +17,9 @@ b AS (SELECT *, n_words < {quality.MIN_WORDS} OR 100 * n_repeat_words > {quality
 h AS (SELECT host, count(*) AS n, sum(CASE WHEN base_failed THEN 1 ELSE 0 END) AS f FROM b GROUP BY host),
 q AS (SELECT sum(f) / sum(n) AS mean, avg(CASE WHEN n > 1 THEN f / n END) AS m, var_pop(CASE WHEN n > 1 THEN f / n END) AS v FROM h),
 s AS (SELECT mean, CASE WHEN v > 0 THEN least(greatest(m * (1 - m) / v - 1, 1.0), 10000.0) WHEN m IS NULL THEN 1.0 ELSE 10000.0 END AS strength FROM q),
-k AS (SELECT host, (f + mean * strength) / (n + strength) AS rate FROM h, s)
-SELECT doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, base_failed, NOT base_failed AND rate <= {quality.MAX_HOST_RATE} AS kept FROM b JOIN k ON b.host IS NOT DISTINCT FROM k.host"""
+k AS (SELECT host, n + strength AS weight, mean, (f + mean * strength) / (n + strength) AS rate FROM h, s),
+j AS (SELECT host, rate, rate - {quality.DEVIATIONS} * sqrt(rate * (1 - rate) / (weight + 1)) > {quality.ODDS} * mean / (1 + ({quality.ODDS} - 1) * mean) AS host_failed FROM k)
+SELECT doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, base_failed, NOT base_failed AND NOT host_failed AS kept, round(rate, 6) AS host_rate, host_failed FROM b JOIN j ON b.host IS NOT DISTINCT FROM j.host"""
 
 _OP4 = rf"""WITH w AS (SELECT doc_id, {_WORDS} AS ws FROM (SELECT doc_id, coalesce(text, '') AS t FROM documents)),
 p AS (SELECT doc_id, p, array_to_string(ws[p:p + 12], ' ') AS k FROM (SELECT doc_id, ws, unnest(range(1, len(ws) - 11)) AS p FROM w)),

@@ -304,13 +304,20 @@ def test_quality(docs, empty):
     assert len(rows) == len(corpus()) and quality.judge(empty).count() == 0
 
 
-def test_bad_hosts_go_and_small_ones_are_shrunk(spark):
+@pytest.mark.parametrize("broadcast", [100_000, 0])
+def test_bad_hosts_go_and_small_ones_are_shrunk(spark, monkeypatch, broadcast):
+    monkeypatch.setattr(quality, "BROADCAST_HOSTS", broadcast)
     good = " ".join(f"w{k}" for k in range(60))
-    rows = [(k, good if k % 2 else "bad", "mixed") for k in range(40)] + [(100 + k, good if k == 0 else "bad", "awful") for k in range(60)] + [(200 + k, good, f"fine{k % 3}") for k in range(60)]
-    got = {r.doc_id: r for r in quality.judge(spark.createDataFrame([*rows, (300, "bad", "one")], "doc_id long, text string, source string")).collect()}
-    assert not got[100].kept and got[1].kept and got[200].kept and 0 < got[300].host_rate < 1
-    failed = Counter(r.host for r in got.values() if r.base_failed)
-    assert failed["awful"] / 60 > got[100].host_rate > got[1].host_rate > got[200].host_rate
+    rows = [(k, good if k % 5 else "bad", "mixed") for k in range(40)] + [(100 + k, good if k < 15 else "bad", "awful") for k in range(60)] + [(200 + k, good, f"fine{k % 3}") for k in range(600)]
+    rows += [(None, "bad", "one"), (900, good, None), (900, good, None), (901, "bad", None)]
+    got = quality.judge(spark.createDataFrame(rows, "doc_id long, text string, source string")).collect()
+    rate = {r.host: r.host_rate for r in got}
+    assert len(got) == len(rows) and {r.host for r in got if r.host_failed} == {"awful"}
+    assert all(r.kept == (not r.base_failed and r.host != "awful") for r in got)
+    assert 45 / 60 > rate["awful"] > rate["one"] > rate["mixed"] > rate["fine0"] > 0 and rate["one"] < 1
+    # half the hosts fail as much: none is worse than the corpus
+    even = quality.judge(spark.createDataFrame([(k, good if k % 2 else "bad", f"h{k % 8 // 2}") for k in range(400)], "doc_id long, text string, source string"))
+    assert even.where("host_failed").count() == 0
 
 
 def test_licenses(docs, empty):
