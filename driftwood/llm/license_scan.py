@@ -18,8 +18,47 @@ _WARRANTY = (
     'THE SOFTWARE IS PROVIDED "AS IS", WITHOUT WARRANTY OF ANY KIND, EXPRESS OR IMPLIED, INCLUDING BUT NOT LIMITED TO THE WARRANTIES OF MERCHANTABILITY, FITNESS FOR A PARTICULAR PURPOSE AND NONINFRINGEMENT. '
     "IN NO EVENT SHALL THE AUTHORS OR COPYRIGHT HOLDERS BE LIABLE FOR ANY CLAIM, DAMAGES OR OTHER LIABILITY, WHETHER IN AN ACTION OF CONTRACT, TORT OR OTHERWISE, ARISING FROM, OUT OF OR IN CONNECTION WITH THE SOFTWARE OR THE USE OR OTHER DEALINGS IN THE SOFTWARE."
 )
+_BSD_TERMS = (
+    "Redistribution and use in source and binary forms, with or without modification, are permitted provided that the following conditions are met: "
+    "1. Redistributions of source code must retain the above copyright notice, this list of conditions and the following disclaimer. "
+    "2. Redistributions in binary form must reproduce the above copyright notice, this list of conditions and the following disclaimer in the documentation and/or other materials provided with the distribution. "
+)
+_BSD_WARRANTY = (
+    'THIS SOFTWARE IS PROVIDED BY THE COPYRIGHT HOLDERS AND CONTRIBUTORS "AS IS" AND ANY EXPRESS OR IMPLIED WARRANTIES, INCLUDING, BUT NOT LIMITED TO, THE IMPLIED WARRANTIES OF MERCHANTABILITY AND FITNESS FOR A PARTICULAR PURPOSE ARE DISCLAIMED. '
+    "IN NO EVENT SHALL THE COPYRIGHT HOLDER OR CONTRIBUTORS BE LIABLE FOR ANY DIRECT, INDIRECT, INCIDENTAL, SPECIAL, EXEMPLARY, OR CONSEQUENTIAL DAMAGES (INCLUDING, BUT NOT LIMITED TO, PROCUREMENT OF SUBSTITUTE GOODS OR SERVICES; LOSS OF USE, DATA, OR PROFITS; OR BUSINESS INTERRUPTION) "
+    "HOWEVER CAUSED AND ON ANY THEORY OF LIABILITY, WHETHER IN CONTRACT, STRICT LIABILITY, OR TORT (INCLUDING NEGLIGENCE OR OTHERWISE) ARISING IN ANY WAY OUT OF THE USE OF THIS SOFTWARE, EVEN IF ADVISED OF THE POSSIBILITY OF SUCH DAMAGE."
+)
+
+
+def _gnu(license: str, version: str) -> str:
+    """The notice that a licence of the GNU project asks for."""
+    return (
+        f"This program is free software: you can redistribute it and/or modify it under the terms of the GNU {license} as published by the Free Software Foundation, either version {version} of the License, or (at your option) any later version. "
+        f"This program is distributed in the hope that it will be useful, but WITHOUT ANY WARRANTY; without even the implied warranty of MERCHANTABILITY or FITNESS FOR A PARTICULAR PURPOSE. See the GNU {license} for more details. "
+        f"You should have received a copy of the GNU {license} along with this program. If not, see https://www.gnu.org/licenses/."
+    )
+
+
 # Published licence texts and the notices that name them.
 TEMPLATES: dict[str, str] = {
+    "agpl-3.0": _gnu("Affero General Public License", "3"),
+    "bsd-2-clause": _BSD_TERMS + _BSD_WARRANTY,
+    "bsd-3-clause": _BSD_TERMS + "3. Neither the name of the copyright holder nor the names of its contributors may be used to endorse or promote products derived from this software without specific prior written permission. " + _BSD_WARRANTY,
+    "bsl-1.0": "Permission is hereby granted, free of charge, to any person or organization obtaining a copy of the software and accompanying documentation covered by this license (the \"Software\") to use, reproduce, display, distribute, execute, and transmit the Software, "
+    "and to prepare derivative works of the Software, and to permit third-parties to whom the Software is furnished to do so, all subject to the following: The copyright notices in the Software and this entire statement, including the above license grant, this restriction and the following disclaimer, "
+    "must be included in all copies of the Software, in whole or in part, and all derivative works of the Software, unless such copies or derivative works are solely in the form of machine-executable object code generated by a source language processor.",
+    "cc0-1.0-notice": "To the extent possible under law, the author(s) have dedicated all copyright and related and neighboring rights to this software to the public domain worldwide. This software is distributed without any warranty. "
+    "You should have received a copy of the CC0 Public Domain Dedication along with this software. If not, see http://creativecommons.org/publicdomain/zero/1.0/.",
+    "epl-2.0": "This program and the accompanying materials are made available under the terms of the Eclipse Public License 2.0 which is available at https://www.eclipse.org/legal/epl-2.0/",
+    "gpl-2.0": _gnu("General Public License", "2"),
+    "lgpl-2.1": _gnu("Lesser General Public License", "2.1"),
+    "lgpl-3.0": _gnu("Lesser General Public License", "3"),
+    "unlicense": "This is free and unencumbered software released into the public domain. Anyone is free to copy, modify, publish, use, compile, sell, or distribute this software, either in source code form or as a compiled binary, for any purpose, commercial or non-commercial, and by any means. "
+    "In jurisdictions that recognize copyright laws, the author or authors of this software dedicate any and all copyright interest in the software to the public domain.",
+    "zlib": "This software is provided 'as-is', without any express or implied warranty. In no event will the authors be held liable for any damages arising from the use of this software. "
+    "Permission is granted to anyone to use this software for any purpose, including commercial applications, and to alter it and redistribute it freely, subject to the following restrictions: "
+    "1. The origin of this software must not be misrepresented; you must not claim that you wrote the original software. If you use this software in a product, an acknowledgment in the product documentation would be appreciated but is not required. "
+    "2. Altered source versions must be plainly marked as such, and must not be misrepresented as being the original software. 3. This notice may not be removed or altered from any source distribution.",
     "apache-2.0": 'Licensed under the Apache License, Version 2.0 (the "License"); you may not use this file except in compliance with the License. You may obtain a copy of the License at http://www.apache.org/licenses/LICENSE-2.0 '
     'Unless required by applicable law or agreed to in writing, software distributed under the License is distributed on an "AS IS" BASIS, WITHOUT WARRANTIES OR CONDITIONS OF ANY KIND, either express or implied. '
     "See the License for the specific language governing permissions and limitations under the License.",
@@ -27,9 +66,7 @@ TEMPLATES: dict[str, str] = {
     "cc-by-4.0-notice": "This work is licensed under a Creative Commons Attribution 4.0 International License.",
     "cc-by-nc-4.0-notice": "Licensed under CC BY-NC 4.0.",
     "cc-by-sa-4.0-notice": "Licensed under CC BY-SA 4.0.",
-    "gpl-3.0": "This program is free software: you can redistribute it and/or modify it under the terms of the GNU General Public License as published by the Free Software Foundation, either version 3 of the License, or (at your option) any later version. "
-    "This program is distributed in the hope that it will be useful, but WITHOUT ANY WARRANTY; without even the implied warranty of MERCHANTABILITY or FITNESS FOR A PARTICULAR PURPOSE. See the GNU General Public License for more details. "
-    "You should have received a copy of the GNU General Public License along with this program. If not, see https://www.gnu.org/licenses/.",
+    "gpl-3.0": _gnu("General Public License", "3"),
     "gpl-3.0-notice": "This work is licensed under the GNU General Public License, version 3.",
     "isc": "Permission to use, copy, modify, and/or distribute this software for any purpose with or without fee is hereby granted, provided that the above copyright notice and this permission notice appear in all copies. "
     'THE SOFTWARE IS PROVIDED "AS IS" AND THE AUTHOR DISCLAIMS ALL WARRANTIES WITH REGARD TO THIS SOFTWARE INCLUDING ALL IMPLIED WARRANTIES OF MERCHANTABILITY AND FITNESS. IN NO EVENT SHALL THE AUTHOR BE LIABLE FOR ANY SPECIAL, DIRECT, INDIRECT, OR CONSEQUENTIAL DAMAGES '
@@ -128,9 +165,10 @@ def scan(docs: DataFrame, templates: Mapping[str, str] = TEMPLATES, threshold: f
     """doc_id, license (of the best match; null if none), dice (its coefficient) and n_matches (texts' units that match), one row per input row.
 
     A text's units are its lines, if it has several the whole, and windows of words: for each template the best window
-    of the whole text, across lines, of up to (2-t)/t times the template's own length.  A window in one line that
-    matches, in a longer window that matches, or in a whole that matches is no unit of its own, and a line in a window
-    of several lines that matches is none either.  A unit is lower-cased, runs of other than letters
+    of the whole text, across lines, of up to (2-t)/t times the template's own length.  Of windows that
+    overlap the longer one counts, or the better match if they are about as long (within a quarter).  A window in one
+    line that matches or in a whole that matches is no unit of its own, and a line in a window of several lines that
+    matches is none either.  A unit is lower-cased, runs of other than letters
     and digits become a space, and its distinct word bigrams are compared to each template whose number of bigrams
     allows the threshold; templates of other sizes are never intersected.  A text that
     holds none of the words a match needs is not cut up at all.  Units longer than any template allows are
@@ -159,8 +197,14 @@ def scan(docs: DataFrame, templates: Mapping[str, str] = TEMPLATES, threshold: f
         shared = F.array_intersect(run, every)
         near = let(shared, lambda x: F.filter(F.transform(held, lambda t: F.struct(t.alias("t"), F.array_intersect(x, t["grams"]).alias("shared"))), lambda y: F.size(y["shared"]) >= y["t"]["low"]))
         best = F.filter(F.transform(near, lambda y: _window(run, y["t"], y["shared"])), lambda m: m["dice"] >= threshold)
-        inside = lambda a, b: (b["at"] <= a["at"]) & (b["at"] + b["size"] >= a["at"] + a["size"]) & (b["size"] > a["size"])
-        return let(best, lambda b: F.filter(b, lambda x: ~F.exists(b, lambda y: inside(x, y))))
+
+        def better(a: Column, b: Column) -> Column:
+            """Whether window b stands for a too: they overlap, and b is longer, or about as long and a better match."""
+            meet = (b["at"] < a["at"] + a["size"]) & (a["at"] < b["at"] + b["size"])
+            alike = (4 * b["size"] <= 5 * a["size"]) & (4 * a["size"] <= 5 * b["size"])
+            return meet & F.when(alike, F.struct(b["dice"], b["license"]) > F.struct(a["dice"], a["license"])).otherwise(b["size"] > a["size"])
+
+        return let(best, lambda b: F.filter(b, lambda x: ~F.exists(b, lambda y: better(x, y))))
 
     def joined(own: Column, all_of_it: Column, wide: Column) -> Column:
         """Matches of the units; own: n (words), before (words of earlier lines) and m (match) of each line."""
