@@ -22,7 +22,7 @@ from __future__ import annotations
 import re
 from collections import defaultdict
 from collections.abc import Iterator
-from itertools import count
+from itertools import chain, count
 
 import ahocorasick
 import numpy as np
@@ -43,7 +43,9 @@ AUTOMATON_WORDS = 200_000
 HOT_BLOCKS = 256
 #: Bytes of text in a block; smaller than elsewhere, as a block's words are held one by one.
 BLOCK_BYTES = 4 << 20
-SHARD_BYTES = 16 << 20
+SHARD_BYTES = 8 << 20
+#: Bytes of segments whose words become codes at once.
+CODED = 1 << 20
 OUT = "doc_id long, n_words long, n_removed long, kept_text string, spans array<struct<start:int,stop:int>>"
 _OUT = pa.schema([("doc_id", pa.int64()), ("n_words", pa.int64()), ("n_removed", pa.int64()), ("kept_text", pa.string()), ("spans", pa.list_(pa.struct([("start", pa.int32()), ("stop", pa.int32())])))])
 U, U4 = np.uint64, np.uint32
@@ -243,6 +245,17 @@ def _occurrences(line: str, passages: dict[str, int], window: int) -> Iterator[t
         yield _ranges(end - n + 1, n - window + 1), np.repeat(first, n - window + 1)
 
 
+def _first_anchors(hashes: np.ndarray, codes: np.ndarray, begin: np.ndarray, window: int, anchor: int) -> np.ndarray:
+    """The anchor of the window at each of some places."""
+    low = np.full(len(begin), ~U(0))
+    for j in range(window - anchor + 1):
+        run = np.zeros(len(begin), U)
+        for k in range(anchor):
+            run = run * U(_RUN) + hashes[codes[begin + (j + k)] - 1]
+        low = np.minimum(low, X.mix(run))
+    return low
+
+
 def _locate(window: int, anchor: int, blocks: int):
     """Where passages occur in a shard's segments: per block and segment the smallest document of each window."""
 
@@ -251,12 +264,14 @@ def _locate(window: int, anchor: int, blocks: int):
         _, block, number, low, many, size, data = X.receive(t)
         # code 0 stands between segments
         code: defaultdict[bytes, int] = defaultdict(count(1).__next__)
-        codes = np.fromiter(map(code.__getitem__, data.tobytes().split()), np.int32)
-        spaces = np.concatenate([[0], np.cumsum(data == 0x20)])
-        ends = spaces[np.cumsum(size.astype(np.int64))]
-        begin = np.concatenate([[0], ends[:-1]]).astype(np.int64)
-        hashes = np.fromiter(map(xxhash.xxh64_intdigest, code), U, len(code))[codes - 1]
-        anchors = X.lowest(X.run_hashes(hashes, anchor, _RUN), window - anchor + 1, len(codes) - window + 1)[begin]
+        place = np.concatenate([[0], np.cumsum(size.astype(np.int64))])
+        cuts = place[np.unique(np.append(np.searchsorted(place, np.arange(0, len(data), CODED)), len(place) - 1))].tolist()
+        words = chain.from_iterable(data[a:z].tobytes().split() for a, z in zip(cuts, cuts[1:]))
+        codes = np.fromiter(map(code.__getitem__, words), np.int32)
+        ends = np.cumsum(data == 0x20, dtype=np.int64)[place[1:] - 1]
+        del data
+        begin = np.concatenate([[0], ends[:-1]])
+        anchors = _first_anchors(np.fromiter(map(xxhash.xxh64_intdigest, code), U, len(code)), codes, begin, window, anchor)
         order = np.argsort(anchors, kind="stable")
         begin, n = begin[order], (ends - begin)[order]
         cut, passed = [0], 0
