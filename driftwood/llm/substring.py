@@ -13,8 +13,8 @@ Rounds over blocks of documents (see exchange):
 4. Blocks cut the words of every occurrence whose smallest document is an earlier one.
 
 A document visits the automata of its own anchors alone, which are all that can match in it, so work grows with the
-input.  An anchor that very many blocks hold would be one shard's work: each of its windows is a segment of its own,
-dealt by all its words.
+input.  An anchor of very many windows would be one shard's work: each of its windows is a segment of its own, dealt by
+all its words.
 """
 
 from __future__ import annotations
@@ -39,8 +39,8 @@ WINDOW = 13
 ANCHOR = 5
 #: Words of segments whose passages one automaton holds (more for the segments of a single anchor).
 AUTOMATON_WORDS = 200_000
-#: Blocks that hold an anchor from which on its windows are dealt one by one.
-HOT_BLOCKS = 256
+#: Windows with an anchor from which on they are dealt one by one.
+HOT_WINDOWS = 10_000
 #: Bytes of text in a block; smaller than elsewhere, as a block's words are held one by one.
 BLOCK_BYTES = 4 << 20
 SHARD_BYTES = 8 << 20
@@ -134,27 +134,28 @@ def _send_anchors(window: int, anchor: int, shards: int):
         many = (np.minimum.reduceat(d, at) < np.maximum.reduceat(d, at)) if len(at) else np.zeros(0, bool)
         # the smallest document tells blocks that hold rows of one document apart from those that hold two
         low = np.minimum.reduceat(d, at) if len(at) else d
+        windows = np.diff(np.append(at, len(a))).astype(U4)
         a = a[at]
         shard = _dealt(a, shards)
         order = np.argsort(shard, kind="stable")
-        return X.send([shard[order], np.full(len(a), t["block"][0].as_py(), U4), a[order], low[order], many[order].view(np.uint8)], shards)
+        return X.send([shard[order], np.full(len(a), t["block"][0].as_py(), U4), a[order], low[order], many[order].view(np.uint8), windows[order]], shards)
 
     return run
 
 
-def _shared_anchors(hot_blocks: int, blocks: int):
+def _shared_anchors(hot_windows: int, blocks: int):
     def run(t: pa.Table) -> pa.Table:
         got = [X.unpack(x.as_py()) for x in t["payload"]]
         key = np.concatenate([x[2] for x in got])
-        block, low, many = (np.concatenate([x[k] for x in got]) for k in (1, 3, 4))
+        block, low, many, windows = (np.concatenate([x[k] for x in got]) for k in (1, 3, 4, 5))
         order = np.lexsort((low, key))
-        key, block, low, many = key[order], block[order], low[order], many[order]
+        key, block, low, many, windows = key[order], block[order], low[order], many[order], windows[order]
         at = X.firsts(key)
         if not len(at):
             return X.HOP_SCHEMA.empty_table()
         size = np.diff(np.append(at, len(key)))
         shared = (np.maximum.reduceat(many, at) > 0) | (low[at] < low[at + size - 1])
-        hot = np.repeat(size > hot_blocks, size)
+        hot = np.repeat(np.add.reduceat(windows.astype(np.int64), at) > hot_windows, size)
         keep = np.repeat(shared, size)
         key, block, hot = key[keep], block[keep], hot[keep]
         order = np.lexsort((key, block))
@@ -390,7 +391,7 @@ def cut_repeats(docs: DataFrame, window: int = WINDOW, anchor: int = ANCHOR, car
     shards, blocks = X.parts_of(total, SHARD_BYTES), X.parts_of(total, BLOCK_BYTES)
     dealt = X.blocked(docs, blocks)
     texts = dealt.groupBy("block")
-    anchors = X.routed(texts.applyInArrow(_send_anchors(window, anchor, shards), X.HOP), shards).groupBy("hop").applyInArrow(_shared_anchors(HOT_BLOCKS, blocks), X.HOP)
+    anchors = X.routed(texts.applyInArrow(_send_anchors(window, anchor, shards), X.HOP), shards).groupBy("hop").applyInArrow(_shared_anchors(HOT_WINDOWS, blocks), X.HOP)
     shared = X.routed(anchors, blocks).withColumnRenamed("hop", "block")
     segments = X.routed(texts.cogroup(shared.groupBy("block")).applyInArrow(_send_segments(window, anchor, shards), X.HOP), shards, 5)
     located = X.routed(segments.groupBy("hop").applyInArrow(_locate(window, anchor, blocks), X.HOP), blocks, 2).withColumnRenamed("hop", "block")

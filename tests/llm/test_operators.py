@@ -70,7 +70,7 @@ def plain_cut(rows, window):
 SMALL_PARTS = {"BLOCK_BYTES": 4000, "SHARD_BYTES": 6000}
 
 
-@pytest.mark.parametrize(("window", "anchor", "limits", "fan"), [(13, 5, {}, 1024), (13, 5, SMALL_PARTS | {"AUTOMATON_WORDS": 30}, 2), (3, 2, SMALL_PARTS | {"HOT_BLOCKS": 1}, 3)])
+@pytest.mark.parametrize(("window", "anchor", "limits", "fan"), [(13, 5, {}, 1024), (13, 5, SMALL_PARTS | {"AUTOMATON_WORDS": 30}, 2), (3, 2, SMALL_PARTS | {"HOT_WINDOWS": 1}, 3)])
 def test_substring(docs, window, anchor, limits, fan, monkeypatch):
     for name, value in limits.items():
         monkeypatch.setattr(substring, name, value)
