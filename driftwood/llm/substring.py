@@ -44,8 +44,8 @@ HOT_WINDOWS = 10_000
 #: Bytes of text in a block; smaller than elsewhere, as a block's words are held one by one.
 BLOCK_BYTES = 4 << 20
 SHARD_BYTES = 8 << 20
-#: Bytes of segments whose words become codes at once.
-CODED = 1 << 20
+#: Segments whose words become codes at once.
+CODED = 10_000
 OUT = "doc_id long, n_words long, n_removed long, kept_text string, spans array<struct<start:int,stop:int>>"
 _OUT = pa.schema([("doc_id", pa.int64()), ("n_words", pa.int64()), ("n_removed", pa.int64()), ("kept_text", pa.string()), ("spans", pa.list_(pa.struct([("start", pa.int32()), ("stop", pa.int32())])))])
 U, U4 = np.uint64, np.uint32
@@ -117,11 +117,8 @@ class _Segments:
 
     def distinct(self) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
         """Of each distinct segment: key, smallest document, and whether another one has it."""
-        order = np.lexsort((self.doc, self.number))
-        at = X.firsts(self.number[order])
-        last = np.append(at[1:], len(order)) - 1
-        low = self.doc[order][at]
-        return self.key[order][at], low, low < self.doc[order][last] if len(at) else np.zeros(0, bool)
+        low, many = _together(self.number, self.doc, np.zeros(len(self.doc), bool))
+        return self.key[np.unique(self.number, return_index=True)[1]], low, many
 
 
 def _send_anchors(window: int, anchor: int, shards: int):
@@ -246,6 +243,17 @@ def _occurrences(line: str, passages: dict[str, int], window: int) -> Iterator[t
         yield _ranges(end - n + 1, n - window + 1), np.repeat(first, n - window + 1)
 
 
+def _together(of: np.ndarray, low: np.ndarray, many: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """For each number in `of` the smallest document, and whether there is another."""
+    if not len(of):
+        return low, many
+    order = np.lexsort((low, of))
+    at = X.firsts(of[order])
+    last = np.append(at[1:], len(order)) - 1
+    low, many = low[order], many[order]
+    return low[at], (np.maximum.reduceat(many, at) > 0) | (low[at] < low[last])
+
+
 def _first_anchors(hashes: np.ndarray, codes: np.ndarray, begin: np.ndarray, window: int, anchor: int) -> np.ndarray:
     """The anchor of the window at each of some places."""
     low = np.full(len(begin), ~U(0))
@@ -263,15 +271,20 @@ def _locate(window: int, anchor: int, blocks: int):
     def run(t: pa.Table) -> pa.Table:
         X.give_back()
         _, block, number, low, many, size, data = X.receive(t)
+        place, data = np.concatenate([[0], np.cumsum(size.astype(np.int64))]).tolist(), data.tobytes()
+        # many blocks may send one segment
+        seen: defaultdict[bytes, int] = defaultdict(count().__next__)
+        of = np.fromiter(map(seen.__getitem__, map(data.__getitem__, map(slice, place, place[1:]))), np.int64, len(size))
+        del data
+        low, many = _together(of, low, many)
+        texts = list(seen)
         # code 0 stands between segments
         code: defaultdict[bytes, int] = defaultdict(count(1).__next__)
-        place = np.concatenate([[0], np.cumsum(size.astype(np.int64))])
-        cuts = place[np.unique(np.append(np.searchsorted(place, np.arange(0, len(data), CODED)), len(place) - 1))].tolist()
-        words = chain.from_iterable(data[a:z].tobytes().split() for a, z in zip(cuts, cuts[1:]))
+        words = chain.from_iterable(b"".join(texts[k : k + CODED]).split() for k in range(0, len(texts), CODED))
         codes = np.fromiter(map(code.__getitem__, words), np.int32)
-        ends = np.cumsum(data == 0x20, dtype=np.int64)[place[1:] - 1]
-        del data
+        ends = np.cumsum(np.fromiter((x.count(b" ") for x in texts), np.int64, len(texts)))
         begin = np.concatenate([[0], ends[:-1]])
+        del seen, texts
         anchors = _first_anchors(np.fromiter(map(xxhash.xxh64_intdigest, code), U, len(code)), codes, begin, window, anchor)
         order = np.argsort(anchors, kind="stable")
         begin, n = begin[order], (ends - begin)[order]
@@ -290,8 +303,8 @@ def _locate(window: int, anchor: int, blocks: int):
             place = np.cumsum(m + 1) - (m + 1)
             own[_ranges(place, m)] = codes[_ranges(begin[a:z], m)]
             segment, starts = np.repeat(np.arange(z - a), m - window + 1), _ranges(place, m - window + 1)
-            of = order[a:z][segment]
-            first = _recurring(own, starts, low[of], many[of], window)
+            which = order[a:z][segment]
+            first = _recurring(own, starts, low[which], many[which], window)
             located = np.full(len(own), NEVER, np.int64)
             line = _letters(own)
             if passages := _passages(line, starts, segment, first, window):
@@ -300,12 +313,13 @@ def _locate(window: int, anchor: int, blocks: int):
             found.append(located[starts])
         first = np.concatenate(found)
         windows = n - window + 1
-        some = np.maximum.reduceat(first != NEVER, np.cumsum(windows) - windows)
-        order, first, windows = order[some], first[np.repeat(some, windows)], windows[some]
-        back = np.argsort(block[order], kind="stable")
-        first = first[_ranges((np.cumsum(windows) - windows)[back], windows[back])]
-        order, windows = order[back], windows[back]
-        return X.send([block[order], number[order], windows.astype(U4), first], blocks, lengths=2)
+        begin, some = np.cumsum(windows) - windows, np.zeros(len(order), bool)
+        some[order] = np.maximum.reduceat(first != NEVER, begin)
+        rank = np.argsort(order)
+        back = np.flatnonzero(some[of])
+        back = back[np.argsort(block[back], kind="stable")]
+        k = rank[of[back]]
+        return X.send([block[back], number[back], windows[k].astype(U4), first[_ranges(begin[k], windows[k])]], blocks, lengths=2)
 
     return run
 
