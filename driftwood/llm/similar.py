@@ -26,14 +26,16 @@ from pyspark.sql import functions as F
 
 from driftwood.llm.components import components
 from driftwood.llm.exchange import give_back, mix, staged
-from driftwood.llm.simhash import COUNTED, SMALL, U, Votes, named, shingle_hashes
+from driftwood.llm.simhash import COUNTED, U, Votes, named, shingle_hashes
 
 #: 64-bit lanes of a fingerprint.
-LANES = 32
-#: Bits of a block at least.
-WIDTH = 20
-#: Share of the pairs of the least similarity that share a block.
+LANES = 24
+#: Bits of a block beyond those that number the sets: a block is shared by chance with a chance of a fourth at most.
+SPARE = 2
+#: Share of the pairs of the least similarity that share a block, about.
 RECALL = 0.98
+#: Sets that share a block and are still joined pair by pair: no more pairs than sets.
+SMALL = 3
 #: Differing bits of the first lane, as a share beyond those expected, that still make a candidate (five standard deviations).
 SPREAD = 5.0
 #: Sets in a tile of a block that many share.
@@ -49,7 +51,7 @@ def differing(similarity: float) -> float:
 
 def plan(n: int, similarity: float, recall: float) -> tuple[int, int]:
     """Bits of a block and how many blocks, for n sets."""
-    width = max(WIDTH, max(n, 1).bit_length() + 2)
+    width = max(n, 1).bit_length() + SPARE
     return width, math.ceil(math.log(1 - recall) / math.log1p(-((1 - differing(similarity)) ** width)))
 
 
