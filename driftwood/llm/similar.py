@@ -7,9 +7,8 @@ block is shared by chance by few, and their number is what finds `recall` of the
 closer pairs are found more surely.  Every pair that is linked is decided by its whole sets.
 
 Near copies come in groups, and a pair of a group whose members are linked already says nothing new.  So each set is
-first compared to the one of its candidates that has the most candidates; only pairs that this leaves apart are compared
-next.  A block that more than `SMALL` sets share is never joined pair by pair: its sets are compared to one of them, and
-what that leaves apart is compared in tiles.
+first compared to one other, of its blocks' centres the one with the most candidates; only pairs that this leaves apart
+are compared next, in tiles if more than `SMALL` sets share a block.
 """
 
 from __future__ import annotations
@@ -33,7 +32,7 @@ LANES = 24
 #: Bits of a block beyond those that number the sets: a block is shared by chance with a chance of a fourth at most.
 SPARE = 2
 #: Share of the pairs of the least similarity that share a block, about.
-RECALL = 0.98
+RECALL = 0.95
 #: Sets that share a block and are still joined pair by pair: no more pairs than sets.
 SMALL = 3
 #: Differing bits of the first lane, as a share beyond those expected, that still make a candidate (five standard deviations).
@@ -192,13 +191,17 @@ def _confirmed(pairs: DataFrame, docs: DataFrame, points: DataFrame, shingle: in
     return of_u.join(of_v.drop("parts"), ["v", "part"]).select("u", "v", "a", "b").mapInArrow(_confirm(least), "u long, v long")
 
 
-def _to_centres(pairs: DataFrame) -> DataFrame:
-    """For each set of the pairs the neighbour in the most pairs, if it is in more than the set itself (or its number is greater)."""
-    both = pairs.select("u", "v").unionAll(pairs.select(F.col("v").alias("u"), F.col("u").alias("v")))
-    degree = staged(both.groupBy("u").agg(F.count("*").alias("d")), "degree")
-    ranked = both.join(degree.withColumnRenamed("d", "du"), "u").join(degree.select(F.col("u").alias("v"), F.col("d").alias("dv")), "v")
-    ranked = ranked.where((F.col("dv") > F.col("du")) | (F.col("dv") == F.col("du")) & (F.col("v") > F.col("u")))
-    return ranked.groupBy("u").agg(F.max_by("v", F.struct("dv", "v")).alias("v"))
+def _to_centres(shared: DataFrame, least: Fraction) -> DataFrame:
+    """For each set that has candidates the one among its blocks' centres that has the most; a block's centre is its set with the most.
+
+    `shared` has key, node, n, lane and m (the key's sets); every row meets its block's centre once.
+    """
+    scored = shared.join(shared.groupBy("node").agg(F.sum("m").alias("score")), "node")
+    centre = scored.groupBy("key").agg(F.max_by(F.struct("node", "n", "lane", "score"), F.struct("score", "node")).alias("c"))
+    met = scored.select("key", F.struct("node", "n", "lane").alias("x")).join(centre, "key")
+    may = (F.col("x.node") != F.col("c.node")) & _close("x", "c", least)
+    best = met.groupBy(F.col("x.node").alias("u")).agg(F.max_by(F.when(may, F.col("c.node")), F.when(may, F.struct("c.score", "c.node"))).alias("v"))
+    return best.where("v is not null")
 
 
 def _grouped(docs: DataFrame, points: DataFrame, shingle: int, lanes: int, width: int, blocks: int, least: Fraction) -> DataFrame:
@@ -207,20 +210,14 @@ def _grouped(docs: DataFrame, points: DataFrame, shingle: int, lanes: int, width
     keyed = keyed.select("node", "n", "lane", F.explode("keys").alias("key"))
     sizes = keyed.groupBy("key").agg(F.count("*").alias("m")).where("m > 1")
     shared = staged(keyed.join(sizes, "key"), "shared")
-    small, large = shared.where(F.col("m") <= SMALL).drop("m"), shared.where(F.col("m") > SMALL)
-    a, b = small.alias("a"), small.alias("b")
-    pairs = a.join(b, (F.col("a.key") == F.col("b.key")) & (F.col("a.node") < F.col("b.node")) & _close("a", "b", least)).select(F.col("b.node").alias("u"), F.col("a.node").alias("v"))
-    common = large.groupBy("node").agg(F.sum("m").alias("score"))
-    centre = large.join(common, "node").groupBy("key").agg(F.max_by(F.struct("node", "n", "lane"), F.struct("score", "node")).alias("c"))
-    to_centre = large.select("key", F.struct("node", "n", "lane").alias("x")).join(centre, "key").where((F.col("x.node") != F.col("c.node")) & _close("x", "c", least))
-    pairs = pairs.unionAll(to_centre.select(F.greatest("x.node", "c.node").alias("u"), F.least("x.node", "c.node").alias("v")))
-    pairs = staged(pairs.distinct(), "candidates")
-    first = staged(_to_centres(pairs), "first")
+    first = staged(_to_centres(shared, least), "first")
     labels = components(_confirmed(first, docs, points, shingle, least))
     # what the first links leave apart
-    of = labels.select(F.col("node").alias("u"), F.col("component").alias("lu"))
-    rest = pairs.join(of, "u", "left").join(of.select(F.col("u").alias("v"), F.col("lu").alias("lv")), "v", "left").where(F.coalesce("lu", "u") != F.coalesce("lv", "v")).select("u", "v")
-    rest = rest.unionAll(_in_tiles(large.join(labels, "node", "left").select("key", "node", "n", "lane", F.coalesce("component", "node").alias("label")), least)).distinct()
+    labelled = staged(shared.join(labels, "node", "left").withColumn("label", F.coalesce("component", "node")).drop("component"), "labelled")
+    small, large = labelled.where(F.col("m") <= SMALL), labelled.where(F.col("m") > SMALL)
+    a, b = small.alias("a"), small.alias("b")
+    apart = (F.col("a.key") == F.col("b.key")) & (F.col("a.node") < F.col("b.node")) & (F.col("a.label") != F.col("b.label")) & _close("a", "b", least)
+    rest = a.join(b, apart).select(F.col("b.node").alias("u"), F.col("a.node").alias("v")).unionAll(_in_tiles(large, least)).distinct()
     tried = first.select(F.greatest("u", "v").alias("u"), F.least("u", "v").alias("v"))
     more = _confirmed(rest.join(tried, ["u", "v"], "left_anti"), docs, points, shingle, least)
     return components(labels.select(F.col("node").alias("u"), F.col("component").alias("v")).unionAll(more))

@@ -33,8 +33,8 @@ def test_the_stage_keeps_one_of_each_pair_at_a_similarity(spark):
     kept = pipeline.keep_one_of_near_copies(spark, spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string"), "")
     kept = {r.doc_id for r in kept.collect()}
     missed = [m[3] for k, m in enumerate(made) if m[3] >= 0.8 and 2 * k + 1 in kept]
-    # pairs of just 0.8 are found with a chance of 0.98
-    assert kept >= {2 * k for k in range(len(made))} and set(missed) <= {0.8} and len(missed) <= 4
+    # pairs of just 0.8 are found with a chance of 0.95
+    assert kept >= {2 * k for k in range(len(made))} and set(missed) <= {0.8} and len(missed) <= 7
     assert all(2 * k + 1 in kept for k, m in enumerate(made) if m[3] < 0.8)
 
 
