@@ -7,7 +7,7 @@ block is shared by chance by few, and their number is what finds `recall` of the
 closer pairs are found more surely.  Every pair that is linked is decided by its whole sets.
 
 Near copies come in groups, and a pair of a group whose members are linked already says nothing new.  So each set is
-first compared to one other, of its blocks' centres the one with the most candidates; only pairs that this leaves apart
+first compared to a few others, of its blocks' centres those with the most candidates; only pairs that this leaves apart
 are compared next, in tiles if more than `SMALL` sets share a block.
 """
 
@@ -25,18 +25,20 @@ from pyspark.sql import functions as F
 
 from driftwood.llm.components import components
 from driftwood.llm.exchange import give_back, mix, staged
-from driftwood.llm.simhash import COUNTED, U, Votes, named, shingle_hashes
+from driftwood.llm.simhash import COUNTED, U, Votes, _apart, named, shingle_hashes
 
 #: 64-bit lanes of a fingerprint.
 LANES = 24
-#: Bits of a block beyond those that number the sets: a block is shared by chance with a chance of a fourth at most.
-SPARE = 2
+#: Bits of a block at least, and beyond those that number the sets: a block is shared by chance with a chance of a fourth at most.
+WIDTH, SPARE = 23, 2
+#: Centres that a set is compared to first.
+CENTRES = 3
 #: Share of the pairs of the least similarity that share a block, about.
 RECALL = 0.95
 #: Sets that share a block and are still joined pair by pair: no more pairs than sets.
 SMALL = 3
-#: Differing bits of the first lane, as a share beyond those expected, that still make a candidate (five standard deviations).
-SPREAD = 5.0
+#: Standard deviations by which the differing bits of a candidate may exceed those expected: of the first lane, of all lanes.
+SPREAD, SPREAD_ALL = 5.0, 4.0
 #: Sets in a tile of a block that many share.
 TILE = 2_000
 #: Pairs with one set that one task confirms.
@@ -50,14 +52,14 @@ def differing(similarity: float) -> float:
 
 def plan(n: int, similarity: float, recall: float) -> tuple[int, int]:
     """Bits of a block and how many blocks, for n sets."""
-    width = max(n, 1).bit_length() + SPARE
+    width = max(WIDTH, max(n, 1).bit_length() + SPARE)
     return width, math.ceil(math.log(1 - recall) / math.log1p(-((1 - differing(similarity)) ** width)))
 
 
-def farthest(similarity: float) -> int:
-    """Most differing bits of a first lane."""
-    p = differing(similarity)
-    return min(64, math.ceil(64 * p + SPREAD * math.sqrt(64 * p * (1 - p))))
+def farthest(similarity: float, lanes: int = 1) -> int:
+    """Most differing bits of a first lane, or of that many lanes."""
+    p, bits = differing(similarity), 64 * lanes
+    return min(bits, math.ceil(bits * p + (SPREAD if lanes == 1 else SPREAD_ALL) * math.sqrt(bits * p * (1 - p))))
 
 
 def _set(text: bytes | None, k: int) -> np.ndarray:
@@ -83,8 +85,9 @@ def _sketches(shingle: int, lanes: int):
                 node += map(_node, sets)
                 size += map(len, sets)
                 votes = Votes(np.concatenate(sets), np.array([len(s) for s in sets], np.int64))
-                prints += [row.tobytes() for row in np.column_stack([votes.majority(lane) for lane in range(lanes)])]
-            yield pa.RecordBatch.from_arrays([batch["doc_id"], batch["row"], pa.array(node, pa.int64()), pa.array(size, pa.int64()), pa.array(prints, pa.binary())], names=["doc_id", "row", "node", "n", "lanes"])
+                prints.append(np.column_stack([votes.majority(lane) for lane in range(lanes)]).view(np.int64).ravel())
+            lists = pa.ListArray.from_arrays(pa.array(np.arange(len(texts) + 1) * lanes, pa.int32()), pa.array(np.concatenate([np.zeros(0, np.int64), *prints])))
+            yield pa.RecordBatch.from_arrays([batch["doc_id"], batch["row"], pa.array(node, pa.int64()), pa.array(size, pa.int64()), lists], names=["doc_id", "row", "node", "n", "lanes"])
         give_back()
 
     return run
@@ -105,7 +108,7 @@ def _keys(lanes: int, width: int, blocks: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             rows = batch.num_rows
-            prints = np.frombuffer(b"".join(batch["lanes"].to_pylist()), "<u8").reshape(rows, lanes)
+            prints = batch["lanes"].flatten().to_numpy().view(U).reshape(rows, lanes)
             keys = np.zeros((rows, blocks), U)
             for k in range(0, rows, 1000):
                 bits = np.unpackbits(prints[k : k + 1000].view(np.uint8), axis=1).T.astype(U)
@@ -115,7 +118,7 @@ def _keys(lanes: int, width: int, blocks: int):
                         key = key << U(1) | bits[p]
                     keys[k : k + 1000, b] = mix(key + U(b << 48))
             lists = pa.ListArray.from_arrays(pa.array(np.arange(rows + 1) * blocks, pa.int32()), pa.array(keys.ravel().view(np.int64)))
-            first = pa.array(prints[:, 0].astype(U).view(np.int64))
+            first = pa.array(prints[:, 0].view(np.int64))
             yield pa.RecordBatch.from_arrays([batch["node"], batch["n"], first, lists], names=["node", "n", "lane", "keys"])
 
     return run
@@ -127,28 +130,28 @@ def _close(a: str, b: str, least: Fraction) -> Column:
     return sizes & (F.bit_count(F.col(f"{a}.lane").bitwiseXOR(F.col(f"{b}.lane"))) <= farthest(float(least)))
 
 
-def _in_tiles(large: DataFrame, least: Fraction) -> DataFrame:
-    """Pairs u, v with different labels that may be similar enough, within keys that many sets share; `large`: key, node, n, lane, label."""
-    most = farthest(float(least))
+def _in_tiles(large: DataFrame, least: Fraction, lanes: int) -> DataFrame:
+    """Pairs u, v with different labels that may be similar enough, within keys that many sets share; `large`: key, node, n, lane, label, lanes."""
+    most, most_of_all = farthest(float(least)), farthest(float(least), lanes)
 
     def apart(t: pa.Table) -> pa.Table:
         node, n, lane, label = (t[c].to_numpy() for c in ("node", "n", "lane", "label"))
-        lane = lane.view(U)
-        us, vs = [], []
+        lane, wide = lane.view(U), t["lanes"].combine_chunks().flatten().to_numpy().view(U).reshape(len(node), lanes)
+        us, vs = [np.zeros(0, np.int64)], [np.zeros(0, np.int64)]
         for k in range(len(node) - 1):
             rest = slice(k + 1, None)
             near = (label[rest] != label[k]) & (np.bitwise_count(lane[rest] ^ lane[k]) <= most)
             near &= np.minimum(n[rest], n[k]) * least.denominator >= np.maximum(n[rest], n[k]) * least.numerator
-            got = node[rest][near]
+            at = np.flatnonzero(near) + k + 1
+            got = node[at[np.bitwise_count(wide[at] ^ wide[k]).sum(axis=1) <= most_of_all]]
             us.append(np.maximum(got, node[k]))
             vs.append(np.minimum(got, node[k]))
-        empty = np.zeros(0, np.int64)
-        return pa.table([pa.array(np.concatenate([empty, *us])), pa.array(np.concatenate([empty, *vs]))], names=["u", "v"])
+        return pa.table([pa.array(np.concatenate(us)), pa.array(np.concatenate(vs))], names=["u", "v"])
 
     size = large.groupBy("key").agg(F.ceil(F.count("*") / TILE).cast("int").alias("tiles"), F.min("label").alias("lo"), F.max("label").alias("hi")).where("lo < hi").select("key", "tiles")
     rows = large.join(size, "key").withColumn("tile", F.pmod(F.xxhash64("node"), F.col("tiles")).cast("int"))
     rows = rows.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("tiles") - 1)))
-    rows = rows.select("key", F.least("tile", "other").alias("p"), F.greatest("tile", "other").alias("q"), "node", "n", "lane", "label")
+    rows = rows.select("key", F.least("tile", "other").alias("p"), F.greatest("tile", "other").alias("q"), "node", "n", "lane", "label", "lanes")
     return rows.groupBy("key", "p", "q").applyInArrow(apart, "u long, v long").where("u != v")
 
 
@@ -192,7 +195,7 @@ def _confirmed(pairs: DataFrame, docs: DataFrame, points: DataFrame, shingle: in
 
 
 def _to_centres(shared: DataFrame, least: Fraction) -> DataFrame:
-    """For each set that has candidates the one among its blocks' centres that has the most; a block's centre is its set with the most.
+    """For each set the CENTRES of its blocks that have the most candidates; a block's centre is its set with the most.
 
     `shared` has key, node, n, lane and m (the key's sets); every row meets its block's centre once.
     """
@@ -200,8 +203,8 @@ def _to_centres(shared: DataFrame, least: Fraction) -> DataFrame:
     centre = scored.groupBy("key").agg(F.max_by(F.struct("node", "n", "lane", "score"), F.struct("score", "node")).alias("c"))
     met = scored.select("key", F.struct("node", "n", "lane").alias("x")).join(centre, "key")
     may = (F.col("x.node") != F.col("c.node")) & _close("x", "c", least)
-    best = met.groupBy(F.col("x.node").alias("u")).agg(F.max_by(F.when(may, F.col("c.node")), F.when(may, F.struct("c.score", "c.node"))).alias("v"))
-    return best.where("v is not null")
+    best = met.groupBy(F.col("x.node").alias("u")).agg(F.collect_set(F.when(may, F.struct("c.score", "c.node"))).alias("c"))
+    return best.select("u", F.explode(F.slice(F.sort_array("c", asc=False), 1, CENTRES)).alias("c")).select("u", F.col("c.node").alias("v"))
 
 
 def _grouped(docs: DataFrame, points: DataFrame, shingle: int, lanes: int, width: int, blocks: int, least: Fraction) -> DataFrame:
@@ -213,11 +216,12 @@ def _grouped(docs: DataFrame, points: DataFrame, shingle: int, lanes: int, width
     first = staged(_to_centres(shared, least), "first")
     labels = components(_confirmed(first, docs, points, shingle, least))
     # what the first links leave apart
-    labelled = staged(shared.join(labels, "node", "left").withColumn("label", F.coalesce("component", "node")).drop("component"), "labelled")
+    labelled = shared.join(labels, "node", "left").withColumn("label", F.coalesce("component", "node")).drop("component")
+    labelled = staged(labelled.join(points.select("node", "lanes"), "node"), "labelled")
     small, large = labelled.where(F.col("m") <= SMALL), labelled.where(F.col("m") > SMALL)
     a, b = small.alias("a"), small.alias("b")
-    apart = (F.col("a.key") == F.col("b.key")) & (F.col("a.node") < F.col("b.node")) & (F.col("a.label") != F.col("b.label")) & _close("a", "b", least)
-    rest = a.join(b, apart).select(F.col("b.node").alias("u"), F.col("a.node").alias("v")).unionAll(_in_tiles(large, least)).distinct()
+    apart = (F.col("a.key") == F.col("b.key")) & (F.col("a.node") < F.col("b.node")) & (F.col("a.label") != F.col("b.label")) & _close("a", "b", least) & (_apart(lanes) <= farthest(float(least), lanes))
+    rest = a.join(b, apart).select(F.col("b.node").alias("u"), F.col("a.node").alias("v")).unionAll(_in_tiles(large, least, lanes)).distinct()
     tried = first.select(F.greatest("u", "v").alias("u"), F.least("u", "v").alias("v"))
     more = _confirmed(rest.join(tried, ["u", "v"], "left_anti"), docs, points, shingle, least)
     return components(labels.select(F.col("node").alias("u"), F.col("component").alias("v")).unionAll(more))
@@ -235,7 +239,7 @@ def similar_copies(docs: DataFrame, shingle: int = 5, similarity: float = 0.8, r
     """
     least = Fraction(str(similarity))
     docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text")).withColumn("row", F.xxhash64("doc_id", "text"))
-    prints = staged(docs.mapInArrow(_sketches(shingle, lanes), "doc_id long, row long, node long, n long, lanes binary"), "sketches")
+    prints = staged(docs.mapInArrow(_sketches(shingle, lanes), "doc_id long, row long, node long, n long, lanes array<bigint>"), "sketches")
     points = prints.groupBy("node").agg(F.min("doc_id").alias("low"), F.min("row").alias("row"), F.any_value("n").alias("n"), F.any_value("lanes").alias("lanes"), F.count("*").alias("weight"))
     points = staged(points, "points")
     # without a bit in a block all sets share the one block
