@@ -100,7 +100,10 @@ def hashed_ids(spark, sf):
     return docs.select("doc_id", C.sparse_index(F.col("source")).alias("sparse_index"), F.sha1(F.concat_ws("/", "source", F.col("doc_id").cast("string"))).alias("doc_key"))
 
 
-@_query()
+@_query("""WITH c AS (SELECT doc_id, sha1(CAST(doc_id AS VARCHAR)) || '_0' AS name FROM documents),
+h AS (SELECT doc_id, md5(name) AS m, sha1(unhex('6ba7b8119dad11d180b400c04fd430c8') || encode(name)) AS s FROM c)
+SELECT doc_id, CAST(CAST(('0x' || right(m, 16)) AS UBIGINT) & CAST(9223372036854775807 AS UBIGINT) AS BIGINT) AS point_id,
+substr(s, 1, 8) || '-' || substr(s, 9, 4) || '-5' || substr(s, 14, 3) || '-' || substr('89ab', CAST(('0x' || substr(s, 17, 1)) AS INTEGER) % 4 + 1, 1) || substr(s, 18, 3) || '-' || substr(s, 21, 12) AS uuid FROM h""")
 def point_ids(spark, sf):
     chunk = F.concat_ws("_", F.sha1(F.col("doc_id").cast("string")), F.lit("0"))
     return _read(spark, sf, "documents").select("doc_id", C.point_id(chunk).alias("point_id"), C.uuid5(chunk).alias("uuid"))

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import io
+import re
 import zipfile
 from collections.abc import Callable, Iterator
 from xml.etree import ElementTree
@@ -13,8 +14,9 @@ from pyspark.sql import functions as F
 
 # What the listing takes and leaves.
 EXTENSIONS = ["pdf", "docx", "doc", "pptx", "ppt", "xlsx", "xls", "txt", "md"]
-SKIPPED_FOLDERS = ["node_modules", "__pycache__", "venv", "dist", "build", "target"]
+SKIPPED_FOLDERS = ["node_modules", "bower_components", "vendor", "venv", "env", "__pycache__", "dist", "build", "target", "out", "Library", "Caches", "coverage", "htmlcov"]
 TYPES = {"doc": "docx", "ppt": "pptx", "xls": "xlsx"}
+_PLAIN = re.compile(r"^[A-Za-z][A-Za-z0-9+.-]*:(//[^/]*)?")
 HEAD_BYTES, NAME_BYTES, HEAD_PAGES = 20 << 20, 50 << 20, 30
 
 
@@ -22,6 +24,11 @@ def name_of(path: Column) -> Column:
     return F.element_at(F.split(path, "/"), -1)
 
 
+def local_path(uri: Column) -> Column:
+    """The path of a file as Spark lists it, without scheme and host; Spark's paths are not percent-encoded."""
+    return F.regexp_replace(uri, r"^[A-Za-z][A-Za-z0-9+.-]*:(//[^/]*)?", "")
+
+
 def extension(path: Column) -> Column:
     return F.lower(F.regexp_extract(name_of(path), r"\.([^.]+)$", 1))
 
@@ -40,13 +47,13 @@ def mode(size: Column, pages: Column, head: int = HEAD_BYTES, name: int = NAME_B
 
 
 def listing(spark: SparkSession, root: str, extensions: list[str] = EXTENSIONS, skipped: list[str] = SKIPPED_FOLDERS) -> DataFrame:
-    """path, size, mtime, doc_id, doc_type and mode of the files below a root; contents are not read.
+    """path, size, mtime, doc_id (SHA-1 of the path), doc_type and mode of the files below a root; contents are not read.
 
     Names that begin with . or ~$ and files below hidden or skipped folders are left out, as are empty files, which
     Spark's file source doesn't list.
     """
-    files = spark.read.format("binaryFile").option("recursiveFileLookup", "true").load(root).select(F.url_decode("path").alias("path"), F.col("length").alias("size"), F.unix_timestamp("modificationTime").alias("mtime"))
-    below = F.split(F.element_at(F.split("path", rf"\Q{root.rstrip('/')}/\E", 2), -1), "/")
+    files = spark.read.format("binaryFile").option("recursiveFileLookup", "true").load(root).select(local_path(F.col("path")).alias("path"), F.col("length").alias("size"), F.unix_timestamp("modificationTime").alias("mtime"))
+    below = F.split(F.element_at(F.split("path", rf"\Q{_PLAIN.sub('', root).rstrip('/')}/\E", 2), -1), "/")
     folders = F.slice(below, 1, F.size(below) - 1)
     hidden = F.exists(folders, lambda p: p.isin(skipped) | p.startswith("."))
     name = name_of(F.col("path"))

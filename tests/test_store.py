@@ -1,5 +1,6 @@
-from pathlib import Path
+import hashlib
 import zipfile
+from pathlib import Path
 
 import pytest
 from pyspark.sql import functions as F
@@ -32,7 +33,7 @@ def test_plan_upsert_and_complete(spark):
 
 
 def test_listing_and_extraction(spark, tmp_path):
-    for name in ("a.md", "sub/b.txt", ".hidden.md", ".dir/x.md", "~$lock.docx", "node_modules/q.txt", "empty.md", "with space é.txt", "no.bin"):
+    for name in ("a.md", "sub/b.txt", ".hidden.md", ".dir/x.md", "~$lock.docx", "node_modules/q.txt", "empty.md", "with space é.txt", "a+b 100%.md", "vendor/x.md", "sub/htmlcov/y.md", "no.bin"):
         p = tmp_path / name
         p.parent.mkdir(parents=True, exist_ok=True)
         p.write_text("" if name == "empty.md" else "hello\n\nworld")
@@ -40,7 +41,9 @@ def test_listing_and_extraction(spark, tmp_path):
         z.writestr("word/document.xml", '<w:document xmlns:w="u"><w:p><w:t>one</w:t></w:p><w:p><w:t> </w:t></w:p><w:p><w:t>two</w:t></w:p></w:document>')
     (tmp_path / "bad.docx").write_bytes(b"no zip")
     got = {Path(r.path).name: r for r in files.listing(spark, str(tmp_path)).collect()}
-    assert set(got) == {"a.md", "b.txt", "with space é.txt", "d.docx", "bad.docx"}
+    assert set(got) == {"a.md", "b.txt", "with space é.txt", "a+b 100%.md", "d.docx", "bad.docx"}
+    assert all(r.path == str(tmp_path / Path(r.path).relative_to(tmp_path)) and Path(r.path).exists() and r.doc_id == hashlib.sha1(r.path.encode()).hexdigest() for r in got.values())
+    assert {Path(r.path).name for r in files.listing(spark, f"file://{tmp_path}").collect()} == set(got)
     assert got["a.md"].doc_type == "md" and got["a.md"].mode == "full"
     texts = {Path(r.path).name: r for r in files.extract(spark.read.format("binaryFile").load(f"{tmp_path}/*.docx")).collect()}
     assert texts["d.docx"].text == "one\n\ntwo" and texts["bad.docx"].text == "" and texts["bad.docx"].error
