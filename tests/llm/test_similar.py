@@ -33,8 +33,9 @@ def test_the_stage_keeps_one_of_each_pair_at_a_similarity(spark):
     kept = pipeline.keep_one_of_near_copies(spark, spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string"), "")
     kept = {r.doc_id for r in kept.collect()}
     missed = [m[3] for k, m in enumerate(made) if m[3] >= 0.8 and 2 * k + 1 in kept]
-    # pairs of just 0.8 are found with a chance of 0.95
-    assert kept >= {2 * k for k in range(len(made))} and set(missed) <= {0.8} and len(missed) <= 7
+    # by calculation 0.95 of pairs at 0.8 share a block, 0.996 at 0.85 and nearly all at 0.9
+    print('missed of 60 each:', {j: missed.count(j) for j in (0.8, 0.85, 0.9)})
+    assert kept >= {2 * k for k in range(len(made))} and missed.count(0.8) <= 7 and missed.count(0.85) <= 2 and 0.9 not in missed
     assert all(2 * k + 1 in kept for k, m in enumerate(made) if m[3] < 0.8)
 
 
