@@ -34,7 +34,7 @@ WIDTH, SPARE = 23, 2
 #: Centres that a set is compared to first.
 CENTRES = 3
 #: Share of the pairs of the least similarity that share a block, about.
-RECALL = 0.95
+RECALL = 0.98
 #: Sets that share a block and are still joined pair by pair: no more pairs than sets.
 SMALL = 3
 #: Standard deviations by which the differing bits of a candidate may exceed those expected: of the first lane, of all lanes.
