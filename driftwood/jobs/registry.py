@@ -12,7 +12,7 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from driftwood.functions import columns as C
-from driftwood.operators import chunking, retrieval, store
+from driftwood.operators import chunking, indexing, retrieval, search, store
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLE: dict[str, str] = {}
@@ -79,7 +79,13 @@ def heading_flag(spark, sf):
     return _read(spark, sf, "documents").select("doc_id", C.is_heading(F.col("text")).alias("heading"))
 
 
-@_query()
+_EXCERPTS = rf"""WITH s AS (SELECT doc_id, i, ss[i] AS s, len(list_filter(['the', 'tion', 'heit'], lambda k: contains(lower(ss[i]), k))) AS h FROM (SELECT doc_id, ss, unnest(range(1, len(ss) + 1)) AS i FROM (SELECT doc_id, {_SENTENCES} AS ss FROM documents))),
+c AS (SELECT *, row_number() OVER w AS n, sum(length(s) + 1) OVER w - 1 AS size FROM s WINDOW w AS (PARTITION BY doc_id ORDER BY h DESC, i ROWS UNBOUNDED PRECEDING)),
+e AS (SELECT doc_id, string_agg(s, ' ' ORDER BY n) FILTER (size <= 300 AND size - length(s) - 1 < 150) AS best, arg_min(s, i) AS first FROM c GROUP BY doc_id)
+SELECT d.doc_id, CASE WHEN e.doc_id IS NULL THEN trim(left(text, 300)) WHEN best IS NOT NULL THEN best WHEN length(first) > 300 THEN rtrim(left(first, 300)) || '…' ELSE first END AS excerpt FROM documents d LEFT JOIN e ON d.doc_id = e.doc_id"""
+
+
+@_query(_EXCERPTS)
 def best_excerpt(spark, sf):
     return _read(spark, sf, "documents").select("doc_id", C.excerpt(F.col("text"), WORDS).alias("excerpt"))
 
@@ -163,6 +169,33 @@ def hybrid_search(spark, sf):
     return retrieval.hybrid_search(_chunks(spark, sf), query, WORDS).select("chunk_id", "doc", F.round("rrf", 9).alias("rrf"))
 
 
+_SHOWN = "array_to_string(CASE WHEN len(f) = 0 THEN ['the', 'tion', 'heit'] ELSE f END, ',')"
+
+
+@_query(f"""SELECT chunk_id, doc, round(rrf, 4) AS score, excerpt, {_SHOWN} AS keywords, lang FROM ({ORACLE["hybrid_search"]}) h JOIN ({_EXCERPTS}) x ON h.chunk_id = x.doc_id
+JOIN (SELECT doc_id, lang, list_filter(['the', 'tion', 'heit'], lambda k: contains(lower(text), k)) AS f FROM documents) d ON h.chunk_id = d.doc_id""")
+def search_results(spark, sf):
+    query = retrieval.vector(_first_vector(_read(spark, sf, "embeddings")))
+    chunks = _chunks(spark, sf).join(_read(spark, sf, "documents").select(F.col("doc_id").alias("chunk_id"), "lang"), "chunk_id")
+    return search.search(chunks, query, WORDS).withColumn("keywords", F.array_join("keywords", ","))
+
+
+@_query(_FUSED.replace("QUALIFY dense_rank < 150),", "WHERE vec_id IN (SELECT doc_id FROM documents) QUALIFY dense_rank < 50),", 1).replace("sparse_rank < 150", "sparse_rank < 50") + """,
+parts AS (SELECT vec_id, p // 16 AS part, CAST(list_slice(embedding, p + 1, p + 16) AS DOUBLE[]) AS v FROM (SELECT vec_id, embedding, unnest(range(0, len(embedding), 16)) AS p FROM embeddings)),
+q AS (SELECT part, v FROM parts WHERE vec_id = (SELECT min(vec_id) FROM embeddings)),
+m AS (SELECT vec_id, q.part, max(list_dot_product(q.v, t.v)) AS s FROM q, (SELECT * FROM parts WHERE vec_id IN (SELECT id FROM f)) t GROUP BY ALL)
+SELECT vec_id AS chunk_id, source AS doc, round(score, 5) AS score FROM (SELECT vec_id, round(sum(s), 6) AS score FROM m GROUP BY vec_id) JOIN c ON vec_id = doc_id ORDER BY score DESC, vec_id LIMIT 10""")
+def search_reranked(spark, sf):
+    """Parts of 16 numbers of a chunk's vector stand for the vectors of its tokens."""
+    vectors = _read(spark, sf, "embeddings")
+    first = _first_vector(vectors)
+    starts = F.sequence(F.lit(1), F.size("embedding"), F.lit(16))
+    tokens = vectors.select(F.col("vec_id").alias("chunk_id"), F.explode(F.transform(starts, lambda p: F.slice("embedding", p, 16))).alias("vec"))
+    late = [first[k : k + 16] for k in range(0, len(first), 16)]
+    found = search.search_reranked(_chunks(spark, sf), tokens, retrieval.vector(first), WORDS, late)
+    return found.select("chunk_id", "doc", F.round("score", 5).alias("score"))
+
+
 @_query(f"SELECT label, vec_id, round(score, 6) AS score FROM (SELECT label, e.vec_id, score FROM embeddings e JOIN ({_DENSE}) s ON e.vec_id = s.vec_id) QUALIFY row_number() OVER (PARTITION BY label ORDER BY score DESC, vec_id) = 1")
 def best_chunk_per_doc(spark, sf):
     vectors = _read(spark, sf, "embeddings")
@@ -343,3 +376,40 @@ def reading_mode(spark, sf):
     from driftwood.sources.files import mode
 
     return _read(spark, sf, "documents").select("doc_id", mode(F.col("n_chars"), F.lit(None).cast("int"), head=4000, name=10_000).alias("mode"))
+
+
+# --- indexing -----------------------------------------------------------------------------------------------------
+
+
+@_query("SELECT d.doc_id, sha1(d.text) AS file_hash FROM documents d LEFT JOIN labels l ON d.doc_id = l.doc_id WHERE d.text IS NULL OR l.doc_id IS NULL OR l.toxic = 1 OR l.quality <= 0.5")
+def changed_files(spark, sf):
+    """Labelled documents are the store: of toxic ones the digest is empty, of poor ones another."""
+    files = _read(spark, sf, "documents").select("doc_id", F.sha1("text").alias("file_hash"))
+    labels = _read(spark, sf, "labels").select("doc_id", "toxic", "quality")
+    digest = F.when(F.col("toxic") == 1, "").when(F.col("quality") <= 0.5, F.sha1("file_hash")).otherwise(F.col("file_hash"))
+    return indexing.changed(files, files.join(labels, "doc_id").select("doc_id", digest.alias("file_hash")), "doc_id", "file_hash").select("doc_id", "file_hash")
+
+
+@_query(rf"""WITH n AS (SELECT conv_id AS doc_id, turn AS p, text AS content FROM conversations WHERE conv_id NOT IN (SELECT doc_id FROM labels WHERE toxic = 1)
+UNION ALL SELECT doc_id, p, substr(t, p + 1, 1500) FROM (SELECT doc_id, t, unnest(range(0, length(t), 1300)) AS p FROM (SELECT doc_id, {_SQUEEZED} AS t FROM documents WHERE doc_id IN (SELECT doc_id FROM labels WHERE toxic = 1)))),
+c AS (SELECT doc_id, content, CAST(row_number() OVER (PARTITION BY doc_id ORDER BY p) - 1 AS INTEGER) AS chunk_idx, count(*) OVER (PARTITION BY doc_id) AS chunk_total FROM n),
+h AS (SELECT *, doc_id || '_' || chunk_idx AS chunk_id, sha1(unhex('6ba7b8119dad11d180b400c04fd430c8') || encode(doc_id || '_' || chunk_idx)) AS s FROM c)
+SELECT chunk_id, doc_id, chunk_idx, chunk_total, content, substr(s, 1, 8) || '-' || substr(s, 9, 4) || '-5' || substr(s, 14, 3) || '-' || substr('89ab', CAST(('0x' || substr(s, 17, 1)) AS INTEGER) % 4 + 1, 1) || substr(s, 18, 3) || '-' || substr(s, 21, 12) AS uuid FROM h""")
+def replace_documents(spark, sf):
+    """Conversations are the store, their turns its chunks; those whose id a toxic label has become windows of that document."""
+    touched = _read(spark, sf, "labels").where("toxic = 1").select("doc_id")
+    stored = indexing.numbered(_read(spark, sf, "conversations").select(F.col("conv_id").alias("doc_id"), "turn", F.col("text").alias("content")), "doc_id", "turn").drop("turn")
+    docs = _read(spark, sf, "documents").select("doc_id", "text").join(touched.distinct(), "doc_id", "left_semi")
+    new = indexing.numbered(chunking.fixed_windows(docs), "doc_id", "chunk_index").drop("chunk_index")
+    return indexing.replace_documents(stored, new, touched).select("chunk_id", "doc_id", "chunk_idx", "chunk_total", "content", "uuid")
+
+
+@_query(f"""WITH t AS (SELECT conv_id, turn, unnest(regexp_split_to_array(lower(text), '[^a-z]+')) AS term FROM conversations),
+tf AS (SELECT conv_id, turn, term, count(*) AS tf FROM t WHERE length(term) >= 3 GROUP BY ALL),
+w AS (SELECT conv_id, term, sum(tf * n) AS weight FROM tf JOIN (SELECT conv_id, turn, sum(tf) AS n FROM tf GROUP BY ALL) USING (conv_id, turn) WHERE term NOT IN ({", ".join(f"'{w}'" for w in store.STOPWORDS)}) GROUP BY ALL)
+SELECT conv_id, CAST(row_number() OVER (PARTITION BY conv_id ORDER BY weight DESC, term) AS INTEGER) AS rank, term FROM w QUALIFY rank <= 15""")
+def document_keywords(spark, sf):
+    """Turns are chunks; a term's weight is its count there, a turn's length that of its terms."""
+    words = F.filter(F.split(F.lower("text"), "[^a-z]+"), lambda w: F.char_length(w) >= 3)
+    turns = _read(spark, sf, "conversations").select("conv_id", words.alias("words")).select("conv_id", F.size("words").alias("n"), F.explode("words").alias("term"))
+    return indexing.document_keywords(turns.withColumn("w", F.lit(1)), "conv_id", "term", "w", "n")
