@@ -90,7 +90,8 @@ def norm(a: Column) -> Column:
 
 
 def cosine(a: Column, b: Column) -> Column:
-    return dot(a, b) / (norm(a) * norm(b))
+    """Null if either vector is zero."""
+    return dot(a, b) / F.nullif(norm(a) * norm(b), F.lit(0.0))
 
 
 def unit(a: Column) -> Column:
@@ -98,21 +99,23 @@ def unit(a: Column) -> Column:
     return let(norm(a), lambda n: F.transform(a, lambda x: x / n))
 
 
-def shown_keywords(keywords: list[str], content: Column) -> Column:
+def shown_keywords(keywords: list[str] | Column, content: Column) -> Column:
     """Query keywords that the content holds, or the first three."""
-    all_ = F.array(*map(F.lit, keywords))
+    all_ = keywords if isinstance(keywords, Column) else F.array(*map(F.lit, keywords))
     found = F.filter(all_, lambda k: F.contains(F.lower(content), F.lower(k)))
     return F.when(F.size(found) == 0, F.slice(all_, 1, 3)).otherwise(found)
 
 
-def excerpt(content: Column, keywords: list[str], most: int = 300) -> Column:
+def excerpt(content: Column, keywords: list[str] | Column, most: int = 300) -> Column:
     """The sentences with the most query keywords, in that order, up to `most` characters.
 
     Sentences are added until the next would not fit or half is reached; if none fits, the first of the text is cut.
     """
-    wanted = [F.lit(k.lower()) for k in keywords]
 
     def hits(s: Column) -> Column:
+        if isinstance(keywords, Column):
+            return F.size(F.filter(keywords, lambda k: F.contains(F.lower(s), F.lower(k))))
+        wanted = [F.lit(k.lower()) for k in keywords]
         return sum((F.contains(F.lower(s), k).cast("int") for k in wanted), F.lit(0))
 
     def gather(ss: Column) -> Column:

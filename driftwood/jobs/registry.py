@@ -12,7 +12,7 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from driftwood.functions import columns as C
-from driftwood.operators import chunking, indexing, retrieval, search, store
+from driftwood.operators import chunking, encoding, indexing, query_sets, retrieval, store
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLE: dict[str, str] = {}
@@ -35,11 +35,6 @@ def _read(spark: SparkSession, sf: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf}/{name}.parquet")
 
 
-def _first_vector(vectors: DataFrame) -> list[float]:
-    """The vector of the smallest id: the query of the vector searches (one row of fixed size)."""
-    return list(vectors.orderBy("vec_id").select("embedding").first()[0])
-
-
 # --- text ---------------------------------------------------------------------------------------------------------
 
 _SQUEEZED = r"trim(regexp_replace(text, '\s+', ' ', 'g'))"
@@ -117,14 +112,21 @@ def point_ids(spark, sf):
 
 # --- vectors and ranking --------------------------------------------------------------------------------------------
 
-_Q = "(SELECT CAST(embedding AS DOUBLE[]) AS q FROM embeddings ORDER BY vec_id LIMIT 1)"
-_DENSE = f"SELECT vec_id, round(list_cosine_similarity(CAST(embedding AS DOUBLE[]), q), 9) AS score FROM embeddings, {_Q}"
+#: Queries are the rows whose id is divisible by this, against all rows.
+EACH = 50
+
+_DENSE = f"""qs AS (SELECT vec_id AS q, CAST(embedding AS DOUBLE[]) AS qv FROM embeddings WHERE vec_id % {EACH} = 0),
+ds AS (SELECT q, vec_id, round(list_cosine_similarity(CAST(embedding AS DOUBLE[]), qv), 9) AS score FROM embeddings, qs)"""
 
 
-@_query(f"SELECT vec_id, round(score, 6) AS score FROM ({_DENSE}) ORDER BY round(score, 9) DESC, vec_id LIMIT 50")
+def _vector_queries(vectors: DataFrame) -> DataFrame:
+    return vectors.where(F.col("vec_id") % EACH == 0).select(F.col("vec_id").alias("q"), F.col("embedding").alias("q_vec"))
+
+
+@_query(f"WITH {_DENSE} SELECT q, vec_id, round(score, 6) AS score FROM ds QUALIFY row_number() OVER (PARTITION BY q ORDER BY score DESC, vec_id) <= 50")
 def dense_topk(spark, sf):
     vectors = _read(spark, sf, "embeddings")
-    return retrieval.dense_top(vectors, retrieval.vector(_first_vector(vectors)), 50, "vec_id", "embedding").withColumn("score", F.round("score", 6))
+    return query_sets.dense_each(_vector_queries(vectors), vectors, 50, "vec_id", "embedding").select("q", "vec_id", F.round("score", 6).alias("score"))
 
 
 _SPARSE = f"""WITH tok AS (SELECT doc_id, unnest(regexp_split_to_array(lower(text), '[^a-z]+')) AS term FROM documents),
@@ -138,93 +140,106 @@ def sparse_idf_score(spark, sf):
     return retrieval.sparse_scores(_read(spark, sf, "documents"), WORDS).withColumn("score", F.round("score", 6))
 
 
-_FUSED = f"""WITH d AS (SELECT vec_id AS id, row_number() OVER (ORDER BY score DESC, vec_id) - 1 AS dense_rank FROM ({_DENSE}) QUALIFY dense_rank < 150),
-c AS (SELECT doc_id, source, text FROM documents WHERE doc_id IN (SELECT vec_id FROM embeddings)),
-tok AS (SELECT doc_id, unnest(regexp_split_to_array(lower(text), '[^a-z]+')) AS term FROM c),
-tf AS (SELECT doc_id, term, count(*) AS tf FROM tok WHERE term IN {_WORDS} GROUP BY ALL),
+def _fused(channel: int) -> str:
+    return f"""WITH c AS (SELECT doc_id, source, lang, text, CAST(embedding AS DOUBLE[]) AS v FROM documents JOIN embeddings ON doc_id = vec_id),
+qs AS (SELECT doc_id AS q, v AS qv FROM c WHERE doc_id % {EACH} = 0),
+d AS (SELECT q, doc_id AS id, row_number() OVER (PARTITION BY q ORDER BY round(list_cosine_similarity(v, qv), 9) DESC, doc_id) - 1 AS dense_rank FROM c, qs QUALIFY dense_rank < {channel}),
+tf AS (SELECT doc_id, term, count(*) AS tf FROM (SELECT doc_id, unnest(regexp_split_to_array(lower(text), '[^a-z]+')) AS term FROM c) WHERE term <> '' GROUP BY ALL),
+qt AS (SELECT doc_id AS q, term, row_number() OVER (PARTITION BY doc_id ORDER BY tf DESC, term) AS n FROM tf WHERE doc_id % {EACH} = 0 AND length(term) >= 3 QUALIFY n <= 3),
 w AS (SELECT term, ln(1 + (n - df + 0.5) / (df + 0.5)) AS idf FROM (SELECT term, count(*) AS df FROM tf GROUP BY term), (SELECT count(*) AS n FROM c)),
-sc AS (SELECT doc_id, round(sum(tf * idf), 9) AS score FROM tf JOIN w USING (term) GROUP BY doc_id),
-s AS (SELECT doc_id AS id, row_number() OVER (ORDER BY score DESC, doc_id) - 1 AS sparse_rank FROM sc QUALIFY sparse_rank < 150),
-f AS (SELECT id, dense_rank, sparse_rank, round(coalesce(1.0 / (61 + dense_rank), 0) + coalesce(1.0 / (61 + sparse_rank), 0), 12) AS rrf FROM d FULL JOIN s USING (id))"""
+sc AS (SELECT q, doc_id AS id, round(sum(tf * idf), 9) AS score FROM tf JOIN w USING (term) JOIN qt USING (term) GROUP BY ALL),
+s AS (SELECT q, id, row_number() OVER (PARTITION BY q ORDER BY score DESC, id) - 1 AS sparse_rank FROM sc QUALIFY sparse_rank < {channel}),
+f AS (SELECT q, id, dense_rank, sparse_rank, round(coalesce(1.0 / (61 + dense_rank), 0) + coalesce(1.0 / (61 + sparse_rank), 0), 12) AS rrf FROM d FULL JOIN s USING (q, id))"""
 
 
 def _chunks(spark, sf) -> DataFrame:
     docs, vectors = _read(spark, sf, "documents"), _read(spark, sf, "embeddings")
-    return docs.join(vectors, docs.doc_id == vectors.vec_id).select(F.col("doc_id").alias("chunk_id"), F.col("source").alias("doc"), "text", F.col("embedding").alias("dense"))
+    return docs.join(vectors, docs.doc_id == vectors.vec_id).select(F.col("doc_id").alias("chunk_id"), F.col("source").alias("doc"), "text", F.col("embedding").alias("dense"), "lang")
 
 
-@_query(_FUSED + " SELECT id AS chunk_id, coalesce(dense_rank, -1) AS dense_rank, coalesce(sparse_rank, -1) AS sparse_rank, round(rrf, 9) AS rrf FROM f")
-def rrf_fusion(spark, sf):
-    vectors, chunks = _read(spark, sf, "embeddings"), _chunks(spark, sf)
-    dense = retrieval.dense_top(vectors.select(F.col("vec_id").alias("chunk_id"), F.col("embedding").alias("dense")), retrieval.vector(_first_vector(vectors)), 150)
-    sparse = retrieval.sparse_scores(chunks, WORDS, key="chunk_id").orderBy(F.desc("score"), "chunk_id").limit(150)
-    out = retrieval.fuse(retrieval.ranked(dense, "chunk_id", "dense_rank"), retrieval.ranked(sparse, "chunk_id", "sparse_rank"), "chunk_id")
-    return out.select("chunk_id", *[F.coalesce(F.col(c).cast("long"), F.lit(-1)).alias(c) for c in ("dense_rank", "sparse_rank")], F.round("rrf", 9).alias("rrf"))
+def _text_queries(chunks: DataFrame) -> DataFrame:
+    """q, q_vec and words of the chunks that are queries: a chunk's vector and its three most frequent words."""
+    asked = chunks.where(F.col("chunk_id") % EACH == 0)
+    words = query_sets.top_words(asked, "chunk_id", "text")
+    return asked.join(words, "chunk_id", "left").select(F.col("chunk_id").alias("q"), F.col("dense").alias("q_vec"), "words")
 
 
-@_query(_FUSED.replace("QUALIFY dense_rank < 150),", "WHERE vec_id IN (SELECT doc_id FROM documents) QUALIFY dense_rank < 150),", 1) + """ SELECT id AS chunk_id, source AS doc, round(rrf, 9) AS rrf FROM f JOIN c ON id = doc_id
-QUALIFY row_number() OVER (PARTITION BY source ORDER BY rrf DESC, dense_rank NULLS LAST, sparse_rank NULLS LAST) = 1 ORDER BY rrf DESC, dense_rank NULLS LAST, sparse_rank NULLS LAST LIMIT 10""")
-def hybrid_search(spark, sf):
-    query = retrieval.vector(_first_vector(_read(spark, sf, "embeddings")))
-    return retrieval.hybrid_search(_chunks(spark, sf), query, WORDS).select("chunk_id", "doc", F.round("rrf", 9).alias("rrf"))
+@_query(_fused(150) + " SELECT q, id AS chunk_id, coalesce(dense_rank, -1) AS dense_rank, coalesce(sparse_rank, -1) AS sparse_rank, round(rrf, 9) AS rrf FROM f")
+def rrf_fusion(spark, sf):
+    chunks = _chunks(spark, sf)
+    out = query_sets.fused_each(_text_queries(chunks), chunks)
+    return out.select("q", "chunk_id", *[F.coalesce(F.col(c).cast("long"), F.lit(-1)).alias(c) for c in ("dense_rank", "sparse_rank")], F.round("rrf", 9).alias("rrf"))
 
 
-_SHOWN = "array_to_string(CASE WHEN len(f) = 0 THEN ['the', 'tion', 'heit'] ELSE f END, ',')"
+_ORDER = "ORDER BY rrf DESC, dense_rank NULLS LAST, sparse_rank NULLS LAST"
+_HYBRID = _fused(150) + f""",
+h AS (SELECT q, id, source, lang, text, rrf, dense_rank, sparse_rank FROM f JOIN c ON id = doc_id QUALIFY row_number() OVER (PARTITION BY q, source {_ORDER}) = 1),
+r AS (SELECT *, row_number() OVER (PARTITION BY q {_ORDER}) - 1 AS rank FROM h QUALIFY rank < 10)"""
 
 
-@_query(f"""SELECT chunk_id, doc, round(rrf, 4) AS score, excerpt, {_SHOWN} AS keywords, lang FROM ({ORACLE["hybrid_search"]}) h JOIN ({_EXCERPTS}) x ON h.chunk_id = x.doc_id
-JOIN (SELECT doc_id, lang, list_filter(['the', 'tion', 'heit'], lambda k: contains(lower(text), k)) AS f FROM documents) d ON h.chunk_id = d.doc_id""")
+@_query(f"{_HYBRID} SELECT q, rank, id AS chunk_id, source AS doc, round(rrf, 9) AS rrf FROM r")
+def hybrid_search(spark, sf):
+    chunks = _chunks(spark, sf)
+    return query_sets.hybrid_each(_text_queries(chunks), chunks).select("q", F.col("rank").cast("long").alias("rank"), "chunk_id", "doc", F.round("rrf", 9).alias("rrf"))
+
+
+@_query(f"""{_HYBRID},
+ws AS (SELECT q, list(term ORDER BY n) AS words FROM qt GROUP BY q),
+k AS (SELECT r.*, words, list_filter(words, lambda k: contains(lower(text), k)) AS found FROM r LEFT JOIN ws USING (q)),
+ss AS (SELECT q, id, i, s[i] AS s, len(list_filter(words, lambda k: contains(lower(s[i]), k))) AS h FROM (SELECT q, id, words, s, unnest(range(1, len(s) + 1)) AS i FROM (SELECT q, id, words, {_SENTENCES} AS s FROM k))),
+cs AS (SELECT *, row_number() OVER w AS n, sum(length(s) + 1) OVER w - 1 AS size FROM ss WINDOW w AS (PARTITION BY q, id ORDER BY h DESC, i ROWS UNBOUNDED PRECEDING)),
+e AS (SELECT q, id, string_agg(s, ' ' ORDER BY n) FILTER (size <= 300 AND size - length(s) - 1 < 150) AS best, arg_min(s, i) AS first FROM cs GROUP BY ALL)
+SELECT k.q, rank, k.id AS chunk_id, source AS doc, round(rrf, 4) AS score, lang, array_to_string(CASE WHEN len(found) = 0 THEN words[1:3] ELSE found END, ',') AS keywords,
+CASE WHEN e.id IS NULL THEN trim(left(text, 300)) WHEN best IS NOT NULL THEN best WHEN length(first) > 300 THEN rtrim(left(first, 300)) || '…' ELSE first END AS excerpt FROM k LEFT JOIN e ON k.q = e.q AND k.id = e.id""")
 def search_results(spark, sf):
-    query = retrieval.vector(_first_vector(_read(spark, sf, "embeddings")))
-    chunks = _chunks(spark, sf).join(_read(spark, sf, "documents").select(F.col("doc_id").alias("chunk_id"), "lang"), "chunk_id")
-    return search.search(chunks, query, WORDS).withColumn("keywords", F.array_join("keywords", ","))
+    chunks = _chunks(spark, sf)
+    return query_sets.search_each(_text_queries(chunks), chunks).withColumn("keywords", F.array_join("keywords", ",")).withColumn("rank", F.col("rank").cast("long"))
 
 
-@_query(_FUSED.replace("QUALIFY dense_rank < 150),", "WHERE vec_id IN (SELECT doc_id FROM documents) QUALIFY dense_rank < 50),", 1).replace("sparse_rank < 150", "sparse_rank < 50") + """,
+@_query(_fused(50) + f""",
 parts AS (SELECT vec_id, p // 16 AS part, CAST(list_slice(embedding, p + 1, p + 16) AS DOUBLE[]) AS v FROM (SELECT vec_id, embedding, unnest(range(0, len(embedding), 16)) AS p FROM embeddings)),
-q AS (SELECT part, v FROM parts WHERE vec_id = (SELECT min(vec_id) FROM embeddings)),
-m AS (SELECT vec_id, q.part, max(list_dot_product(q.v, t.v)) AS s FROM q, (SELECT * FROM parts WHERE vec_id IN (SELECT id FROM f)) t GROUP BY ALL)
-SELECT vec_id AS chunk_id, source AS doc, round(score, 5) AS score FROM (SELECT vec_id, round(sum(s), 6) AS score FROM m GROUP BY vec_id) JOIN c ON vec_id = doc_id ORDER BY score DESC, vec_id LIMIT 10""")
+m AS (SELECT f.q, f.id, a.part, max(list_dot_product(a.v, b.v)) AS s FROM f JOIN parts a ON a.vec_id = f.q JOIN parts b ON b.vec_id = f.id GROUP BY ALL),
+t AS (SELECT q, id, round(sum(s), 6) AS score FROM m GROUP BY ALL)
+SELECT q, row_number() OVER (PARTITION BY q ORDER BY score DESC, id) - 1 AS rank, id AS chunk_id, source AS doc, round(score, 5) AS score FROM t JOIN c ON id = doc_id QUALIFY rank < 10""")
 def search_reranked(spark, sf):
     """Parts of 16 numbers of a chunk's vector stand for the vectors of its tokens."""
-    vectors = _read(spark, sf, "embeddings")
-    first = _first_vector(vectors)
+    vectors, chunks = _read(spark, sf, "embeddings"), _chunks(spark, sf)
     starts = F.sequence(F.lit(1), F.size("embedding"), F.lit(16))
     tokens = vectors.select(F.col("vec_id").alias("chunk_id"), F.explode(F.transform(starts, lambda p: F.slice("embedding", p, 16))).alias("vec"))
-    late = [first[k : k + 16] for k in range(0, len(first), 16)]
-    found = search.search_reranked(_chunks(spark, sf), tokens, retrieval.vector(first), WORDS, late)
-    return found.select("chunk_id", "doc", F.round("score", 5).alias("score"))
+    late = tokens.where(F.col("chunk_id") % EACH == 0).select(F.col("chunk_id").alias("q"), F.col("vec").alias("q_vec"))
+    found = query_sets.reranked_each(_text_queries(chunks), late, chunks, tokens)
+    return found.select("q", F.col("rank").cast("long").alias("rank"), "chunk_id", "doc", F.round("score", 5).alias("score"))
 
 
-@_query(f"SELECT label, vec_id, round(score, 6) AS score FROM (SELECT label, e.vec_id, score FROM embeddings e JOIN ({_DENSE}) s ON e.vec_id = s.vec_id) QUALIFY row_number() OVER (PARTITION BY label ORDER BY score DESC, vec_id) = 1")
+@_query(f"""WITH {_DENSE}, hits AS (SELECT * FROM ds QUALIFY row_number() OVER (PARTITION BY q ORDER BY score DESC, vec_id) <= 150)
+SELECT q, label, vec_id, round(score, 6) AS score FROM hits JOIN (SELECT vec_id, label FROM embeddings) USING (vec_id) QUALIFY row_number() OVER (PARTITION BY q, label ORDER BY score DESC, vec_id) = 1""")
 def best_chunk_per_doc(spark, sf):
+    """Of each query's 150 hits the best of each label."""
     vectors = _read(spark, sf, "embeddings")
-    hits = vectors.select("label", "vec_id", F.round(C.cosine(F.col("embedding"), retrieval.vector(_first_vector(vectors))), 9).alias("score"))
-    return retrieval.best_per_document(hits, "label", [F.desc("score"), F.col("vec_id")]).withColumn("score", F.round("score", 6))
+    hits = query_sets.dense_each(_vector_queries(vectors), vectors, 150, "vec_id", "embedding").join(vectors.select("vec_id", "label"), "vec_id")
+    best = retrieval.best_per_document(hits, ["q", "label"], [F.desc("score"), F.col("vec_id")])
+    return best.select("q", "label", "vec_id", F.round("score", 6).alias("score"))
 
 
-_MAXSIM = """WITH q AS (SELECT vec_id // 10 AS q, vec_id AS q_token, CAST(embedding AS DOUBLE[]) AS v FROM embeddings WHERE vec_id < 30),
-t AS (SELECT vec_id // 10 AS grp, CAST(embedding AS DOUBLE[]) AS v FROM embeddings),
-m AS (SELECT q, q_token, grp, max(list_dot_product(q.v, t.v)) AS s FROM q, t GROUP BY ALL)
+_MAXSIM = f"""WITH t AS (SELECT vec_id, vec_id // 10 AS grp, CAST(embedding AS DOUBLE[]) AS v FROM embeddings),
+m AS (SELECT q.grp AS q, q.vec_id AS q_token, t.grp, max(list_dot_product(q.v, t.v)) AS s FROM t q, t WHERE q.grp % {EACH} = 0 GROUP BY ALL)
 SELECT q, grp, round(sum(s), 6) AS score FROM m GROUP BY q, grp"""
 
 
-def _max_sim(spark, sf) -> DataFrame:
-    vectors = _read(spark, sf, "embeddings")
-    group = F.floor(F.col("vec_id") / 10).cast("long")
-    query = vectors.where("vec_id < 30").select(group.alias("q"), F.col("vec_id").alias("q_token"), F.col("embedding").alias("q_vec"))
-    return retrieval.max_sim(query, vectors.select(group.alias("grp"), F.col("embedding").alias("vec")), "grp")
+def _groups(spark, sf) -> tuple[DataFrame, DataFrame]:
+    """Ten vectors in a row stand for a chunk's: those of the groups that are queries, and all."""
+    tokens = _read(spark, sf, "embeddings").select(F.floor(F.col("vec_id") / 10).cast("long").alias("grp"), F.col("embedding").alias("vec"))
+    return tokens.where(F.col("grp") % EACH == 0).select(F.col("grp").alias("q"), F.col("vec").alias("q_vec")), tokens
 
 
-@_query(_MAXSIM)
+@_query(f"SELECT * FROM ({_MAXSIM}) QUALIFY row_number() OVER (PARTITION BY q ORDER BY score DESC, grp) <= 50")
 def maxsim_scores(spark, sf):
-    return _max_sim(spark, sf)
+    return query_sets.late_each(*_groups(spark, sf), 50, "grp").drop("rank")
 
 
 @_query(f"SELECT * FROM ({_MAXSIM}) QUALIFY row_number() OVER (PARTITION BY q ORDER BY score DESC, grp) <= 5")
 def maxsim_rerank(spark, sf):
-    w = Window.partitionBy("q").orderBy(F.desc("score"), "grp")
-    return _max_sim(spark, sf).withColumn("n", F.row_number().over(w)).where("n <= 5").drop("n")
+    return query_sets.late_each(*_groups(spark, sf), 5, "grp").drop("rank")
 
 
 @_query("""WITH s AS (SELECT label, vec_id, round(list_cosine_similarity(CAST(lag(embedding) OVER w AS DOUBLE[]), CAST(embedding AS DOUBLE[])), 9) AS similarity FROM embeddings WINDOW w AS (PARTITION BY label ORDER BY vec_id)),
@@ -239,6 +254,24 @@ def unit_vectors(spark, sf):
     return _read(spark, sf, "embeddings").select("vec_id", F.round(F.aggregate(retrieval.normalised("embedding"), F.lit(0.0), lambda s, x: s + x), 6).alias("unit_sum"))
 
 
+_LETTERS = "list_transform(range(97, 123), lambda i: length(text) - length(replace(lower(text), chr(CAST(i AS INTEGER)), '')))"
+
+
+@_query(f"""WITH d AS (SELECT doc_id, {_LETTERS.replace("length(text)", "length(lower(text))")} AS n FROM (SELECT doc_id, coalesce(text, '') AS text FROM documents)),
+w AS (SELECT doc_id, n, list_sort(list_filter(list_transform(range(0, 26), lambda i: {{'w': -n[i + 1], 'i': i}}), lambda s: s.w < 0)) AS s FROM d)
+SELECT doc_id, array_to_string(n, ',') AS dense, array_to_string(list_transform(s, lambda x: x.i), ',') AS sparse_idx, array_to_string(list_transform(s, lambda x: -x.w), ',') AS sparse_val FROM w""")
+def encode_texts(spark, sf):
+    """The encoder stage with a stand-in for a model: counts of letters."""
+    rows = encoding.encode(_read(spark, sf, "documents"), encoding.letters, "doc_id")
+    joined = lambda c: F.array_join(F.transform(c, lambda x: x.cast("long").cast("string")), ",").alias(c)
+    return rows.select("doc_id", *map(joined, ("dense", "sparse_idx", "sparse_val")))
+
+
+@_query()
+def chunk_semantic(spark, sf):
+    return chunking.semantic(_read(spark, sf, "documents"), encoding.letters)
+
+
 # --- store ------------------------------------------------------------------------------------------------------------
 
 
@@ -352,15 +385,16 @@ _LENGTHS = "SELECT vec_id // 10 AS grp, max(n_chars) AS n FROM embeddings JOIN d
 UNION SELECT q, grp FROM (SELECT DISTINCT q FROM a), (SELECT grp FROM ({_LENGTHS}) ORDER BY n DESC, grp LIMIT 5))
 SELECT q, grp, score FROM a JOIN p USING (q, grp) QUALIFY row_number() OVER (PARTITION BY q ORDER BY score DESC, grp) <= 7""")
 def prefetch_union_rerank(spark, sf):
-    """Two channels' best groups per query, united, ranked anew by MaxSim."""
-    scores = _max_sim(spark, sf)
-    w = Window.partitionBy("q").orderBy(F.desc("score"), "grp")
-    first = scores.withColumn("n", F.row_number().over(w)).where("n <= 5").select("q", "grp")
+    """Two channels' best groups per query, united, ranked anew by MaxSim of these alone."""
+    queries, tokens = _groups(spark, sf)
+    first = query_sets.late_each(queries, tokens, 5, "grp").select("q", "grp")
     sizes = _read(spark, sf, "embeddings").join(_read(spark, sf, "documents").select("doc_id", "n_chars"), F.col("vec_id") == F.col("doc_id"))
-    longest = sizes.groupBy(F.floor(F.col("vec_id") / 10).cast("long").alias("grp")).agg(F.max("n_chars").alias("n")).orderBy(F.desc("n"), "grp").limit(5).select("grp")
-    # five groups for each of the few queries
-    second = scores.select("q").distinct().join(F.broadcast(longest)).select("q", "grp")
-    return scores.join(first.union(second).distinct(), ["q", "grp"]).withColumn("n", F.row_number().over(w)).where("n <= 7").drop("n")
+    longest = sizes.groupBy(F.floor(F.col("vec_id") / 10).cast("long").alias("grp")).agg(F.max("n_chars").alias("n")).orderBy(F.desc("n"), "grp").limit(5)
+    # five groups, given to each query
+    second = queries.select("q").distinct().join(F.broadcast(longest.agg(F.collect_list("grp").alias("grps")))).select("q", F.explode("grps").alias("grp"))
+    scores = query_sets.late_scores_each(first.union(second), queries, tokens, "grp")
+    w = Window.partitionBy("q").orderBy(F.desc("score"), "grp")
+    return scores.withColumn("n", F.row_number().over(w)).where("n <= 7").drop("n")
 
 
 @_query("SELECT page_id, replace(replace(replace(replace(replace(html, '&', '&amp;'), '<', '&lt;'), '>', '&gt;'), '\"', '&quot;'), '''', '&#x27;') AS escaped FROM pages")
