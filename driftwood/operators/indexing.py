@@ -5,7 +5,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from driftwood.functions.columns import uuid5
+from driftwood.functions.columns import strip, uuid5
+from driftwood.operators.chunking import hybrid
 from driftwood.operators.store import delete_documents, shown_keywords
 
 
@@ -35,3 +36,37 @@ def document_keywords(weighted: DataFrame, key: str, term: str, weight: str, len
     """
     sums = weighted.groupBy(key, term).agg(F.sum(F.col(weight) * F.greatest(F.col(length), F.lit(1))).alias("_weight"))
     return shown_keywords(sums, key, term, "_weight", top)
+
+
+def first_files(files: DataFrame, most: int | None, order: str = "path") -> DataFrame:
+    """At most so many files, in order; None or a number below one leaves all."""
+    return files.orderBy(order).limit(most) if most and most > 0 else files
+
+
+def wanted_only(files: DataFrame, wanted: DataFrame | None, key: str = "doc_id") -> DataFrame:
+    """The files asked for: all for None, none for an empty table."""
+    return files if wanted is None else files.join(wanted.select(key).distinct(), key, "left_semi")
+
+
+def filled(docs: DataFrame, hint: str, text: str = "text", policy: str = "hint") -> DataFrame:
+    """What becomes of documents whose text is null or blank: the hint is their text, or (policy "skip") they go."""
+    blank = strip(F.coalesce(F.col(text), F.lit(""))) == ""
+    return docs.where(~blank) if policy == "skip" else docs.withColumn(text, F.when(blank, F.col(hint)).otherwise(F.col(text)))
+
+
+def event_lines(rows: DataFrame, kind: str, columns: list[str]) -> DataFrame:
+    """One line of JSON per row: its type, then the columns; a null is left out."""
+    return rows.select(F.to_json(F.struct(F.lit(kind).alias("type"), *columns)).alias("value"))
+
+
+def index_documents(docs: DataFrame, stored: DataFrame, known: DataFrame, wanted: DataFrame | None = None, policy: str = "hint") -> tuple[DataFrame, DataFrame]:
+    """The chunk store after a run, and the chunks that the run made.
+
+    `docs` (doc_id, path, file_hash, text) are what the listing and extraction give; those whose digest is in `known`
+    (doc_id, file_hash) are left alone.  Texts become numbered chunks of paragraphs, which replace all of their document's
+    in `stored` (doc_id, content, chunk_idx, chunk_total, chunk_id, uuid).
+    """
+    fresh = changed(wanted_only(docs, wanted), known, "doc_id", "file_hash")
+    hinted = filled(fresh, "path", policy=policy)
+    new = numbered(hybrid(hinted).select("doc_id", "chunk_index", "content"), "doc_id", "chunk_index").drop("chunk_index")
+    return replace_documents(stored, new, fresh), new

@@ -91,27 +91,55 @@ def _office(kind: str, content: bytes) -> str:
         return "\n\n".join(out)
 
 
-def extract(files: DataFrame, parsers: dict[str, Callable[[bytes], str]] | None = None) -> DataFrame:
-    """path, doc_type, text and error of files with their content; `parsers` adds types (pdf needs one).
+def joined_pages(pages: list[str], head_only: bool, least: int = 10, head: int = 8) -> tuple[str, list[int]]:
+    """Text of a document's pages and the numbers, from 0, of those with too little text, which want OCR and are left out."""
+    read = list(enumerate(pages))[: head if head_only else None]
+    scanned = [k for k, p in read if len((p or "").strip()) < least]
+    return "\n\n".join(p for k, p in read if k not in scanned), scanned
 
-    A file that can't be read has empty text and its error; a type without a parser has empty text.
+
+def extract(files: DataFrame, parsers: dict[str, Callable[[bytes], str | list[str]]] | None = None, head_chars: int = 1 << 20) -> DataFrame:
+    """path, doc_type, text, error, page_count and ocr_pages of files with their content; `parsers` adds types (pdf needs one).
+
+    A parser returns a text, or the texts of pages.  With a column `mode`, files of mode filename_only have their name as
+    text and are not parsed, those of mode head_only the first pages.  Of plain text the first `head_chars` characters
+    count.  A file that can't be read has empty text and its error; a type without a parser has empty text.
     """
     given = dict(parsers or {})
 
+    def read(kind: str, how: str, content: bytes) -> tuple[str, int | None, list[int]]:
+        if kind in given:
+            got = given[kind](content)
+            return (got, None, []) if isinstance(got, str) else (joined := joined_pages(got, how == "head_only"))[:1] + (len(got), joined[1])
+        if kind in ("txt", "md"):
+            return content.decode("utf-8", "ignore")[:head_chars], None, []
+        return (_office(kind, content) if kind in ("docx", "pptx", "xlsx") else ""), None, []
+
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for b in batches:
             rows = []
-            for path, kind, content in zip(b.path, b.doc_type, b.content):
+            for path, kind, how, content in zip(b.path, b.doc_type, b["mode"], b.content):
                 try:
-                    if kind in given:
-                        text = given[kind](content)
-                    elif kind in ("txt", "md"):
-                        text = content.decode("utf-8", "ignore")
-                    else:
-                        text = _office(kind, content) if kind in ("docx", "pptx", "xlsx") else ""
-                    rows.append((path, kind, text, None))
+                    text, pages, scanned = (path.rsplit("/", 1)[-1], None, []) if how == "filename_only" else read(kind, how, content)
+                    rows.append((path, kind, text, None, pages, scanned))
                 except Exception as e:  # noqa: BLE001  one bad file must not end the job
-                    rows.append((path, kind, "", f"{type(e).__name__}: {e}"))
-            yield pd.DataFrame(rows, columns=["path", "doc_type", "text", "error"])
+                    rows.append((path, kind, "", f"{type(e).__name__}: {e}", None, []))
+            out = pd.DataFrame(rows, columns=["path", "doc_type", "text", "error", "page_count", "ocr_pages"])
+            yield out.astype({"page_count": "Int64"})
+
+    how = F.col("mode") if "mode" in files.columns else F.lit("full")
+    # what is not parsed is not sent to Python either
+    content = F.when(how != "filename_only", F.col("content"))
+    out = "path string, doc_type string, text string, error string, page_count long, ocr_pages array<int>"
+    return files.select("path", doc_type(F.col("path")).alias("doc_type"), how.alias("mode"), content.alias("content")).mapInPandas(run, out)
+
+
+def name_hint(path: Column) -> Column:
+    """The parts of a path as words: runs of _ and - become spaces."""
+    return F.array_join(F.transform(F.split(path, "/"), lambda p: F.regexp_replace(p, "[_-]+", " ")), " ")
+
 
-    return files.select("path", doc_type(F.col("path")).alias("doc_type"), "content").mapInPandas(run, "path string, doc_type string, text string, error string")
+def contents(spark: SparkSession, files: DataFrame, root: str) -> DataFrame:
+    """The given files with their content; others below the root are listed and not kept."""
+    read = spark.read.format("binaryFile").option("recursiveFileLookup", "true").load(root).select(local_path(F.col("path")).alias("path"), "content")
+    return files.join(read, "path")
