@@ -23,12 +23,14 @@ BLOCK, SLICE = 4_096, 65_536
 Scored = tuple[list, list, Iterator[np.ndarray]]
 
 
-def best(queries: DataFrame, rows: DataFrame, q: str, key: str, k: int, score: Callable[[pd.DataFrame, pd.DataFrame], Scored], block: int = BLOCK, slice_: int = SLICE) -> DataFrame:
+def best(queries: DataFrame, rows: DataFrame, q: str, key: str, k: int, score: Callable[[pd.DataFrame, pd.DataFrame], Scored], block: int = BLOCK, slice_: int = SLICE, counts: tuple[int, int] | None = None) -> DataFrame:
     """(q, key, score, rank): each query's k rows of greatest score, ranked from 0, ties by key; a score of -inf is no hit.
 
-    Rows of the same key, and of the same query, are scored together.
+    Rows of the same key, and of the same query, are scored together.  `counts` of queries and rows, or a little more than
+    these, save counting them here.
     """
-    n_blocks, n_slices = (max(1, -(-df.count() // size)) for df, size in ((queries, block), (rows, slice_)))
+    counts = counts or (queries.count(), rows.count())
+    n_blocks, n_slices = (max(1, -(-n // size)) for n, size in zip(counts, (block, slice_)))
 
     def dealt(df: DataFrame, by: str, own: str, parts: int, other: str, others: int) -> DataFrame:
         part = F.pmod(F.xxhash64(by), F.lit(parts)).cast("int")
@@ -74,7 +76,8 @@ def dense_each(queries: DataFrame, chunks: DataFrame, k: int, key: str = "chunk_
 
 def words_of(text: Column, least: int = 1) -> Column:
     """Lower-case runs of a-z of some length."""
-    return F.filter(F.split(F.lower(text), "[^a-z]+"), lambda w: F.char_length(w) >= least)
+    words = F.array_remove(F.split(F.lower(text), "[^a-z]+"), "")
+    return words if least == 1 else F.filter(words, lambda w: F.char_length(w) >= least)
 
 
 def top_words(docs: DataFrame, key: str, text: str, n: int = 3, least: int = 3) -> DataFrame:
@@ -86,7 +89,7 @@ def top_words(docs: DataFrame, key: str, text: str, n: int = 3, least: int = 3)
 
 def sparse_each(queries: DataFrame, chunks: DataFrame, k: int, key: str = "chunk_id", text: str = "text", **sizes: int) -> DataFrame:
     """The k chunks with the greatest sum of idf x tf over each query's words; `queries`: q, words (few, of a-z)."""
-    rows = chunks.select(key, words_of(F.col(text)).alias("words")).where(F.size("words") > 0)
+    rows = chunks.select(key, words_of(F.col(text)).alias("words")).where(F.col(text).isNotNull())
     asked = queries.select("q", F.explode(F.array_distinct("words")).alias("term"))
     # a word is counted once a chunk, and only if some query has it
     held = rows.select(F.explode(F.array_distinct("words")).alias("term")).join(asked.select("term").distinct(), "term", "left_semi")
@@ -113,7 +116,7 @@ def sparse_each(queries: DataFrame, chunks: DataFrame, k: int, key: str = "chunk
 
         return list(left["q"]), list(right[key]), sums()
 
-    return best(weighted, rows, "q", key, k, score, **sizes)
+    return best(weighted, rows, "q", key, k, score, counts=(queries.count(), chunks.count()), **sizes)
 
 
 def late_each(queries: DataFrame, tokens: DataFrame, k: int, key: str = "chunk_id", **sizes: int) -> DataFrame:
