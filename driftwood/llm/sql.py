@@ -59,4 +59,42 @@ b AS (SELECT doc_id, name AS license, dice FROM m QUALIFY row_number() OVER (PAR
 SELECT d.doc_id, license, CAST(dice AS DOUBLE) AS dice, (SELECT count(DISTINCT unit) FROM m WHERE m.doc_id = d.doc_id) AS n_matches FROM documents d LEFT JOIN b ON d.doc_id = b.doc_id"""
 
 
-ORACLE: dict[str, str] = {"op1_license_scan": _license_sql(), "op3_quality": _OP3, "op4_substring": _OP4, "op5_decontam": _OP5}
+def _centroid_sql(k: int = 16, rounds: int = 3, width: int = 64, scale: int = 64) -> str:
+    assign = """SELECT r, v, min({{'d': list_sum(list_transform(list_zip(v, m), lambda z: (z[1] - z[2]) * (z[1] - z[2]))), 'c': c}}) AS best FROM kept, c{0} GROUP BY r, v"""
+    steps = [
+        f"""kept AS (SELECT row_number() OVER () AS r, vec_id, list_transform(embedding, lambda x: CAST(floor({scale} * CAST(x AS DOUBLE)) AS BIGINT)) AS v FROM embeddings
+ WHERE len(embedding) = {width} AND len(list_filter(embedding, lambda x: x IS NULL OR isnan(x) OR isinf(x))) = 0)""",
+        f"c0 AS (SELECT row_number() OVER (ORDER BY h, v) - 1 AS c, v AS m FROM (SELECT sha256('1:' || vec_id) AS h, v FROM kept WHERE vec_id IS NOT NULL ORDER BY h, v LIMIT {k}))",
+    ]
+    for i in range(rounds):
+        steps += [
+            f"a{i} AS ({assign.format(i)})",
+            f"s{i} AS (SELECT best.c AS c, j, sum(v[j]) AS s, count(*) AS n FROM (SELECT best, v, unnest(range(1, {width + 1})) AS j FROM a{i}) GROUP BY best.c, j)",
+            f"m{i} AS (SELECT c, list(CAST((s - ((s % n) + n) % n) // n AS BIGINT) ORDER BY j) AS m FROM s{i} GROUP BY c)",
+            f"c{i + 1} AS (SELECT c0.c, coalesce(m{i}.m, old.m) AS m FROM c0 JOIN c{i} old USING (c) LEFT JOIN m{i} USING (c))",
+        ]
+    last = f"a AS (SELECT r, best.d AS d, best.c AS c FROM ({assign.format(rounds)}))"
+    return f"""WITH {", ".join([*steps, last])}
+SELECT vec_id, CAST(a.c AS INTEGER) AS cluster, CAST(d AS BIGINT) AS distance, CAST(sum(d) OVER (PARTITION BY a.c) AS BIGINT) AS cluster_inertia, CAST(sum(d) OVER () AS BIGINT) AS inertia, sha256(array_to_string(m, ',')) AS centroid_sha256
+FROM a JOIN kept USING (r) JOIN c{rounds} f ON f.c = a.c"""
+
+
+_OP13 = r"""WITH crc AS (SELECT list_transform(range(256), lambda n: list_reduce(range(8), lambda a, i: CASE WHEN a & 1 = 1 THEN xor(a >> 1, 3988292384) ELSE a >> 1 END, n)) AS tab),
+cv AS (SELECT c, xor(list_reduce(list_transform(string_split(CAST(c AS VARCHAR), ''), lambda s: CAST(ascii(s) AS BIGINT)), lambda a, k: xor(a >> 8, tab[(xor(a, k) & 255) + 1]), 4294967295), 4294967295) % 4 AS h
+ FROM (SELECT DISTINCT conv_id AS c FROM conversations WHERE conv_id IS NOT NULL), crc),
+t AS (SELECT conv_id AS c, turn, coalesce(role, '') AS role, coalesce(text, '') AS text FROM conversations),
+n AS (SELECT c, k, w, row_number() OVER (PARTITION BY c ORDER BY turn NULLS FIRST, k) AS r FROM (SELECT c, turn, md5(octet_length(encode(role)) || ':' || role || text) AS k, len(regexp_extract_all(text, '[^\x20\x09-\x0D]+')) AS w FROM t)),
+b AS (SELECT cv.c, 0 AS s, r, k, w FROM cv JOIN n ON n.c = cv.c - cv.c % 20 AND r <= h UNION ALL SELECT cv.c, 1, r, k, w FROM cv JOIN n ON n.c = cv.c AND r > h),
+p AS (SELECT c, row_number() OVER (PARTITION BY c ORDER BY s, r) AS d, k, w FROM b),
+m AS (SELECT c, d, w, sha256(string_agg(k, ',') OVER (PARTITION BY c ORDER BY d)) AS id FROM p UNION ALL SELECT c, 0, 0, '' FROM cv),
+l AS (SELECT c, max(d) AS n FROM m GROUP BY c),
+nodes AS (SELECT id, d, min(c) AS c, count(*) AS n_convs, any_value(w) AS w FROM m GROUP BY id, d),
+par AS (SELECT nodes.*, q.id AS pid FROM nodes LEFT JOIN m q ON q.c = nodes.c AND q.d = nodes.d - 1),
+kid AS (SELECT pid, count(*) AS n FROM par WHERE pid IS NOT NULL GROUP BY pid),
+sub AS (SELECT m.id, CAST(sum((x.n_convs - 1) * x.w) AS BIGINT) AS saved, count(*) FILTER (kid.pid IS NULL) AS leaves FROM nodes x LEFT JOIN kid ON kid.pid = x.id JOIN m ON m.c = x.c AND m.d <= x.d GROUP BY m.id),
+e AS (SELECT m.id, sha256(string_agg(CAST(m.c AS VARCHAR), ',' ORDER BY m.c)) AS h FROM m JOIN l ON l.c = m.c AND l.n = m.d GROUP BY m.id)
+SELECT par.c AS conv_id, CAST(par.d AS BIGINT) AS depth, up.c AS parent_conv_id, par.n_convs, coalesce(kid.n, 0) AS n_children, sub.leaves AS n_leaves, sub.saved AS saved_tokens, coalesce(e.h, sha256('')) AS ends_sha256
+FROM par LEFT JOIN nodes up ON up.id = par.pid LEFT JOIN kid ON kid.pid = par.id JOIN sub ON sub.id = par.id LEFT JOIN e ON e.id = par.id"""
+
+
+ORACLE: dict[str, str] = {"op1_license_scan": _license_sql(), "op3_quality": _OP3, "op4_substring": _OP4, "op5_decontam": _OP5, "op11_centroids": _centroid_sql(), "op13_prefix_trie": _OP13}
