@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from driftwood.llm import binary_ids, centroids, decontam, exchange, license_scan, lm, packing, quality, simhash, substring, token_counts, toxicity, trie
+from driftwood.llm import binary_ids, centroids, decontam, exchange, license_scan, lm, packing, partenum, quality, simhash, substring, token_counts, toxicity, trie
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -63,9 +63,13 @@ def op11_centroids(spark: SparkSession, sf_dir: str) -> DataFrame:
     return centroids.cluster(_table(spark, sf_dir, "embeddings"))
 
 
+def op12_similar_sets(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return partenum.similar_sets(_table(spark, sf_dir, "documents"))
+
+
 def op13_prefix_trie(spark: SparkSession, sf_dir: str) -> DataFrame:
     return trie.prefix_trie(_table(spark, sf_dir, "conversations"))
 
 
-_ALL = (op1_license_scan, op2_packing, op3_quality, op4_substring, op5_decontam, op6_token_ids, op7_token_counts, op8_lm_scores, op9_toxicity, op10_simhash, op11_centroids, op13_prefix_trie)
+_ALL = (op1_license_scan, op2_packing, op3_quality, op4_substring, op5_decontam, op6_token_ids, op7_token_counts, op8_lm_scores, op9_toxicity, op10_simhash, op11_centroids, op12_similar_sets, op13_prefix_trie)
 QUERIES = {f.__name__: f for f in _ALL}

@@ -97,4 +97,16 @@ SELECT par.c AS conv_id, CAST(par.d AS BIGINT) AS depth, up.c AS parent_conv_id,
 FROM par LEFT JOIN nodes up ON up.id = par.pid LEFT JOIN kid ON kid.pid = par.id JOIN sub ON sub.id = par.id LEFT JOIN e ON e.id = par.id"""
 
 
-ORACLE: dict[str, str] = {"op1_license_scan": _license_sql(), "op3_quality": _OP3, "op4_substring": _OP4, "op5_decontam": _OP5, "op11_centroids": _centroid_sql(), "op13_prefix_trie": _OP13}
+_OP12 = r"""WITH d AS (SELECT row_number() OVER () AS r, doc_id, regexp_extract_all(translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x20\x09-\x0D]+') AS ws FROM documents),
+s AS (SELECT DISTINCT r, array_to_string(ws[p:p + 2], ' ') AS k FROM (SELECT r, ws, unnest(range(1, greatest(len(ws) - 1, 2))) AS p FROM d WHERE len(ws) > 0)),
+n AS (SELECT r, count(*) AS n, sha256(string_agg(k, chr(10) ORDER BY k)) AS id FROM s GROUP BY r),
+u AS (SELECT id, min(r) AS r, any_value(n) AS n FROM n GROUP BY id),
+i AS (SELECT a.r AS x, b.r AS y, count(*) AS c FROM s a JOIN u ua ON ua.r = a.r JOIN s b ON a.k = b.k AND a.r < b.r JOIN u ub ON ub.r = b.r WHERE 100 * least(ua.n, ub.n) >= 90 * greatest(ua.n, ub.n) GROUP BY a.r, b.r),
+l AS (SELECT x, y FROM i JOIN u ux ON ux.r = x JOIN u uy ON uy.r = y WHERE 100 * c >= 90 * (ux.n + uy.n - c)),
+e AS (SELECT x, y FROM l UNION SELECT y, x FROM l UNION SELECT r, r FROM u),
+t AS (WITH RECURSIVE t(x, y) AS (SELECT x, y FROM e UNION SELECT t.x, e.y FROM t JOIN e ON e.x = t.y) SELECT * FROM t),
+g AS (SELECT u.id, min(d.doc_id) AS low FROM u JOIN t ON t.x = u.r JOIN u v ON v.r = t.y JOIN n ON n.id = v.id JOIN d ON d.r = n.r GROUP BY u.id)
+SELECT doc_id, CAST(coalesce(n.n, 0) AS BIGINT) AS n_shingles, CASE WHEN n.id IS NULL THEN doc_id ELSE g.low END AS component_id FROM d LEFT JOIN n USING (r) LEFT JOIN g USING (id)"""
+
+
+ORACLE: dict[str, str] = {"op1_license_scan": _license_sql(), "op3_quality": _OP3, "op4_substring": _OP4, "op5_decontam": _OP5, "op11_centroids": _centroid_sql(), "op12_similar_sets": _OP12, "op13_prefix_trie": _OP13}
