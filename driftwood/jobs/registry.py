@@ -12,7 +12,7 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from driftwood.functions import columns as C
-from driftwood.operators import chunking, encoding, indexing, query_sets, retrieval, store
+from driftwood.operators import ann, chunking, encoding, indexing, query_sets, retrieval, staging, store
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLE: dict[str, str] = {}
@@ -129,6 +129,27 @@ def dense_topk(spark, sf):
     return query_sets.dense_each(_vector_queries(vectors), vectors, 50, "vec_id", "embedding").select("q", "vec_id", F.round("score", 6).alias("score"))
 
 
+def _indexed(spark, sf) -> tuple[DataFrame, ann.Index]:
+    vectors = _read(spark, sf, "embeddings")
+    folder = staging.shared_folder(spark)
+    ann.build(vectors, folder, "vec_id", "embedding")
+    return _vector_queries(vectors), ann.Index(spark, folder)
+
+
+@_query()
+def ann_topk(spark, sf):
+    """An index of all vectors is written, and searched in the lists nearest to each query."""
+    queries, index = _indexed(spark, sf)
+    return index.search(queries, 50, key="vec_id").select("q", "vec_id", F.round("score", 6).alias("score"))
+
+
+@_query(ORACLE["dense_topk"])
+def ann_all_lists(spark, sf):
+    """With all lists probed and all their rows scored an index gives what the exact search does."""
+    queries, index = _indexed(spark, sf)
+    return index.search(queries, 50, probes=len(index.model.lists), rerank=0, key="vec_id").select("q", "vec_id", F.round("score", 6).alias("score"))
+
+
 _SPARSE = f"""WITH tok AS (SELECT doc_id, unnest(regexp_split_to_array(lower(text), '[^a-z]+')) AS term FROM documents),
 tf AS (SELECT doc_id, term, count(*) AS tf FROM tok WHERE term IN {_WORDS} GROUP BY ALL),
 w AS (SELECT term, ln(1 + (n - df + 0.5) / (df + 0.5)) AS idf FROM (SELECT term, count(*) AS df FROM tf GROUP BY term), (SELECT count(*) AS n FROM documents))
