@@ -12,7 +12,7 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from driftwood.functions import columns as C
-from driftwood.operators import ann, chunking, encoding, indexing, query_sets, retrieval, staging, store
+from driftwood.operators import ann, chunking, encoding, indexing, postings, query_sets, retrieval, staging, store
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLE: dict[str, str] = {}
@@ -161,6 +161,37 @@ def sparse_idf_score(spark, sf):
     return retrieval.sparse_scores(_read(spark, sf, "documents"), WORDS).withColumn("score", F.round("score", 6))
 
 
+_POSTINGS = f"""tf AS (SELECT doc_id, term, count(*) AS tf FROM (SELECT doc_id, unnest(regexp_split_to_array(lower(text), '[^a-z]+')) AS term FROM documents) WHERE term <> '' GROUP BY ALL),
+w AS (SELECT term, df, most, ln(1 + (n - df + 0.5) / (df + 0.5)) AS idf FROM (SELECT term, count(*) AS df, max(tf) AS most FROM tf GROUP BY term), (SELECT count(*) AS n FROM documents))"""
+
+
+def _posted(spark, sf) -> tuple[DataFrame, postings.Index]:
+    docs = _read(spark, sf, "documents")
+    folder = staging.shared_folder(spark)
+    postings.write(docs, folder, "doc_id")
+    asked = docs.where(F.col("doc_id") % EACH == 0)
+    return query_sets.top_words(asked, "doc_id", "text").withColumnRenamed("doc_id", "q"), postings.Index(spark, folder)
+
+
+@_query(f"""WITH {_POSTINGS},
+qt AS (SELECT doc_id AS q, term FROM tf WHERE doc_id % {EACH} = 0 AND length(term) >= 3 QUALIFY row_number() OVER (PARTITION BY doc_id ORDER BY tf DESC, term) <= 3),
+s AS (SELECT q, doc_id, round(sum(tf * idf), 9) AS score FROM tf JOIN w USING (term) JOIN qt USING (term) GROUP BY ALL)
+SELECT q, doc_id, round(score, 6) AS score FROM s QUALIFY row_number() OVER (PARTITION BY q ORDER BY score DESC, doc_id) <= 150""")
+def postings_topk(spark, sf):
+    """Posting lists of all documents are written; each query is three words, searched in the blocks that can hold its hits."""
+    queries, index = _posted(spark, sf)
+    return index.search(queries, 150, "doc_id").select("q", "doc_id", F.round("score", 6).alias("score"))
+
+
+@_query(f"WITH {_POSTINGS} SELECT term, df, CAST(most AS INTEGER) AS most_in_a_document, round(idf, 6) AS idf FROM w")
+def postings_terms(spark, sf):
+    """What the stored lists say of each term: frequency in the term table, length and greatest count in the lists."""
+    _, index = _posted(spark, sf)
+    lists = index.postings.groupBy("term").agg(F.sum(F.size("keys")).alias("df"), F.max("most").alias("most_in_a_document"))
+    told = lists.join(index.terms.select("term", F.col("df").alias("told")), "term", "full_outer").where("df <=> told")
+    return told.select("term", "df", "most_in_a_document", F.round(retrieval.idf(F.col("df"), F.lit(index.n)), 6).alias("idf"))
+
+
 def _fused(channel: int) -> str:
     return f"""WITH c AS (SELECT doc_id, source, lang, text, CAST(embedding AS DOUBLE[]) AS v FROM documents JOIN embeddings ON doc_id = vec_id),
 qs AS (SELECT doc_id AS q, v AS qv FROM c WHERE doc_id % {EACH} = 0),
