@@ -296,9 +296,10 @@ def similar_sets(docs: DataFrame, shingle: int = 3, similarity: float = 0.9) ->
     rows = read.where("node is not null").select("doc_id", "row", "node", "n")
     points = staged(rows.where("n > 0").groupBy("node").agg(F.min("doc_id").alias("low"), F.min("row").alias("row"), F.any_value("n").alias("n"), F.count("*").alias("weight")), "points")
     wanted = staged(points.join(near, "node").select("node", "row", "n", "component"), "wanted")
-    texts = docs.join(wanted.select("node", "row"), "row").select("node", "text")
+    # texts are shuffled once at every size, and not sorted
+    texts = docs.join(wanted.select("node", "row").hint("shuffle_hash"), "row").select("node", "text")
     sets = texts.mapInArrow(_sets_of(shingle), "node long, hashes binary").groupBy("node").agg(F.any_value("hashes").alias("hashes"))
-    sets = staged(sets.join(wanted.select("node", "n"), "node"), "sets")
+    sets = staged(sets.withColumn("n", (F.octet_length("hashes") / 8).cast("long")), "sets")
     members = wanted.groupBy("component").agg(F.count("*").alias("m"))
     giant = staged(members.where(F.col("m") > WHOLE), "giant")
     groups = wanted.select(F.col("component").alias("grp"), "node")
