@@ -13,6 +13,8 @@ from pyspark.sql import functions as F
 
 from driftwood.functions import columns as C
 from driftwood.operators import ann, chunking, encoding, indexing, postings, query_sets, retrieval, staging, store
+from driftwood.operators.scans import Scan
+from driftwood.streaming import indexing as stream
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLE: dict[str, str] = {}
@@ -396,16 +398,15 @@ def ndjson_parse(spark, sf):
 (SELECT user_id, event_id, ts, CASE WHEN epoch(ts) - epoch(lag(ts) OVER (PARTITION BY user_id ORDER BY ts, event_id)) <= 3600 THEN 0 ELSE 1 END AS new FROM events)) GROUP BY user_id, s""")
 def heartbeat_sessions(spark, sf):
     beats = _read(spark, sf, "events").select("user_id", "event_id", F.col("ts").cast("timestamp").alias("ts"))
-    w = Window.partitionBy("user_id").orderBy("ts", "event_id")
-    gap = F.col("ts").cast("double") - F.lag("ts").over(w).cast("double")
-    flagged = beats.withColumn("new", F.when(gap <= 3600, 0).otherwise(1)).withColumn("s", F.sum("new").over(w.rowsBetween(Window.unboundedPreceding, 0)))
-    return flagged.groupBy("user_id", "s").agg(F.unix_timestamp(F.min("ts")).alias("began"), F.count("*").alias("n")).drop("s")
+    alive = stream.alive(beats, "user_id", "ts", 3600, ["event_id"])
+    return alive.select("user_id", F.unix_timestamp("began").alias("began"), "n")
 
 
 @_query("SELECT user_id, event_id, count_if(event_type = 'purchase') OVER (PARTITION BY user_id ORDER BY ts, event_id ROWS UNBOUNDED PRECEDING) AS done FROM events")
 def running_progress(spark, sf):
-    w = Window.partitionBy("user_id").orderBy("ts", "event_id").rowsBetween(Window.unboundedPreceding, 0)
-    return _read(spark, sf, "events").select("user_id", "event_id", F.count_if(F.col("event_type") == "purchase").over(w).alias("done"))
+    events = _read(spark, sf, "events").select("user_id", "event_id", "ts", "event_type")
+    scan = Scan(events, ["user_id"], ["ts", "event_id"]).running(done=("sum", (F.col("event_type") == "purchase").cast("long")))
+    return scan.result().select("user_id", "event_id", "done")
 
 
 @_query(f"""WITH tf AS (SELECT source, term, count(*) AS weight FROM (SELECT source, unnest(regexp_split_to_array(text, '[^A-Za-z0-9]+')) AS term FROM documents) GROUP BY ALL),

@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
 
+from driftwood.operators.scans import Scan
 from driftwood.operators.store import upsert
 
 #: Fields of all kinds of events; a kind fills its own.
@@ -27,6 +28,18 @@ def sessions(beats: DataFrame, key: str, time: str, gap: str = "30 seconds", lat
     return beats.groupBy(key, windows).agg(F.count("*").alias("n")).select(key, F.col("session.start").alias("began"), F.col("session.end").alias("ended"), "n")
 
 
+def alive(beats: DataFrame, key: str, time: str, seconds: float, order: list[str] | None = None) -> DataFrame:
+    """(key, began, ended, n) of each stretch of heartbeats no further apart than `seconds`, of a table of past beats.
+
+    A key's beats are read in ranges of time, so one of very many beats is many tasks' work.  Beats without a time come
+    first and are stretches of their own; a null key is a key.
+    """
+    scan = Scan(beats.select(key, time, *(order or [])), [key], [time, *(order or [])]).previous(beat_before=F.col(time))
+    gap = F.col(time).cast("double") - F.col("beat_before").cast("double")
+    scan.running(stretch=("sum", F.when(gap <= seconds, 0).otherwise(1)))
+    return scan.result().groupBy(key, "stretch").agg(F.min(time).alias("began"), F.max(time).alias("ended"), F.count("*").alias("n")).drop("stretch")
+
+
 def connected(last_seen: Column, now: Column, seconds: int = 30) -> Column:
     return (now.cast("double") - last_seen.cast("double")) < seconds
 
