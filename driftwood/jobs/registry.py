@@ -12,7 +12,7 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from driftwood.functions import columns as C
-from driftwood.operators import ann, chunking, encoding, indexing, postings, query_sets, retrieval, staging, store
+from driftwood.operators import ann, chunking, encoding, indexing, keyphrases as phrases, postings, query_sets, retrieval, staging, store
 from driftwood.operators.scans import Scan
 from driftwood.streaming import indexing as stream
 
@@ -425,6 +425,18 @@ def sparse_vectors(spark, sf):
     return store.sparse_vectors(doc_keywords_weighted(spark, sf), "source", "term", "rank").withColumn("value", F.round("value", 6))
 
 
+@_query()
+def keyphrases(spark, sf):
+    """Each document's twenty best phrases of up to three words."""
+    return phrases.keyphrases(_read(spark, sf, "documents"))
+
+
+@_query()
+def keyphrase_vectors(spark, sf):
+    """The keyphrases as sparse vectors."""
+    return store.sparse_vectors(keyphrases(spark, sf), "doc_id", "keyphrase", "score").withColumn("value", F.round("value", 6))
+
+
 @_query("SELECT conv_id, turn FROM conversations WHERE conv_id NOT IN (SELECT doc_id FROM labels WHERE toxic = 1)")
 def delete_documents(spark, sf):
     gone = _read(spark, sf, "labels").where("toxic = 1").select(F.col("doc_id").alias("conv_id"))
