@@ -24,7 +24,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from driftwood.llm.components import components
-from driftwood.llm.exchange import give_back, mix, staged
+from driftwood.llm.exchange import give_back, join_evenly, mix, staged
 from driftwood.llm.simhash import COUNTED, U, Votes, _apart, named, shingle_hashes
 
 #: 64-bit lanes of a fingerprint.
@@ -187,10 +187,10 @@ def _confirmed(pairs: DataFrame, docs: DataFrame, points: DataFrame, shingle: in
     wanted = staged(points.select("node", "row").join(wanted, "node", "left_semi"), "wanted")
     texts = docs.select("row", "text").join(wanted, "row").select("node", "text")
     sets = staged(texts.mapInArrow(_named_sets(shingle), "node long, hashes binary").groupBy("node").agg(F.any_value("hashes").alias("hashes")), "sets")
-    parts = pairs.groupBy("v").agg(F.ceil(F.count("*") / PAIRS).cast("int").alias("parts"))
-    of_v = sets.select(F.col("node").alias("v"), F.col("hashes").alias("b")).join(parts, "v").withColumn("part", F.explode(F.sequence(F.lit(0), F.col("parts") - 1)))
-    of_u = pairs.join(sets.select(F.col("node").alias("u"), F.col("hashes").alias("a")), "u")
-    of_u = of_u.join(F.broadcast(parts.where("parts > 1")), "v", "left").withColumn("part", F.coalesce(F.pmod(F.xxhash64("u"), F.col("parts")).cast("int"), F.lit(0))).drop("parts")
+    parts = staged(pairs.groupBy("v").agg(F.count("*").alias("n"), F.ceil(F.count("*") / PAIRS).cast("int").alias("parts")), "parts")
+    of_v = sets.select(F.col("node").alias("v"), F.col("hashes").alias("b")).join(parts.drop("n"), "v").withColumn("part", F.explode(F.sequence(F.lit(0), F.col("parts") - 1)))
+    told = join_evenly(pairs, parts, "v", "n", pairs.count()).select("u", "v", F.pmod(F.xxhash64("u"), F.col("parts")).cast("int").alias("part"))
+    of_u = told.join(sets.select(F.col("node").alias("u"), F.col("hashes").alias("a")), "u")
     return of_u.join(of_v.drop("parts"), ["v", "part"]).select("u", "v", "a", "b").mapInArrow(_confirm(least), "u long, v long")
 
 
@@ -227,6 +227,19 @@ def _grouped(docs: DataFrame, points: DataFrame, shingle: int, lanes: int, width
     return components(labels.select(F.col("node").alias("u"), F.col("component").alias("v")).unionAll(more))
 
 
+def _linked(docs: DataFrame, shingle: int, similarity: float, recall: float, lanes: int) -> tuple[DataFrame, DataFrame, DataFrame]:
+    """Rows (doc_id, row, node), sets (node, low, first, weight: least doc_id, first row and number of rows) and node, component."""
+    least = Fraction(str(similarity))
+    docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text")).withColumn("row", F.xxhash64("doc_id", "text"))
+    prints = staged(docs.mapInArrow(_sketches(shingle, lanes), "doc_id long, row long, node long, n long, lanes array<bigint>"), "sketches")
+    first = F.min(F.struct(F.col("doc_id").isNull().alias("unnamed"), "doc_id", "row")).alias("first")
+    points = prints.groupBy("node").agg(F.min("doc_id").alias("low"), F.min("row").alias("row"), F.any_value("n").alias("n"), F.any_value("lanes").alias("lanes"), F.count("*").alias("weight"), first)
+    points = staged(points, "points")
+    # without a bit in a block all sets share the one block
+    width, blocks = plan(points.count(), similarity, recall) if recall < 1 else (0, 1)
+    return prints.select("doc_id", "row", "node"), points, _grouped(docs, points, shingle, lanes, width, blocks, least)
+
+
 def similar_copies(docs: DataFrame, shingle: int = 5, similarity: float = 0.8, recall: float = RECALL, lanes: int = LANES) -> DataFrame:
     """doc_id and component_id (the smallest doc_id reachable over links), one row per input row.
 
@@ -237,12 +250,27 @@ def similar_copies(docs: DataFrame, shingle: int = 5, similarity: float = 0.8, r
     texts have no words.  Rows that repeat a doc_id are rows of their own.  A null doc_id gets its component's smallest
     id, or null if there is none.  Other columns are ignored; no rows give no rows.
     """
-    least = Fraction(str(similarity))
-    docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text")).withColumn("row", F.xxhash64("doc_id", "text"))
-    prints = staged(docs.mapInArrow(_sketches(shingle, lanes), "doc_id long, row long, node long, n long, lanes array<bigint>"), "sketches")
-    points = prints.groupBy("node").agg(F.min("doc_id").alias("low"), F.min("row").alias("row"), F.any_value("n").alias("n"), F.any_value("lanes").alias("lanes"), F.count("*").alias("weight"))
-    points = staged(points, "points")
-    # without a bit in a block all sets share the one block
-    width, blocks = plan(points.count(), similarity, recall) if recall < 1 else (0, 1)
-    groups = _grouped(docs, points, shingle, lanes, width, blocks, least)
-    return named(prints.select("doc_id", "node"), points, groups).select("doc_id", "component_id")
+    rows, points, groups = _linked(docs, shingle, similarity, recall, lanes)
+    return named(rows.select("doc_id", "node"), points, groups).select("doc_id", "component_id")
+
+
+def drop_copies(docs: DataFrame, shingle: int = 5, similarity: float = 0.8, recall: float = RECALL, lanes: int = LANES) -> DataFrame:
+    """`docs` with one row of each group of near copies: that of the smallest doc_id, of rows without one the smallest hash.
+
+    Groups are those of similar_copies(), but rows are dropped, not ids: of rows that repeat a doc_id with other texts
+    each stays or goes by its own text, and rows without a doc_id are judged like others.  Of rows that agree in doc_id and
+    text one stays.  Columns keep their names, types and order; no rows give no rows.
+    """
+    rows, points, groups = _linked(docs, shingle, similarity, recall, lanes)
+    found = staged(points.select("node", "first", "weight").join(groups, "node", "left").withColumn("component", F.coalesce("component", "node")), "found")
+    kept = staged(found.groupBy("component").agg(F.min("first").alias("kept"), F.count("*").alias("members")), "kept")
+    of_node = join_evenly(found.select("component", "node", "weight"), kept, "component", "members", points.count())
+    told = join_evenly(rows, staged(of_node.select("node", "kept", "weight"), "of_node"), "node", "weight", rows.count())
+    gone = staged(told.where(F.col("row") != F.col("kept.row")).select("row").distinct(), "gone")
+    twice = staged(told.where(F.col("row") == F.col("kept.row")).groupBy("row").agg(F.count("*").alias("n")).where("n > 1").select("row"), "twice")
+    names = [F.col(f"`{c}`") for c in docs.columns]
+    keyed = docs.select(F.xxhash64(F.col("doc_id").cast("long"), F.col("text").cast("string")).alias("row"), F.struct(*names).alias("doc"))
+    left = keyed.join(gone, "row", "left_anti")
+    if not twice.isEmpty():
+        left = left.join(twice, "row", "left_anti").unionAll(left.join(twice, "row", "left_semi").dropDuplicates(["row"]))
+    return left.select(*[F.col(f"doc.`{c}`") for c in docs.columns])

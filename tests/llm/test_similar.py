@@ -63,3 +63,13 @@ def test_rows_without_an_id_and_repeated_ones(spark):
     docs = spark.createDataFrame([(None, a), (7, b), (7, b), (7, "other words here"), (None, "alone")], "doc_id long, text string")
     got = sorted(similar.similar_copies(docs).collect(), key=str)
     assert [(r.doc_id, r.component_id) for r in got] == [(7, 7), (7, 7), (7, 7), (None, 7), (None, None)]
+
+
+def test_rows_are_dropped_not_ids(spark):
+    a, b = pair("z", 100, 5)
+    rows = [(1, a, 1), (5, b, 2), (5, "a text of its own", 3), (6, "twice the same", 4), (6, "twice the same", 4), (None, a, 5), (None, "alone", 6), (8, None, 7), (9, " ", 8)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, row int").repartition(3)
+    kept = similar.drop_copies(docs)
+    assert kept.columns == docs.columns
+    assert sorted(map(tuple, kept.collect()), key=str) == sorted([rows[k] for k in (0, 2, 3, 6, 7)], key=str)
+    assert similar.drop_copies(docs.limit(0)).collect() == []
