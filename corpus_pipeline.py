@@ -19,20 +19,27 @@ ORACLE_SQL = None
 
 
 def reject_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents that are likelier toxic than not go.  The model learns from the labelled documents among those given."""
+    """Documents that are likelier toxic than not go.  The model learns from the labelled documents among those given.
+
+    Null and empty texts stay, and rows that repeat an id are judged by their own texts; no documents give none.
+    """
     labels = spark.read.parquet(f"{sf_dir}/labels.parquet")
     return toxicity.drop_toxic(docs, toxicity.fit(toxicity.severity_grades(docs, labels), 3))
 
 
 def keep_one_of_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Of each group of near copies the smallest doc_id stays; rows without one stay, as nothing can name them."""
-    groups = similar.similar_copies(docs, shingle=5, similarity=SIMILARITY)
-    later = groups.where(F.col("doc_id") > F.col("component_id")).select("doc_id").distinct()
-    return docs.join(later, "doc_id", "left_anti").select(*[F.col(f"`{c}`") for c in docs.columns])
+    """Of each group of near copies the row of the smallest doc_id stays; null texts and blank ones are a group.
+
+    Rows are dropped, not ids: a row with a doc_id of another row, or with none, is judged by its own text.
+    """
+    return similar.drop_copies(docs, shingle=5, similarity=SIMILARITY)
 
 
 def cut_repeated_passages(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Words of passages that an earlier document holds are cut, with the white space after them; all else stays as it is."""
+    """Words of passages that an earlier document holds are cut, with the white space after them; all else stays as it is.
+
+    Null texts stay null or become empty, no row goes; rows of one id are one another's own copies and not earlier.
+    """
     others = [c for c in docs.columns if c not in ("doc_id", "text")]
     rows = substring.cut_repeats(docs, carry=F.struct(*[F.col(f"`{c}`") for c in others]) if others else None, layout=True)
     new = {"doc_id": F.col("doc_id"), "text": F.col("kept_text")}
@@ -47,7 +54,7 @@ def drop_benchmark_leaks(spark: SparkSession, docs: DataFrame, sf_dir: str) -> D
 
 
 def pack_sequences(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Pieces of the documents' ids in sequences of at most 4096."""
+    """Pieces of the documents' ids in sequences of at most 4096; a null or empty text is its end mark, no documents give no pieces."""
     return packing.pack(docs)
 
 
