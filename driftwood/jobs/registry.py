@@ -12,7 +12,7 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from driftwood.functions import columns as C
-from driftwood.operators import ann, chunking, encoding, indexing, keyphrases as phrases, postings, query_sets, retrieval, staging, store
+from driftwood.operators import ann, chunking, encoding, indexing, keyphrases as phrases, late, postings, query_sets, retrieval, staging, store
 from driftwood.operators.scans import Scan
 from driftwood.streaming import indexing as stream
 
@@ -291,6 +291,15 @@ def maxsim_scores(spark, sf):
     return query_sets.late_each(*_groups(spark, sf), 50, "grp").drop("rank")
 
 
+@_query()
+def maxsim_compressed(spark, sf):
+    """Token vectors are kept as centroids and residuals of four bits; these choose whose true vectors are scored."""
+    queries, tokens = _groups(spark, sf)
+    folder = staging.shared_folder(spark)
+    late.build(tokens, folder, "grp")
+    return late.Index(spark, folder).search(queries, tokens, 10, "grp").drop("rank")
+
+
 @_query(f"SELECT * FROM ({_MAXSIM}) QUALIFY row_number() OVER (PARTITION BY q ORDER BY score DESC, grp) <= 5")
 def maxsim_rerank(spark, sf):
     return query_sets.late_each(*_groups(spark, sf), 5, "grp").drop("rank")
