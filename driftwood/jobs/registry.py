@@ -20,7 +20,6 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLE: dict[str, str] = {}
 
 WORDS = ["the", "tion", "heit"]
-_WORDS = "('the', 'tion', 'heit')"
 
 
 def _query(sql: str | None = None):
@@ -152,33 +151,37 @@ def ann_all_lists(spark, sf):
     return index.search(queries, 50, probes=len(index.model.lists), rerank=0, key="vec_id").select("q", "vec_id", F.round("score", 6).alias("score"))
 
 
-_SPARSE = f"""WITH tok AS (SELECT doc_id, unnest(regexp_split_to_array(lower(text), '[^a-z]+')) AS term FROM documents),
-tf AS (SELECT doc_id, term, count(*) AS tf FROM tok WHERE term IN {_WORDS} GROUP BY ALL),
-w AS (SELECT term, ln(1 + (n - df + 0.5) / (df + 0.5)) AS idf FROM (SELECT term, count(*) AS df FROM tf GROUP BY term), (SELECT count(*) AS n FROM documents))
-SELECT doc_id, round(sum(tf * idf), 6) AS score FROM tf JOIN w USING (term) GROUP BY doc_id"""
+_POSTINGS = f"""tf AS (SELECT doc_id, term, count(*) AS tf FROM (SELECT doc_id, unnest(regexp_split_to_array(lower(text), '[^a-z]+')) AS term FROM documents) WHERE term <> '' GROUP BY ALL),
+w AS (SELECT term, df, most, ln(1 + (n - df + 0.5) / (df + 0.5)) AS idf FROM (SELECT term, count(*) AS df, max(tf) AS most FROM tf GROUP BY term), (SELECT count(*) AS n FROM documents))"""
 
 
-@_query(_SPARSE)
-def sparse_idf_score(spark, sf):
-    return retrieval.sparse_scores(_read(spark, sf, "documents"), WORDS).withColumn("score", F.round("score", 6))
+_ASKED = f"qt AS (SELECT doc_id AS q, term FROM tf WHERE doc_id % {EACH} = 0 AND length(term) >= 3 QUALIFY row_number() OVER (PARTITION BY doc_id ORDER BY tf DESC, term) <= 3)"
 
 
-_POSTINGS = f"""tf AS (SELECT doc_id, term, count(*) AS tf FROM (SELECT doc_id, unnest(regexp_split_to_array(lower(text), '[^a-z]+')) AS term FROM documents) WHERE term <> '' GROUP BY ALL),
-w AS (SELECT term, df, most, ln(1 + (n - df + 0.5) / (df + 0.5)) AS idf FROM (SELECT term, count(*) AS df, max(tf) AS most FROM tf GROUP BY term), (SELECT count(*) AS n FROM documents))"""
+def _sparse(k: int) -> str:
+    return f"""WITH {_POSTINGS}, {_ASKED}, s AS (SELECT q, doc_id, round(sum(tf * idf), 9) AS score FROM tf JOIN w USING (term) JOIN qt USING (term) GROUP BY ALL)
+SELECT q, doc_id, round(score, 6) AS score FROM s QUALIFY row_number() OVER (PARTITION BY q ORDER BY score DESC, doc_id) <= {k}"""
+
+
+def _word_queries(docs: DataFrame) -> DataFrame:
+    """q and words of the documents that are queries: their three most frequent words."""
+    return query_sets.top_words(docs.where(F.col("doc_id") % EACH == 0), "doc_id", "text").withColumnRenamed("doc_id", "q")
+
+
+@_query(_sparse(50))
+def sparse_idf_score(spark, sf):
+    docs = _read(spark, sf, "documents")
+    return query_sets.sparse_each(_word_queries(docs), docs, 50, "doc_id").select("q", "doc_id", F.round("score", 6).alias("score"))
 
 
 def _posted(spark, sf) -> tuple[DataFrame, postings.Index]:
     docs = _read(spark, sf, "documents")
     folder = staging.shared_folder(spark)
     postings.write(docs, folder, "doc_id")
-    asked = docs.where(F.col("doc_id") % EACH == 0)
-    return query_sets.top_words(asked, "doc_id", "text").withColumnRenamed("doc_id", "q"), postings.Index(spark, folder)
+    return _word_queries(docs), postings.Index(spark, folder)
 
 
-@_query(f"""WITH {_POSTINGS},
-qt AS (SELECT doc_id AS q, term FROM tf WHERE doc_id % {EACH} = 0 AND length(term) >= 3 QUALIFY row_number() OVER (PARTITION BY doc_id ORDER BY tf DESC, term) <= 3),
-s AS (SELECT q, doc_id, round(sum(tf * idf), 9) AS score FROM tf JOIN w USING (term) JOIN qt USING (term) GROUP BY ALL)
-SELECT q, doc_id, round(score, 6) AS score FROM s QUALIFY row_number() OVER (PARTITION BY q ORDER BY score DESC, doc_id) <= 150""")
+@_query(_sparse(150))
 def postings_topk(spark, sf):
     """Posting lists of all documents are written; each query is three words, searched in the blocks that can hold its hits."""
     queries, index = _posted(spark, sf)

@@ -159,20 +159,38 @@ def hybrid_each(queries: DataFrame, chunks: DataFrame, limit: int = 10, channel:
     return ranked.where(F.col("rank") < limit).select("q", "chunk_id", "doc", "rrf", "rank")
 
 
+def _payload(chunks: DataFrame, used: tuple[str, ...], taken: list[str]) -> list[Column]:
+    """The columns of `chunks` but the used ones, as fields of a struct _c; one named like a column of the result is prefixed with chunk_."""
+    return [F.col(f"_c.`{c}`").alias(f"chunk_{c}" if c in taken else c) for c in chunks.columns if c not in used]
+
+
+def _joined(hits: DataFrame, chunks: DataFrame, without: tuple[str, ...]) -> DataFrame:
+    """`hits` with their chunk's columns in a struct _c, so that no name clashes."""
+    kept = [F.col(f"`{c}`") for c in chunks.columns if c not in without]
+    return hits.join(chunks.select("chunk_id", F.struct(*kept).alias("_c")), "chunk_id")
+
+
 def search_each(queries: DataFrame, chunks: DataFrame, limit: int = 10, channel: int = 150) -> DataFrame:
-    """q, rank, chunk_id, doc, score, excerpt, keywords and payload of each query's hits; text is joined to hits alone."""
-    hits = hybrid_each(queries, chunks, limit, channel).drop("doc").join(queries.select("q", F.col("words").alias("_words")), "q")
-    payload = [c for c in chunks.columns if c not in ("chunk_id", "doc", "text", "dense")]
-    shown = [F.round("rrf", 4).alias("score"), excerpt(F.col("text"), F.col("_words")).alias("excerpt"), shown_keywords(F.col("_words"), F.col("text")).alias("keywords")]
-    return hits.join(chunks.drop("dense"), "chunk_id").select("q", "rank", "chunk_id", "doc", *shown, *[F.col(f"`{c}`") for c in payload])
+    """q, rank, chunk_id, doc, score, excerpt, keywords and payload of each query's hits; text is joined to hits alone.
+
+    A payload column with one of these names is returned as chunk_<name>.
+    """
+    hits = hybrid_each(queries, chunks.select("chunk_id", "doc", "text", "dense"), limit, channel).drop("doc").join(queries.select("q", F.col("words").alias("_words")), "q")
+    text = F.col("_c.text")
+    shown = [F.col("_c.doc").alias("doc"), F.round("rrf", 4).alias("score"), excerpt(text, F.col("_words")).alias("excerpt"), shown_keywords(F.col("_words"), text).alias("keywords")]
+    payload = _payload(chunks, ("chunk_id", "doc", "text", "dense"), ["q", "rank", "score", "excerpt", "keywords"])
+    return _joined(hits, chunks, ("dense",)).select("q", "rank", "chunk_id", *shown, *payload)
 
 
 def reranked_each(queries: DataFrame, late: DataFrame, chunks: DataFrame, tokens: DataFrame, limit: int = 10, prefetch: int = 50) -> DataFrame:
     """q, rank, score and the columns of `chunks` but dense: each query's best by MaxSim among what two channels prefetch.
 
+    A column of `chunks` named q, rank or score is returned as chunk_<name>.
     `late` (q, q_vec) and `tokens` (chunk_id, vec) have the vectors of queries and chunks; only candidates' are joined.
     """
-    near = dense_each(queries, chunks, prefetch).select("q", "chunk_id").union(sparse_each(queries, chunks, prefetch).select("q", "chunk_id"))
+    chunks_of = chunks.select("chunk_id", "text", "dense")
+    near = dense_each(queries, chunks_of, prefetch).select("q", "chunk_id").union(sparse_each(queries, chunks_of, prefetch).select("q", "chunk_id"))
     scored = late_scores_each(near, late, tokens)
     ranked = scored.withColumn("rank", F.row_number().over(Window.partitionBy("q").orderBy(F.desc("score"), "chunk_id")) - 1)
-    return chunks.drop("dense", "score", "rank").join(ranked.where(F.col("rank") < limit), "chunk_id")
+    payload = _payload(chunks, ("chunk_id", "dense"), ["q", "rank", "score"])
+    return _joined(ranked.where(F.col("rank") < limit), chunks, ("dense",)).select("q", "rank", "score", "chunk_id", *payload)

@@ -52,9 +52,9 @@ def search_reranked(chunks: DataFrame, tokens: DataFrame, query: Column, words:
     """The columns of `chunks` but dense, and score, of the best by late interaction among those prefetched, best first.
 
     `tokens` (chunk_id, vec) is joined to at most twice `prefetch` candidates before a vector is multiplied; a candidate
-    without vectors is no hit.  Ties by chunk_id.
+    without vectors is no hit.  A column named score is returned as chunk_score.  Ties by chunk_id.
     """
     near = tokens.join(F.broadcast(prefetched(chunks, query, words, prefetch)), "chunk_id")
     # at most LIMITS[1] rows
     hits = F.broadcast(late_scores(near, late).orderBy(F.desc("score"), "chunk_id").limit(clamp(limit)))
-    return chunks.drop("dense", "score").join(hits, "chunk_id").orderBy(F.desc("score"), "chunk_id")
+    return chunks.drop("dense").withColumnsRenamed({"score": "chunk_score"}).join(hits, "chunk_id").orderBy(F.desc("score"), "chunk_id")

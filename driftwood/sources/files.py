@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import io
+import posixpath
 import re
 import zipfile
 from collections.abc import Callable, Iterator
@@ -65,30 +66,53 @@ def _texts(root: ElementTree.Element, tag: str, within: str) -> list[str]:
     return ["".join(t.text or "" for t in p.iter() if t.tag.endswith(tag)) for p in root.iter() if p.tag.endswith(within)]
 
 
-def _office(kind: str, content: bytes) -> str:
-    """Text of a docx (paragraphs), pptx (lines of slides) or xlsx (cells of rows): XML parts of a zip."""
+def _targets(z: zipfile.ZipFile, part: str, tag: str) -> list[tuple[str, str]]:
+    """(name, path in the zip) of the parts that the elements `tag` of an office file's main part refer to, in their order."""
+    folder, _, name = part.rpartition("/")
+    rels = {r.get("Id"): r.get("Target") or "" for r in ElementTree.fromstring(z.read(f"{folder}/_rels/{name}.rels"))}
+    out = []
+    for e in ElementTree.fromstring(z.read(part)).iter():
+        ref = next((v for k, v in e.attrib.items() if k.endswith("}id")), None) if e.tag.endswith(tag) else None
+        if ref in rels:
+            path = rels[ref]
+            out.append((e.get("name") or "", path.lstrip("/") if path.startswith("/") else posixpath.normpath(f"{folder}/{path}")))
+    return out
+
+
+def _cells(row: ElementTree.Element, shared: list[str]) -> list[str]:
+    """Values of a row's cells that are not blank."""
+    out = []
+    for c in row:
+        v = next((x.text for x in c.iter() if x.tag.endswith("}v")), None)
+        if c.get("t") == "inlineStr":
+            v = "".join(x.text or "" for x in c.iter() if x.tag.endswith("}t"))
+        elif v is not None and c.get("t") == "s":
+            v = shared[int(v)]
+        if v and v.strip():
+            out.append(v)
+    return out
+
+
+def _office(kind: str, content: bytes) -> tuple[str, int | None]:
+    """Text of a docx (paragraphs), pptx (lines of slides) or xlsx (cells of rows), and how many slides or sheets it has.
+
+    Slides and sheets come in the order, and under the names, of the presentation's or workbook's own list.
+    """
     with zipfile.ZipFile(io.BytesIO(content)) as z:
         read = lambda n: ElementTree.fromstring(z.read(n))
         if kind == "docx":
-            return "\n\n".join(p for p in _texts(read("word/document.xml"), "}t", "}p") if p.strip())
+            return "\n\n".join(p for p in _texts(read("word/document.xml"), "}t", "}p") if p.strip()), None
         if kind == "pptx":
-            slides = sorted((n for n in z.namelist() if n.startswith("ppt/slides/slide")), key=lambda n: int("".join(filter(str.isdigit, n)) or 0))
-            return "\n\n".join("\n".join(p for p in _texts(read(n), "}t", "}p") if p.strip()) for n in slides)
+            slides = _targets(z, "ppt/presentation.xml", "}sldId")
+            texts = ["\n".join(p for p in _texts(read(path), "}t", "}p") if p.strip()) for _, path in slides]
+            return "\n\n".join(t for t in texts if t), len(slides)
         shared = ["".join(t.text or "" for t in si.iter() if t.tag.endswith("}t")) for si in read("xl/sharedStrings.xml") if si.tag.endswith("}si")] if "xl/sharedStrings.xml" in z.namelist() else []
-        names = [s.get("name") or "" for s in read("xl/workbook.xml").iter() if s.tag.endswith("}sheet")]
-        out = []
-        for k, name in enumerate(names, 1):
-            rows = []
-            for row in (r for r in read(f"xl/worksheets/sheet{k}.xml").iter() if r.tag.endswith("}row")):
-                cells = []
-                for c in row:
-                    v = next((x.text for x in c.iter() if x.tag.endswith(("}v", "}t"))), None)
-                    cells.append(shared[int(v)] if v is not None and c.get("t") == "s" else v)
-                if any(x and x.strip() for x in cells):
-                    rows.append(" | ".join(x for x in cells if x and x.strip()))
+        sheets, out = _targets(z, "xl/workbook.xml", "}sheet"), []
+        for name, path in sheets:
+            rows = [" | ".join(cells) for row in read(path).iter() if row.tag.endswith("}row") and (cells := _cells(row, shared))]
             if rows:
                 out.append("\n".join([f"# {name}", *rows]))
-        return "\n\n".join(out)
+        return "\n\n".join(out), len(sheets)
 
 
 def joined_pages(pages: list[str], head_only: bool, least: int = 10, head: int = 8) -> tuple[str, list[int]]:
@@ -98,29 +122,55 @@ def joined_pages(pages: list[str], head_only: bool, least: int = 10, head: int =
     return "\n\n".join(p for k, p in read if k not in scanned), scanned
 
 
-def extract(files: DataFrame, parsers: dict[str, Callable[[bytes], str | list[str]]] | None = None, head_chars: int = 1 << 20) -> DataFrame:
+def with_ocr(pages: list[str], content: bytes, ocr: Callable[[bytes, int], str], head_only: bool, least: int = 10, head: int = 8) -> tuple[str, list[int]]:
+    """Text of a document's pages, those with too little text read by `ocr`, and the numbers of these.
+
+    A page keeps its own text where that fails or finds nothing.
+    """
+    out, read = [], []
+    for k, page in enumerate(pages[: head if head_only else None]):
+        text = page or ""
+        if len(text.strip()) < least:
+            read.append(k)
+            try:
+                text = ocr(content, k) or text
+            except Exception:  # noqa: BLE001  one bad page must not lose the others
+                pass
+        out.append(text)
+    return "\n\n".join(out), read
+
+
+def extract(files: DataFrame, parsers: dict[str, Callable[[bytes], str | list[str]]] | None = None, head_chars: int | None = None, ocr: Callable[[], Callable[[bytes, int], str]] | None = None) -> DataFrame:
     """path, doc_type, text, error, page_count and ocr_pages of files with their content; `parsers` adds types (pdf needs one).
 
     A parser returns a text, or the texts of pages.  With a column `mode`, files of mode filename_only have their name as
-    text and are not parsed, those of mode head_only the first pages.  Of plain text the first `head_chars` characters
-    count.  A file that can't be read has empty text and its error; a type without a parser has empty text.
+    text and are not parsed, those of mode head_only the first pages, as have documents of more than `HEAD_PAGES` pages.
+    Pages with too little text are left out and told in ocr_pages; `ocr`, called once a task, makes a function of content
+    and page that reads them instead.  `head_chars` cuts plain text there; by default it is whole.  A file that can't be
+    read, or has no content, has empty text and its error; a type without a parser has empty text.
     """
     given = dict(parsers or {})
 
-    def read(kind: str, how: str, content: bytes) -> tuple[str, int | None, list[int]]:
+    def read(kind: str, how: str, content: bytes, reads: Callable[[bytes, int], str] | None) -> tuple[str, int | None, list[int]]:
         if kind in given:
             got = given[kind](content)
-            return (got, None, []) if isinstance(got, str) else (joined := joined_pages(got, how == "head_only"))[:1] + (len(got), joined[1])
+            if isinstance(got, str):
+                return got, None, []
+            head = how == "head_only" or len(got) > HEAD_PAGES
+            text, scanned = with_ocr(got, content, reads, head) if reads else joined_pages(got, head)
+            return text, len(got), scanned
         if kind in ("txt", "md"):
             return content.decode("utf-8", "ignore")[:head_chars], None, []
-        return (_office(kind, content) if kind in ("docx", "pptx", "xlsx") else ""), None, []
+        return (*_office(kind, content), []) if kind in ("docx", "pptx", "xlsx") else ("", None, [])
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        reads = None
         for b in batches:
+            reads = reads or (ocr() if ocr else None)
             rows = []
             for path, kind, how, content in zip(b.path, b.doc_type, b["mode"], b.content):
                 try:
-                    text, pages, scanned = (path.rsplit("/", 1)[-1], None, []) if how == "filename_only" else read(kind, how, content)
+                    text, pages, scanned = (path.rsplit("/", 1)[-1], None, []) if how == "filename_only" else read(kind, how, content, reads)
                     rows.append((path, kind, text, None, pages, scanned))
                 except Exception as e:  # noqa: BLE001  one bad file must not end the job
                     rows.append((path, kind, "", f"{type(e).__name__}: {e}", None, []))
@@ -140,6 +190,15 @@ def name_hint(path: Column) -> Column:
 
 
 def contents(spark: SparkSession, files: DataFrame, root: str) -> DataFrame:
-    """The given files with their content; others below the root are listed and not kept."""
-    read = spark.read.format("binaryFile").option("recursiveFileLookup", "true").load(root).select(local_path(F.col("path")).alias("path"), "content")
-    return files.join(read, "path")
+    """The given files below a root with their content, null for those of mode filename_only; no other file is opened.
+
+    Their paths pass through the driver, where Spark's file source keeps those it reads anyhow.
+    """
+    scheme = m.group(0) if (m := _PLAIN.match(root)) else ""
+    opened = files.where("mode != 'filename_only'") if "mode" in files.columns else files
+    # a path is taken for a pattern
+    paths = [scheme + re.sub(r"([\\*?\[\]{}])", r"\\\1", r.path) for r in opened.select("path").toLocalIterator()]
+    if not paths:
+        return files.withColumn("content", F.lit(None).cast("binary"))
+    read = spark.read.format("binaryFile").load(paths).select(local_path(F.col("path")).alias("path"), "content")
+    return files.join(read, "path", "left")

@@ -1,5 +1,6 @@
 import numpy as np
 import pytest
+from pyspark.sql import functions as F
 
 from driftwood.operators import query_sets
 
@@ -51,10 +52,17 @@ def test_late_interaction_equals_brute_force(spark, sizes):
 
 
 def test_results_have_payload_and_one_chunk_a_document(chunks, queries):
-    rows = query_sets.search_each(queries, chunks.withColumnRenamed("rank", "title"), limit=4).collect()
+    rows = query_sets.search_each(queries, chunks, limit=4).collect()
     for q in (100, 101, 102, 104):
         mine = sorted((r for r in rows if r.q == q), key=lambda r: r["rank"])
-        assert [r["rank"] for r in mine] == list(range(len(mine))) and len({r.doc for r in mine}) == len(mine) and all(r.title == "p" for r in mine)
+        assert [r["rank"] for r in mine] == list(range(len(mine))) and len({r.doc for r in mine}) == len(mine) and all(r.chunk_rank == "p" for r in mine)
     assert not [r for r in rows if r.q == 103]
-    assert query_sets.search_each(queries, chunks.withColumnRenamed("rank", "title").limit(0)).count() == 0
-    assert query_sets.search_each(queries.limit(0), chunks.withColumnRenamed("rank", "title")).count() == 0
+    assert query_sets.search_each(queries, chunks.limit(0)).count() == 0
+    assert query_sets.search_each(queries.limit(0), chunks).count() == 0
+
+
+def test_reranked_results_keep_clashing_columns(chunks, queries):
+    late = queries.where("q_vec is not null").select("q", "q_vec")
+    tokens = chunks.where("dense is not null").select("chunk_id", F.col("dense").alias("vec"))
+    rows = query_sets.reranked_each(queries, late, chunks.withColumn("score", F.lit("mine")).withColumn("q", F.lit("own")), tokens, limit=3).collect()
+    assert rows and all(r.chunk_rank == "p" and r.chunk_score == "mine" and r.chunk_q == "own" and isinstance(r.score, float) for r in rows)
