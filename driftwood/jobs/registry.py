@@ -12,9 +12,10 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from driftwood.functions import columns as C
-from driftwood.operators import ann, chunking, encoding, indexing, keyphrases as phrases, late, postings, query_sets, retrieval, staging, store
+from driftwood.operators import ann, buckets, chunking, encoding, indexing, keyphrases as phrases, late, postings, query_sets, retrieval, staging, store
 from driftwood.operators.scans import Scan
 from driftwood.streaming import indexing as stream
+from driftwood.streaming import liveness
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLE: dict[str, str] = {}
@@ -414,6 +415,22 @@ def heartbeat_sessions(spark, sf):
     return alive.select("user_id", F.unix_timestamp("began").alias("began"), "n")
 
 
+@_query("""WITH s AS (SELECT user_id, ts, sum(new) OVER (PARTITION BY user_id ORDER BY ts, event_id ROWS UNBOUNDED PRECEDING) AS s FROM
+(SELECT user_id, event_id, ts, CASE WHEN epoch(ts) - epoch(lag(ts) OVER (PARTITION BY user_id ORDER BY ts, event_id)) <= 3600 THEN 0 ELSE 1 END AS new FROM events WHERE user_id IS NOT NULL AND ts IS NOT NULL)),
+g AS (SELECT user_id, min(ts) AS b, max(ts) AS e, count(*) AS n FROM s GROUP BY user_id, s)
+SELECT user_id, CAST(floor(epoch(b)) AS BIGINT) AS began, n FROM g WHERE epoch(e) + 3600 < (SELECT max(epoch(ts)) FROM events) - 10 - 0.002""")
+def heartbeat_stream(spark, sf):
+    """The events as a stream with state and timers: stretches that have ended by the last event's time."""
+    spark.conf.set("spark.sql.streaming.stateStore.providerClass", liveness.PROVIDER)
+    events = _read(spark, sf, "events").select("user_id", "ts")
+    # a pattern may be a file or a folder, a plain path must be a folder
+    beats = spark.readStream.schema(events.schema).parquet(f"{sf}/events.parque[t]").withColumn("ts", F.col("ts").cast("timestamp"))
+    folder = staging.shared_folder(spark)
+    ended = liveness.stretches(beats, "user_id", "ts", 3600, "10 seconds")
+    ended.writeStream.format("parquet").option("path", f"{folder}/out").option("checkpointLocation", f"{folder}/state").trigger(availableNow=True).start().awaitTermination()
+    return spark.read.schema(ended.schema).parquet(f"{folder}/out").select("user_id", F.unix_timestamp("began").alias("began"), "n")
+
+
 @_query("SELECT user_id, event_id, count_if(event_type = 'purchase') OVER (PARTITION BY user_id ORDER BY ts, event_id ROWS UNBOUNDED PRECEDING) AS done FROM events")
 def running_progress(spark, sf):
     events = _read(spark, sf, "events").select("user_id", "event_id", "ts", "event_type")
@@ -515,6 +532,19 @@ def replace_documents(spark, sf):
     return indexing.replace_documents(stored, new, touched).select("chunk_id", "doc_id", "chunk_idx", "chunk_total", "content", "uuid")
 
 
+@_query(ORACLE["replace_documents"])
+def bucketed_store(spark, sf):
+    """As replace_documents, with the store in buckets of which only those of touched documents are written again."""
+    touched = _read(spark, sf, "labels").where("toxic = 1").select("doc_id")
+    stored = indexing.numbered(_read(spark, sf, "conversations").select(F.col("conv_id").alias("doc_id"), "turn", F.col("text").alias("content")), "doc_id", "turn").drop("turn")
+    docs = _read(spark, sf, "documents").select("doc_id", "text").join(touched.distinct(), "doc_id", "left_semi")
+    new = indexing.numbered(chunking.fixed_windows(docs), "doc_id", "chunk_index").drop("chunk_index")
+    columns = ["chunk_id", "doc_id", "chunk_idx", "chunk_total", "content", "uuid"]
+    kept = buckets.BucketStore(spark, staging.shared_folder(spark)).create(stored.select(*columns))
+    kept.replace(new.select(*columns), touched)
+    return kept.read()
+
+
 @_query(f"""WITH t AS (SELECT conv_id, turn, unnest(regexp_split_to_array(lower(text), '[^a-z]+')) AS term FROM conversations),
 tf AS (SELECT conv_id, turn, term, count(*) AS tf FROM t WHERE length(term) >= 3 GROUP BY ALL),
 w AS (SELECT conv_id, term, sum(tf * n) AS weight FROM tf JOIN (SELECT conv_id, turn, sum(tf) AS n FROM tf GROUP BY ALL) USING (conv_id, turn) WHERE term NOT IN ({", ".join(f"'{w}'" for w in store.STOPWORDS)}) GROUP BY ALL)
