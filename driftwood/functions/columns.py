@@ -57,6 +57,16 @@ def sparse_index(keyword: Column) -> Column:
     return F.conv(F.right(F.md5(F.lower(keyword)), F.lit(5)), 16, 10).cast("int")
 
 
+def path_id(path: Column) -> Column:
+    """A document's id of the first generation: MD5 of its path."""
+    return F.md5(path)
+
+
+def percent_encoded(text: Column) -> Column:
+    """A value for a URL's query: as `url_encode`, but a space is %20."""
+    return F.replace(F.url_encode(text), F.lit("+"), F.lit("%20"))
+
+
 def point_id(chunk_id: Column) -> Column:
     """The low 63 bits of the MD5 of a chunk's id."""
     low = F.right(F.md5(chunk_id), F.lit(16))

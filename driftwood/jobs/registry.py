@@ -12,6 +12,7 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from driftwood.functions import columns as C
+from driftwood.functions import display
 from driftwood.operators import ann, buckets, chunking, encoding, indexing, keyphrases as phrases, late, postings, query_sets, retrieval, staging, store
 from driftwood.operators.scans import Scan
 from driftwood.streaming import indexing as stream
@@ -506,6 +507,53 @@ def reading_mode(spark, sf):
     return _read(spark, sf, "documents").select("doc_id", mode(F.col("n_chars"), F.lit(None).cast("int"), head=4000, name=10_000).alias("mode"))
 
 
+@_query("SELECT user_id, CAST(round_even(100.0 * d / n, 0) AS INTEGER) AS percent FROM (SELECT user_id, count(*) AS n, count_if(event_type = 'purchase') AS d FROM events GROUP BY user_id)")
+def progress_percent(spark, sf):
+    sums = _read(spark, sf, "events").groupBy("user_id").agg(F.count("*").alias("n"), F.count_if(F.col("event_type") == "purchase").alias("d"))
+    return sums.select("user_id", display.percent_done(F.col("d"), F.col("n")).alias("percent"))
+
+
+@_query("""SELECT doc_id, CASE WHEN n_chars IS NULL OR n_chars = 0 THEN '–' WHEN n_chars < 60 THEN n_chars || 's' WHEN n_chars < 3600 THEN (n_chars // 60) || 'm' || CASE WHEN n_chars % 60 > 0 THEN ' ' || (n_chars % 60) || 's' ELSE '' END
+ELSE (n_chars // 3600) || 'h' || CASE WHEN n_chars // 60 % 60 > 0 THEN ' ' || (n_chars // 60 % 60) || 'm' ELSE '' END END AS eta FROM documents""")
+def remaining_time(spark, sf):
+    """Numbers of characters stand for seconds."""
+    return _read(spark, sf, "documents").select("doc_id", display.remaining(F.col("n_chars")).alias("eta"))
+
+
+@_query("""SELECT event_id, least(value, 100) AS width, CASE WHEN value >= 80 THEN 'critical' WHEN value >= 50 THEN 'warn' ELSE 'ok' END AS cpu, CASE WHEN value >= 80 THEN 'critical' WHEN value >= 55 THEN 'warn' ELSE 'ok' END AS ram FROM events""")
+def load_bars(spark, sf):
+    both = _read(spark, sf, "events").select("event_id", display.bar(F.col("value"), "cpu").alias("c"), display.bar(F.col("value"), "ram").alias("r"))
+    return both.select("event_id", F.col("c.width").alias("width"), F.col("c.level").alias("cpu"), F.col("r.level").alias("ram"))
+
+
+@_query("SELECT doc_id, array_to_string(list_slice(l, greatest(len(l) - 49, 1), len(l)), '|') AS tail FROM (SELECT doc_id, string_split(text, chr(10)) AS l FROM documents)")
+def log_tail(spark, sf):
+    """The lines of a text stand for those of a log."""
+    return _read(spark, sf, "documents").select("doc_id", F.array_join(display.log_tail(F.split("text", "\n")), "|").alias("tail"))
+
+
+@_query("SELECT source, lower(arg_min(lang, doc_id)) AS title, count(*) AS n_chunks, row_number() OVER (ORDER BY lower(arg_min(lang, doc_id)), source) AS place FROM documents GROUP BY source")
+def catalogue_by_title(spark, sf):
+    """Documents stand for chunks, their source for the document and their language for its title."""
+    rows = store.catalogue(_read(spark, sf, "documents"), "source", "lang", "doc_id")
+    # one row a source
+    return rows.select("source", F.lower("lang").alias("title"), "n_chunks", F.row_number().over(Window.orderBy(F.lower("lang"), "source")).cast("long").alias("place"))
+
+
+@_query("SELECT conv_id // 10 AS batch, count(*) AS n_chunks, count_if(turn = 0) AS new_files, arg_max(conv_id || '/' || turn, conv_id * 1000000 + turn) AS last_path FROM conversations GROUP BY 1")
+def batch_reports(spark, sf):
+    """Ten conversations are a batch, their turns chunks."""
+    path = F.concat_ws("/", F.col("conv_id").cast("string"), F.col("turn").cast("string"))
+    rows = _read(spark, sf, "conversations").select(F.floor(F.col("conv_id") / 10).cast("long").alias("batch"), "turn", path.alias("path"), F.struct("conv_id", "turn").alias("place"))
+    return store.batch_report(rows, "batch", "turn", "path", "place")
+
+
+@_query("SELECT doc_id, md5(source) AS path_id, url_encode(source || ' é/&') AS encoded, upper(lang) || ',score ' || format('{:.4f}', n_chars / 8) AS labels FROM documents")
+def path_ids_and_badges(spark, sf):
+    labels = F.array_join(display.badges(F.col("lang"), F.col("n_chars") / 8, F.array().cast("array<string>")), ",")
+    return _read(spark, sf, "documents").select("doc_id", C.path_id(F.col("source")).alias("path_id"), C.percent_encoded(F.concat("source", F.lit(" é/&"))).alias("encoded"), labels.alias("labels"))
+
+
 # --- indexing -----------------------------------------------------------------------------------------------------
 
 

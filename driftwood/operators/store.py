@@ -33,6 +33,17 @@ def incremental_plan(files: DataFrame, state: DataFrame, key: str, stamp: str) -
     return files.join(known, key, "left").withColumn("action", action).drop("_known")
 
 
+def catalogue(chunks: DataFrame, key: str, title: str, order: str) -> DataFrame:
+    """(key, title, n_chunks) of each document, by its title's lower case; the title is that of its first chunk, `?` without one."""
+    rows = chunks.groupBy(key).agg(F.coalesce(F.min_by(title, order), F.lit("?")).alias(title), F.count("*").alias("n_chunks"))
+    return rows.orderBy(F.lower(title), key)
+
+
+def batch_report(chunks: DataFrame, batch: str, index: str, path: str, place: str) -> DataFrame:
+    """(batch, n_chunks, new_files, last_path) of each batch: chunks that are a file's first are new files; the path of the last chunk by `place`."""
+    return chunks.groupBy(batch).agg(F.count("*").alias("n_chunks"), F.count_if(F.col(index) == 0).alias("new_files"), F.max_by(path, place).alias("last_path"))
+
+
 def complete(chunks: DataFrame, key: str, total: str) -> DataFrame:
     """Documents that have as many chunks as they should: key and n_chunks."""
     return chunks.groupBy(key).agg(F.count("*").alias("n_chunks"), F.max(total).alias("_total")).where("_total > 0 and n_chunks >= _total").drop("_total")
