@@ -74,6 +74,11 @@ def shown_keywords(weighted: DataFrame, key: str, term: str, weight: str, top: i
     return rows.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= top).select(key, "rank", term)
 
 
+def decoded(weighted: DataFrame, vocabulary: DataFrame, token: str = "token") -> DataFrame:
+    """The weighted tokens with their text from a vocabulary (token, text), a table like others; a token that is in none goes."""
+    return weighted.join(vocabulary.select(token, "text"), token)
+
+
 def sparse_vectors(keywords: DataFrame, key: str, term: str, score: str) -> DataFrame:
     """(key, idx, value): hashed keywords, those of lower score weighing more; the greatest value is 1.
 
