@@ -94,12 +94,14 @@ def _write(path: str, end_id: int, chunk: int, bits: int):
 def write_ids(docs: DataFrame, folder: str, tokenizer: str | None = None, end_id: int = 0, chunk: int = CHUNK, bits: int = 1) -> None:
     """Write the ids of all documents, each with end_id after it, in ascending doc_id order: folder/chunks and folder/index.
 
-    Null texts have no ids but end_id; a null doc_id comes first; rows that repeat a doc_id follow each other.  The
+    Null texts have no ids but end_id; a null doc_id comes first; rows that repeat a doc_id follow each other, by
+    a hash of the text.  The
     index has, per chunk, its shard (task), number, first id's place among all ids, ids and documents.
     """
     docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
-    tasks = X.parts_of(X.text_bytes(docs), TASK_BYTES)
-    ordered = docs.repartitionByRange(tasks, "doc_id").sortWithinPartitions("doc_id", "text")
+    tasks = X.parts_of(X.text_bytes(docs, row=X.ROW_BYTES), TASK_BYTES)
+    # rows of one doc_id, or without one, are many tasks' work too
+    ordered = docs.repartitionByRange(tasks, "doc_id", F.xxhash64("text")).sortWithinPartitions("doc_id", F.xxhash64("text"), "text")
     rows = ordered.mapInArrow(_write(tokenizer or public_path("byte_bpe_50k.json"), end_id, chunk, bits), CHUNKS)
     rows.write.option("compression", "none").parquet(f"{folder}/chunks")
     chunks = docs.sparkSession.read.schema(CHUNKS).parquet(f"{folder}/chunks")

@@ -33,9 +33,13 @@ BLOCK_BYTES = 8 << 20
 SPACES = " \t\n\v\f\r"
 
 
-def text_bytes(docs: DataFrame, column: str = "text") -> int:
-    """Bytes of UTF-8 in a text column; one pass over that column alone."""
-    return int(docs.agg(F.sum(F.octet_length(column).cast("long"))).first()[0] or 0)
+#: What a row counts besides its text, so that very many empty ones are not one group.
+ROW_BYTES = 64
+
+
+def text_bytes(docs: DataFrame, column: str = "text", row: int = 0) -> int:
+    """Bytes of UTF-8 in a text column, and `row` for each row; one pass over that column alone."""
+    return int(docs.agg(F.sum(F.coalesce(F.octet_length(column), F.lit(0)).cast("long") + row)).first()[0] or 0)
 
 
 def parts_of(total: int, each: int) -> int:

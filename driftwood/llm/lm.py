@@ -6,7 +6,8 @@ and half the product of its children's (the same decision, one more byte of cont
 well they describe the training texts; a byte's code length follows from the mixture along its context.
 
 The corpus's distinct runs of DEPTH + 1 bytes, with their training counts, are the model; they are gathered by Spark
-and grow with the corpus.  Blocks of documents (see exchange) send distinct runs and words to hash shards, shards add
+and grow with the corpus.  What senders have for shards, and shards for blocks, takes a second hop where there are many.
+Blocks of documents (see exchange) send distinct runs and words to hash shards, shards add
 them up, trees are weighted per last two bytes of context (all deeper nodes of a tree are there), and each block asks
 the shards for the code lengths of the runs and the counts of the words that its documents hold.
 """
@@ -31,12 +32,8 @@ SHARD_BYTES = 16 << 20
 HELD_OUT, FOLDS = 2, 7
 U = np.uint64
 END = b"\n"
-RUNS, WORDS = 0, 1
-SENT = "kind int, shard int, payload binary"
-ASKED = "kind int, shard int, block int, payload binary"
+RUNS, WORDS, KINDS = 0, 1, 2
 OUT = "doc_id long, held_out boolean, n_tokens long, n_known long, train_tokens long, base_score double, score double, n_bytes long"
-_SENT = pa.schema([("kind", pa.int32()), ("shard", pa.int32()), ("payload", pa.binary())])
-_ASKED = pa.schema([("kind", pa.int32()), ("shard", pa.int32()), ("block", pa.int32()), ("payload", pa.binary())])
 _OUT = pa.schema([("doc_id", pa.int64()), ("held_out", pa.bool_()), ("n_tokens", pa.int64()), ("n_known", pa.int64()), ("train_tokens", pa.int64()), ("base_score", pa.float64()), ("score", pa.float64()), ("n_bytes", pa.int64())])
 
 
@@ -74,12 +71,17 @@ def _shard(keys: np.ndarray, shards: int) -> np.ndarray:
     return ((X.mix(keys) >> U(20)) % U(shards)).astype(np.int64)
 
 
-def _dealt(kind: int, keys: np.ndarray, counts: np.ndarray, shards: int) -> list[tuple[int, int, bytes]]:
-    """Sorted keys and counts by shard."""
+def _targets(kind: int, keys: np.ndarray, shards: int) -> tuple[np.ndarray, np.ndarray]:
+    """An order of keys, sorted before, by target, and the targets in it: a kind's shards come after those of the kinds before."""
     shard = _shard(keys, shards)
     order = np.argsort(shard, kind="stable")
-    keys, counts, shard = keys[order], counts[order], shard[order]
-    return [(kind, k, X.pack(keys[s], counts[s])) for k, s in X.cuts_by(shard, shards)]
+    return order, (kind * shards + shard[order]).astype(np.uint32)
+
+
+def _dealt(parts: dict[int, tuple[np.ndarray, np.ndarray]], shards: int) -> pa.Table:
+    """Sorted keys and counts of each kind, sent to their shards."""
+    out = [(target, keys[order], counts[order]) for kind, (keys, counts) in sorted(parts.items()) for order, target in [_targets(kind, keys, shards)]]
+    return X.send([np.concatenate(x) for x in zip(*out)], KINDS * shards)
 
 
 def _summed(keys: list[np.ndarray], counts: list[np.ndarray]) -> tuple[np.ndarray, np.ndarray]:
@@ -97,13 +99,11 @@ def _gather(shards: int):
         held: dict[int, list] = {RUNS: [], WORDS: []}
         size = 0
 
-        def send() -> pa.RecordBatch:
-            rows = []
-            for kind, parts in held.items():
-                if parts:
-                    rows += _dealt(kind, *_summed([p[0] for p in parts], [p[1] for p in parts]), shards)
+        def send() -> list[pa.RecordBatch]:
+            rows = _dealt({kind: _summed([p[0] for p in parts], [p[1] for p in parts]) for kind, parts in held.items() if parts}, shards)
+            for parts in held.values():
                 parts.clear()
-            return pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(zip(*rows), _SENT)], schema=_SENT)
+            return rows.to_batches()
 
         for batch in batches:
             texts, out = batch["text"].cast(pa.binary()).to_pylist(), batch["held_out"].to_pylist()
@@ -127,20 +127,25 @@ def _gather(shards: int):
                 held[WORDS].append((u, c.astype(np.uint32)))
                 size += n
                 if size >= SENT_BYTES:
-                    yield send()
+                    yield from send()
                     size = 0
         if size:
-            yield send()
+            yield from send()
 
     return run
 
 
-def _add_up(t: pa.Table) -> pa.Table:
-    kind, shard = t["kind"][0].as_py(), t["shard"][0].as_py()
-    sent = [X.unpack(x) for x in t["payload"].to_pylist()]
-    keys, counts = _summed([x[0] for x in sent], [x[1].astype(np.int64) for x in sent])
-    total = pa.schema([*_SENT, ("n_keys", pa.int64()), ("n_all", pa.int64())])
-    return pa.table([[kind], [shard], [X.pack(keys, counts)], [int(np.count_nonzero(counts))], [int(counts.sum())]], schema=total)
+_SUMS = pa.schema([("kind", pa.int32()), ("shard", pa.int32()), ("payload", pa.binary()), ("n_keys", pa.int64()), ("n_all", pa.int64())])
+
+
+def _add_up(shards: int):
+    def run(t: pa.Table) -> pa.Table:
+        kind, shard = divmod(t["hop"][0].as_py(), shards)
+        _, keys, counts = X.receive(t)
+        keys, counts = _summed([keys], [counts.astype(np.int64)])
+        return pa.table([[kind], [shard], [X.pack(keys, counts)], [int(np.count_nonzero(counts))], [int(counts.sum())]], schema=_SUMS)
+
+    return run
 
 
 def _log_gamma(x: np.ndarray) -> np.ndarray:
@@ -224,22 +229,18 @@ def _by_tree(trees: int):
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            rows = []
             for payload in batch["payload"].to_pylist():
                 keys, counts = X.unpack(payload)
                 tree = _shard(keys >> U(8 * (DEPTH - 1)), trees)
                 order = np.argsort(tree, kind="stable")
-                keys, counts, tree = keys[order], counts[order], tree[order]
-                rows += [(RUNS, k, X.pack(keys[s], counts[s])) for k, s in X.cuts_by(tree, trees)]
-            if rows:
-                yield pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(zip(*rows), _SENT)], schema=_SENT)
+                yield from X.send([tree[order].astype(np.uint32), keys[order], counts[order]], trees).to_batches()
 
     return run
 
 
 def _runs_of(t: pa.Table) -> tuple[np.ndarray, np.ndarray]:
-    sent = [X.unpack(x) for x in t["payload"].to_pylist()]
-    return _summed([x[0] for x in sent], [x[1] for x in sent])
+    _, keys, counts = X.receive(t)
+    return _summed([keys], [counts])
 
 
 _TOP = pa.schema([("node", pa.int64()), ("n0", pa.float64()), ("n1", pa.float64()), ("below", pa.float64())])
@@ -289,11 +290,8 @@ def _lengths(top, shards: int):
         codes, counts = _runs_of(t)
         seen = counts > 0
         value = _code_lengths(codes, Tree(codes[seen], counts[seen]) if seen.any() else None, top.value)
-        shard = _shard(codes, shards)
-        order = np.argsort(shard, kind="stable")
-        codes, value, shard = codes[order], value[order], shard[order]
-        rows = [(RUNS, k, X.pack(codes[s], value[s])) for k, s in X.cuts_by(shard, shards)]
-        return pa.table([list(c) for c in zip(*rows)], schema=_SENT)
+        order, target = _targets(RUNS, codes, shards)
+        return X.send([target, codes[order], value[order]], shards)
 
     return run
 
@@ -302,13 +300,13 @@ def _ask(shards: int):
     def run(t: pa.Table) -> pa.Table:
         X.give_back()
         words = [_words(x) for x in t["text"].cast(pa.binary()).to_pylist()]
-        block, rows = t["block"][0].as_py(), []
+        targets, asked = [], []
         for kind, keys in ((RUNS, _distinct_runs(words)), (WORDS, np.unique(_hashed([*{x for w in words for x in w}, END])))):
-            shard = _shard(keys, shards)
-            order = np.argsort(shard, kind="stable")
-            keys, shard = keys[order], shard[order]
-            rows += [(kind, k, block, X.pack(keys[s])) for k, s in X.cuts_by(shard, shards)]
-        return pa.table([list(c) for c in zip(*rows)], schema=_ASKED)
+            order, target = _targets(kind, keys, shards)
+            targets.append(target)
+            asked.append(keys[order])
+        target = np.concatenate(targets)
+        return X.send([target, np.full(len(target), t["block"][0].as_py(), np.uint32), np.concatenate(asked)], KINDS * shards)
 
     return run
 
@@ -326,26 +324,26 @@ def _distinct_runs(words: list[list[bytes]]) -> np.ndarray:
     return np.unique(np.concatenate(found))
 
 
-def _answer(asked: pa.Table, model: pa.Table) -> pa.Table:
+def _answer(shards: int, blocks: int):
     """What a shard knows of the keys that blocks ask for: code lengths or counts, with the keys."""
-    if not asked.num_rows:
-        return _ASKED.empty_table()
-    kind, shard = asked["kind"][0].as_py(), asked["shard"][0].as_py()
-    parts = [X.unpack(x) for x in model["payload"].to_pylist()]
-    if parts:
-        keys, values = np.concatenate([p[0] for p in parts]), np.concatenate([p[1] for p in parts])
-        order = np.argsort(keys)
-        keys, values = keys[order], values[order]
-    blocks, out = asked["block"].to_pylist(), []
-    for payload in asked["payload"].to_pylist():
-        want = X.unpack(payload)[0]
-        if not parts:
-            out.append(X.pack(want, np.zeros(len(want), np.int64)))
-            continue
-        at = np.minimum(np.searchsorted(keys, want), len(keys) - 1)
-        got = np.where(keys[at] == want, values[at], 0)
-        out.append(X.pack(want, got.astype(np.uint32) if kind == WORDS and got.max(initial=0) < 1 << 32 else got))
-    return pa.table([[kind] * len(out), [shard] * len(out), blocks, out], schema=_ASKED)
+
+    def run(asked: pa.Table, model: pa.Table) -> pa.Table:
+        if not asked.num_rows:
+            return X.HOP_SCHEMA.empty_table()
+        kind = asked["hop"][0].as_py() // shards
+        _, block, want = X.receive(asked)
+        parts = [X.unpack(x)[-2:] for x in model["payload"].to_pylist()]
+        keys, values = (np.concatenate([np.zeros(0, kind), *x]) for kind, x in zip((U, float), zip(*parts))) if parts else (np.zeros(0, U), np.zeros(0))
+        got = np.zeros(len(want))
+        if len(keys):
+            order = np.argsort(keys)
+            keys, values = keys[order], values[order]
+            at = np.minimum(np.searchsorted(keys, want), len(keys) - 1)
+            got = np.where(keys[at] == want, values[at], 0.0)
+        order = np.lexsort((want, block))
+        return X.send([block[order], np.full(len(want), kind, np.uint8), want[order], got[order]], blocks)
+
+    return run
 
 
 def _score(train_tokens: int, vocabulary: int):
@@ -353,12 +351,10 @@ def _score(train_tokens: int, vocabulary: int):
         if not docs.num_rows:
             return _OUT.empty_table()
         X.give_back()
-        known = {}
-        for want in (RUNS, WORDS):
-            parts = [X.unpack(x) for kind, x in zip(answers["kind"].to_pylist(), answers["payload"].to_pylist()) if kind == want]
-            keys, values = np.concatenate([p[0] for p in parts]), np.concatenate([p[1] for p in parts])
-            order = np.argsort(keys)
-            known[want] = keys[order], values[order]
+        _, kind, keys, values = X.receive(answers)
+        order = np.argsort(keys, kind="stable")
+        known = {want: (keys[order[kind[order] == want]], values[order[kind[order] == want]]) for want in (RUNS, WORDS)}
+        del kind, keys, values, order
         words = [_words(x) for x in docs["text"].cast(pa.binary()).to_pylist()]
         score, size = np.zeros(len(words)), np.zeros(len(words), np.int64)
         k = 0
@@ -397,20 +393,22 @@ def score_documents(docs: DataFrame) -> DataFrame:
     spark = docs.sparkSession
     key = F.coalesce(F.crc32(F.encode(F.col("doc_id").cast("long").cast("string"), "utf-8")) % FOLDS, F.lit(0))
     docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"), (key == HELD_OUT).alias("held_out"))
-    total = X.text_bytes(docs)
+    total = X.text_bytes(docs, row=X.ROW_BYTES)
     shards = X.parts_of(total, SHARD_BYTES)
-    sent = docs.select("text", "held_out").mapInArrow(_gather(shards), SENT)
-    sums = X.staged(sent.groupBy("kind", "shard").applyInArrow(_add_up, f"{SENT}, n_keys long, n_all long"), "sums")
+    blocks, both = X.parts_of(total, X.BLOCK_BYTES), KINDS * shards
+    sent = X.routed(docs.select("text", "held_out").mapInArrow(_gather(shards), X.HOP), both)
+    sums = X.staged(sent.groupBy("hop").applyInArrow(_add_up(shards), "kind int, shard int, payload binary, n_keys long, n_all long"), "sums")
     words = sums.where(F.col("kind") == WORDS)
     vocabulary, train_tokens = words.agg(F.coalesce(F.sum("n_keys"), F.lit(0)), F.coalesce(F.sum("n_all"), F.lit(0))).first()
-    by_tree = X.staged(sums.where(F.col("kind") == RUNS).select("payload").mapInArrow(_by_tree(shards), SENT), "trees").groupBy("shard")
+    dealt_trees = sums.where(F.col("kind") == RUNS).select("payload").mapInArrow(_by_tree(shards), X.HOP)
+    by_tree = X.staged(X.routed(dealt_trees, shards), "trees").groupBy("hop")
     # at most 256 x 255 rows come to the driver
     tops = by_tree.applyInArrow(_top_sums, "node long, n0 double, n1 double, below double").groupBy("node").agg(F.sum("n0").alias("n0"), F.sum("n1").alias("n1"), F.sum("below").alias("below")).toPandas()
     top = spark.sparkContext.broadcast(Top(tops["node"].to_numpy().astype(U), *(tops[c].to_numpy(float) for c in ("n0", "n1", "below"))))
-    lengths = by_tree.applyInArrow(_lengths(top, shards), SENT)
-    model = X.staged(lengths.unionAll(words.select("kind", "shard", "payload")), "model")
-    dealt = X.blocked(docs, X.parts_of(total, X.BLOCK_BYTES))
-    asked = dealt.groupBy("block").applyInArrow(_ask(shards), ASKED)
-    answers = asked.groupBy("kind", "shard").cogroup(model.groupBy("kind", "shard")).applyInArrow(_answer, ASKED)
+    lengths = X.routed(by_tree.applyInArrow(_lengths(top, shards), X.HOP), shards)
+    model = X.staged(lengths.unionAll(words.select((F.col("kind") * shards + F.col("shard")).alias("hop"), "payload")), "model")
+    dealt = X.blocked(docs, blocks)
+    asked = X.routed(dealt.groupBy("block").applyInArrow(_ask(shards), X.HOP), both)
+    answers = X.routed(asked.groupBy("hop").cogroup(model.groupBy("hop")).applyInArrow(_answer(shards, blocks), X.HOP), blocks).withColumnRenamed("hop", "block")
     scored = dealt.groupBy("block").cogroup(answers.groupBy("block")).applyInArrow(_score(int(train_tokens), int(vocabulary)), OUT)
     return scored.withColumn("bits_per_byte", -F.col("score") / F.log10(F.lit(2.0)) / F.col("n_bytes"))

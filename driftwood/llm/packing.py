@@ -97,7 +97,7 @@ def pack(docs: DataFrame, tokenizer: str | None = None, end_id: int = 2, length:
     if length < 1:
         raise ValueError("length must be positive")
     docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
-    groups = X.parts_of(X.text_bytes(docs), GROUP_BYTES)
+    groups = X.parts_of(X.text_bytes(docs, row=X.ROW_BYTES), GROUP_BYTES)
     pieces = docs.mapInArrow(_cut(tokenizer or public_path("word_bpe_49k.json"), end_id, length), PIECE)
     dealt = pieces.withColumn("grp", F.pmod(F.xxhash64("doc_id", "start", "ids"), F.lit(groups)))
     return dealt.groupBy("grp").applyInArrow(_packed(length), PACKED)
