@@ -18,8 +18,8 @@ from driftwood.operators.ann import SAMPLE, _sound, centres, nearest
 from driftwood.operators.query_sets import late_scores_each
 from driftwood.operators.staging import staged
 
-#: Rows of the sample per centroid at least, and bits of a component's residual.
-PER_CENTROID, BITS = 16, 4
+#: Rows of the sample per centroid at least, centroids at most, and bits of a component's residual.
+PER_CENTROID, CENTROIDS, BITS = 4, 4_096, 4
 #: Keys in a row of a centroid's list.
 LISTED = 4_096
 #: Candidates by centroids, and by codes, for each hit wanted.
@@ -55,7 +55,8 @@ def fit(tokens: DataFrame, vector: str, centroids: int | None = None, sample: in
     points = np.array([v for v in rows if len(v) == width], np.float64).reshape(-1, width)
     if not len(points):
         return Codec(np.zeros((1, 1)), np.zeros(0), np.zeros(1))
-    means = centres(points, centroids or max(1, len(points) // PER_CENTROID))
+    # sixteen times the root of the number of vectors, where the sample has enough for them
+    means = centres(points, centroids or max(1, min(CENTROIDS, len(points) // PER_CENTROID, round(16 * tokens.count() ** 0.5))))
     rest = np.sort((points - means[nearest(points, means)]).ravel())
     parts = np.array_split(rest, min(1 << BITS, len(rest)))
     return Codec(means, np.array([p[0] for p in parts[1:]]), np.array([p.mean() for p in parts]))
@@ -142,7 +143,7 @@ class Index:
         scored = met.select("q", "k", "q_vecs", "centroids", "codes").mapInArrow(score, ", ".join([*kinds, "s double"]))
         return scored.withColumn("n", F.row_number().over(Window.partitionBy("q").orderBy(F.desc("s"), "k"))).where(F.col("n") <= n).select("q", "k")
 
-    def search(self, queries: DataFrame, tokens: DataFrame, k: int, key: str = "chunk_id", vector: str = "vec", probes: int = 8) -> DataFrame:
+    def search(self, queries: DataFrame, tokens: DataFrame, k: int, key: str = "chunk_id", vector: str = "vec", probes: int = 16) -> DataFrame:
         """(q, key, score, rank): each query's k keys of greatest MaxSim among those the codes put first, by the true vectors.
 
         `queries` (q, q_vec) has a row per vector; unsound ones are left out.  `tokens` are the rows the index was built of.
