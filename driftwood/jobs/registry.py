@@ -443,7 +443,9 @@ def running_progress(spark, sf):
 w AS (SELECT * FROM tf WHERE length(term) >= 3 AND NOT regexp_matches(term, '^[0-9]+$') AND lower(term) NOT IN ({", ".join(f"'{w}'" for w in store.STOPWORDS)}) QUALIFY row_number() OVER (PARTITION BY source, lower(term) ORDER BY weight DESC, term) = 1)
 SELECT source, CAST(row_number() OVER (PARTITION BY source ORDER BY weight DESC, term) AS INTEGER) AS rank, term FROM w QUALIFY rank <= 10""")
 def shown_keywords(spark, sf):
-    words = _read(spark, sf, "documents").select("source", F.explode(F.split("text", "[^A-Za-z0-9]+")).alias("term"))
+    # short words are no keywords whatever their count
+    long = F.filter(F.split("text", "[^A-Za-z0-9]+"), lambda w: F.char_length(w) >= 3)
+    words = _read(spark, sf, "documents").select("source", F.explode(long).alias("term"))
     return store.shown_keywords(words.groupBy("source", "term").agg(F.count("*").alias("weight")), "source", "term", "weight")
 
 
