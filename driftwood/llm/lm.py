@@ -15,8 +15,10 @@ the shards for the code lengths of the runs and the counts of the words that its
 from __future__ import annotations
 
 from collections.abc import Iterator
+from functools import lru_cache
 
 import numpy as np
+import pandas as pd
 import pyarrow as pa
 import xxhash
 from pyspark.sql import DataFrame
@@ -84,6 +86,12 @@ def _dealt(parts: dict[int, tuple[np.ndarray, np.ndarray]], shards: int) -> pa.T
     return X.send([np.concatenate(x) for x in zip(*out)], KINDS * shards)
 
 
+def _distinct(keys: np.ndarray) -> np.ndarray:
+    """Distinct keys in order: sorting is faster than np.unique's hash table."""
+    keys = np.sort(keys)
+    return keys[X.firsts(keys)]
+
+
 def _summed(keys: list[np.ndarray], counts: list[np.ndarray]) -> tuple[np.ndarray, np.ndarray]:
     k, c = np.concatenate(keys), np.concatenate(counts)
     order = np.argsort(k)
@@ -157,28 +165,28 @@ def _log_gamma(x: np.ndarray) -> np.ndarray:
     return (y - 0.5) * np.log(y) - y + 0.5 * np.log(2 * np.pi) + 1 / (12 * y) - 1 / (360 * y**3) + 1 / (1260 * y**5) - shift
 
 
-def _log_kt(n0: np.ndarray, n1: np.ndarray) -> np.ndarray:
-    """log of the Krichevsky-Trofimov probability of any sequence with so many zeros and ones."""
-    return _log_gamma(n0 + 0.5) + _log_gamma(n1 + 0.5) - _log_gamma(n0 + n1 + 1.0) - np.log(np.pi)
+#: Counts whose log-gamma values are looked up.
+_TABLE = 1 << 16
 
 
-def _nodes(keys: np.ndarray, counts: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """Nodes (context and decision), zeros and ones, from sorted (context, byte) keys and counts.
+@lru_cache
+def _small(plus: float) -> np.ndarray:
+    return _log_gamma(np.arange(_TABLE) + plus)
 
-    A decision's number is 1 for the first bit and, below, the bits so far after a leading 1.
-    """
-    out = []
-    for level in range(8):
-        group = keys >> U(8 - level)
-        at = X.firsts(group)
-        bit = (keys >> U(7 - level)) & U(1)
-        n = np.add.reduceat(counts, at)
-        ones = np.add.reduceat(counts * bit.astype(np.int64), at)
-        k = keys[at]
-        out.append(((k >> U(8)) << U(8) | U(1 << level) | (k & U(255)) >> U(8 - level), n - ones, ones))
-    node, n0, n1 = (np.concatenate(x) for x in zip(*out))
-    order = np.argsort(node)
-    return node[order], n0[order].astype(float), n1[order].astype(float)
+
+def _log_gamma_of(n: np.ndarray, plus: float) -> np.ndarray:
+    """log of gamma(n + plus) of counts, which are whole numbers of any type."""
+    n = n.astype(np.int64)
+    out = _small(plus)[np.minimum(n, _TABLE - 1)]
+    big = n >= _TABLE
+    if big.any():
+        out[big] = _log_gamma(n[big] + plus)
+    return out
+
+
+def _log_kt(n0: np.ndarray, n1: np.ndarray) -> np.ndarray:
+    """log of the Krichevsky-Trofimov probability of any sequence with so many zeros and ones."""
+    return _log_gamma_of(n0, 0.5) + _log_gamma_of(n1, 0.5) - _log_gamma_of(n0 + n1, 1.0) - np.log(np.pi)
 
 
 def _weighed(n0: np.ndarray, n1: np.ndarray, below: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -188,40 +196,95 @@ def _weighed(n0: np.ndarray, n1: np.ndarray, below: np.ndarray) -> tuple[np.ndar
     return both, np.exp(own - both)
 
 
+def _decision(keys: np.ndarray, level: int) -> np.ndarray:
+    """A decision's number is 1 for the first bit and, below, the bits so far after a leading 1."""
+    return U(1 << level) | (keys & U(255)) >> U(8 - level)
+
+
+def _bit(keys: np.ndarray, level: int) -> np.ndarray:
+    return (keys >> U(7 - level) & U(1)) > 0
+
+
+class Depth:
+    """The nodes of one depth, from distinct sorted (context, byte) keys and counts: per level of decisions `at`, a
+    node's first key; `node`, each key's node; `n0` and `n1`; and, once weighed, `share`.
+
+    Keys without training counts have nodes too: with neither zeros nor ones, these give 1/2 and weigh nothing.
+    """
+
+    def __init__(self, keys: np.ndarray, counts: np.ndarray):
+        self.keys, self.at, self.node, self.n0, self.n1 = keys, [], [], [], []
+        for level in range(8):
+            at = X.firsts(keys >> U(8 - level))
+            first = np.zeros(len(keys), np.int32)
+            first[at] = 1
+            ones = np.add.reduceat(counts * _bit(keys, level), at)
+            self.at.append(at)
+            self.node.append(np.cumsum(first, dtype=np.int32) - 1)
+            self.n0.append(np.add.reduceat(counts, at) - ones)
+            self.n1.append(ones)
+        self.share: list[np.ndarray] = []
+        self.log: list[np.ndarray] = []
+
+    def weigh(self, below: Depth | None, up: np.ndarray | None) -> None:
+        """Logs and shares, from those of the depth below; `up` has the place here of each key there."""
+        for level, (n0, n1) in enumerate(zip(self.n0, self.n1)):
+            if below is None:
+                self.log.append(_log_kt(n0, n1))
+                continue
+            parent = self.node[level][up[below.at[level]]]
+            log, share = _weighed(n0, n1, np.bincount(parent, below.log[level], len(n0)))
+            self.log.append(log)
+            self.share.append(share)
+
+    def own(self, level: int) -> np.ndarray:
+        """Each key's next bit by the estimate of its node."""
+        n0, n1, node = self.n0[level], self.n1[level], self.node[level]
+        total = n0 + n1 + 1.0
+        return np.where(_bit(self.keys, level), ((n1 + 0.5) / total)[node], ((n0 + 0.5) / total)[node])
+
+
 class Tree:
-    """The nodes of depth 2 to DEPTH whose contexts end in given bytes, from sorted codes with training counts over 0."""
+    """The nodes of depth 2 to DEPTH whose contexts end in given bytes, from distinct sorted codes with counts."""
 
     def __init__(self, codes: np.ndarray, counts: np.ndarray):
-        self.levels: dict[int, tuple] = {}
-        below_node = below_log = None
-        for d in range(DEPTH, 1, -1):
-            keys, n = _summed([codes >> U(8 * (DEPTH + 1 - d)) << U(8) | codes & U(255)], [counts]) if d < DEPTH else (codes, counts)
-            node, n0, n1 = _nodes(keys, n)
-            if below_node is None:
-                log, share = _log_kt(n0, n1), np.ones(len(node))
-            else:
-                parent = (below_node >> U(16)) << U(8) | below_node & U(255)
-                log, share = _weighed(n0, n1, np.bincount(np.searchsorted(node, parent), below_log, len(node)))
-            self.levels[d] = (node, n0, n1, share)
-            below_node, below_log = node, log
-        self.top = (below_node, n0, n1, below_log)
-
-    def chances(self, context: np.ndarray, decision: np.ndarray, bit: np.ndarray) -> np.ndarray:
-        """P(bit) as mixed by depths 2 and more; 1/2 where training never had the context."""
-        p = np.full(len(bit), 0.5)
+        below, up = None, None
+        self.depths: list[tuple[Depth, np.ndarray]] = []
+        keys, n = codes, counts
         for d in range(DEPTH, 1, -1):
-            node, n0, n1, share = self.levels[d]
-            p = _stop(p, node, n0, n1, share, context >> U(8 * (DEPTH - d)) << U(8) | decision, bit)
-        return p
-
-
-def _stop(p, node, n0, n1, share, wanted, bit):
-    """Mix a depth's own estimate into p where the depth has the node; 1/2 where it has not."""
-    if not len(node):
-        return np.full(len(p), 0.5)
-    at = np.minimum(np.searchsorted(node, wanted), len(node) - 1)
-    own = (np.where(bit, n1[at], n0[at]) + 0.5) / (n0[at] + n1[at] + 1)
-    return np.where(node[at] == wanted, share[at] * own + (1 - share[at]) * p, 0.5)
+            depth = Depth(keys, n)
+            depth.weigh(below, up)
+            shorter, up = np.unique(keys >> U(16) << U(8) | keys & U(255), return_inverse=True)
+            self.depths.append((depth, up))
+            below = depth
+            keys, n = shorter, np.bincount(up, n, len(shorter)).astype(np.int64)
+        #: (last byte of context, byte) of all codes.
+        self.last = keys
+
+    def top(self) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+        """By the last byte of context and decision: zeros, ones and the summed logs of depth 2's nodes with training counts."""
+        depth = self.depths[-1][0]
+        first = [depth.keys[at] for at in depth.at]
+        node = np.concatenate([k >> U(16) << U(8) | _decision(k, level) for level, k in enumerate(first)])
+        n0, n1, log = (np.concatenate(x) for x in (depth.n0, depth.n1, depth.log))
+        seen = n0 + n1 > 0
+        parent, at = np.unique(node[seen], return_inverse=True)
+        return parent, *(np.bincount(at, x[seen]).astype(float) for x in (n0, n1, log))
+
+    def lengths(self, top: Top) -> np.ndarray:
+        """log10 P(byte | context) of each code: from the root down, what shorter contexts leave to longer ones."""
+        chance = np.ones(len(self.depths[0][0].keys))
+        for level in range(8):
+            have, left = top.parts(self.last >> U(8), _decision(self.last, level), _bit(self.last, level))
+            for depth, up in reversed(self.depths):
+                have, left, own = have[up], left[up], depth.own(level)
+                if depth.share:
+                    share = depth.share[level][depth.node[level]]
+                    have, left = have + left * share * own, left * (1 - share)
+                else:
+                    have += left * own
+            chance *= have
+        return np.log10(chance)
 
 
 def _by_tree(trees: int):
@@ -249,12 +312,10 @@ _TOP = pa.schema([("node", pa.int64()), ("n0", pa.float64()), ("n1", pa.float64(
 def _top_sums(t: pa.Table) -> pa.Table:
     """Of a tree: by the last byte of context and decision, counts and the summed logs of its depth-2 nodes."""
     codes, counts = _runs_of(t)
-    seen = counts > 0
-    if not seen.any():
+    if not counts.any():
         return _TOP.empty_table()
-    node, n0, n1, log = Tree(codes[seen], counts[seen]).top
-    parent, at = np.unique((node >> U(16)) << U(8) | node & U(255), return_inverse=True)
-    return pa.table([parent.astype(np.int64), *(np.bincount(at, x) for x in (n0, n1, log))], schema=_TOP)
+    node, *sums = Tree(codes, counts).top()
+    return pa.table([node.astype(np.int64), *sums], schema=_TOP)
 
 
 class Top:
@@ -269,27 +330,26 @@ class Top:
         m0, m1, under = (np.bincount(at, x, len(root)) for x in (n0, n1, log))
         self.zero = (root, m0, m1, _weighed(m0, m1, under)[1])
 
-    def mix(self, p: np.ndarray, last: np.ndarray, decision: np.ndarray, bit: np.ndarray) -> np.ndarray:
-        p = _stop(p, *self.one, last << U(8) | decision, bit)
-        return _stop(p, *self.zero, decision, bit)
-
+    @staticmethod
+    def _part(node, n0, n1, share, wanted, bit):
+        """A depth's own part of P(bit), and what it leaves to longer contexts; 1/2 where it has no such node."""
+        if not len(node):
+            return np.full(len(bit), 0.5), np.zeros(len(bit))
+        at = np.minimum(np.searchsorted(node, wanted), len(node) - 1)
+        own, has = (np.where(bit, n1[at], n0[at]) + 0.5) / (n0[at] + n1[at] + 1), node[at] == wanted
+        return np.where(has, share[at] * own, 0.5), np.where(has, 1 - share[at], 0.0)
 
-def _code_lengths(codes: np.ndarray, tree: Tree | None, top: Top) -> np.ndarray:
-    """log10 P(byte | context) of each code."""
-    out = np.zeros(len(codes))
-    context, byte = codes >> U(8), codes & U(255)
-    for level in range(8):
-        decision, bit = U(1 << level) | byte >> U(8 - level), (byte >> U(7 - level) & U(1)) > 0
-        p = tree.chances(context, decision, bit) if tree else np.full(len(codes), 0.5)
-        out += np.log10(top.mix(p, context >> U(8 * (DEPTH - 1)), decision, bit))
-    return out
+    def parts(self, last: np.ndarray, decision: np.ndarray, bit: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Of P(bit), what depths 0 and 1 give, and the weight of the longer contexts."""
+        zero, rest = self._part(*self.zero, decision, bit)
+        one, left = self._part(*self.one, last << U(8) | decision, bit)
+        return zero + rest * one, rest * left
 
 
 def _lengths(top, shards: int):
     def run(t: pa.Table) -> pa.Table:
         codes, counts = _runs_of(t)
-        seen = counts > 0
-        value = _code_lengths(codes, Tree(codes[seen], counts[seen]) if seen.any() else None, top.value)
+        value = Tree(codes, counts).lengths(top.value)
         order, target = _targets(RUNS, codes, shards)
         return X.send([target, codes[order], value[order]], shards)
 
@@ -301,7 +361,7 @@ def _ask(shards: int):
         X.give_back()
         words = [_words(x) for x in t["text"].cast(pa.binary()).to_pylist()]
         targets, asked = [], []
-        for kind, keys in ((RUNS, _distinct_runs(words)), (WORDS, np.unique(_hashed([*{x for w in words for x in w}, END])))):
+        for kind, keys in ((RUNS, _distinct_runs(words)), (WORDS, _distinct(_hashed([*{x for w in words for x in w}, END])))):
             order, target = _targets(kind, keys, shards)
             targets.append(target)
             asked.append(keys[order])
@@ -317,11 +377,11 @@ def _distinct_runs(words: list[list[bytes]]) -> np.ndarray:
         lines.append(_line(w))
         size += len(lines[-1])
         if size >= X.BLOCK_BYTES // 4:
-            found.append(np.unique(_runs(lines)[0]))
+            found.append(_distinct(_runs(lines)[0]))
             lines, size = [], 0
     if lines:
-        found.append(np.unique(_runs(lines)[0]))
-    return np.unique(np.concatenate(found))
+        found.append(_distinct(_runs(lines)[0]))
+    return _distinct(np.concatenate(found))
 
 
 def _answer(shards: int, blocks: int):
@@ -357,6 +417,8 @@ def _score(train_tokens: int, vocabulary: int):
         known = {want: (keys[order[kind[order] == want]], values[order[kind[order] == want]]) for want in (RUNS, WORDS)}
         del kind, keys, values, order
         words = [_words(x) for x in docs["text"].cast(pa.binary()).to_pylist()]
+        # a hash table: places of unsorted keys are found faster than by bisection
+        runs, run_value = pd.Index(known[RUNS][0]), known[RUNS][1]
         score, size = np.zeros(len(words)), np.zeros(len(words), np.int64)
         k = 0
         while k < len(words):
@@ -366,13 +428,12 @@ def _score(train_tokens: int, vocabulary: int):
                 n += len(lines[-1])
                 k += 1
             code, first = _runs(lines)
-            keys, values = known[RUNS]
-            score[a:k] = np.add.reduceat(values[np.searchsorted(keys, code)], first)
+            score[a:k] = np.add.reduceat(run_value[runs.get_indexer(code)], first)
             size[a:k] = [len(x) for x in lines]
         keys, counts = known[WORDS]
         base = np.log10((counts + 1.0) / (train_tokens + (vocabulary + 1.0)))
         h = _hashed([x for w in words for x in (*w, END)])
-        at = np.searchsorted(keys, h)
+        at = pd.Index(keys).get_indexer(h)
         n = np.array([len(w) + 1 for w in words], np.int64)
         first = np.cumsum(n) - n
         known_tokens = np.add.reduceat((counts[at] > 0).astype(np.int64), first)
