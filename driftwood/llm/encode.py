@@ -10,8 +10,8 @@ import unicodedata
 
 import numpy as np
 
-#: Pieces whose ids are remembered at once, and the longest of them.
-PIECES, LONGEST = 200_000, 100
+#: Pieces whose ids a worker remembers (some 250 bytes each), and the longest of them.
+PIECES, LONGEST = 600_000, 100
 #: Pieces encoded as one text.
 AT_ONCE = 1000
 #: Marks that are cut off a word before it is looked up.
