@@ -8,7 +8,8 @@ closer pairs are found more surely.  Every pair that is linked is decided by its
 
 Near copies come in groups, and a pair of a group whose members are linked already says nothing new.  So each set is
 first compared to a few others, of its blocks' centres those with the most candidates; only pairs that this leaves apart
-are compared next, in tiles if more than `SMALL` sets share a block.
+are compared next.  Where more than `SMALL` sets share a block they are compared in tiles, whole sets included, and a tile
+returns a spanning forest of its links: no more rows than sets, however many of its pairs are near or alike.
 """
 
 from __future__ import annotations
@@ -39,8 +40,8 @@ RECALL = 0.98
 SMALL = 3
 #: Standard deviations by which the differing bits of a candidate may exceed those expected: of the first lane, of all lanes.
 SPREAD, SPREAD_ALL = 5.0, 4.0
-#: Sets in a tile of a block that many share.
-TILE = 2_000
+#: Sets in a tile of a block that many share, and their hashes.
+TILE, TILE_HASHES = 2_000, 2 << 20
 #: Pairs with one set that one task confirms.
 PAIRS = 500
 
@@ -130,29 +131,72 @@ def _close(a: str, b: str, least: Fraction) -> Column:
     return sizes & (F.bit_count(F.col(f"{a}.lane").bitwiseXOR(F.col(f"{b}.lane"))) <= farthest(float(least)))
 
 
-def _in_tiles(large: DataFrame, least: Fraction, lanes: int) -> DataFrame:
-    """Pairs u, v with different labels that may be similar enough, within keys that many sets share; `large`: key, node, n, lane, label, lanes."""
-    most, most_of_all = farthest(float(least)), farthest(float(least), lanes)
-
-    def apart(t: pa.Table) -> pa.Table:
-        node, n, lane, label = (t[c].to_numpy() for c in ("node", "n", "lane", "label"))
-        lane, wide = lane.view(U), t["lanes"].combine_chunks().flatten().to_numpy().view(U).reshape(len(node), lanes)
-        us, vs = [np.zeros(0, np.int64)], [np.zeros(0, np.int64)]
-        for k in range(len(node) - 1):
-            rest = slice(k + 1, None)
-            near = (label[rest] != label[k]) & (np.bitwise_count(lane[rest] ^ lane[k]) <= most)
-            near &= np.minimum(n[rest], n[k]) * least.denominator >= np.maximum(n[rest], n[k]) * least.numerator
-            at = np.flatnonzero(near) + k + 1
-            got = node[at[np.bitwise_count(wide[at] ^ wide[k]).sum(axis=1) <= most_of_all]]
-            us.append(np.maximum(got, node[k]))
-            vs.append(np.minimum(got, node[k]))
-        return pa.table([pa.array(np.concatenate(us)), pa.array(np.concatenate(vs))], names=["u", "v"])
-
-    size = large.groupBy("key").agg(F.ceil(F.count("*") / TILE).cast("int").alias("tiles"), F.min("label").alias("lo"), F.max("label").alias("hi")).where("lo < hi").select("key", "tiles")
+def _near(t: pa.Table, least: Fraction, lanes: int, k: int, rows: np.ndarray) -> np.ndarray:
+    """Those of `rows` that may be similar enough to row k, by their sizes and fingerprints."""
+    n = t["n"][rows]
+    rows = rows[(np.minimum(n, t["n"][k]) * least.denominator >= np.maximum(n, t["n"][k]) * least.numerator) & (np.bitwise_count(t["lanes"][rows, 0] ^ t["lanes"][k, 0]) <= farthest(float(least)))]
+    return rows[np.bitwise_count(t["lanes"][rows] ^ t["lanes"][k]).sum(axis=1) <= farthest(float(least), lanes)]
+
+
+def _arrays(t: pa.Table, lanes: int) -> dict[str, np.ndarray]:
+    out = {c: t[c].to_numpy() for c in ("node", "n", "label")}
+    return out | {"lanes": t["lanes"].combine_chunks().flatten().to_numpy().view(U).reshape(len(t), lanes)}
+
+
+def _with_candidates(least: Fraction, lanes: int):
+    """Of a pair of tiles the rows that may be similar enough to one with another label."""
+
+    def run(t: pa.Table) -> pa.Table:
+        x, some = _arrays(t, lanes), np.zeros(len(t), bool)
+        for k in range(len(t) - 1):
+            at = _near(x, least, lanes, k, np.flatnonzero(x["label"][k + 1 :] != x["label"][k]) + k + 1)
+            some[at] = True
+            some[k] |= len(at) > 0
+        return t.filter(pa.array(some))
+
+    return run
+
+
+def _linked_in_tile(least: Fraction, lanes: int):
+    """A spanning forest of the links between the labels in a pair of tiles, decided by the whole sets."""
+
+    def run(t: pa.Table) -> pa.Table:
+        x, sets = _arrays(t, lanes), [np.frombuffer(h.as_py(), U) for h in t["hashes"]]
+        size = np.array([len(s) for s in sets], np.int64)
+        number = np.unique(np.concatenate(sets), return_inverse=True)[1].astype(np.int32)
+        own = np.split(number, np.cumsum(size)[:-1])
+        group, held = np.unique(x["label"], return_inverse=True)[1], np.zeros(len(number), bool)
+        us, vs = [], []
+        for k in range(len(sets) - 1):
+            at = _near(x, least, lanes, k, np.flatnonzero(group[k + 1 :] != group[k]) + k + 1)
+            if not len(at):
+                continue
+            held[own[k]] = True
+            common = np.array([np.count_nonzero(held[own[j]]) for j in at.tolist()], np.int64)
+            held[own[k]] = False
+            for j in at[common * (least.numerator + least.denominator) >= least.numerator * (size[at] + size[k])].tolist():
+                if group[j] != group[k]:
+                    us.append(int(x["node"][k]))
+                    vs.append(int(x["node"][j]))
+                    group[group == group[j]] = group[k]
+        return pa.table([pa.array(us, pa.int64()), pa.array(vs, pa.int64())], names=["u", "v"])
+
+    return run
+
+
+def _in_tiles(large: DataFrame, docs: DataFrame, points: DataFrame, shingle: int, least: Fraction, lanes: int) -> DataFrame:
+    """Links u, v that join sets with different labels within keys that many sets share; `large`: key, node, n, label, lanes.
+
+    A set is sent to the pairs of tiles where it has a candidate, and those return at most one link for each label.
+    """
+    tiles = F.ceil(F.greatest(F.count("*") / TILE, F.sum("n") / TILE_HASHES)).cast("int")
+    size = large.groupBy("key").agg(tiles.alias("tiles"), F.min("label").alias("lo"), F.max("label").alias("hi")).where("lo < hi").select("key", "tiles")
     rows = large.join(size, "key").withColumn("tile", F.pmod(F.xxhash64("node"), F.col("tiles")).cast("int"))
     rows = rows.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("tiles") - 1)))
-    rows = rows.select("key", F.least("tile", "other").alias("p"), F.greatest("tile", "other").alias("q"), "node", "n", "lane", "label", "lanes")
-    return rows.groupBy("key", "p", "q").applyInArrow(apart, "u long, v long").where("u != v")
+    rows = rows.select("key", F.least("tile", "other").alias("p"), F.greatest("tile", "other").alias("q"), "node", "n", "label", "lanes")
+    found = staged(rows.groupBy("key", "p", "q").applyInArrow(_with_candidates(least, lanes), rows.schema), "candidates")
+    sets = _whole_sets(found.select("node").distinct(), docs, points, shingle)
+    return found.join(sets, "node").groupBy("key", "p", "q").applyInArrow(_linked_in_tile(least, lanes), "u long, v long")
 
 
 def _named_sets(shingle: int):
@@ -180,13 +224,17 @@ def _confirm(least: Fraction):
     return run
 
 
+def _whole_sets(nodes: DataFrame, docs: DataFrame, points: DataFrame, shingle: int) -> DataFrame:
+    """node and hashes of the sets of `nodes` (node), read again from a text of each."""
+    wanted = staged(points.select("node", "row").join(nodes, "node", "left_semi"), "wanted")
+    texts = docs.select("row", "text").join(wanted, "row").select("node", "text")
+    return staged(texts.mapInArrow(_named_sets(shingle), "node long, hashes binary").groupBy("node").agg(F.any_value("hashes").alias("hashes")), "sets")
+
+
 def _confirmed(pairs: DataFrame, docs: DataFrame, points: DataFrame, shingle: int, least: Fraction) -> DataFrame:
     """The pairs u, v whose whole sets are similar enough.  A set that many pairs have as v goes to as many tasks as that takes."""
     pairs = staged(pairs, "pairs")
-    wanted = pairs.select(F.col("u").alias("node")).unionAll(pairs.select("v")).distinct()
-    wanted = staged(points.select("node", "row").join(wanted, "node", "left_semi"), "wanted")
-    texts = docs.select("row", "text").join(wanted, "row").select("node", "text")
-    sets = staged(texts.mapInArrow(_named_sets(shingle), "node long, hashes binary").groupBy("node").agg(F.any_value("hashes").alias("hashes")), "sets")
+    sets = _whole_sets(pairs.select(F.col("u").alias("node")).unionAll(pairs.select("v")).distinct(), docs, points, shingle)
     parts = staged(pairs.groupBy("v").agg(F.count("*").alias("n"), F.ceil(F.count("*") / PAIRS).cast("int").alias("parts")), "parts")
     of_v = sets.select(F.col("node").alias("v"), F.col("hashes").alias("b")).join(parts.drop("n"), "v").withColumn("part", F.explode(F.sequence(F.lit(0), F.col("parts") - 1)))
     told = join_evenly(pairs, parts, "v", "n", pairs.count()).select("u", "v", F.pmod(F.xxhash64("u"), F.col("parts")).cast("int").alias("part"))
@@ -194,6 +242,18 @@ def _confirmed(pairs: DataFrame, docs: DataFrame, points: DataFrame, shingle: in
     return of_u.join(of_v.drop("parts"), ["v", "part"]).select("u", "v", "a", "b").mapInArrow(_confirm(least), "u long, v long")
 
 
+def _shared_keys(keyed: DataFrame, least: Fraction) -> DataFrame:
+    """key and m (its sets) of the keys that may hold a link; `keyed`: key, node, n, lane.
+
+    Keys that sets share by chance, which grow faster than their number, nearly all have two sets.  Those are judged
+    here, in the sums of a key: two sets' first lanes differ in the bits of their xor.
+    """
+    # every column is read, so that Spark shuffles `keyed` once for these sums and for the join to them
+    sizes = keyed.groupBy("key").agg(F.count("*").alias("m"), F.min("n").alias("few"), F.max("n").alias("many"), F.bit_xor("lane").alias("xor"), F.max("node").alias("node"))
+    two = (F.col("few") * least.denominator >= F.col("many") * least.numerator) & (F.bit_count("xor") <= farthest(float(least)))
+    return sizes.where((F.col("m") > 2) | (F.col("m") == 2) & two & F.col("node").isNotNull()).select("key", "m")
+
+
 def _to_centres(shared: DataFrame, least: Fraction) -> DataFrame:
     """For each set the CENTRES of its blocks that have the most candidates; a block's centre is its set with the most.
 
@@ -210,9 +270,8 @@ def _to_centres(shared: DataFrame, least: Fraction) -> DataFrame:
 def _grouped(docs: DataFrame, points: DataFrame, shingle: int, lanes: int, width: int, blocks: int, least: Fraction) -> DataFrame:
     """node and component over all links between the sets of `points` (node, row, n, lanes)."""
     keyed = points.where("n > 0").select("node", "n", "lanes").mapInArrow(_keys(lanes, width, blocks), "node long, n long, lane long, keys array<bigint>")
-    keyed = keyed.select("node", "n", "lane", F.explode("keys").alias("key"))
-    sizes = keyed.groupBy("key").agg(F.count("*").alias("m")).where("m > 1")
-    shared = staged(keyed.join(sizes, "key"), "shared")
+    keyed = keyed.select("node", "n", "lane", F.explode("keys").alias("key")).repartition("key")
+    shared = staged(keyed.join(_shared_keys(keyed, least), "key"), "shared")
     first = staged(_to_centres(shared, least), "first")
     labels = components(_confirmed(first, docs, points, shingle, least))
     # what the first links leave apart
@@ -221,9 +280,9 @@ def _grouped(docs: DataFrame, points: DataFrame, shingle: int, lanes: int, width
     small, large = labelled.where(F.col("m") <= SMALL), labelled.where(F.col("m") > SMALL)
     a, b = small.alias("a"), small.alias("b")
     apart = (F.col("a.key") == F.col("b.key")) & (F.col("a.node") < F.col("b.node")) & (F.col("a.label") != F.col("b.label")) & _close("a", "b", least) & (_apart(lanes) <= farthest(float(least), lanes))
-    rest = a.join(b, apart).select(F.col("b.node").alias("u"), F.col("a.node").alias("v")).unionAll(_in_tiles(large, least, lanes)).distinct()
+    rest = a.join(b, apart).select(F.col("b.node").alias("u"), F.col("a.node").alias("v")).distinct()
     tried = first.select(F.greatest("u", "v").alias("u"), F.least("u", "v").alias("v"))
-    more = _confirmed(rest.join(tried, ["u", "v"], "left_anti"), docs, points, shingle, least)
+    more = _confirmed(rest.join(tried, ["u", "v"], "left_anti"), docs, points, shingle, least).unionAll(_in_tiles(large, docs, points, shingle, least, lanes))
     return components(labels.select(F.col("node").alias("u"), F.col("component").alias("v")).unionAll(more))
 
 

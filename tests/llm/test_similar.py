@@ -73,3 +73,21 @@ def test_rows_are_dropped_not_ids(spark):
     assert kept.columns == docs.columns
     assert sorted(map(tuple, kept.collect()), key=str) == sorted([rows[k] for k in (0, 2, 3, 6, 7)], key=str)
     assert similar.drop_copies(docs.limit(0)).collect() == []
+
+
+def test_a_large_group_of_near_pairs_makes_no_row_for_each(spark, monkeypatch):
+    texts = [" ".join([f"c{k}" for k in range(204)] + [f"m{n}o{k}" for k in range(28)]) for n in range(80)]
+    assert alike(shingles(texts[0]), shingles(texts[1])) < 0.8
+    texts += pair("z", 200, 25)
+    monkeypatch.setattr(similar, "SMALL", 1)
+    made, stage = [], similar.staged
+    monkeypatch.setattr(similar, "staged", lambda df, name="table": [out := stage(df, name), made.append((name, out.count()))][0])
+    got = components_of(spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string"), 0.98)
+    assert got == dict(enumerate([*range(81), 80]))
+    assert max(n for name, n in made if name == "pairs") <= 4 * len(texts)
+
+
+def test_two_far_sets_that_share_a_key_by_chance_are_not_joined(spark):
+    rows = [(1, 100, 0, 5), (2, 100, -1, 5), (3, 100, 0, 6), (4, 100, 1, 6), (5, 100, 0, 7), (6, 50, 0, 7), (7, 9, 0, 8), *[(k, 100, k, 9) for k in (8, 9, 10)]]
+    kept = similar._shared_keys(spark.createDataFrame(rows, "node long, n long, lane long, key long"), similar.Fraction("0.8"))
+    assert sorted(map(tuple, kept.collect())) == [(6, 2), (9, 3)]
