@@ -87,6 +87,7 @@ def _write(path: str, end_id: int, chunk: int, bits: int):
                         yield flush()
         if held:
             yield flush()
+        X.give_back()
 
     return run
 
@@ -120,6 +121,7 @@ def _read(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             ids = [data[4 * a : 4 * z] for a, z in zip(start.tolist(), stop.tolist())]
             rows = [r["docs"], [r["shard"]] * len(ids), (start + r["shard_start"]).tolist(), r["doc_ids_count"], ids]
             yield pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(rows, _READ)], schema=_READ)
+    X.give_back()
 
 
 def read_ids(spark: SparkSession, folder: str) -> DataFrame:
