@@ -62,7 +62,8 @@ class Encoder:
 
     def _learn(self, pieces: list[str]) -> dict[str, bytes]:
         """The ids of distinct pieces; one mark after a letter or digit is always a token of its own."""
-        ends = {p: (p[:-1], p[-1]) for p in pieces if p[-1:] in _ENDS and p[-2:-1].isalnum()}
+        # but not after a letter that a normalizer makes a letter and a mark of
+        ends = {p: (p[:-1], p[-1]) for p in pieces if p[-1:] in _ENDS and p[-2:-1].isalnum() and (p[-2].isascii() or unicodedata.normalize("NFC", p[-2].lower()).isalnum())}
         bodies = {b for b, _ in ends.values()}
         new = self._encoded([*{p for p in pieces if p not in ends} | {b for b in bodies if b not in self.seen}])
         for p, (b, end) in ends.items():
