@@ -6,10 +6,12 @@ are joined on it and their Hamming distance is verified in the join.  Blocks wid
 block is shared by chance by few, and their number is what finds `recall` of the pairs that are just similar enough;
 closer pairs are found more surely.  Every pair that is linked is decided by its whole sets.
 
-Near copies come in groups, and a pair of a group whose members are linked already says nothing new.  So each set is
-first compared to a few others, of its blocks' centres those with the most candidates; only pairs that this leaves apart
-are compared next.  Where more than `SMALL` sets share a block they are compared in tiles, whole sets included, and a tile
-returns a spanning forest of its links: no more rows than sets, however many of its pairs are near or alike.
+Near copies come in groups, and a pair of a group whose members are linked already says nothing new.  So the blocks are
+taken in rounds, few of them first, and a key whose sets are all of one component is dropped by its sums.  Keys of two or
+three sets give their pairs from these sums, without a join.  Where more than `SMALL` sets share a block, each set is in
+the first round compared to a few others, of its blocks' centres those with the most candidates; what this leaves apart
+is compared in tiles, whole sets included, and a tile returns a spanning forest of its links: no more rows than sets,
+however many of its pairs are near or alike.
 """
 
 from __future__ import annotations
@@ -32,11 +34,13 @@ from driftwood.llm.simhash import COUNTED, U, Votes, _apart, named, shingle_hash
 LANES = 24
 #: Bits of a block at least, and beyond those that number the sets: a block is shared by chance with a chance of a fourth at most.
 WIDTH, SPARE = 23, 2
+#: Where rounds end, as shares of the blocks.
+ROUNDS = (0.07, 0.35, 1.0)
 #: Centres that a set is compared to first.
 CENTRES = 3
 #: Share of the pairs of the least similarity that share a block, about.
 RECALL = 0.98
-#: Sets that share a block and are still joined pair by pair: no more pairs than sets.
+#: Sets that share a block and are still paired one by one, three at most: no more pairs than sets.
 SMALL = 3
 #: Standard deviations by which the differing bits of a candidate may exceed those expected: of the first lane, of all lanes.
 SPREAD, SPREAD_ALL = 5.0, 4.0
@@ -103,8 +107,8 @@ def _places(bits: int, width: int, blocks: int) -> np.ndarray:
     return np.concatenate([o[: per * width].reshape(per, width) for o in orders])[:blocks]
 
 
-def _keys(lanes: int, width: int, blocks: int):
-    places = _places(64 * lanes, width, blocks)
+def _keys(lanes: int, width: int, begin: int, stop: int):
+    places, blocks = _places(64 * lanes, width, stop)[begin:], stop - begin
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -117,10 +121,10 @@ def _keys(lanes: int, width: int, blocks: int):
                     key = np.zeros(bits.shape[1], U)
                     for p in places_of:
                         key = key << U(1) | bits[p]
-                    keys[k : k + 1000, b] = mix(key + U(b << 48))
+                    keys[k : k + 1000, b] = mix(key + U(begin + b << 48))
             lists = pa.ListArray.from_arrays(pa.array(np.arange(rows + 1) * blocks, pa.int32()), pa.array(keys.ravel().view(np.int64)))
             first = pa.array(prints[:, 0].view(np.int64))
-            yield pa.RecordBatch.from_arrays([batch["node"], batch["n"], first, lists], names=["node", "n", "lane", "keys"])
+            yield pa.RecordBatch.from_arrays([batch["node"], batch["n"], first, batch["label"], lists], names=["node", "n", "lane", "label", "keys"])
 
     return run
 
@@ -185,13 +189,12 @@ def _linked_in_tile(least: Fraction, lanes: int):
 
 
 def _in_tiles(large: DataFrame, docs: DataFrame, points: DataFrame, shingle: int, least: Fraction, lanes: int) -> DataFrame:
-    """Links u, v that join sets with different labels within keys that many sets share; `large`: key, node, n, label, lanes.
+    """Links u, v that join sets with different labels within keys that many sets share; `large`: key, node, n, label, lanes, and the key's sets m and their hashes.
 
     A set is sent to the pairs of tiles where it has a candidate, and those return at most one link for each label.
     """
-    tiles = F.ceil(F.greatest(F.count("*") / TILE, F.sum("n") / TILE_HASHES)).cast("int")
-    size = large.groupBy("key").agg(tiles.alias("tiles"), F.min("label").alias("lo"), F.max("label").alias("hi")).where("lo < hi").select("key", "tiles")
-    rows = large.join(size, "key").withColumn("tile", F.pmod(F.xxhash64("node"), F.col("tiles")).cast("int"))
+    tiles = F.ceil(F.greatest(F.col("m") / TILE, F.col("hashes") / TILE_HASHES)).cast("int")
+    rows = large.withColumn("tiles", tiles).withColumn("tile", F.pmod(F.xxhash64("node"), F.col("tiles")).cast("int"))
     rows = rows.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("tiles") - 1)))
     rows = rows.select("key", F.least("tile", "other").alias("p"), F.greatest("tile", "other").alias("q"), "node", "n", "label", "lanes")
     found = staged(rows.groupBy("key", "p", "q").applyInArrow(_with_candidates(least, lanes), rows.schema), "candidates")
@@ -242,48 +245,84 @@ def _confirmed(pairs: DataFrame, docs: DataFrame, points: DataFrame, shingle: in
     return of_u.join(of_v.drop("parts"), ["v", "part"]).select("u", "v", "a", "b").mapInArrow(_confirm(least), "u long, v long")
 
 
-def _shared_keys(keyed: DataFrame, least: Fraction) -> DataFrame:
-    """key and m (its sets) of the keys that may hold a link; `keyed`: key, node, n, lane.
+def _shared_keys(keyed: DataFrame, least: Fraction, label: str = "node", more: tuple[str, ...] = ()) -> DataFrame:
+    """key, m (its sets) and the sums `more` of the keys that may hold a link between labels; `keyed`: key, node, n, lane.
 
     Keys that sets share by chance, which grow faster than their number, nearly all have two sets.  Those are judged
     here, in the sums of a key: two sets' first lanes differ in the bits of their xor.
     """
     # every column is read, so that Spark shuffles `keyed` once for these sums and for the join to them
-    sizes = keyed.groupBy("key").agg(F.count("*").alias("m"), F.min("n").alias("few"), F.max("n").alias("many"), F.bit_xor("lane").alias("xor"), F.max("node").alias("node"))
+    nodes = [F.min("node").alias("low"), F.max("node").alias("high"), F.bit_xor("node").alias("nodes")]
+    sizes = keyed.groupBy("key").agg(F.count("*").alias("m"), F.min("n").alias("few"), F.max("n").alias("many"), F.sum("n").alias("hashes"), F.bit_xor("lane").alias("xor"), F.min(label).alias("lo"), F.max(label).alias("hi"), *nodes)
     two = (F.col("few") * least.denominator >= F.col("many") * least.numerator) & (F.bit_count("xor") <= farthest(float(least)))
-    return sizes.where((F.col("m") > 2) | (F.col("m") == 2) & two & F.col("node").isNotNull()).select("key", "m")
+    return sizes.where((F.col("lo") < F.col("hi")) & ((F.col("m") > 2) | two) & F.col("high").isNotNull()).select("key", "m", *more)
+
+
+def _pairs_of_sums(keys: DataFrame) -> DataFrame:
+    """The pairs u > v of the sets of keys with two or three, from their sums low, high and nodes (xor)."""
+    middle = F.col("nodes").bitwiseXOR(F.col("low")).bitwiseXOR(F.col("high"))
+    pair = lambda u, v: F.struct(u.alias("u"), v.alias("v"))
+    low, high = F.col("low"), F.col("high")
+    pairs = F.when(F.col("m") == 2, F.array(pair(high, low))).otherwise(F.array(pair(high, low), pair(high, middle), pair(middle, low)))
+    return keys.select(F.explode(pairs).alias("p")).select("p.u", "p.v").distinct()
 
 
 def _to_centres(shared: DataFrame, least: Fraction) -> DataFrame:
     """For each set the CENTRES of its blocks that have the most candidates; a block's centre is its set with the most.
 
-    `shared` has key, node, n, lane and m (the key's sets); every row meets its block's centre once.
+    `shared` has key, node, n, lane, label and m (the key's sets); every row meets its block's centre once.
     """
     scored = shared.join(shared.groupBy("node").agg(F.sum("m").alias("score")), "node")
-    centre = scored.groupBy("key").agg(F.max_by(F.struct("node", "n", "lane", "score"), F.struct("score", "node")).alias("c"))
-    met = scored.select("key", F.struct("node", "n", "lane").alias("x")).join(centre, "key")
-    may = (F.col("x.node") != F.col("c.node")) & _close("x", "c", least)
+    centre = scored.groupBy("key").agg(F.max_by(F.struct("node", "n", "lane", "label", "score"), F.struct("score", "node")).alias("c"))
+    met = scored.select("key", F.struct("node", "n", "lane", "label").alias("x")).join(centre, "key")
+    may = (F.col("x.label") != F.col("c.label")) & _close("x", "c", least)
     best = met.groupBy(F.col("x.node").alias("u")).agg(F.collect_set(F.when(may, F.struct("c.score", "c.node"))).alias("c"))
     return best.select("u", F.explode(F.slice(F.sort_array("c", asc=False), 1, CENTRES)).alias("c")).select("u", F.col("c.node").alias("v"))
 
 
+def _rounds(blocks: int) -> list[tuple[int, int]]:
+    """The blocks of each round."""
+    ends = [math.ceil(share * blocks) for share in ROUNDS]
+    return [(a, z) for a, z in zip([0, *ends], ends) if a < z]
+
+
+def _with_links(labels: DataFrame | None, more: DataFrame) -> DataFrame:
+    return components(more if labels is None else labels.select(F.col("node").alias("u"), F.col("component").alias("v")).unionAll(more))
+
+
+def _with_labels(rows: DataFrame, labels: DataFrame | None) -> DataFrame:
+    """`rows` with the component of their node as its label, or the node itself."""
+    if labels is None:
+        return rows.withColumn("label", F.col("node"))
+    return rows.join(labels, "node", "left").withColumn("label", F.coalesce("component", "node")).drop("component")
+
+
 def _grouped(docs: DataFrame, points: DataFrame, shingle: int, lanes: int, width: int, blocks: int, least: Fraction) -> DataFrame:
     """node and component over all links between the sets of `points` (node, row, n, lanes)."""
-    keyed = points.where("n > 0").select("node", "n", "lanes").mapInArrow(_keys(lanes, width, blocks), "node long, n long, lane long, keys array<bigint>")
-    keyed = keyed.select("node", "n", "lane", F.explode("keys").alias("key")).repartition("key")
-    shared = staged(keyed.join(_shared_keys(keyed, least), "key"), "shared")
-    first = staged(_to_centres(shared, least), "first")
-    labels = components(_confirmed(first, docs, points, shingle, least))
-    # what the first links leave apart
-    labelled = shared.join(labels, "node", "left").withColumn("label", F.coalesce("component", "node")).drop("component")
-    labelled = staged(labelled.join(points.select("node", "lanes"), "node"), "labelled")
-    small, large = labelled.where(F.col("m") <= SMALL), labelled.where(F.col("m") > SMALL)
-    a, b = small.alias("a"), small.alias("b")
-    apart = (F.col("a.key") == F.col("b.key")) & (F.col("a.node") < F.col("b.node")) & (F.col("a.label") != F.col("b.label")) & _close("a", "b", least) & (_apart(lanes) <= farthest(float(least), lanes))
-    rest = a.join(b, apart).select(F.col("b.node").alias("u"), F.col("a.node").alias("v")).distinct()
-    tried = first.select(F.greatest("u", "v").alias("u"), F.least("u", "v").alias("v"))
-    more = _confirmed(rest.join(tried, ["u", "v"], "left_anti"), docs, points, shingle, least).unionAll(_in_tiles(large, docs, points, shingle, least, lanes))
-    return components(labels.select(F.col("node").alias("u"), F.col("component").alias("v")).unionAll(more))
+    labels = None
+    for begin, stop in _rounds(blocks):
+        # each round decides all pairs with other labels that share one of its blocks
+        rows = _with_labels(points.where("n > 0").select("node", "n", "lanes"), labels)
+        keyed = rows.mapInArrow(_keys(lanes, width, begin, stop), "node long, n long, lane long, label long, keys array<bigint>")
+        keyed = keyed.select("node", "n", "lane", "label", F.explode("keys").alias("key")).repartition("key")
+        keys = _shared_keys(keyed, least, "label", ("hashes", "low", "high", "nodes"))
+        many = keyed.join(keys.where(F.col("m") > SMALL).select("key", "m", "hashes"), "key")
+        # one table, so that `keyed` is shuffled once
+        shared = staged(many.unionByName(keys.where(F.col("m") <= SMALL), allowMissingColumns=True), "shared")
+        few, many = shared.where(F.col("m") <= SMALL), shared.where(F.col("m") > SMALL).select("key", "node", "n", "lane", "label", "m", "hashes")
+        if labels is None:
+            first = staged(_to_centres(many, least), "first")
+            labels = _with_links(labels, _confirmed(first, docs, points, shingle, least))
+            # what the first links leave apart
+            many = staged(_with_labels(many.drop("label"), labels), "labelled")
+            many = many.join(many.groupBy("key").agg(F.min("label").alias("lo"), F.max("label").alias("hi")).where("lo < hi").select("key"), "key")
+        sets = _with_labels(points.select("node", "n", "lanes", F.col("lanes")[0].alias("lane")), labels)
+        a, b = sets.alias("a"), sets.alias("b")
+        apart = (F.col("a.label") != F.col("b.label")) & _close("a", "b", least) & (_apart(lanes) <= farthest(float(least), lanes))
+        pairs = _pairs_of_sums(few).join(a, F.col("u") == F.col("a.node")).join(b, F.col("v") == F.col("b.node")).where(apart).select("u", "v")
+        more = _in_tiles(many.join(points.select("node", "lanes"), "node"), docs, points, shingle, least, lanes)
+        labels = _with_links(labels, _confirmed(pairs, docs, points, shingle, least).unionAll(more))
+    return labels
 
 
 def _linked(docs: DataFrame, shingle: int, similarity: float, recall: float, lanes: int) -> tuple[DataFrame, DataFrame, DataFrame]:

@@ -91,3 +91,13 @@ def test_two_far_sets_that_share_a_key_by_chance_are_not_joined(spark):
     rows = [(1, 100, 0, 5), (2, 100, -1, 5), (3, 100, 0, 6), (4, 100, 1, 6), (5, 100, 0, 7), (6, 50, 0, 7), (7, 9, 0, 8), *[(k, 100, k, 9) for k in (8, 9, 10)]]
     kept = similar._shared_keys(spark.createDataFrame(rows, "node long, n long, lane long, key long"), similar.Fraction("0.8"))
     assert sorted(map(tuple, kept.collect())) == [(6, 2), (9, 3)]
+
+
+def test_a_large_group_of_near_copies_is_not_joined_for_each_of_its_blocks(spark, monkeypatch):
+    base = [f"w{k}" for k in range(300)]
+    texts = [" ".join(base[:n] + [f"n{n}"] + base[n + 1 :]) for n in range(120)]
+    made, stage = [], similar.staged
+    monkeypatch.setattr(similar, "staged", lambda df, name="table": [out := stage(df, name), made.append((name, out.count()))][0])
+    assert set(components_of(spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string"), 0.98).values()) == {0}
+    blocks = similar.plan(len(texts), 0.8, 0.98)[1]
+    assert sum(n for name, n in made if name == "shared") <= len(texts) * blocks / 5
