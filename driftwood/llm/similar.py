@@ -6,12 +6,12 @@ are joined on it and their Hamming distance is verified in the join.  Blocks wid
 block is shared by chance by few, and their number is what finds `recall` of the pairs that are just similar enough;
 closer pairs are found more surely.  Every pair that is linked is decided by its whole sets.
 
-Near copies come in groups, and a pair of a group whose members are linked already says nothing new.  So the blocks are
-taken in rounds, few of them first, and a key whose sets are all of one component is dropped by its sums.  Keys of two or
-three sets give their pairs from these sums, without a join.  Where more than `SMALL` sets share a block, each set is in
-the first round compared to a few others, of its blocks' centres those with the most candidates; what this leaves apart
-is compared in tiles, whole sets included, and a tile returns a spanning forest of its links: no more rows than sets,
-however many of its pairs are near or alike.
+Near copies come in groups, and a pair of a group whose members are linked already says nothing new.  So in a few of the
+blocks each set is first compared to a few others, of its blocks' centres those with the most candidates.  Of all blocks
+a key whose sets these links have joined is then dropped by its sums, so a large group isn't joined once for each block.
+Keys of two or three sets give their pairs from their sums, without a join.  Where more than `SMALL` sets share a block
+they are compared in tiles, whole sets included, and a tile returns a spanning forest of its links: no more rows than
+sets, however many of its pairs are near or alike.
 """
 
 from __future__ import annotations
@@ -34,8 +34,8 @@ from driftwood.llm.simhash import COUNTED, U, Votes, _apart, named, shingle_hash
 LANES = 24
 #: Bits of a block at least, and beyond those that number the sets: a block is shared by chance with a chance of a fourth at most.
 WIDTH, SPARE = 23, 2
-#: Where rounds end, as shares of the blocks.
-ROUNDS = (0.07, 0.35, 1.0)
+#: Share of the blocks whose centres sets are compared to first.
+FIRST = 0.1
 #: Centres that a set is compared to first.
 CENTRES = 3
 #: Share of the pairs of the least similarity that share a block, about.
@@ -107,8 +107,8 @@ def _places(bits: int, width: int, blocks: int) -> np.ndarray:
     return np.concatenate([o[: per * width].reshape(per, width) for o in orders])[:blocks]
 
 
-def _keys(lanes: int, width: int, begin: int, stop: int):
-    places, blocks = _places(64 * lanes, width, stop)[begin:], stop - begin
+def _keys(lanes: int, width: int, blocks: int):
+    places = _places(64 * lanes, width, blocks)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -121,7 +121,7 @@ def _keys(lanes: int, width: int, begin: int, stop: int):
                     key = np.zeros(bits.shape[1], U)
                     for p in places_of:
                         key = key << U(1) | bits[p]
-                    keys[k : k + 1000, b] = mix(key + U(begin + b << 48))
+                    keys[k : k + 1000, b] = mix(key + U(b << 48))
             lists = pa.ListArray.from_arrays(pa.array(np.arange(rows + 1) * blocks, pa.int32()), pa.array(keys.ravel().view(np.int64)))
             first = pa.array(prints[:, 0].view(np.int64))
             yield pa.RecordBatch.from_arrays([batch["node"], batch["n"], first, batch["label"], lists], names=["node", "n", "lane", "label", "keys"])
@@ -280,49 +280,34 @@ def _to_centres(shared: DataFrame, least: Fraction) -> DataFrame:
     return best.select("u", F.explode(F.slice(F.sort_array("c", asc=False), 1, CENTRES)).alias("c")).select("u", F.col("c.node").alias("v"))
 
 
-def _rounds(blocks: int) -> list[tuple[int, int]]:
-    """The blocks of each round."""
-    ends = [math.ceil(share * blocks) for share in ROUNDS]
-    return [(a, z) for a, z in zip([0, *ends], ends) if a < z]
-
-
-def _with_links(labels: DataFrame | None, more: DataFrame) -> DataFrame:
-    return components(more if labels is None else labels.select(F.col("node").alias("u"), F.col("component").alias("v")).unionAll(more))
-
-
-def _with_labels(rows: DataFrame, labels: DataFrame | None) -> DataFrame:
-    """`rows` with the component of their node as its label, or the node itself."""
-    if labels is None:
-        return rows.withColumn("label", F.col("node"))
-    return rows.join(labels, "node", "left").withColumn("label", F.coalesce("component", "node")).drop("component")
+def _keyed(sets: DataFrame, lanes: int, width: int, blocks: int) -> DataFrame:
+    """A row for each set and block; `sets`: node, n, lanes, label."""
+    keyed = sets.select("node", "n", "lanes", "label").mapInArrow(_keys(lanes, width, blocks), "node long, n long, lane long, label long, keys array<bigint>")
+    return keyed.select("node", "n", "lane", "label", F.explode("keys").alias("key")).repartition("key")
 
 
 def _grouped(docs: DataFrame, points: DataFrame, shingle: int, lanes: int, width: int, blocks: int, least: Fraction) -> DataFrame:
     """node and component over all links between the sets of `points` (node, row, n, lanes)."""
-    labels = None
-    for begin, stop in _rounds(blocks):
-        # each round decides all pairs with other labels that share one of its blocks
-        rows = _with_labels(points.where("n > 0").select("node", "n", "lanes"), labels)
-        keyed = rows.mapInArrow(_keys(lanes, width, begin, stop), "node long, n long, lane long, label long, keys array<bigint>")
-        keyed = keyed.select("node", "n", "lane", "label", F.explode("keys").alias("key")).repartition("key")
-        keys = _shared_keys(keyed, least, "label", ("hashes", "low", "high", "nodes"))
-        many = keyed.join(keys.where(F.col("m") > SMALL).select("key", "m", "hashes"), "key")
-        # one table, so that `keyed` is shuffled once
-        shared = staged(many.unionByName(keys.where(F.col("m") <= SMALL), allowMissingColumns=True), "shared")
-        few, many = shared.where(F.col("m") <= SMALL), shared.where(F.col("m") > SMALL).select("key", "node", "n", "lane", "label", "m", "hashes")
-        if labels is None:
-            first = staged(_to_centres(many, least), "first")
-            labels = _with_links(labels, _confirmed(first, docs, points, shingle, least))
-            # what the first links leave apart
-            many = staged(_with_labels(many.drop("label"), labels), "labelled")
-            many = many.join(many.groupBy("key").agg(F.min("label").alias("lo"), F.max("label").alias("hi")).where("lo < hi").select("key"), "key")
-        sets = _with_labels(points.select("node", "n", "lanes", F.col("lanes")[0].alias("lane")), labels)
-        a, b = sets.alias("a"), sets.alias("b")
-        apart = (F.col("a.label") != F.col("b.label")) & _close("a", "b", least) & (_apart(lanes) <= farthest(float(least), lanes))
-        pairs = _pairs_of_sums(few).join(a, F.col("u") == F.col("a.node")).join(b, F.col("v") == F.col("b.node")).where(apart).select("u", "v")
-        more = _in_tiles(many.join(points.select("node", "lanes"), "node"), docs, points, shingle, least, lanes)
-        labels = _with_links(labels, _confirmed(pairs, docs, points, shingle, least).unionAll(more))
-    return labels
+    sets = points.where("n > 0").select("node", "n", "lanes", F.col("lanes")[0].alias("lane"))
+    keyed = _keyed(sets.withColumn("label", F.col("node")), lanes, width, math.ceil(FIRST * blocks))
+    many = staged(keyed.join(_shared_keys(keyed, least).where(F.col("m") > SMALL), "key"), "shared")
+    first = staged(_to_centres(many, least), "first")
+    labels = components(_confirmed(first, docs, points, shingle, least))
+    # what the first links leave apart, in all blocks
+    sets = staged(sets.join(labels, "node", "left").withColumn("label", F.coalesce("component", "node")).drop("component"), "labelled")
+    keyed = _keyed(sets, lanes, width, blocks)
+    keys = _shared_keys(keyed, least, "label", ("hashes", "low", "high", "nodes"))
+    many = keyed.join(keys.where(F.col("m") > SMALL).select("key", "m", "hashes"), "key")
+    # one table, so that `keyed` is shuffled once
+    shared = staged(many.unionByName(keys.where(F.col("m") <= SMALL), allowMissingColumns=True), "shared")
+    few, many = shared.where(F.col("m") <= SMALL), shared.where(F.col("m") > SMALL).select("key", "node", "n", "label", "m", "hashes")
+    a, b = sets.alias("a"), sets.alias("b")
+    apart = (F.col("a.label") != F.col("b.label")) & _close("a", "b", least) & (_apart(lanes) <= farthest(float(least), lanes))
+    pairs = _pairs_of_sums(few).join(a, F.col("u") == F.col("a.node")).join(b, F.col("v") == F.col("b.node")).where(apart).select("u", "v")
+    tried = first.select(F.greatest("u", "v").alias("u"), F.least("u", "v").alias("v"))
+    more = _in_tiles(many.join(sets.select("node", "lanes"), "node"), docs, points, shingle, least, lanes)
+    more = more.unionAll(_confirmed(pairs.join(tried, ["u", "v"], "left_anti"), docs, points, shingle, least))
+    return components(labels.select(F.col("node").alias("u"), F.col("component").alias("v")).unionAll(more))
 
 
 def _linked(docs: DataFrame, shingle: int, similarity: float, recall: float, lanes: int) -> tuple[DataFrame, DataFrame, DataFrame]:
