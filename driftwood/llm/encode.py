@@ -14,6 +14,8 @@ import numpy as np
 PIECES, LONGEST = 600_000, 100
 #: Pieces encoded as one text.
 AT_ONCE = 1000
+#: In place of ids, which take four bytes each.
+_LACKS = b"?"
 #: Marks that are cut off a word before it is looked up.
 _ENDS = ".,;:!?"
 _ODD = re.compile(r" (?:\s|\Z)")
@@ -22,6 +24,14 @@ _NEXT = re.compile(r"(?= \S)")
 _MARK = "\x01"
 
 
+class _Seen(dict):
+    """Ids of pieces; looking up one that isn't there gives `_LACKS`, no ids, and adds it to `lack`."""
+
+    def __missing__(self, piece: str) -> bytes:
+        self.lack.append(piece)
+        return _LACKS
+
+
 class Encoder:
     """Encodes texts just as the library does with add_special_tokens=False.
 
@@ -50,7 +60,7 @@ class Encoder:
             self.lowers = any(n.get("type") == "Lowercase" for n in (norm or {}).get("normalizers", [norm or {}]))
         else:
             self.kind = "whole"
-        self.seen: dict[str, bytes] = {}
+        self.seen = _Seen()
         self.ends = dict(zip(_ENDS, self._alone(list(_ENDS))))
 
     @staticmethod
@@ -114,10 +124,18 @@ class Encoder:
         gc.disable()
         try:
             cut = [self._pieces(t) for t in texts]
-            got = [list(map(self.seen.get, p)) for _, p in cut]
-            lack = list({q for (_, p), g in zip(cut, got) if None in g for q, v in zip(p, g) if v is None})
-            new = self._learn(lack)
-            out = [head + (b"".join(g) if None not in g else b"".join([new[q] if v is None else v for q, v in zip(p, g)])) for (head, p), g in zip(cut, got)]
+            got = []
+            for _, p in cut:
+                self.seen.lack = lack = []
+                got.append((list(map(self.seen.__getitem__, p)), lack))
+            new = self._learn(list({q for _, lack in got for q in lack}))
+            out = []
+            for (head, _), (g, lack) in zip(cut, got):
+                k = -1
+                for q in lack:
+                    k = g.index(_LACKS, k + 1)
+                    g[k] = new[q]
+                out.append(head + b"".join(g))
             # common pieces come early: those seen first stay
             if len(self.seen) < PIECES:
                 self.seen.update((q, v) for q, v in new.items() if len(q) <= LONGEST)
