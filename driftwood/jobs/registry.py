@@ -466,7 +466,8 @@ def keyphrases(spark, sf):
 @_query()
 def keyphrase_vectors(spark, sf):
     """The keyphrases as sparse vectors."""
-    return store.sparse_vectors(keyphrases(spark, sf), "doc_id", "keyphrase", "score").withColumn("value", F.round("value", 6))
+    # dealt by document once, for both windows
+    return store.sparse_vectors(keyphrases(spark, sf).repartition("doc_id"), "doc_id", "keyphrase", "score").withColumn("value", F.round("value", 6))
 
 
 @_query("SELECT conv_id, turn FROM conversations WHERE conv_id NOT IN (SELECT doc_id FROM labels WHERE toxic = 1)")

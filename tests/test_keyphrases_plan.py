@@ -54,3 +54,10 @@ def test_edits():
     rng = random.Random(7)
     a, b = (["".join(rng.choices("abé \U0001f600", k=rng.choice([0, 1, 5, 9, 30, 70]))) for _ in range(300)] for _ in range(2))
     assert keyphrases.edits(a, b).tolist() == [plain(x, y) for x, y in zip(a, b)]
+
+
+def test_vectors_are_dealt_once_more(spark):
+    from driftwood.jobs import registry
+
+    plan = registry.QUERIES["keyphrase_vectors"](spark, "/root/testdata/sf0.001")._jdf.queryExecution().executedPlan().toString()
+    assert plan.count("Exchange") == 2 and "Join" not in plan
