@@ -4,7 +4,8 @@ An index is a folder: a small model (centroids, codebooks) and Parquet rows of b
 holds some thousand vectors of one list: keys, codes and the vectors themselves in columns of their own, so that a
 search reads the codes of the lists that its queries probe, and vectors of those blocks alone in which it has
 candidates.  The model is fitted to a bounded sample; every row is in the index.  Only the model and that sample pass
-through the driver.
+through the driver.  A search of all rows of the probed lists takes slices of blocks against many queries and keeps each
+query's best of a slice.
 """
 
 from __future__ import annotations
@@ -15,6 +16,7 @@ from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql.types import ArrayType, FloatType
@@ -31,6 +33,10 @@ TRIED, HITS = 500, 50
 RECALL = 0.95
 #: Vectors of a block; queries scored against one at once.
 BLOCK, ASKED = 4_096, 1_024
+#: Where all rows are scored: rows of a slice, queries that it is scored against in a task, and at once.
+SLICE, TURN, TILE = 16_384, 16_384, 128
+#: Points that are compared with all means at once.
+POINTS = 1_024
 #: Digits that scores are rounded to before they are ranked, as in the exact search.
 DIGITS = 9
 
@@ -56,7 +62,7 @@ def centres(points: np.ndarray, k: int, rounds: int = 12) -> np.ndarray:
 
 def nearest(points: np.ndarray, means: np.ndarray) -> np.ndarray:
     half = (means * means).sum(axis=1) / 2
-    return np.concatenate([np.zeros(0, np.int64), *(np.argmax(points[i : i + 4096] @ means.T - half, axis=1) for i in range(0, len(points), 4096))])
+    return np.concatenate([np.zeros(0, np.int64), *(np.argmax(points[i : i + POINTS] @ means.T - half, axis=1) for i in range(0, len(points), POINTS))])
 
 
 @dataclass
@@ -93,8 +99,8 @@ def _curve(points: np.ndarray, means: np.ndarray) -> np.ndarray:
     """Share of some points' nearest neighbours among all that lie in their 1, 2, ... nearest lists."""
     own, found = nearest(points, means), np.zeros(len(means))
     asked = points[:: max(1, len(points) // TRIED)]
-    for i in range(0, len(asked), 64):
-        part = asked[i : i + 64]
+    for i in range(0, len(asked), 16):
+        part = asked[i : i + 16]
         hits = np.argsort(-(part @ points.T), axis=1, kind="stable")[:, :HITS]
         order = np.argsort((means * means).sum(axis=1) / 2 - part @ means.T, axis=1, kind="stable")
         place = np.argsort(order, axis=1)
@@ -106,9 +112,10 @@ def fit(vectors: DataFrame, key: str, column: str, lists: int | None = None, par
     """A model from the `sample` rows of the smallest hashes of their keys.  By default the square root of the number of rows are lists, as many as the sample allows."""
     sound = vectors.where(_sound(column))
     n = sound.count()
-    rows = sound.select(column, key).orderBy(F.xxhash64(key), key).limit(sample).select(column).toPandas()[column]
-    width = max(((n, w) for w, n in rows.map(len).value_counts().items()), default=(0, 1))[1]
-    points = units(np.array([v for v in rows if len(v) == width], np.float64).reshape(-1, width))
+    m = _smallest(sound, n, key, column, sample)
+    size = pc.list_value_length(m).to_numpy()
+    width = max(((n, w) for w, n in zip(*np.unique(size, return_counts=True))), default=(0, 1))[1]
+    points = units(m.filter(pa.array(size == width)).flatten().to_numpy().reshape(-1, width))
     points = points[~np.isnan(points).any(axis=1)]
     if not len(points):
         return Model(np.zeros((1, 1)), np.zeros((1, 1, 1)), np.ones(1))
@@ -120,6 +127,19 @@ def fit(vectors: DataFrame, key: str, column: str, lists: int | None = None, par
     return Model(means, books, _curve(points, means))
 
 
+def _smallest(rows: DataFrame, n: int, key: str, column: str, sample: int) -> pa.Array:
+    """The vectors of the `sample` rows of the smallest hashes, of n rows; as Arrow, for Python's numbers take many times the room."""
+    hashed = F.xxhash64(f"`{key}`")
+    # a few more than the sample by calculation, so that executors need not sort all
+    share = (sample + 8 * math.sqrt(sample)) / max(1, n)
+    for cut in ([math.floor(share * 2**64) - 2**63] if share < 1 else []) + [2**63 - 1]:
+        few = rows.where(hashed <= F.lit(cut)).select(F.col(f"`{column}`").cast("array<double>").alias("v"), F.col(f"`{key}`").alias("k"))
+        found = few.orderBy(F.xxhash64("k"), "k").limit(sample).select("v").toArrow()["v"].combine_chunks()
+        if len(found) == min(n, sample):
+            break
+    return found
+
+
 def _sound(column: str):
     v = F.col(f"`{column}`")
     return v.isNotNull() & (F.size(v) > 0) & ~F.exists(v, lambda x: x.isNull() | F.isnan(x) | (F.abs(x) == float("inf")))
@@ -207,8 +227,11 @@ class Index:
         probed lists, so with all lists probed the result is that of the exact search.  Ties go by key.  `queries` has q
         and q_vec; a query without direction hits nothing.
         """
+        probes = probes or self.model.probes(RECALL)
+        if not rerank:
+            return self._every(queries, k, probes, key)
         q_type, k_type = queries.schema["q"].dataType.simpleString(), self.blocks.schema["keys"].dataType.elementType.simpleString()
-        probed = staged(self.probed(queries, probes or self.model.probes(RECALL)), "probed")
+        probed = staged(self.probed(queries, probes), "probed")
         turns = max(1, math.ceil(queries.count() / ASKED))
         part = F.pmod(F.xxhash64("q"), F.lit(turns)).cast("int").alias("turn")
         asked = probed.groupBy("list", part).agg(F.collect_list(F.struct("q", "q_unit")).alias("asked"))
@@ -237,24 +260,66 @@ class Index:
                 for keys, data, single, asking in zip(batch["keys"], batch["vectors"].to_pylist(), batch["single"].to_pylist(), batch["asked"].to_pylist()):
                     unit = units(np.frombuffer(data, np.float32 if single else np.float64).reshape(-1, model.width))
                     for a in asking:
-                        at = np.asarray(a["at"], np.int64) if a["at"] is not None else np.arange(len(unit))
+                        at = np.asarray(a["at"], np.int64)
                         scores = np.round(unit[at] @ np.frombuffer(a["q_unit"]), DIGITS)
-                        if a["at"] is None:
-                            # rows of the k-th score are all kept, as keys decide between them
-                            kept = np.flatnonzero(scores >= -np.partition(-scores, k - 1)[k - 1]) if len(scores) > k else np.arange(len(scores))
-                            at, scores = at[kept], scores[kept]
                         yield pa.RecordBatch.from_arrays([pa.array([a["q"]] * len(at), batch.schema.field("asked").type.value_type.field("q").type), keys.values.take(pa.array(at)), pa.array(scores)], names=["q", key, "score"])
 
         schema = f"q {q_type}, `{key}` {k_type}, score double"
-        if rerank:
-            found = self.blocks.select("list", "block", "codes").join(asked, "list").mapInArrow(by_codes, f"q {q_type}, list int, block int, at int, about double")
-            order = Window.partitionBy("q").orderBy(F.desc("about"), "list", "block", "at")
-            kept = found.withColumn("n", F.row_number().over(order)).where(F.col("n") <= rerank * k)
-            few = kept.groupBy("list", "block", "q").agg(F.collect_list("at").alias("at")).join(probed, ["q", "list"])
-            few = few.groupBy("list", "block", part).agg(F.collect_list(F.struct("q", "q_unit", "at")).alias("asked"))
-            scored = self.blocks.select("list", "block", "keys", "vectors", "single").join(few, ["list", "block"]).mapInArrow(by_vectors, schema)
-        else:
-            every = asked.withColumn("asked", F.transform("asked", lambda a: F.struct(a["q"].alias("q"), a["q_unit"].alias("q_unit"), F.lit(None).cast("array<int>").alias("at"))))
-            scored = self.blocks.select("list", "keys", "vectors", "single").join(every, "list").mapInArrow(by_vectors, schema)
+        found = self.blocks.select("list", "block", "codes").join(asked, "list").mapInArrow(by_codes, f"q {q_type}, list int, block int, at int, about double")
+        order = Window.partitionBy("q").orderBy(F.desc("about"), "list", "block", "at")
+        kept = found.withColumn("n", F.row_number().over(order)).where(F.col("n") <= rerank * k)
+        few = kept.groupBy("list", "block", "q").agg(F.collect_list("at").alias("at")).join(probed, ["q", "list"])
+        few = few.groupBy("list", "block", part).agg(F.collect_list(F.struct("q", "q_unit", "at")).alias("asked"))
+        scored = self.blocks.select("list", "block", "keys", "vectors", "single").join(few, ["list", "block"]).mapInArrow(by_vectors, schema)
+        return self._ranked(scored, k, key)
+
+    @staticmethod
+    def _ranked(scored: DataFrame, k: int, key: str) -> DataFrame:
         ranked = scored.withColumn("rank", F.row_number().over(Window.partitionBy("q").orderBy(F.desc("score"), key)) - 1)
         return ranked.where(F.col("rank") < k)
+
+    def _every(self, queries: DataFrame, k: int, probes: int, key: str) -> DataFrame:
+        """As search, of all rows of the probed lists: slices of blocks against turns of queries, k rows of each query and slice."""
+        model, n_lists = self.model, len(self.model.lists)
+        k_type, q_type = self.blocks.schema["keys"].dataType.elementType.simpleString(), queries.schema["q"].dataType.simpleString()
+        blocks = self.blocks.select("list", "block", "keys", "vectors", "single")
+        if probes < n_lists:
+            asked = self.probed(queries, probes)
+            # as many rows as lists
+            blocks = blocks.where(F.col("list").isin([r.list for r in asked.select("list").distinct().collect()]))
+            asked = asked.groupBy("q", "q_unit").agg(F.collect_set("list").alias("lists"))
+        else:
+            asked = self.probed(queries, 1).select("q", "q_unit", F.lit(None).cast("array<int>").alias("lists"))
+        n_slices = max(1, math.ceil((blocks.agg(F.sum(F.size("keys"))).first()[0] or 0) / SLICE))
+        n_turns = max(1, math.ceil(queries.count() / TURN))
+        each = lambda n: F.explode(F.sequence(F.lit(0), F.lit(n - 1)))
+        dealt = lambda by, n: F.pmod(F.xxhash64(*by), F.lit(n)).cast("int")
+        left = asked.withColumn("turn", dealt(["q"], n_turns)).withColumn("slice", each(n_slices))
+        right = blocks.withColumn("slice", dealt(["list", "block"], n_slices)).withColumn("turn", each(n_turns))
+
+        def best(asked: pa.Table, blocks: pa.Table) -> pa.Table:
+            out = [pa.table([pa.array([], asked["q"].type), pa.array([], blocks["keys"].type.value_type), pa.array([], pa.float64())], names=["q", key, "score"])]
+            if asked.num_rows and blocks.num_rows:
+                keys = pc.list_flatten(blocks["keys"]).combine_chunks()
+                unit = np.concatenate([units(np.frombuffer(v.as_py(), np.float32 if s.as_py() else np.float64).reshape(-1, model.width)) for v, s in zip(blocks["vectors"], blocks["single"])])
+                # in the order of keys, which decide between rows of one score
+                order = pc.array_sort_indices(keys, null_placement="at_start")
+                keys, unit = keys.take(order), unit[order.to_numpy()]
+                own = np.repeat(blocks["list"].to_numpy(), pc.list_value_length(blocks["keys"]).to_numpy())[order.to_numpy()]
+                for i in range(0, asked.num_rows, TILE):
+                    part = asked.slice(i, TILE)
+                    scores = np.round(np.stack([np.frombuffer(u.as_py()) for u in part["q_unit"]]) @ unit.T, DIGITS)
+                    rows, ats = [], []
+                    for row, (s, lists) in enumerate(zip(scores, part["lists"].to_pylist())):
+                        hits = np.arange(len(s)) if lists is None else np.flatnonzero(np.isin(own, lists))
+                        if len(hits) > k:
+                            hits = hits[s[hits] >= -np.partition(-s[hits], k - 1)[k - 1]]
+                        hits = hits[np.argsort(-s[hits], kind="stable")][:k]
+                        rows.append(np.full(len(hits), row))
+                        ats.append(hits)
+                    row, at = np.concatenate(rows), np.concatenate(ats)
+                    out.append(pa.table([part["q"].take(pa.array(row)), keys.take(pa.array(at)), pa.array(scores[row, at])], names=["q", key, "score"]))
+            return pa.concat_tables(out)
+
+        found = left.groupBy("slice", "turn").cogroup(right.groupBy("slice", "turn")).applyInArrow(best, f"q {q_type}, `{key}` {k_type}, score double")
+        return self._ranked(found, k, key)
