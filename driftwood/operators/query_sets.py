@@ -2,7 +2,8 @@
 
 Queries are dealt into blocks and rows into slices, both of bounded size.  A task scores one block against one slice with
 numpy and keeps each query's best few, so that k rows a query and slice are shuffled at the end.  What is shuffled before is
-the rows once per block of queries.  Neither side passes through the driver.
+the rows once per block of queries; of texts these are the counts of the words that some query has.  Neither side passes
+through the driver.
 """
 
 from __future__ import annotations
@@ -11,14 +12,19 @@ from collections.abc import Callable, Iterator
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from driftwood.functions.columns import dot, excerpt, shown_keywords
 from driftwood.operators import retrieval
+from driftwood.operators.staging import staged
 
 #: Queries of a block and rows of a slice.
 BLOCK, SLICE = 4_096, 65_536
+#: Queries of a block where they are a few words each, and different words of all queries that are numbered on the driver.
+ASKED, SMALL = 65_536, 100_000
 #: Scores of a query and the rows of a slice: ids of queries, ids of rows in ascending order, and one array per query.
 Scored = tuple[list, list, Iterator[np.ndarray]]
 
@@ -87,36 +93,78 @@ def top_words(docs: DataFrame, key: str, text: str, n: int = 3, least: int = 3)
     return kept.groupBy(key).agg(F.transform(F.array_sort(F.collect_list(F.struct("_n", "term"))), lambda s: s["term"]).alias("words"))
 
 
-def sparse_each(queries: DataFrame, chunks: DataFrame, k: int, key: str = "chunk_id", text: str = "text", **sizes: int) -> DataFrame:
+def sparse_each(queries: DataFrame, chunks: DataFrame, k: int, key: str = "chunk_id", text: str = "text", block: int = ASKED, slice_: int = SLICE) -> DataFrame:
     """The k chunks with the greatest sum of idf x tf over each query's words; `queries`: q, words (few, of a-z)."""
-    rows = chunks.select(key, words_of(F.col(text)).alias("words")).where(F.col(text).isNotNull())
-    asked = queries.select("q", F.explode(F.array_distinct("words")).alias("term"))
-    # a word is counted once a chunk, and only if some query has it
-    held = rows.select(F.explode(F.array_distinct("words")).alias("term")).join(asked.select("term").distinct(), "term", "left_semi")
-    total = chunks.agg(F.count("*").alias("n"))
-    idf = held.groupBy("term").agg(F.count("*").alias("df")).join(F.broadcast(total)).select("term", retrieval.idf(F.col("df"), F.col("n")).alias("idf"))
-    weighted = asked.join(idf, "term").groupBy("q").agg(F.collect_list(F.struct("term", "idf")).alias("weights"))
+    spark = chunks.sparkSession
+    asked = queries.select("q", F.explode(F.array_distinct("words")).alias("word")).where("word is not null")
+    few = [r.word for r in asked.select("word").distinct().limit(SMALL + 1).collect()]
+    number = {w: n for n, w in enumerate(sorted(few))} if len(few) <= SMALL else None
+    if number is None:
+        # more words than a driver should number stay words, and all words of texts are kept
+        kind, asked = "string", asked.withColumn("term", F.col("word"))
+    else:
+        kind, asked = "int", asked.join(F.broadcast(spark.createDataFrame([*number.items()], "word string, term int")), "word")
+
+    def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            coded = batch["words"].flatten().dictionary_encode()
+            words = coded.dictionary.to_pylist()
+            own = np.array([number.get(w, -1) for w in words] if number is not None else range(len(words)), np.int64)[coded.indices.to_numpy()]
+            row = np.repeat(np.arange(batch.num_rows), pc.list_value_length(batch["words"]).to_numpy())
+            both, tf = np.unique((row << 32 | own)[own >= 0], return_counts=True)
+            terms = pa.array((both & 0xFFFFFFFF).astype(np.int32))
+            rows, n = np.unique(both >> 32, return_counts=True)
+            ends = pa.array(np.append(0, np.cumsum(n)), pa.int32())
+            terms = terms if number is not None else pa.array(words, pa.string()).take(terms)
+            yield pa.RecordBatch.from_arrays([batch[0].take(pa.array(rows)), pa.ListArray.from_arrays(ends, terms), pa.ListArray.from_arrays(ends, pa.array(tf, pa.int32()))], names=[key, "terms", "tfs"])
+
+    k_type, q_type = chunks.schema[key].dataType.simpleString(), queries.schema["q"].dataType.simpleString()
+    words = chunks.where(F.col(text).isNotNull()).select(key, words_of(F.col(text)).alias("words"))
+    counted = staged(words.mapInArrow(count, f"`{key}` {k_type}, terms array<{kind}>, tfs array<int>"), "counted")
+    n_queries, n = queries.count(), chunks.count()
+    idf = counted.select(F.explode("terms").alias("term")).groupBy("term").agg(F.count("*").alias("df")).select("term", retrieval.idf(F.col("df"), F.lit(n)).alias("idf"))
+    listed = asked.join(idf, "term").groupBy("q").agg(F.sort_array(F.collect_list(F.struct("word", "term", "idf"))).alias("w"))
+    weighted = listed.select("q", F.col("w.term").alias("terms"), F.col("w.idf").alias("idfs"))
+    n_blocks, n_slices = max(1, -(-n_queries // block)), max(1, -(-n // slice_))
+
+    def score(left: pa.Table, right: pa.Table) -> pa.Table:
+        ids, ats, scores = [np.zeros(0, np.int64)], [np.zeros(0, np.int64)], [np.zeros(0)]
+        # rows in the order of keys, which decide between those of one score
+        keys = right[key].combine_chunks()
+        order = pc.array_sort_indices(keys)
+        place = np.empty(len(order), np.int64)
+        place[order.to_numpy()] = np.arange(len(order))
+        coded = pc.list_flatten(right["terms"]).combine_chunks().dictionary_encode()
+        codes = coded.indices.to_numpy()
+        by_term = np.argsort(codes, kind="stable")
+        rows, tfs = np.repeat(place, pc.list_value_length(right["terms"]).to_numpy())[by_term], pc.list_flatten(right["tfs"]).to_numpy()[by_term]
+        number = {t: i for i, t in enumerate(coded.dictionary.to_pylist())}
+        ends = np.append(0, np.cumsum(np.bincount(codes, minlength=len(number))))
+        for i, (terms, idfs) in enumerate(zip(left["terms"].to_pylist(), left["idfs"].to_pylist())):
+            s = np.zeros(len(order))
+            for t, w in zip(terms, idfs):
+                if (at := number.get(t)) is not None:
+                    part = slice(ends[at], ends[at + 1])
+                    s[rows[part]] += tfs[part] * w
+            hits = np.flatnonzero(s)
+            s = np.round(s[hits], 9)
+            if len(hits) > k:
+                most = s >= -np.partition(-s, k - 1)[k - 1]
+                hits, s = hits[most], s[most]
+            best = np.argsort(-s, kind="stable")[:k]
+            ids.append(np.full(len(best), i))
+            ats.append(hits[best])
+            scores.append(s[best])
+        return pa.table([left["q"].take(pa.array(np.concatenate(ids))), keys.take(order.take(pa.array(np.concatenate(ats)))), pa.array(np.concatenate(scores))], names=["q", key, "score"])
 
-    def score(left: pd.DataFrame, right: pd.DataFrame) -> Scored:
-        left, right = left.sort_values("q"), right.sort_values(key)
-        postings: dict[str, dict[int, int]] = {w["term"]: {} for ws in left["weights"] for w in ws}
-        for at, words in enumerate(right["words"]):
-            for w in words:
-                if w in postings:
-                    postings[w][at] = postings[w].get(at, 0) + 1
-        arrays = {w: (np.fromiter(p.keys(), np.int64, len(p)), np.fromiter(p.values(), np.float64, len(p))) for w, p in postings.items()}
-
-        def sums() -> Iterator[np.ndarray]:
-            for ws in left["weights"]:
-                s = np.zeros(len(right))
-                for w in sorted(ws, key=lambda w: w["term"]):
-                    at, tf = arrays[w["term"]]
-                    s[at] += tf * w["idf"]
-                yield np.where(s > 0, np.round(s, 9), -np.inf)
-
-        return list(left["q"]), list(right[key]), sums()
-
-    return best(weighted, rows, "q", key, k, score, counts=(queries.count(), chunks.count()), **sizes)
+    def dealt(df: DataFrame, by: str, own: str, parts: int, other: str, others: int) -> DataFrame:
+        return df.withColumn(own, F.pmod(F.xxhash64(by), F.lit(parts)).cast("int")).withColumn(other, F.explode(F.sequence(F.lit(0), F.lit(others - 1))))
+
+    left = dealt(weighted, "q", "_block", n_blocks, "_slice", n_slices).groupBy("_block", "_slice")
+    right = dealt(counted, key, "_slice", n_slices, "_block", n_blocks).groupBy("_block", "_slice")
+    found = left.cogroup(right).applyInArrow(score, f"q {q_type}, `{key}` {k_type}, score double")
+    order = Window.partitionBy("q").orderBy(F.desc("score"), key)
+    return found.withColumn("rank", F.row_number().over(order) - 1).where(F.col("rank") < k)
 
 
 def late_each(queries: DataFrame, tokens: DataFrame, k: int, key: str = "chunk_id", **sizes: int) -> DataFrame:
